@@ -100,7 +100,7 @@ GRID_SCORES = (0.0, 0.25, 0.5)
 
 def venue_table(spark: SparkSession, venues: dict | None = None, usd=USD_VENUES) -> DataFrame:
     """Venue configuration as a table: venue, fee, withdrawal_btc, reliability, usd_lane."""
-    rows = [(n, *map(float, v), n in usd) for n, v in (venues or VENUES).items()]
-    return spark.createDataFrame(
-        rows, "venue string, fee double, withdrawal_btc double, reliability double, usd_lane boolean"
+    rows = ", ".join(
+        f"('{n}', {f!r}D, {w!r}D, {r!r}D, {str(n in usd).lower()})" for n, (f, w, r) in (venues or VENUES).items()
     )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS v(venue, fee, withdrawal_btc, reliability, usd_lane)")

@@ -95,22 +95,42 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, cond).drop(*[f"_r_{k}" for k in keys])
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], parts: int | None = None
+_FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def running(
+    df: DataFrame, keys: list[str], order: list[str], folds: dict[str, tuple[str, str]],
+    parts: int | None = None, exclusive: bool = False,
 ) -> DataFrame:
-    """Inclusive running sums along ``order`` inside every key: {new column: summed column}."""
+    """Running aggregates along ``order`` inside every key: {new column: (kind, column)}.
+
+    Kinds: sum, max, min. ``exclusive`` leaves the current row out (NULL on the first row).
+    """
     rows = bucketed(df, order, parts)
     group = keys + [BUCKET]
     before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(FIRST, -1)
-    base = rows.groupBy(*group).agg(*[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
-    base = base.select(
-        *group, *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums]
-    )
-    inside = W.partitionBy(*group).orderBy(*order).rowsBetween(FIRST, 0)
+    base = rows.groupBy(*group).agg(*[_FOLDS[k](c).alias(f"_s_{o}") for o, (k, c) in folds.items()])
+    base = base.select(*group, *[_FOLDS[k](f"_s_{o}").over(before).alias(f"_o_{o}") for o, (k, c) in folds.items()])
+    inside = W.partitionBy(*group).orderBy(*order).rowsBetween(FIRST, -1 if exclusive else 0)
     out = _same(rows, base, group)
-    for o, c in sums.items():
-        out = out.withColumn(o, F.col(f"_o_{o}") + F.sum(c).over(inside))
-    return out.drop(BUCKET, *[f"_o_{o}" for o in sums])
+    new = {}
+    for o, (k, c) in folds.items():
+        here, prior = _FOLDS[k](c).over(inside), F.col(f"_o_{o}")
+        if k == "sum":
+            new[o] = F.when(here.isNull() & prior.isNull(), None).otherwise(
+                F.coalesce(here, F.lit(0)) + F.coalesce(prior, F.lit(0))
+            )
+        else:
+            # greatest and least skip NULL
+            new[o] = F.greatest(here, prior) if k == "max" else F.least(here, prior)
+    return out.withColumns(new).drop(BUCKET, *[f"_o_{o}" for o in folds])
+
+
+def running_sum(
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], parts: int | None = None
+) -> DataFrame:
+    """Inclusive running sums along ``order`` inside every key: {new column: summed column}."""
+    return running(df, keys, order, {o: ("sum", c) for o, c in sums.items()}, parts)
 
 
 def ranked(
