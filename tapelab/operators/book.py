@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapelab.functions.quality import BOOK_DEPTH, PRICE_SCALE, price_key
-from tapelab.operators.ordered import BUCKET, FIRST, bucketed, running
+from tapelab.operators.ordered import BUCKET, FIRST, bucketed, range_cuts, running
 
 LEVELS = "array<struct<price:double,qty:double>>"
 OUT = f"bid double, bid_qty double, ask double, ask_qty double, bids {LEVELS}, asks {LEVELS}"
@@ -130,9 +130,10 @@ def sequence_status(events: DataFrame, rule: str, order: list[str] | None = None
     """
     order = order or ["t", "seq"]
     ev = events.withColumn("_snap", (F.col("kind") == "snapshot").cast("int"))
-    ev = running(ev, MARKET, order, {"epoch": ("sum", "_snap")}, parts)
+    cuts = range_cuts(events, order, parts)
+    ev = running(ev, MARKET, order, {"epoch": ("sum", "_snap")}, cuts=cuts)
     keys = MARKET + ["epoch"]
-    ev = running(ev, keys, order, {"_last": ("max", "sequence")}, parts, exclusive=True)
+    ev = running(ev, keys, order, {"_last": ("max", "sequence")}, exclusive=True, cuts=cuts)
     c = F.col
     snap = c("_snap") == 1
     known = c("_last").isNotNull() & c("sequence").isNotNull() & ~snap
@@ -152,7 +153,7 @@ def sequence_status(events: DataFrame, rule: str, order: list[str] | None = None
     if rule == "monotone":
         ev = ev.withColumn("_broken", F.lit(0))
     else:
-        ev = running(ev, keys, order, {"_broken": ("max", "_gap")}, parts, exclusive=True)
+        ev = running(ev, keys, order, {"_broken": ("max", "_gap")}, exclusive=True, cuts=cuts)
     missing = c("sequence").isNull() if rule != "linked" else c("sequence").isNull() | c("previous").isNull()
     status = (
         F.when(snap, "snapshot").when(F.coalesce(c("_broken"), F.lit(0)) == 1, "esperando_snapshot")
@@ -166,8 +167,7 @@ def sequence_status(events: DataFrame, rule: str, order: list[str] | None = None
 
 def order_failures(events: DataFrame, line: list[str], parts: int | None = None) -> DataFrame:
     """Messages whose local time or sequence steps back, in recorded (``line``) order per market."""
-    prev = running(events, MARKET, line, {"_t": ("max", "t")}, parts, exclusive=True)
-    prev = running(prev, MARKET, line, {"_s": ("max", "sequence")}, parts, exclusive=True)
+    prev = running(events, MARKET, line, {"_t": ("max", "t"), "_s": ("max", "sequence")}, parts, exclusive=True)
     why = F.array_compact(F.array(
         F.when(F.col("t") < F.col("_t"), F.lit("time_order")),
         F.when(~F.col("resync") & (F.col("sequence") < F.col("_s")), F.lit("sequence_order")),

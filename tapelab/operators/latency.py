@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapelab.functions.quality import latency_state, region_hint
-from tapelab.operators.ordered import ewma, newest
+from tapelab.operators.ordered import ewma, newest, running
 
 HISTORY = 100
 
@@ -38,3 +38,10 @@ def latency_ranking(quotes: DataFrame, stale_ms: int, value: str = "latency_ms")
         "venue", place.alias("place"), latency_state("ewma", stale_ms).alias("state"),
         region_hint("venue", "ewma").alias("region"),
     )
+
+
+def feed_gaps(quotes: DataFrame, stale: int) -> DataFrame:
+    """Silences of a feed longer than ``stale``: from a message to the next one of its market."""
+    prev = running(quotes.select("venue", "pair", "t", "seq"), ["venue", "pair"], ["t", "seq"], {"_p": ("max", "t")}, exclusive=True)
+    return prev.where(F.col("t") - F.col("_p") > stale).select(
+        "venue", "pair", F.col("_p").alias("last_seen"), (F.col("t") - F.col("_p")).alias("silent_us"))

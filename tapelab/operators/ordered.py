@@ -100,13 +100,14 @@ _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 def running(
     df: DataFrame, keys: list[str], order: list[str], folds: dict[str, tuple[str, str]],
-    parts: int | None = None, exclusive: bool = False,
+    parts: int | None = None, exclusive: bool = False, cuts: Cuts | None = None,
 ) -> DataFrame:
     """Running aggregates along ``order`` inside every key: {new column: (kind, column)}.
 
     Kinds: sum, max, min. ``exclusive`` leaves the current row out (NULL on the first row).
+    ``cuts`` reuses known cut points; any cuts give the same result.
     """
-    rows = bucketed(df, order, parts)
+    rows = bucketed(df, order, parts, cuts)
     group = keys + [BUCKET]
     before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(FIRST, -1)
     base = rows.groupBy(*group).agg(*[_FOLDS[k](c).alias(f"_s_{o}") for o, (k, c) in folds.items()])
