@@ -37,6 +37,16 @@ def s6(expr: str, name: str) -> str:
     return f"round(cast({expr} AS DOUBLE), 6) + 0.0 AS {name}"
 
 
+def r9(x, name: str) -> Column:
+    """Nine places: for products of short decimals, which would sit on a sixth-place tie."""
+    x = x if isinstance(x, Column) else F.col(x)
+    return (F.round(x.cast("double"), 9) + F.lit(0.0)).alias(name)
+
+
+def s9(expr: str, name: str) -> str:
+    return f"round(cast({expr} AS DOUBLE), 9) + 0.0 AS {name}"
+
+
 def wilson_sql(k: str, n: str, z: str = "1.96") -> dict[str, str]:
     """SQL text of the Wilson interval (n > 0)."""
     p, N, Z = f"(({k})::DOUBLE/({n})::DOUBLE)", f"({n})::DOUBLE", f"{z}::DOUBLE"

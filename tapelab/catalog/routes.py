@@ -7,14 +7,16 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tapelab import bindings as B
-from tapelab.catalog.base import query, r6, s6
+from tapelab.catalog.base import query, r6, r9, s6, s9
 from tapelab.catalog.scan import cost_sql
 from tapelab.functions import costs as C
 from tapelab.functions import quality as Q
 from tapelab.operators import asof, book, funnel, routes
 
 M = B.MODEL
-D = replace(M, stale_ms=5000)  # decisions compare the latency, not the quote age
+# decisions compare the latency, not the quote age; legs without levels walk at no cost
+D = replace(M, stale_ms=5000, slippage_fallback="zero")
+COST = cost_sql("qty", "0.0::DOUBLE", "0.0::DOUBLE")
 
 
 def latest(spark, sf):
@@ -34,7 +36,7 @@ routes AS (
  JOIN venues vb ON vb.venue=f.q.venue JOIN venues vs ON vs.venue=g.q.venue WHERE vb.usd_lane=vs.usd_lane),
 z AS (SELECT *, least({M.max_btc}::DOUBLE, buy_depth, sell_depth, 100000.0::DOUBLE/(ask*(1.0::DOUBLE+buy_fee)), 10.0::DOUBLE) AS lim FROM routes),
 sz AS (SELECT *, CASE WHEN lim<=0 THEN 0.0::DOUBLE ELSE lim END AS qty FROM z),
-u AS (SELECT *, {cost_sql("qty")["total"]} AS cost_total FROM sz),
+u AS (SELECT *, {COST["total"]} AS cost_total FROM sz),
 u2 AS (SELECT *, (bid-ask)*qty - cost_total AS utility_usd FROM u),
 u3 AS (SELECT *, CASE WHEN qty>0 THEN utility_usd/qty ELSE 0.0::DOUBLE END AS unit FROM u2),
 u4 AS (SELECT *, unit/((ask+bid)/2.0::DOUBLE)*10000.0::DOUBLE AS net_bps, (bid-ask)/((ask+bid)/2.0::DOUBLE)*10000.0::DOUBLE AS gross_bps FROM u3),
@@ -82,14 +84,14 @@ def top_decisions(spark, sf):
     return out.select("tick", F.col("position").cast("bigint").alias("position"), "seq", "buy_venue", "sell_venue", F.col("decision.code").alias("code"))
 
 
-@query(f"""{_R}, b AS (SELECT seq, buy_venue, sell_venue, (bid-ask)*qty AS gross, ({cost_sql("qty")["fee_buy"]}) AS buy_fee_usd, ({cost_sql("qty")["fee_sell"]}) AS sell_fee_usd, ({cost_sql("qty")["slippage"]}) AS slippage_usd,
- ({cost_sql("qty")["withdrawal"]}) AS rebalance_usd, ({cost_sql("qty")["latency"]}) AS latency_usd, cost_total FROM opp)
-SELECT seq, buy_venue, sell_venue, {", ".join(s6(x, x) for x in ("buy_fee_usd", "sell_fee_usd", "slippage_usd", "rebalance_usd", "latency_usd"))}, {s6('gross','gross_spread_usd')}, {s6('cost_total','total_cost_usd')}, {s6('cost_total*0.5::DOUBLE','half_cost_usd')} FROM b""")
+@query(f"""{_R}, b AS (SELECT seq, buy_venue, sell_venue, (bid-ask)*qty AS gross, ({COST["fee_buy"]}) AS buy_fee_usd, ({COST["fee_sell"]}) AS sell_fee_usd, ({COST["slippage"]}) AS slippage_usd,
+ ({COST["withdrawal"]}) AS rebalance_usd, ({COST["latency"]}) AS latency_usd, cost_total FROM opp)
+SELECT seq, buy_venue, sell_venue, {", ".join(s9(x, x) for x in ("buy_fee_usd", "sell_fee_usd", "slippage_usd", "rebalance_usd", "latency_usd"))}, {s9('gross','gross_spread_usd')}, {s9('cost_total','total_cost_usd')}, {s9('cost_total*0.5::DOUBLE','half_cost_usd')} FROM b""")
 def profit_breakdown(spark, sf):
     o = opps(spark, sf)
     b = o.select("seq", "buy_venue", "sell_venue", *C.profit_breakdown(), C.scale_costs("costs", F.lit(0.5)).alias("half"))
     names = ("buy_fee_usd", "sell_fee_usd", "slippage_usd", "rebalance_usd", "latency_usd", "gross_spread_usd", "total_cost_usd")
-    return b.select("seq", "buy_venue", "sell_venue", *[r6(n, n) for n in names], r6("half.total", "half_cost_usd"))
+    return b.select("seq", "buy_venue", "sell_venue", *[r9(n, n) for n in names], r9("half.total", "half_cost_usd"))
 
 
 # book-walk slippage over six levels: closed form of the walk
@@ -149,7 +151,7 @@ s AS (SELECT b.*, q.t AS st, q.bid AS nbid, q.bid_qty AS nsd, q.latency_ms AS sl
 n AS (SELECT seq, buy_venue, sell_venue, net_bps AS was, due-bt<={B.STALE_US} AND nbd>0 AS okb, due-st<={B.STALE_US} AND nsd>0 AS oks, nask AS ask, nbid AS bid, nbd AS buy_depth, nsd AS sell_depth,
  greatest(bl,sl) AS latency_ms, buy_fee, sell_fee, buy_withdrawal, sell_withdrawal, buy_usd_lane, sell_usd_lane FROM s),
 nz AS (SELECT *, CASE WHEN least(buy_depth,sell_depth)<=0 THEN 0.0::DOUBLE ELSE least({M.max_btc}::DOUBLE, buy_depth, sell_depth, 100000.0::DOUBLE/(ask*(1.0::DOUBLE+buy_fee)), 10.0::DOUBLE) END AS qty FROM n),
-nu AS (SELECT *, (bid-ask)*qty - {cost_sql("qty")["total"]} AS u FROM nz),
+nu AS (SELECT *, (bid-ask)*qty - {COST["total"]} AS u FROM nz),
 nv AS (SELECT *, CASE WHEN qty>0 THEN u/qty ELSE 0.0::DOUBLE END/((ask+bid)/2.0::DOUBLE)*10000.0::DOUBLE AS nb FROM nu),
 nw AS (SELECT *, NOT (qty<=0 OR u<{M.min_utility_usd}::DOUBLE OR nb<{M.min_net_bps}::DOUBLE OR latency_ms>5000) AS ex FROM nv)
 SELECT CASE WHEN NOT okb OR NOT oks THEN 'revalidacion_fallida' WHEN NOT ex OR u<=0 OR was-nb > 2.0::DOUBLE THEN 'revalidacion_rechazada' ELSE 'accepted' END AS outcome, count(*) AS n FROM nw GROUP BY 1""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tapelab import bindings as B
@@ -10,7 +12,8 @@ from tapelab.functions import quality as Q
 from tapelab.functions.numeric import duration_ms, wilson
 from tapelab.operators import asof, funnel
 
-M = B.MODEL
+M = B.MODEL  # legs without levels cost qty * fee * 1000
+S = replace(M, slippage_fallback="zero")  # the scan keeps no levels; here they cost nothing
 
 
 def cost_sql(qty: str, slip_buy: str | None = None, slip_sell: str | None = None, model=M) -> dict[str, str]:
@@ -27,8 +30,8 @@ def cost_sql(qty: str, slip_buy: str | None = None, slip_sell: str | None = None
     return {k: f"(CASE WHEN ({qty})>0 THEN {v} ELSE 0.0::DOUBLE END)" for k, v in items.items()}
 
 
-def cands_sql(by_pair: bool = True, stale=B.STALE_US) -> str:
-    cost = cost_sql("qty")
+def cands_sql(by_pair: bool = True, stale=B.STALE_US, slip: str | None = "0.0::DOUBLE") -> str:
+    cost = cost_sql("qty", slip, slip)
     return f"""WITH {B.QUOTES_SQL}, {B.asof_sql(by_pair, stale)},
 legs AS (
   SELECT b.venue, b.pair, b.t, b.seq, b.bid AS quote_bid, b.ask AS quote_ask, buy.venue AS buy_venue,
@@ -62,8 +65,8 @@ def _bounds() -> str:
     return ", ".join(out)
 
 
-def scan_candidates(spark, sf):
-    return funnel.candidates(B.quotes(spark, sf), B.venues(spark), M, B.STALE_US)
+def scan_candidates(spark, sf, model=S):
+    return funnel.candidates(B.quotes(spark, sf), B.venues(spark), model, B.STALE_US)
 
 
 def _rounded(df, names):
@@ -81,17 +84,17 @@ def corpus_scan_rollup(spark, sf):
     return funnel.scan_rollup(scan_candidates(spark, sf))
 
 
-@query(f"""{cands_sql()} SELECT seq, buy_venue, sell_venue, latency_ms, {s6('ask', 'ask')}, {s6('bid', 'bid')},
+@query(f"""{cands_sql(slip=None)} SELECT seq, buy_venue, sell_venue, latency_ms, {s6('ask', 'ask')}, {s6('bid', 'bid')},
  {s6('available', 'available')}, {s6('gross_bps', 'gross_bps')}, {s6('cost_bps', 'cost_bps')} FROM cands WHERE sell_venue IS NOT NULL""")
 def best_pair_bounded(spark, sf):
-    c = scan_candidates(spark, sf).where("sell_venue IS NOT NULL")
+    c = scan_candidates(spark, sf, M).where("sell_venue IS NOT NULL")
     return c.select("seq", "buy_venue", "sell_venue", "latency_ms", *[r6(x, x) for x in ("ask", "bid", "available", "gross_bps", "cost_bps")])
 
 
 @query(f"""{cands_sql(False, None)} SELECT seq, buy_venue, sell_venue, {s6('gross_bps', 'gross_bps')},
  {s6('cost_bps', 'cost_bps')}, {s6('realized_bps', 'realized_bps')} FROM cands WHERE sell_venue IS NOT NULL""")
 def best_pair_unbounded(spark, sf):
-    c = funnel.candidates(B.quotes(spark, sf), B.venues(spark), M, None, by=[]).where("sell_venue IS NOT NULL")
+    c = funnel.candidates(B.quotes(spark, sf), B.venues(spark), S, None, by=[]).where("sell_venue IS NOT NULL")
     return c.select("seq", "buy_venue", "sell_venue", *[r6(x, x) for x in ("gross_bps", "cost_bps", "realized_bps")])
 
 
@@ -134,7 +137,7 @@ SELECT raw_quotes, valid_quotes, comparable, gross, net, liquid_net,
  {s6('net::DOUBLE/greatest(raw_quotes,1)::DOUBLE*1000000.0::DOUBLE', 'net_per_million')},
  {s6('liquid_net::DOUBLE/greatest(raw_quotes,1)::DOUBLE*1000000.0::DOUBLE', 'liquid_net_per_million')} FROM q, e""")
 def quantitative_funnel(spark, sf):
-    c = funnel.candidates(B.quotes(spark, sf), B.venues(spark), M, None, by=[]).where("sell_venue IS NOT NULL")
+    c = funnel.candidates(B.quotes(spark, sf), B.venues(spark), S, None, by=[]).where("sell_venue IS NOT NULL")
     out = funnel.quote_funnel(damaged(spark, sf), c)
     return _rounded(out, [x for x in out.columns if x.endswith("million")])
 
