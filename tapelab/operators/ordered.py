@@ -56,14 +56,14 @@ def range_cuts(df: DataFrame, order: list[str], parts: int | None = None) -> Cut
     return Cuts(tuple(p[0] for p in pairs), tuple(p[1] for p in pairs))
 
 
-def bucket_of(cuts: Cuts, order: list[str]) -> Column:
+def bucket_of(cuts: Cuts, order: list) -> Column:
     """Number of cuts at or before the row: a binary search over the literal cut array."""
     n = len(cuts.at)
     if n == 0:
         return F.lit(0)
     kind = "double" if isinstance(cuts.at[0], float) else "bigint"
     at = F.split(F.lit(",".join(map(repr, cuts.at))), ",").cast(f"array<{kind}>")
-    key = F.col(order[0]).cast(kind)
+    key = (order[0] if isinstance(order[0], Column) else F.col(order[0])).cast(kind)
     tied = any(t is not None for t in cuts.tie)
     if tied:
         low = -(2**63)
