@@ -500,7 +500,7 @@ _BASE = G.Genome("configuracion_activa", max_btc=18.0, min_bps=100.0)
 _SENS = [G.Genome("solo_spread", (0.0,) * 5, 5.0, 18.0), G.Genome("conservador", max_btc=0.05, min_bps=15.0), G.Genome("ev_fijo", (1.0,) * 5, 100.0, 18.0), _BASE]
 
 
-@query(f"""{_ops_sql(_SENS)} SELECT genome, count(*) AS trades, {s6('coalesce(sum(u) FILTER (WHERE u>0),0)/-sum(u) FILTER (WHERE u<=0)','profit_factor')}, {s6('count(*) FILTER (WHERE u>0)/count(*)','win_rate')},
+@query(f"""{_ops_sql(_SENS)} SELECT genome, count(*) AS trades, {s6('CASE WHEN coalesce(sum(u) FILTER (WHERE u<=0),0)=0 THEN greatest(coalesce(sum(u) FILTER (WHERE u>0),0),1) ELSE coalesce(sum(u) FILTER (WHERE u>0),0)/-sum(u) FILTER (WHERE u<=0) END','profit_factor')}, {s6('count(*) FILTER (WHERE u>0)/count(*)','win_rate')},
  {s6(_pct('u',0.5),'median')}, {s6(_pct('u',0.05),'p05')}, {s6(_pct('u',0.95),'p95')}, {s2('sum(u)','pnl')}, {s2('any_value(max_drawdown)','max_drawdown')} FROM sel JOIN dd USING (genome) GROUP BY genome""")
 def rule_sensitivity(spark, sf):
     out = G.rule_sensitivity(ops(spark, sf), O, _BASE)
