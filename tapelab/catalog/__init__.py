@@ -1,4 +1,4 @@
 """All runnable queries. Importing this package registers them."""
 
-from tapelab.catalog import routes, scan, studies, trades  # noqa: F401
+from tapelab.catalog import audit, routes, scan, streams, studies, trades  # noqa: F401
 from tapelab.catalog.base import ORACLES, QUERIES  # noqa: F401

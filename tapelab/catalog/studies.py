@@ -21,6 +21,7 @@ from tapelab.plans import evaluate as EV
 from tapelab.plans import impact_compare as IC
 from tapelab.plans import meanrev as MR
 from tapelab.plans import microstructure as MS
+from tapelab.session import stage
 
 DAY = 86_400_000_000
 S = replace(B.MODEL, slippage_fallback="zero")
@@ -326,7 +327,7 @@ def _spread_bps(spark, sf):
     from tapelab.operators.asof import latest_by_venue, spread_series
 
     s = spread_series(latest_by_venue(B.quotes(spark, sf), ["bid", "ask"], by=[]))
-    return s.select("t", "seq", F.col("spread_bps").alias("x"))
+    return stage(s.select("t", "seq", F.col("spread_bps").alias("x")))
 
 
 @query()
@@ -347,7 +348,8 @@ def mean_reversion_windows(spark, sf):
 @query()
 def compact_reversion_lab(spark, sf):
     rows = micro(spark, sf).withColumn("x", F.col("skew_bps") - 0.6 * F.col("imbalance_l5")).select("t", "seq", "x")
-    return MR.compact_lab(MR.with_neighbours(BT.split(rows, ["t", "seq"], 50, 20), ["part"], "x", (1,)))
+    rows = stage(rows)
+    return MR.compact_lab(stage(MR.with_neighbours(BT.split(rows, ["t", "seq"], 50, 20), ["part"], "x", (1,))))
 
 
 # ---- impact models -----------------------------------------------------------------------------

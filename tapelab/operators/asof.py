@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapelab.operators.ordered import BUCKET, FIRST, bucketed
+from tapelab.operators.ordered import BUCKET, FIRST, Cuts, bucketed
 
 
 def venue_names(quotes: DataFrame) -> list[str]:
@@ -16,7 +16,7 @@ def venue_names(quotes: DataFrame) -> list[str]:
 
 def latest_by_venue(
     quotes: DataFrame, payload: list[str], by: list[str] | None = None, venues: list[str] | None = None,
-    t: str = "t", tie: str = "seq", parts: int | None = None,
+    t: str = "t", tie: str = "seq", parts: int | None = None, cuts: Cuts | None = None,
 ) -> DataFrame:
     """Add ``latest``: the newest quote of every venue up to and including each row.
 
@@ -26,7 +26,7 @@ def latest_by_venue(
     """
     by = ["pair"] if by is None else by
     venues = venues or venue_names(quotes)
-    rows = bucketed(quotes, [t, tie], parts)
+    rows = bucketed(quotes, [t, tie], parts, cuts)
     entry = F.struct(F.col(t).alias("t"), F.col(tie).alias("seq"), F.col("venue"), *[F.col(p) for p in payload])
     group = by + [BUCKET]
     cols = [f"_v{i}" for i in range(len(venues))]

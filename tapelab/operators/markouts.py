@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapelab.operators.asof import asof_quotes
-from tapelab.operators.ordered import _same, ranked, rolling_rows
+from tapelab.operators.ordered import Cuts, _same, ranked, rolling_rows
 
 # Look-ahead in events of the same market.
 HORIZONS = (1, 5, 10, 25)
 
 
-def event_markouts(df: DataFrame, keys: list[str], order: list[str], mid: str = "mid", horizons=HORIZONS, parts: int | None = None) -> DataFrame:
+def event_markouts(df: DataFrame, keys: list[str], order: list[str], mid: str = "mid", horizons=HORIZONS, parts: int | None = None, cuts: Cuts | None = None) -> DataFrame:
     """Add markout_e1, e5, e10, e25 in bps; beyond the end the market's last mid counts."""
-    rows = ranked(df, keys, order, parts)
+    rows = ranked(df, keys, order, parts, cuts)
     last = df.groupBy(*keys).agg(F.max(F.struct(*order, mid))[mid].alias("_last"))
     aggs = {f"_m{h}": (lambda w, h=h: F.lead(mid, h).over(w)) for h in horizons}
     rows = rolling_rows(rows, keys, order, aggs, ahead=max(horizons), ready=True)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tapelab.functions.scoring import features, fill_label, fill_probability, second_leg_risk
 from tapelab.operators import calibration as K
-from tapelab.operators.asof import asynchrony, latest_by_venue
+from tapelab.operators.asof import asynchrony, latest_by_venue, venue_names
 from tapelab.operators.backtest import split
 from tapelab.operators.markouts import HORIZONS, event_markouts
-from tapelab.operators.ordered import _same, rank_percentiles
+from tapelab.operators.ordered import _same, range_cuts, rank_percentiles
 from tapelab.session import stage
 
 ORDER = ["t", "seq"]
@@ -18,9 +18,11 @@ ORDER = ["t", "seq"]
 
 def samples(quotes: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per usable book: features, asynchrony, markouts and the fill label."""
+    # one set of cut points, from the plain quotes, serves both ordered steps
+    cuts = range_cuts(quotes, ORDER, parts)
     df = features(quotes).drop("bids", "asks")
-    df = latest_by_venue(df, [], by=[], parts=parts).withColumn("async_ms", asynchrony() / 1000.0).drop("latest")
-    df = event_markouts(df, ["venue", "pair"], ORDER, parts=parts)
+    df = latest_by_venue(df, [], by=[], venues=venue_names(quotes), cuts=cuts).withColumn("async_ms", asynchrony() / 1000.0).drop("latest")
+    df = event_markouts(df, ["venue", "pair"], ORDER, cuts=cuts)
     df = df.withColumn("filled", fill_label("markout_e1", "bid", "ask"))
     return df.withColumns({"raw": fill_probability(), "leg_risk": second_leg_risk()})
 
@@ -60,7 +62,7 @@ def model_metrics(c: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def study(quotes: DataFrame, train: int = 50, calibrate_pct: int = 20) -> dict[str, DataFrame]:
     """Whole study: venues, markouts, model metrics, reliability, venue transfer, winner."""
-    df = stage(split(samples(quotes), ORDER, train, calibrate_pct))
+    df = stage(split(stage(samples(quotes)), ORDER, train, calibrate_pct))
     c = stage(calibrated_holdout(df, *calibrate(df)))
     m = model_metrics(c)
     return {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapelab.sources.schemas import CAPTURE, MANIFEST, MANIFEST_DEFAULTS, QUOTE, QUOTE_DOC, TAPE
 
 QUARANTINE = "failed-"
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def _levels(name: str):
@@ -72,16 +73,20 @@ def read_quotes(spark: SparkSession, path: str) -> DataFrame:
     parts = []
     for glob in ("*.jsonl", "*.ndjson"):
         parts.append(_quote(spark.read.schema(QUOTE).options(**opt, pathGlobFilter=glob, mode="FAILFAST").json(path)))
-    doc = spark.read.schema(QUOTE_DOC).options(**opt, pathGlobFilter="*.json", multiLine="true").json(path)
-    inner = F.coalesce("cotizaciones", "eventos")
-    parts.append(_quote(doc.where(inner.isNull()).drop("cotizaciones", "eventos")))
-    parts.append(_quote(doc.where(inner.isNotNull()).select(F.inline(inner))))
+    parts.append(from_documents(spark.read.schema(QUOTE_DOC).options(**opt, pathGlobFilter="*.json", multiLine="true").json(path)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def from_documents(doc: DataFrame) -> DataFrame:
+    """Quotes of parsed documents: rows of an array, or rows inside a wrapper object."""
+    inner = F.coalesce("cotizaciones", "eventos")
+    plain = _quote(doc.where(inner.isNull()).drop("cotizaciones", "eventos"))
+    return plain.unionByName(_quote(doc.where(inner.isNotNull()).select(F.inline(inner))))
+
+
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """Manifests of the corpus' shards (direct child folders); quarantined shards are skipped."""
     m = spark.read.schema(MANIFEST).option("multiLine", "true").json(f"{root}/*/manifest.json")
@@ -128,3 +133,8 @@ def tape_rows(quotes: DataFrame) -> DataFrame:
         F.struct(F.lit("ok").alias("status"), F.lit(False).alias("gap"), F.lit(False).alias("resync")).alias("integrity"),
         F.col("latency_ms").cast("bigint").alias("observedLatencyMs"),
     )
+
+
+def write_tape(quotes: DataFrame, path: str) -> None:
+    """Append quotes or book messages as JSON lines with microsecond times."""
+    tape_rows(quotes).write.mode("append").option("timestampFormat", TIME_FORMAT).json(path)

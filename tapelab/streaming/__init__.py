@@ -1 +1 @@
-
+"""Structured Streaming jobs. They reuse the batch operators inside micro-batches."""
