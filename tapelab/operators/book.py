@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, insort
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +17,7 @@ from tapelab.operators.ordered import BUCKET, FIRST, bucketed, range_cuts, runni
 LEVELS = "array<struct<price:double,qty:double>>"
 OUT = f"bid double, bid_qty double, ask double, ask_qty double, bids {LEVELS}, asks {LEVELS}"
 MARKET = ["venue", "pair"]
+TOP = ("bid", "bid_qty", "ask", "ask_qty")
 
 
 def snapshot_books(events: DataFrame) -> DataFrame:
@@ -43,48 +48,73 @@ def rebuild_books(
     """
     order = order or ["t", "seq"]
     ev = events.withColumn("_snap", (F.col("kind") == "snapshot").cast("int"))
-    names = [f.name for f in events.schema.fields if f.name not in ("bids", "asks")]
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields if f.name not in ("bids", "asks"))
+    names = [f.name for f in events.schema.fields if f.name not in ("bids", "asks", *TOP)]
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields if f.name in names)
+    group = MARKET + [BUCKET]
     if strict:
-        ev = running(ev, MARKET, order, {BUCKET: ("sum", "_snap")}, parts)
-        group = MARKET + [BUCKET]
-        rows = ev.withColumn("_carry", F.lit(1))
+        rows = running(ev, MARKET, order, {BUCKET: ("sum", "_snap")}, parts).withColumn("_carry", F.lit(1))
     else:
         ev = bucketed(ev, order, parts)
-        group = MARKET + [BUCKET]
         rows = ev.withColumn("_carry", F.lit(1)).unionByName(_carried(ev, order), allowMissingColumns=True)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_carry", *order])
-        bids: dict[int, float] = {}
-        asks: dict[int, float] = {}
-        out = []
-        for snap, carry, b, a in zip(pdf["_snap"], pdf["_carry"], pdf["bids"], pdf["asks"]):
-            if snap == 1:
-                bids, asks = {}, {}
-            for side, levels in ((bids, b), (asks, a)):
-                for x in levels if levels is not None else ():
-                    k = int(round(x["price"] * PRICE_SCALE))
-                    if x["qty"] == 0:
-                        side.pop(k, None)
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("_carry", *order)]).combine_chunks()
+        snaps, carries = table["_snap"].to_pylist(), table["_carry"].to_pylist()
+        sides = [_flat(table["bids"]), _flat(table["asks"])]
+        books: list[dict[int, float]] = [{}, {}]
+        # keys of both sides in book order: bids are negated
+        keys: list[list[int]] = [[], []]
+        outs = [([0], [], []), ([0], [], [])]
+        for i, (snap, carry) in enumerate(zip(snaps, carries)):
+            for side in (0, 1):
+                offs, price, qty = sides[side]
+                book, ks, sign = books[side], keys[side], -1 if side == 0 else 1
+                if snap == 1:
+                    book.clear()
+                    ks.clear()
+                for j in range(offs[i], offs[i + 1]):
+                    k, q = sign * price[j], qty[j]
+                    if q == 0:
+                        if book.pop(k, None) is not None:
+                            del ks[bisect_left(ks, k)]
                     else:
-                        side[k] = x["qty"]
-            tops = (sorted(bids, reverse=True)[:depth], sorted(asks)[:depth])
-            if trim and carry:
-                bids = {k: bids[k] for k in tops[0]}
-                asks = {k: asks[k] for k in tops[1]}
-            if carry:
-                bl = [{"price": k / PRICE_SCALE, "qty": bids[k]} for k in tops[0]]
-                al = [{"price": k / PRICE_SCALE, "qty": asks[k]} for k in tops[1]]
-                best = [bl[0]["price"], bl[0]["qty"]] if bl else [None, None]
-                best += [al[0]["price"], al[0]["qty"]] if al else [None, None]
-                out.append((*best, bl, al))
-        keep = pdf[pdf["_carry"] == 1][names].reset_index(drop=True)
-        new = pd.DataFrame(out, columns=["bid", "bid_qty", "ask", "ask_qty", "bids", "asks"])
-        return pd.concat([keep, new], axis=1)
+                        if k not in book:
+                            insort(ks, k)
+                        book[k] = q
+                if trim and carry and len(ks) > depth:
+                    for k in ks[depth:]:
+                        del book[k]
+                    del ks[depth:]
+                if carry:
+                    top = ks[:depth]
+                    outs[side][1].extend(top)
+                    outs[side][2].extend([book[k] for k in top])
+                    outs[side][0].append(len(outs[side][1]))
+        kept = table.filter(pc.equal(table["_carry"], 1)).select(names)
+        cols = {n: kept[n] for n in names}
+        levels = []
+        for side, (offs, ks, qs) in enumerate(outs):
+            o, p, q = np.array(offs, np.int32), np.abs(np.array(ks, np.float64)) / PRICE_SCALE, np.array(qs, np.float64)
+            has = o[1:] > o[:-1]
+            at = np.minimum(o[:-1], max(len(p) - 1, 0))
+            for name, v in zip(TOP[2 * side:2 * side + 2], (p, q)):
+                first = v[at] if len(v) else np.zeros(len(has))
+                cols[name] = pa.array(first, mask=~has)
+            levels.append(pa.ListArray.from_arrays(pa.array(o), pa.StructArray.from_arrays([pa.array(p), pa.array(q)], ["price", "qty"])))
+        cols["bids"], cols["asks"] = levels
+        return pa.table(cols)
 
     rows = rows.select(*group, *[n for n in names if n not in MARKET], "bids", "asks", "_snap", "_carry")
-    return rows.groupBy(*group).applyInPandas(fold, f"{head}, {OUT}")
+    return rows.groupBy(*group).applyInArrow(fold, f"{head}, {OUT}")
+
+
+def _flat(column) -> tuple[list[int], list[int], list[float]]:
+    """Offsets, scaled prices and sizes of a list<struct<price, qty>> column."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    price = np.rint(flat.field("price").to_numpy(zero_copy_only=False) * PRICE_SCALE).astype(np.int64)
+    return [0, *np.cumsum(counts).tolist()], price.tolist(), flat.field("qty").to_numpy(zero_copy_only=False).tolist()
 
 
 def _carried(ev: DataFrame, order: list[str]) -> DataFrame:

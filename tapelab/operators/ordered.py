@@ -100,31 +100,36 @@ _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 def running(
     df: DataFrame, keys: list[str], order: list[str], folds: dict[str, tuple[str, str]],
-    parts: int | None = None, exclusive: bool = False, cuts: Cuts | None = None,
+    parts: int | None = None, exclusive: bool = False, cuts: Cuts | None = None, totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Running aggregates along ``order`` inside every key: {new column: (kind, column)}.
 
     Kinds: sum, max, min. ``exclusive`` leaves the current row out (NULL on the first row).
-    ``cuts`` reuses known cut points; any cuts give the same result.
+    ``totals`` adds sums over the whole key: {new column: column}. ``cuts`` reuses known cut
+    points; any cuts give the same result.
+
+    What lies before a bucket enters it as one extra first row, so the rows are shuffled once, on
+    (key, bucket), and never joined.
     """
+    totals = totals or {}
     rows = bucketed(df, order, parts, cuts)
     group = keys + [BUCKET]
     before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(FIRST, -1)
-    base = rows.groupBy(*group).agg(*[_FOLDS[k](c).alias(f"_s_{o}") for o, (k, c) in folds.items()])
-    base = base.select(*group, *[_FOLDS[k](f"_s_{o}").over(before).alias(f"_o_{o}") for o, (k, c) in folds.items()])
-    inside = W.partitionBy(*group).orderBy(*order).rowsBetween(FIRST, -1 if exclusive else 0)
-    out = _same(rows, base, group)
-    new = {}
-    for o, (k, c) in folds.items():
-        here, prior = _FOLDS[k](c).over(inside), F.col(f"_o_{o}")
-        if k == "sum":
-            new[o] = F.when(here.isNull() & prior.isNull(), None).otherwise(
-                F.coalesce(here, F.lit(0)) + F.coalesce(prior, F.lit(0))
-            )
-        else:
-            # greatest and least skip NULL
-            new[o] = F.greatest(here, prior) if k == "max" else F.least(here, prior)
-    return out.withColumns(new).drop(BUCKET, *[f"_o_{o}" for o in folds])
+    whole = W.partitionBy(*keys)
+    base = rows.groupBy(*group).agg(
+        *[_FOLDS[k](c).alias(f"_f_{o}") for o, (k, c) in folds.items()], *[F.sum(c).alias(f"_t_{o}") for o, c in totals.items()])
+    head = base.select(
+        *group, *[_FOLDS[k](f"_f_{o}").over(before).alias(f"_f_{o}") for o, (k, c) in folds.items()],
+        *[F.sum(f"_t_{o}").over(whole).alias(f"_t_{o}") for o in totals], F.lit(0).alias("_row"))
+    body = rows.select("*", *[F.col(c).alias(f"_f_{o}") for o, (k, c) in folds.items()], F.lit(1).alias("_row"))
+    both = body.unionByName(head, allowMissingColumns=True)
+    inside = W.partitionBy(*group).orderBy("_row", *order).rowsBetween(FIRST, -1 if exclusive else 0)
+    here = W.partitionBy(*group)
+    out = both.select(
+        *[c for c in df.columns if c not in folds and c not in totals], "_row",
+        *[_FOLDS[k](f"_f_{o}").over(inside).alias(o) for o, (k, c) in folds.items()],
+        *[F.max(f"_t_{o}").over(here).alias(o) for o in totals])
+    return out.where("_row = 1").drop("_row")
 
 
 def running_sum(
@@ -138,17 +143,9 @@ def ranked(
     df: DataFrame, keys: list[str], order: list[str], parts: int | None = None, cuts: Cuts | None = None
 ) -> DataFrame:
     """Exact 0-based rank ``rank`` and group size ``n`` along ``order`` inside every key."""
-    rows = bucketed(df, order, parts, cuts)
-    group = keys + [BUCKET]
-    before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(FIRST, -1)
-    whole = W.partitionBy(*keys)
-    base = rows.groupBy(*group).agg(F.count("*").alias("_c"))
-    base = base.select(
-        *group, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"), F.sum("_c").over(whole).alias("n")
-    )
-    inside = W.partitionBy(*group).orderBy(*order)
-    out = _same(rows, base, group)
-    return out.withColumn("rank", F.col("_o") + F.row_number().over(inside) - 1).drop("_o", BUCKET)
+    one = df.drop("rank", "n").withColumn("_one", F.lit(1).cast("bigint"))
+    out = running(one, keys, order, {"rank": ("sum", "_one")}, parts, cuts=cuts, totals={"n": "_one"})
+    return out.withColumn("rank", F.col("rank") - 1).drop("_one")
 
 
 def rolling_rows(
@@ -274,9 +271,7 @@ def rank_percentiles(
     n-1). Equal values are counted first, so a hot value is one row of the cumulative count.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    cum = running_sum(counts, keys, [value], {"_cum": "_c"}, parts)
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    cum = _same(cum, totals, keys) if keys else cum.join(F.broadcast(totals))
+    cum = running(counts, keys, [value], {"_cum": ("sum", "_c")}, parts, totals={"_n": "_c"})
     picks = []
     for name, q in qs.items():
         at = F.round((F.col("_n") - 1) * q) if rule == "nearest" else F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)

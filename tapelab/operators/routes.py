@@ -162,17 +162,23 @@ def disjoint_batch(df: DataFrame, tick: list[str], buy_key: str, sell_key: str,
     best = F.row_number().over(W.partitionBy(*tick, buy_key, sell_key).orderBy(F.col("score").desc(), "route"))
     df = df.withColumn("_r", best).where("_r = 1").drop("_r")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "route"], ascending=[False, True], kind="stable")
-        used: set = set()
-        keep = []
-        for i, (b, s) in enumerate(zip(pdf[buy_key], pdf[sell_key])):
-            if len(keep) < limit and b not in used and s not in used:
-                used.update((b, s))
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    return df.groupBy(*tick).applyInPandas(choose, df.schema)
+    def choose(batches):
+        # rows arrive sorted; a tick lies in one task but may span batches
+        now, used, left = None, set(), 0
+        for pdf in batches:
+            keep = []
+            for tk, b, s in zip(zip(*[pdf[c] for c in tick]), pdf[buy_key], pdf[sell_key]):
+                if tk != now:
+                    now, used, left = tk, set(), limit
+                take = left > 0 and (0, b) not in used and (1, s) not in used
+                if take:
+                    used.update(((0, b), (1, s)))
+                    left -= 1
+                keep.append(take)
+            yield pdf[keep]
+
+    rows = df.repartition(*tick).sortWithinPartitions(*tick, F.col("score").desc(), "route")
+    return rows.mapInPandas(choose, df.schema)
 
 
 def cooldown(df: DataFrame, keys: list[str], t: str, wait: int, parts: int | None = None) -> DataFrame:

@@ -162,13 +162,20 @@ def register(venue: str, mapping: Mapping) -> None:
 
 
 def normalise(raw: DataFrame, venues: list[str] | None = None) -> DataFrame:
-    """Canonical messages of all mapped venues; the input is read once per venue filter."""
-    out = None
-    for name in venues or list(VENUES):
+    """Canonical messages of all mapped venues, from one pass over the raw rows.
+
+    Each row is parsed by the mapping of its own venue only.
+    """
+    names = venues or list(VENUES)
+    message = F.lit(None)
+    for name in reversed(names):
         m = VENUES[name]
-        df = raw.where((F.col("venue") == name) & F.coalesce(m.accept(), F.lit(False))).select(
-            "venue", normal_pair(m.pair()).alias("pair"), F.col("local_t").alias("t"), m.event_ms().alias("exchange_ms"),
+        fields = F.struct(
+            normal_pair(m.pair()).alias("pair"), m.event_ms().alias("exchange_ms"),
             F.when(F.coalesce(m.snapshot(), F.lit(False)), "snapshot").otherwise("delta").alias("kind"),
             m.sequence().alias("sequence"), m.previous().alias("previous"), m.bids().alias("bids"), m.asks().alias("asks"))
-        out = df if out is None else out.unionByName(df)
-    return out
+        hit = F.when(F.coalesce(m.accept(), F.lit(False)), fields)
+        message = F.when(F.col("venue") == name, hit).otherwise(message)
+    # a generator keeps the parsed message as one value instead of copying its text per column
+    rows = raw.select("venue", F.col("local_t").alias("t"), F.inline(F.array_compact(F.array(message))))
+    return rows.select(*OUT)
