@@ -186,7 +186,7 @@ def cooldown(df: DataFrame, keys: list[str], t: str, wait: int, parts: int | Non
 
     The choice is a chain through the distinct times of a key, so it is cut into buckets. A bucket
     is entered at one of its times less than ``wait`` after its first; for each of them the
-    bucket reports the last time it would accept (a bounded list). The lists are followed in order
+    (and for the next one) the bucket reports the last time it would accept: a bounded list. The lists are followed in order
     per key, which gives every bucket its true entry, and the buckets then choose independently.
     """
     times = bucketed(df.select(*keys, t).distinct(), [t], parts)
@@ -200,7 +200,8 @@ def cooldown(df: DataFrame, keys: list[str], t: str, wait: int, parts: int | Non
         out = x.copy()
         for i in range(len(x) - 1, -1, -1):
             out[i] = out[nxt[i]] if nxt[i] < len(x) else x[i]
-        k = int(np.searchsorted(x, x[0] + wait))
+        # the first time after that span is needed too: it is taken when no earlier one is allowed
+        k = min(int(np.searchsorted(x, x[0] + wait)) + 1, len(x))
         row = {c: [pdf[c].iloc[0]] for c in group}
         return pd.DataFrame({**row, "entry": [x[:k].tolist()], "leave": [out[:k].tolist()]})
 
@@ -212,10 +213,10 @@ def cooldown(df: DataFrame, keys: list[str], t: str, wait: int, parts: int | Non
         for entry, leave in zip(pdf["entry"], pdf["leave"]):
             starts.append(entry[0] if allowed is None else allowed)
             i = 0 if allowed is None else int(np.searchsorted(np.asarray(entry), allowed))
-            # past the listed entries only when the bucket spans less than the wait
+            # none of the bucket's times is allowed: nothing changes
             if i < len(entry):
                 allowed = int(leave[i]) + wait
-        return pdf[group].assign(start=starts)
+        return pd.DataFrame({**{c: pdf[c].tolist() for c in group}, "start": starts})
 
     starts = lists.groupBy(*keys).applyInPandas(follow, f"{head}, start bigint")
     rows = times.join(starts, group)

@@ -33,14 +33,13 @@ def staging_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder: on a cluster a machine-local path
     would not be readable by the other executors, so a missing setting is an error there.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="tapelab-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tapelab-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stage(df: DataFrame) -> DataFrame:
