@@ -10,13 +10,14 @@ from tapelab.functions.costs import Leg, cost_struct
 from tapelab.functions.numeric import bps, per_million, wilson
 from tapelab.functions.quality import quote_cause
 from tapelab.operators.asof import best_pair, latest_by_venue
+from tapelab.session import small
 
 PAYLOAD = ["bid", "ask", "bid_qty", "ask_qty", "latency_ms"]
 
 
 def with_venue_config(df: DataFrame, venues: DataFrame, on: str, prefix: str = "") -> DataFrame:
-    """Look up a venue's configuration; the table has one row per configured feed: broadcast."""
-    return join_venue_config(df, F.broadcast(venues), on, prefix)
+    """Look up a venue's configuration; the table, one row per feed, is broadcast while it is small."""
+    return join_venue_config(df, small(venues), on, prefix)
 
 
 def join_venue_config(df: DataFrame, venues: DataFrame, on: str, prefix: str = "") -> DataFrame:

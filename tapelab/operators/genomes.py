@@ -148,7 +148,7 @@ def frontier(df: DataFrame, objectives=OBJECTIVES) -> DataFrame:
         for pdf in batches:
             both = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
             kept = both[_skyline(both[cols].to_numpy(float))] if len(both) else both
-        if kept is not None:
+        if kept is not None and len(kept):
             yield pd.DataFrame({c: kept[c].tolist() for c in kept.columns})
 
     n = df.rdd.getNumPartitions() if not df.isStreaming else 1

@@ -175,7 +175,8 @@ def disjoint_batch(df: DataFrame, tick: list[str], buy_key: str, sell_key: str,
                     used.update(((0, b), (1, s)))
                     left -= 1
                 keep.append(take)
-            yield pdf[keep]
+            if any(keep):
+                yield pdf[keep]
 
     rows = df.repartition(*tick).sortWithinPartitions(*tick, F.col("score").desc(), "route")
     return rows.mapInPandas(choose, df.schema)
@@ -185,9 +186,9 @@ def cooldown(df: DataFrame, keys: list[str], t: str, wait: int, parts: int | Non
     """Greedy cooldown: times accepted when at least ``wait`` passed since the last accepted one.
 
     The choice is a chain through the distinct times of a key, so it is cut into buckets. A bucket
-    is entered at one of its times less than ``wait`` after its first; for each of them the
-    (and for the next one) the bucket reports the last time it would accept: a bounded list. The lists are followed in order
-    per key, which gives every bucket its true entry, and the buckets then choose independently.
+    is entered at one of its times less than ``wait`` after its first, or at the next one; for each
+    of them the bucket reports the last time it would accept: a bounded list. The lists are followed
+    in order per key, which gives every bucket its true entry, and the buckets choose independently.
     """
     times = bucketed(df.select(*keys, t).distinct(), [t], parts)
     group = keys + [BUCKET]
@@ -228,7 +229,8 @@ def cooldown(df: DataFrame, keys: list[str], t: str, wait: int, parts: int | Non
         while i < len(x):
             keep.append(x[i])
             i = int(np.searchsorted(x, x[i] + wait))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(keep) for k in keys}, t: keep})
+        # plain objects, so that an empty result keeps its columns as simple arrays
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(keep) for k in keys}, t: keep}, dtype=object)
 
     out = ", ".join(f"{k} {schema[k]}" for k in [*keys, t])
     return rows.groupBy(*group).applyInPandas(pick, out)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
@@ -42,6 +43,15 @@ def staging_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Mark ``df`` for broadcast if the planner's size estimate is within the limit.
+
+    Beyond it the join is left to the planner, which then shuffles both sides.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= BROADCAST_LIMIT else df
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
