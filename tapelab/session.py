@@ -48,7 +48,7 @@ def small(df: DataFrame) -> DataFrame:
 
     Beyond it the join is left to the planner, which then shuffles both sides.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= BROADCAST_LIMIT else df
 
 
