@@ -314,13 +314,13 @@ def kpss_test(spark, sf):
 
 @query(f"""WITH {B.QUOTES_SQL}, x AS (SELECT pair, (bid_tick+ask_tick)::DOUBLE AS x, row_number() OVER (PARTITION BY pair ORDER BY t, seq)-1 AS i, {", ".join(f"lead((bid_tick+ask_tick)::DOUBLE,{h}) OVER (PARTITION BY pair ORDER BY t, seq) AS x{h}" for h in (1, 2, 3, 5))} FROM quotes),
 c(z,h) AS (VALUES (0.75::DOUBLE,1),(1.0,1),(1.25,2),(1.5,3),(2.0,5)),
-t AS (SELECT pair, z, h, i, -sign(x-20000.0::DOUBLE)*(CASE h WHEN 1 THEN x1 WHEN 2 THEN x2 WHEN 3 THEN x3 ELSE x5 END - x) AS r FROM x, c WHERE abs(x-20000.0::DOUBLE) >= z*4.0::DOUBLE AND CASE h WHEN 1 THEN x1 WHEN 2 THEN x2 WHEN 3 THEN x3 ELSE x5 END IS NOT NULL AND pair='P0'),
-p AS (SELECT *, sum(r) OVER (PARTITION BY z ORDER BY i ROWS UNBOUNDED PRECEDING) AS p FROM t), q AS (SELECT *, greatest(max(p) OVER (PARTITION BY z ORDER BY i ROWS UNBOUNDED PRECEDING),0)-p AS d FROM p)
-SELECT z, h, count(*) AS trades, {s6('sum(r)','pnl')}, {s6('max(d)','max_drawdown')}, {s6('count(*) FILTER (WHERE r>0)/count(*)','win_rate')} FROM q GROUP BY z, h""")
+t AS (SELECT pair, z, h, i, -sign(x-20000.0::DOUBLE)*(CASE h WHEN 1 THEN x1 WHEN 2 THEN x2 WHEN 3 THEN x3 ELSE x5 END - x) AS r FROM x, c WHERE abs(x-20000.0::DOUBLE) >= z*4.0::DOUBLE AND CASE h WHEN 1 THEN x1 WHEN 2 THEN x2 WHEN 3 THEN x3 ELSE x5 END IS NOT NULL),
+p AS (SELECT *, sum(r) OVER (PARTITION BY pair, z ORDER BY i ROWS UNBOUNDED PRECEDING) AS p FROM t), q AS (SELECT *, greatest(max(p) OVER (PARTITION BY pair, z ORDER BY i ROWS UNBOUNDED PRECEDING),0)-p AS d FROM p)
+SELECT pair, z, h, count(*) AS trades, {s6('sum(r)','pnl')}, {s6('max(d)','max_drawdown')}, {s6('count(*) FILTER (WHERE r>0)/count(*)','win_rate')} FROM q GROUP BY pair, z, h""")
 def threshold_rule_grid(spark, sf):
-    rows = MR.with_neighbours(ranked(spread(spark, sf).where("pair = 'P0'"), ["pair"], ["t", "seq"]), ["pair"], "x")
-    out = MR.rule_results(MR.candidate_trades(rows, 20000.0, 4.0), ["z", "h"])
-    return out.select("z", "h", "trades", *[r6(c, c) for c in ("pnl", "max_drawdown", "win_rate")])
+    rows = MR.with_neighbours(ranked(spread(spark, sf), ["pair"], ["t", "seq"]), ["pair"], "x")
+    out = MR.rule_results(MR.candidate_trades(rows, 20000.0, 4.0, keys=["pair"]), ["pair", "z", "h"])
+    return out.select("pair", "z", "h", "trades", *[r6(c, c) for c in ("pnl", "max_drawdown", "win_rate")])
 
 
 def _spread_bps(spark, sf):

@@ -82,14 +82,14 @@ def rule_results(trades: DataFrame, keys: list[str], parts: int | None = None) -
     return n.join(dd, keys) if keys else n.join(F.broadcast(dd))
 
 
-def candidate_trades(df: DataFrame, mean: float, sigma: float, candidates=CANDIDATES) -> DataFrame:
+def candidate_trades(df: DataFrame, mean: float, sigma: float, candidates=CANDIDATES, keys: list[str] | None = None) -> DataFrame:
     """Trades of every (threshold, horizon) candidate; a row is multiplied by at most five."""
     hits = F.array_compact(F.array(*[
         F.when(
             F.col(f"x{h}").isNotNull() & (F.abs(F.col("x") - mean) >= z * sigma),
             F.struct(F.lit(float(z)).alias("z"), F.lit(h).alias("h"), (-F.signum(F.col("x") - mean) * (F.col(f"x{h}") - F.col("x"))).alias("r")),
         ) for z, h in candidates]))
-    return df.select("rank", F.inline(hits))
+    return df.select(*(keys or []), "rank", F.inline(hits))
 
 
 def study(series: DataFrame, order: list[str], parts: int | None = None) -> dict[str, DataFrame]:
