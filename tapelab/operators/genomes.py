@@ -100,7 +100,9 @@ def fitness(w, failures: int = 0) -> Column:
 
 def evaluate(ops: DataFrame, genomes: list[Genome], order: list[str], failures: int = 0, parts: int | None = None) -> DataFrame:
     """Window, weight calibration, fitness and the four maximised objectives per genome."""
-    rows = selected(ops, genomes)
+    # five grouped passes read these rows, so they are written once, without unused columns
+    need = ["genome", "route", "partial", "latency_ms", "size", "tolerance", "weights", "u", "e", "capital", *order]
+    rows = stage(selected(ops, genomes).select(*need))
     out = window_fitness(rows, order, parts).join(weight_calibration(rows), "genome")
     out = out.withColumn("fitness", fitness(out, failures))
     c = F.col
