@@ -88,7 +88,7 @@ def _grams(pieces: list[str], bits: int, orders: tuple[int, ...]):
         h = h[: len(nxt)] * np.uint32(0x01000193) + nxt
         sep = sep[: len(nxt)] | (nxt == _SEP)
         if n in orders:
-            slot = ((h * np.uint32(2654435761) + np.uint32(n * 40503)) >> np.uint32(32 - bits)).astype(np.int32)
+            slot = ((h + np.uint32(n * 0x3C6EF372)) * np.uint32(2654435761) >> np.uint32(32 - bits)).astype(np.int32)
             slot[sep] = 1 << bits
             out.append(np.concatenate((slot, np.full(len(f) - len(slot), 1 << bits, np.int32))))
     return out, starts, letters
