@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapelab.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, tokens, topk, wavelet
+from tapelab.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, quality, tokens, topk, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,20 @@ FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c
 """)
 def op1(spark, sf_dir):
     return ngram_join.group(_table(spark, sf_dir, "documents"), k=3, num=90)
+
+
+@query("op9_quality")
+def op9(spark, sf_dir):
+    return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op7_pii")
+def op7(spark, sf_dir):
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
