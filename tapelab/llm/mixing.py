@@ -99,7 +99,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size")))
     copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
     left = F.col("taken") - F.col("_copy") * F.col("size")
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), left.cast("string"), F.lit("}+")), 0)
+    cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), left.cast("string"), F.lit("}+")), F.lit(0))
     text = F.when(left >= F.col("size"), F.col("text")).otherwise(cut)
     changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return copies.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
