@@ -90,7 +90,7 @@ def _builder(bits: int, min_chars: int):
     return run
 
 
-def _merge(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     once = twice = None
     for o, t in zip(rows["once"], rows["twice"]):
         o, t = np.frombuffer(zlib.decompress(o), np.uint8), np.frombuffer(zlib.decompress(t), np.uint8)

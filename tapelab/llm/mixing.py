@@ -93,14 +93,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share doc_id, source and size all get the largest share among them.
     """
-    taken = sample(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "taken")
-    taken = taken.where(F.col("taken") > 0).groupBy("_id", "_source", "size").agg(F.max("taken").alias("taken"))
+    taken = sample(docs, **options).where(F.col("taken") > 0)
+    taken = (taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"))
+             .agg(F.max("taken").alias("_taken")))
     rows = docs.withColumn("_size", words("text")).join(
-        taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size")))
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size"))))
-    left = F.col("taken") - F.col("_copy") * F.col("size")
+        taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words")))
+    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_taken - 1) div _size"))))
+    left = F.col("_taken") - F.col("_copy") * F.col("_size")
     cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), left.cast("string"), F.lit("}+")), F.lit(0))
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(cut)
+    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(cut)
     changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return copies.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 

@@ -77,7 +77,7 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64)
 
 
-def _add(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [key[0]], "slot": [key[1]], "counts": [_pack(sum(_unpack(b) for b in rows["counts"]))]})
 
 
