@@ -222,11 +222,10 @@ def initial(spark, sf):
 
 @query(f"""{_BAL}, i AS (SELECT DISTINCT ledger, venue FROM ledger), e AS (SELECT ledger, sequence, id, at_venue, btc, usd, 1 AS o FROM d UNION ALL SELECT ledger, 0, '', venue, 5, 500000000, 0 FROM i),
 r AS (SELECT ledger, sequence, id, at_venue, o, sum(btc) OVER w AS b, sum(usd) OVER w AS u FROM e WINDOW w AS (PARTITION BY ledger, at_venue ORDER BY sequence RANGE UNBOUNDED PRECEDING))
-SELECT DISTINCT ledger, id, at_venue AS "at", b::BIGINT AS btc_after, u::BIGINT AS usd_after FROM r WHERE o=1 AND at_venue<>'1-URGENT'""")
+SELECT DISTINCT ledger, id, at_venue AS "at", b::BIGINT AS btc_after, u::BIGINT AS usd_after FROM r WHERE o=1""")
 def running_balances(spark, sf):
     b = L.running_balances(L.deltas(money(spark, sf)), initial(spark, sf))
-    # a transfer into its own venue makes two rows with one sequence; the other venues are unambiguous
-    return b.where("at <> '1-URGENT'").select("ledger", "id", "at", "btc_after", "usd_after").distinct()
+    return b.select("ledger", "id", "at", "btc_after", "usd_after")
 
 
 @query(f"""{_BAL}, i AS (SELECT DISTINCT ledger, venue FROM ledger) SELECT ledger, at_venue AS "at", sum(btc)::BIGINT AS btc, sum(usd)::BIGINT AS usd FROM (SELECT ledger, at_venue, btc, usd FROM d UNION ALL SELECT ledger, venue, 5, 500000000 FROM i) GROUP BY ALL""")
@@ -236,9 +235,9 @@ def final_balances(spark, sf):
 
 @query(f"""{_BAL}, i AS (SELECT DISTINCT ledger, venue FROM ledger), e AS (SELECT ledger, sequence, id, at_venue, btc, usd, 1 AS o FROM d UNION ALL SELECT ledger, 0, '', venue, 5, 500000000, 0 FROM i),
 r AS (SELECT ledger, id, at_venue, o, sum(btc) OVER w AS b, sum(usd) OVER w AS u FROM e WINDOW w AS (PARTITION BY ledger, at_venue ORDER BY sequence RANGE UNBOUNDED PRECEDING))
-SELECT ledger, count(DISTINCT id) AS events FROM r WHERE o=1 AND at_venue<>'1-URGENT' AND (b<0 OR u<0) GROUP BY ledger""")
+SELECT ledger, count(DISTINCT id) AS events FROM r WHERE o=1 AND (b<0 OR u<0) GROUP BY ledger""")
 def negative_balances(spark, sf):
-    b = L.running_balances(L.deltas(money(spark, sf)).where("at <> '1-URGENT'"), initial(spark, sf))
+    b = L.running_balances(L.deltas(money(spark, sf)), initial(spark, sf))
     return L.negative_balances(b).groupBy("ledger").agg(F.count_distinct("id").alias("events"))
 
 
@@ -376,12 +375,24 @@ def evidence_seals(spark, sf):
     return CP.seal(r, s).select("corpus_sha256", "total_events", "net", "liquid_net")
 
 
-@query("""SELECT CASE WHEN c_custkey%19=0 THEN sha256(concat('y', cast(c_custkey AS varchar))) ELSE sha256(concat('c', cast(c_custkey AS varchar))) END AS corpus_sha256, f AS file, c_custkey=1 AS ok FROM customer, (VALUES ('corpus.json'),('corpus-scan.json')) v(f) WHERE c_custkey%3<>0""")
+@query("""SELECT CASE WHEN c_custkey%19=0 THEN sha256(concat('y', cast(c_custkey AS varchar))) ELSE sha256(concat('c', cast(c_custkey AS varchar))) END AS corpus_sha256, f AS file, count(*) AS n,
+ bool_and(CASE WHEN f='corpus.json' THEN c_custkey%5<>0 ELSE c_custkey%4<>0 END) AS ok FROM customer, (VALUES ('corpus.json'),('corpus-scan.json')) v(f) WHERE c_custkey%3<>0 GROUP BY ALL""")
 def seal_verification(spark, sf):
+    """The sealed files of every corpus, written one file each; some changed after sealing, some gone."""
     _, _, seals = evidence(spark, sf)
-    one = seals.where("report_id = 1")
-    files = one.select(F.inline(F.array(F.struct(F.lit("corpus.json").alias("file"), F.col("report_sha256").alias("sha256")), F.struct(F.lit("corpus-scan.json").alias("file"), F.col("scan_sha256").alias("sha256")))))
-    return CP.verify_seal(seals, files)
+    c = F.col
+    body = F.concat_ws("|", c("report_id").cast("string"), c("file"))
+    docs = seals.select("report_id", "corpus_sha256", F.explode(F.array(F.lit("corpus.json"), F.lit("corpus-scan.json"))).alias("file"))
+    folder_of = folder(spark, "sealed")
+    written = docs.where(~((c("file") == "corpus-scan.json") & (c("report_id") % 8 == 0))).withColumn("text", F.concat(body, F.when(
+        ((c("file") == "corpus.json") & (c("report_id") % 5 == 0)) | ((c("file") == "corpus-scan.json") & (c("report_id") % 4 == 0)), "!").otherwise("")))
+    # a task writes the files of its folders: one line per file, the folder names corpus and file
+    written.select("corpus_sha256", "file", F.col("text").alias("value")).write.partitionBy("corpus_sha256", "file").text(folder_of)
+    found = CP.file_hashes(spark, f"{folder_of}/*/*/*").select(F.regexp_extract("path", "corpus_sha256=([0-9a-f]+)/", 1).alias("corpus_sha256"),
+                                                              F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), "sha256")
+    sealed = seals.withColumns({"report_sha256": F.sha2(F.concat(c("report_id").cast("string"), F.lit("|corpus.json\n")), 256),
+                                "scan_sha256": F.sha2(F.concat(c("report_id").cast("string"), F.lit("|corpus-scan.json\n")), 256)})
+    return CP.verify_seal(sealed, found).groupBy("corpus_sha256", "file").agg(F.count("*").alias("n"), F.bool_and("ok").alias("ok"))
 
 
 # ---- exports -----------------------------------------------------------------------------------
@@ -463,15 +474,11 @@ def quote_scan(spark, sf):
     q.where("secuencia % 3 = 0").write.json(f"{path}/lines")
     rows = q.where("secuencia % 3 > 0").withColumn("g", F.expr("secuencia div 300"))
     doc = rows.groupBy("g", (F.col("secuencia") % 3).alias("m")).agg(F.collect_list(F.struct(*q.columns)).alias("cotizaciones"))
-    # one JSON document per row: 200 quotes each at most
+    # one document of 200 quotes at most per file: its folder is its own
     text = F.when(c("m") == 1, F.to_json("cotizaciones")).otherwise(F.to_json(F.struct("cotizaciones")))
-    doc.select(text.alias("value")).repartition(1 + doc.count()).write.text(f"{path}/docs")
-    from tapelab.sources.schemas import QUOTE, QUOTE_DOC
-
-    lines = TP._quote(spark.read.schema(QUOTE).json(f"{path}/lines"))
-    d = spark.read.schema(QUOTE_DOC).option("multiLine", True).json(f"{path}/docs")
-    docs = TP.from_documents(d)
-    return lines.unionByName(docs).groupBy("venue").agg(F.count("*").alias("quotes"), F.sum("latency_ms").alias("latency"), r6(F.min("bid"), "low_bid"))
+    doc.select("g", "m", text.alias("value")).write.partitionBy("g", "m").text(f"{path}/docs")
+    quotes = TP.read_quotes(spark, path, lines=("*.json",), documents="*.txt")
+    return quotes.groupBy("venue").agg(F.count("*").alias("quotes"), F.sum("latency_ms").alias("latency"), r6(F.min("bid"), "low_bid"))
 
 
 _NAMES = ("Binance", "OKX", "Bybit", "Kraken", "Coinbase", "Bitfinex", "KuCoin", "Gate.io", "Bitstamp", "Gemini")

@@ -19,20 +19,27 @@ from tapelab.streaming import detect, quotes, signals, sink
 
 S = replace(B.MODEL, slippage_fallback="zero")
 SLICES = 3
+SLICE_ROWS = 1_000_000
 
 
 def work(spark, name):
     return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def slices(rows):
+    """``rows`` in ``seq`` order, cut into files of a bounded number of rows by rank, not by what the numbers are."""
+    k = max(SLICES, rows.count() // SLICE_ROWS)
+    cuts = rows.agg(F.percentile_approx("seq", [i / k for i in range(1, k)], 10_000)).first()[0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = rows if lo is None else rows.where(F.col("seq") >= lo)
+        yield part if hi is None else part.where(F.col("seq") < hi)
+
+
 def tape(spark, sf):
     """The quotes as JSONL files in time order, so that every file is one micro-batch."""
     path = work(spark, "stream-in")
-    q = B.quotes(spark, sf, levels=True)
-    n = q.count()
-    for i in range(SLICES):
-        lo, hi = n * i // SLICES, n * (i + 1) // SLICES
-        write_tape(q.where((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1), path)
+    for part in slices(B.quotes(spark, sf, levels=True)):
+        write_tape(part.coalesce(1), path)  # at most about SLICE_ROWS rows
     return path
 
 
@@ -65,10 +72,8 @@ def stream_detection_funnel(spark, sf):
 def stream_sequence_policy(spark, sf):
     path = work(spark, "numbered")
     rows = numbered(spark, sf)
-    n = rows.count()
-    for i in range(SLICES):
-        lo, hi = n * i // SLICES, n * (i + 1) // SLICES
-        rows.where((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").parquet(path)
+    for part in slices(rows):
+        part.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     good, late = work(spark, "good"), work(spark, "late")
     quotes.checked_sequences(stream, "exact", good, late, work(spark, "cp"), work(spark, "state"))
@@ -132,6 +137,6 @@ def stream_shards(spark, sf):
 def stream_recent_history(spark, sf):
     path = work(spark, "history")
     quotes.retained_history(quotes.replay(spark, tape(spark, sf)), path, work(spark, "cp"), unit="yyyy-MM-dd")
-    return quotes.recent(spark, path).groupBy("venue").agg(F.count("*").alias("events"))
+    return quotes.recent(spark, path, unit="yyyy-MM-dd").groupBy("venue").agg(F.count("*").alias("events"))
 
 

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from tapelab.functions.quality import BOOK_DEPTH, PRICE_SCALE, price_key
 from tapelab.operators.ordered import BUCKET, FIRST, bucketed, range_cuts, running
+from tapelab.session import small, stage
 
 LEVELS = "array<struct<price:double,qty:double>>"
 OUT = f"bid double, bid_qty double, ask double, ask_qty double, bids {LEVELS}, asks {LEVELS}"
 MARKET = ["venue", "pair"]
+EPOCH = "_epoch"
 TOP = ("bid", "bid_qty", "ask", "ask_qty")
 
 
@@ -25,8 +27,10 @@ def snapshot_books(events: DataFrame) -> DataFrame:
 
     def clean(levels):
         # a later level of the same price replaces an earlier one; size 0 removes it
-        good = F.filter(levels, lambda x: x["qty"] != 0)
-        return F.slice(good, 1, BOOK_DEPTH)
+        keys = F.transform(levels, lambda x: price_key(x["price"]))
+        last = F.filter(levels, lambda x, i: ~F.exists(F.slice(levels, i + 2, F.size(levels)), lambda y: price_key(y["price"]) == price_key(x["price"])))
+        one = F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.col(levels)).otherwise(last)
+        return F.slice(F.filter(one, lambda x: x["qty"] != 0), 1, BOOK_DEPTH)
 
     df = events.withColumns({"bids": clean("bids"), "asks": clean("asks")})
     top = {"bid": ("bids", "price"), "bid_qty": ("bids", "qty"), "ask": ("asks", "price"), "ask_qty": ("asks", "qty")}
@@ -39,61 +43,94 @@ def rebuild_books(
 ) -> DataFrame:
     """Book after every message: snapshot clears both sides, size 0 deletes, best ``depth`` kept.
 
-    ``order`` is [time, sequence]. A market's messages are cut into buckets. The book at the start
-    of a bucket comes from the last update of every price since the last snapshot, carried over
-    the buckets natively, so one long epoch is rebuilt by many tasks. ``trim`` drops levels beyond
-    ``depth`` for good inside a bucket. A level dropped in an earlier bucket can come back only
-    when a side has held more than ``depth`` prices; ``strict`` folds each snapshot epoch whole
-    instead and should be used only for such tapes with frequent snapshots.
+    ``order`` is [time, sequence]. An epoch is a snapshot and what follows up to the next one.
+    Where no side of an epoch ever has more than ``depth`` prices (by a count of its distinct
+    prices), nothing is ever cut off: its messages are folded in buckets, the book at the start of
+    a bucket being the last update of every price since the snapshot, so one long epoch is rebuilt
+    by many tasks. What is cut off in any other epoch depends on all before it: such an epoch is
+    folded in order by one task, batch by batch, holding one book only. ``strict`` sends every
+    epoch that way, ``trim=False`` none. The result is the same for any number of buckets.
     """
     order = order or ["t", "seq"]
     ev = events.withColumn("_snap", (F.col("kind") == "snapshot").cast("int"))
     names = [f.name for f in events.schema.fields if f.name not in ("bids", "asks", *TOP)]
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields if f.name in names)
-    group = MARKET + [BUCKET]
+    schema = f"{head}, {OUT}"
+    if not trim:
+        return _in_buckets(ev, order, parts, names, schema, depth)
+    ev = stage(running(ev, MARKET, order, {EPOCH: ("sum", "_snap")}, parts))
+    epoch = MARKET + [EPOCH]
     if strict:
-        rows = running(ev, MARKET, order, {BUCKET: ("sum", "_snap")}, parts).withColumn("_carry", F.lit(1))
-    else:
-        ev = bucketed(ev, order, parts)
-        rows = ev.withColumn("_carry", F.lit(1)).unionByName(_carried(ev, order), allowMissingColumns=True)
+        return _in_order(ev, epoch, order, names, schema, depth)
+    deep = stage(_deep(ev, epoch, depth))
+    if deep.isEmpty():
+        return _in_buckets(ev, order, parts, names, schema, depth)
+    deep = small(deep)
+    long = _in_order(ev.join(deep, epoch, "left_semi"), epoch, order, names, schema, depth)
+    flat = ev.join(deep, epoch, "left_anti")
+    return long if flat.isEmpty() else long.unionByName(_in_buckets(flat, order, parts, names, schema, depth))
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("_carry", *order)]).combine_chunks()
-        snaps, carries = table["_snap"].to_pylist(), table["_carry"].to_pylist()
-        sides = [_flat(table["bids"]), _flat(table["asks"])]
-        books: list[dict[int, float]] = [{}, {}]
-        # keys of both sides in book order: bids are negated
-        keys: list[list[int]] = [[], []]
-        outs = [([0], [], []), ([0], [], [])]
-        for i, (snap, carry) in enumerate(zip(snaps, carries)):
-            for side in (0, 1):
-                offs, price, qty = sides[side]
-                book, ks, sign = books[side], keys[side], -1 if side == 0 else 1
-                if snap == 1:
-                    book.clear()
-                    ks.clear()
-                for j in range(offs[i], offs[i + 1]):
-                    k, q = sign * price[j], qty[j]
-                    if q == 0:
-                        if book.pop(k, None) is not None:
-                            del ks[bisect_left(ks, k)]
-                    else:
-                        if k not in book:
-                            insort(ks, k)
-                        book[k] = q
-                if trim and carry and len(ks) > depth:
-                    for k in ks[depth:]:
-                        del book[k]
-                    del ks[depth:]
-                if carry:
-                    top = ks[:depth]
-                    outs[side][1].extend(top)
-                    outs[side][2].extend([book[k] for k in top])
-                    outs[side][0].append(len(outs[side][1]))
-        kept = table.filter(pc.equal(table["_carry"], 1)).select(names)
-        cols = {n: kept[n] for n in names}
-        levels = []
-        for side, (offs, ks, qs) in enumerate(outs):
+
+def _deep(ev: DataFrame, epoch: list[str], depth: int) -> DataFrame:
+    """Epochs with more than ``depth`` distinct prices on a side."""
+    prices = [ev.select(*epoch, F.lit(side).alias("_side"), F.explode(F.transform(
+        F.filter(side, lambda x: x["qty"] != 0), lambda x: price_key(x["price"]))).alias("_p")) for side in ("bids", "asks")]
+    counts = prices[0].unionByName(prices[1]).distinct().groupBy(*epoch, "_side").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > depth).select(*epoch).distinct()
+
+
+class _Books:
+    """Both sides of one book: sizes by price and prices in book order (bids negated)."""
+
+    def __init__(self):
+        self.size: list[dict[int, float]] = [{}, {}]
+        self.keys: list[list[int]] = [[], []]
+
+    def clear(self):
+        for side in (0, 1):
+            self.size[side].clear()
+            self.keys[side].clear()
+
+    def apply(self, side: int, price: list[int], qty: list[float], depth: int | None):
+        size, keys, sign = self.size[side], self.keys[side], 1 if side else -1
+        if not keys and len(price) > 8:  # a snapshot, or a carried book
+            size.update(zip((sign * p for p in price), qty))
+            for k in [k for k, q in size.items() if q == 0]:
+                del size[k]
+            keys.extend(sorted(size))
+        else:
+            for p, q in zip(price, qty):
+                k = sign * p
+                if q == 0:
+                    if size.pop(k, None) is not None:
+                        del keys[bisect_left(keys, k)]
+                else:
+                    if k not in size:
+                        insort(keys, k)
+                    size[k] = q
+        if depth is not None and len(keys) > depth:
+            for k in keys[depth:]:
+                del size[k]
+            del keys[depth:]
+
+
+class _Out:
+    """Books of the messages of one batch as Arrow columns."""
+
+    def __init__(self):
+        self.sides = [([0], [], []), ([0], [], [])]
+
+    def add(self, books: _Books, depth: int):
+        for side, (offs, ks, qs) in enumerate(self.sides):
+            top = books.keys[side][:depth]
+            size = books.size[side]
+            ks.extend(top)
+            qs.extend([size[k] for k in top])
+            offs.append(len(ks))
+
+    def columns(self) -> dict:
+        cols, levels = {}, []
+        for side, (offs, ks, qs) in enumerate(self.sides):
             o, p, q = np.array(offs, np.int32), np.abs(np.array(ks, np.float64)) / PRICE_SCALE, np.array(qs, np.float64)
             has = o[1:] > o[:-1]
             at = np.minimum(o[:-1], max(len(p) - 1, 0))
@@ -101,11 +138,58 @@ def rebuild_books(
                 first = v[at] if len(v) else np.zeros(len(has))
                 cols[name] = pa.array(first, mask=~has)
             levels.append(pa.ListArray.from_arrays(pa.array(o), pa.StructArray.from_arrays([pa.array(p), pa.array(q)], ["price", "qty"])))
-        cols["bids"], cols["asks"] = levels
-        return pa.table(cols)
+        return cols | {"bids": levels[0], "asks": levels[1]}
+
+
+def _in_order(ev: DataFrame, epoch: list[str], order: list[str], names: list[str], schema: str, depth: int) -> DataFrame:
+    """Every epoch folded in its order; a task streams its batches and keeps one book."""
+    rows = ev.repartition(*epoch).sortWithinPartitions(*epoch, *order)
+
+    def fold(batches):
+        books, now = _Books(), None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in epoch)))
+            sides = [_flat(batch.column("bids")), _flat(batch.column("asks"))]
+            out = _Out()
+            for i, (key, snap) in enumerate(zip(keys, batch.column("_snap").to_pylist())):
+                if snap == 1 or key != now:
+                    books.clear()
+                    now = key
+                for side, (offs, price, qty) in enumerate(sides):
+                    a, b = offs[i], offs[i + 1]
+                    if b > a:
+                        books.apply(side, price[a:b], qty[a:b], depth)
+                out.add(books, depth)
+            cols = out.columns()
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *cols.values()], names=[*names, *cols])
+
+    return rows.select(*names, EPOCH, "_snap", "bids", "asks").mapInArrow(fold, schema)
+
+
+def _in_buckets(ev: DataFrame, order: list[str], parts: int | None, names: list[str], schema: str, depth: int) -> DataFrame:
+    """Books by chunk, from the carried book at its start; nothing is cut off but in what is shown."""
+    group = MARKET + [BUCKET]
+    ev = bucketed(ev.drop(EPOCH), order, parts)
+    rows = ev.withColumn("_carry", F.lit(1)).unionByName(_carried(ev, order), allowMissingColumns=True)
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("_carry", *order)]).combine_chunks()
+        sides = [_flat(table["bids"]), _flat(table["asks"])]
+        books, out = _Books(), _Out()
+        for i, (snap, carry) in enumerate(zip(table["_snap"].to_pylist(), table["_carry"].to_pylist())):
+            if snap == 1:
+                books.clear()
+            for side, (offs, price, qty) in enumerate(sides):
+                a, b = offs[i], offs[i + 1]
+                if b > a:
+                    books.apply(side, price[a:b], qty[a:b], None)
+            if carry:
+                out.add(books, depth)
+        kept = table.filter(pc.equal(table["_carry"], 1)).select(names)
+        return pa.table({n: kept[n] for n in names} | out.columns())
 
     rows = rows.select(*group, *[n for n in names if n not in MARKET], "bids", "asks", "_snap", "_carry")
-    return rows.groupBy(*group).applyInArrow(fold, f"{head}, {OUT}")
+    return rows.groupBy(*group).applyInArrow(fold, schema)
 
 
 def _flat(column) -> tuple[list[int], list[int], list[float]]:

@@ -75,14 +75,21 @@ def stage_counts() -> dict[str, Column]:
     return {"comparable": pair, "gross": gross, "net": net, "liquid_net": net & (F.col("available") > 0)}
 
 
-def scan_funnel(cands: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Corpus scan: events, comparable, gross, net and liquid-net with Wilson bounds."""
+def scan_funnel(cands: DataFrame, keys: list[str] | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """Corpus scan: events, comparable, gross, net and liquid-net with Wilson bounds.
+
+    Rates are per event of ``cands`` or, given ``raw`` (one row), per ``raw_events``: then events
+    whose book is not valid count as well.
+    """
     aggs = [F.count("*").alias("events")]
     aggs += [F.count_if(cond).alias(name) for name, cond in stage_counts().items()]
     out = cands.groupBy(*(keys or [])).agg(*aggs)
+    base = "events"
+    if raw is not None:
+        out, base = out.join(F.broadcast(raw)), "raw_events"
     for name in ("gross", "net", "liquid_net"):
-        w = wilson(name, "events")
-        out = out.withColumn(f"{name}_per_million", per_million(name, "events"))
+        w = wilson(name, base)
+        out = out.withColumn(f"{name}_per_million", per_million(name, base))
         out = out.withColumn(f"{name}_lower_95", w["lower"]).withColumn(f"{name}_upper_95", w["upper"])
     return out
 

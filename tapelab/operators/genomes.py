@@ -14,7 +14,7 @@ from tapelab.config import WEIGHTS
 from tapelab.functions.numeric import clamp, ratio
 from tapelab.functions.scoring import canonical_score
 from tapelab.operators.ordered import _same, drawdown, rank_percentiles
-from tapelab.session import stage
+from tapelab.session import default_parts, stage
 
 OBJECTIVES = ("o_pnl", "o_sharpe", "o_drawdown", "o_win_rate")
 
@@ -153,11 +153,11 @@ def frontier(df: DataFrame, objectives=OBJECTIVES) -> DataFrame:
         if kept is not None and len(kept):
             yield pd.DataFrame({c: kept[c].tolist() for c in kept.columns})
 
-    n = df.rdd.getNumPartitions() if not df.isStreaming else 1
+    n = default_parts(df.sparkSession)
     out = df.mapInPandas(local, df.schema)
-    while n > 1:
+    while n > 1:  # a shuffle per level: coalesce() would pull the level below into as few tasks
         n = max(1, n // 8)
-        out = out.coalesce(n).mapInPandas(local, df.schema)
+        out = out.repartition(n).mapInPandas(local, df.schema)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,18 +12,27 @@ MINUTE_US = 60_000_000
 DAY_US = 86_400_000_000
 
 
+def _newest(df: DataFrame, t: str):
+    """The largest ``t``: fetched first, so that what follows is a comparison with a constant, which a scan can push down."""
+    return df.agg(F.max(t)).first()[0]
+
+
 def last_minutes(df: DataFrame, t: str, minutes: int, unit_us: int = MINUTE_US) -> DataFrame:
     """Rows of the last 1..60 minutes before the newest row."""
     if not 1 <= minutes <= 60:
         raise ValueError("minutes must be in 1..60")
-    top = df.agg(F.max(t).alias("_top"))
-    return df.join(F.broadcast(top), F.col(t) >= F.col("_top") - minutes * unit_us).drop("_top")
+    top = _newest(df, t)
+    return df.where("false") if top is None else df.where(F.col(t) >= F.lit(top - minutes * unit_us))
 
 
-def keep_days(df: DataFrame, t: str, days: int) -> DataFrame:
-    """Rows of the newest ``days`` calendar days; on a date-partitioned table a partition filter."""
-    top = df.agg(F.floor(F.max(t) / DAY_US).alias("_top"))
-    return df.join(F.broadcast(top), F.floor(F.col(t) / DAY_US) > F.col("_top") - days).drop("_top")
+def keep_days(df: DataFrame, t: str, days: int, date: str | None = None) -> DataFrame:
+    """Rows of the newest ``days`` calendar days; ``date`` names a date column by which the table is partitioned."""
+    top = _newest(df, t)
+    if top is None:
+        return df.where("false")
+    first = (top // DAY_US - days + 1) * DAY_US
+    kept = df.where(F.col(t) >= F.lit(first))
+    return kept if date is None else kept.where(F.col(date) >= F.to_date(F.lit(str(dt.date(1970, 1, 1) + dt.timedelta(microseconds=first)))))
 
 
 def latest_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -34,5 +45,5 @@ def latest_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 def latest_batch(df: DataFrame, t: str) -> DataFrame:
     """Rows that carry the newest detection time."""
-    top = df.agg(F.max(t).alias("_top"))
-    return df.join(F.broadcast(top), F.col(t) == F.col("_top")).drop("_top")
+    top = _newest(df, t)
+    return df.where("false") if top is None else df.where(F.col(t) == F.lit(top))

@@ -11,7 +11,7 @@ from tapelab.functions.quality import level_violations
 from tapelab.operators.book import order_failures, rebuild_books, snapshot_books
 from tapelab.operators.funnel import candidates, scan_funnel, scan_rejects
 from tapelab.sources.tape import file_hashes, read_corpus
-from tapelab.session import stage
+from tapelab.session import small, stage
 
 # Gates of the evidence report.
 MIN_SHARDS, PRELIMINARY, MILLION = 10, 100_000, 1_000_000
@@ -177,20 +177,35 @@ def scan_corpus(spark: SparkSession, root: str, venues: DataFrame, model: CostMo
     if first:
         raise ValueError(f"shard {first[0]['shard']}: {first[0]['reason']}")
     books = books_of(v["events"])
-    quotes = stage(books.withColumn("seq", F.coalesce("sequence", F.col("row_id"))))
+    # equal times keep the recorded order; a venue's own number says nothing about other venues
+    quotes = stage(books)
     usable = quotes.where("bid > 0 AND ask > 0 AND bid < ask")
     cands = stage(candidates(usable, venues, model, model.stale_ms * 1000))
     total = quotes.agg(F.count("*").alias("raw_events"))
-    funnel = scan_funnel(cands).join(F.broadcast(total))
+    if total.first()[0] != v["rollup"].agg(F.sum("events")).first()[0]:
+        raise ValueError("events read differ from the manifests")
+    funnel = scan_funnel(cands, raw=total)
     funnel = funnel.withColumnRenamed("events", "valid_books")
     rejects = scan_rejects(quotes.withColumn("sell", F.struct(F.lit("").alias("venue")))).unionByName(
         cands.where("sell_venue IS NULL").agg(F.count("*").alias("events")).where("events > 0").select(F.lit("sin_segundo_venue").alias("cause"), "events"))
     return {"funnel": funnel, "rejects": rejects, "rollup": v["rollup"], "gates": v["gates"]}
 
 
+def recorded_order(events: DataFrame) -> DataFrame:
+    """Add ``seq``, a number that follows the recorded order over all shards.
+
+    Lines of a file come in (block_start, row_id) order: a task may read splits in any order, but
+    numbers rows along each. Splits are few, so their ranks come from one small ordered table.
+    """
+    splits = events.select("shard", "block_start").distinct()
+    ranks = splits.withColumn("_rank", F.row_number().over(W.orderBy("shard", "block_start")))
+    low = F.col("row_id").bitwiseAND(F.lit((1 << 33) - 1))  # the number of a row in its task
+    return events.join(small(ranks), ["shard", "block_start"]).withColumn("seq", F.col("_rank").cast("long") * (1 << 33) + low).drop("_rank")
+
+
 def books_of(events: DataFrame) -> DataFrame:
     """Books of tape events: a plain projection for snapshot-only tapes, a fold when deltas occur."""
-    events = events.withColumn("seq", F.col("row_id"))
+    events = recorded_order(events)
     if events.where("kind = 'delta'").isEmpty():
         return snapshot_books(events)
     return rebuild_books(events.drop("status", "source"))
@@ -205,12 +220,15 @@ def seal(reports: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def verify_seal(seals: DataFrame, files: DataFrame) -> DataFrame:
-    """Compare every sealed file hash with the hash of the file now: (corpus, file, ok)."""
+    """Compare every sealed file hash with the hash of the file now: (corpus, file, ok).
+
+    ``files``: corpus_sha256 (the corpus whose folder holds the file), file, sha256.
+    """
     want = seals.select("corpus_sha256", F.inline(F.array(
         F.struct(F.lit("corpus.json").alias("file"), F.col("report_sha256").alias("expected")),
         F.struct(F.lit("corpus-scan.json").alias("file"), F.col("scan_sha256").alias("expected")))))
-    now = files.select("file", "sha256")
-    return want.join(now, "file", "left").select("corpus_sha256", "file", F.coalesce(F.col("sha256") == F.col("expected"), F.lit(False)).alias("ok"))
+    now = files.select("corpus_sha256", "file", "sha256")
+    return want.join(now, ["corpus_sha256", "file"], "left").select("corpus_sha256", "file", F.coalesce(F.col("sha256") == F.col("expected"), F.lit(False)).alias("ok"))
 
 
 def publishable(reports: DataFrame, scans: DataFrame, seals: DataFrame) -> DataFrame:

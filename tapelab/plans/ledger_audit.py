@@ -93,7 +93,11 @@ def deltas(events: DataFrame) -> DataFrame:
 
 
 def running_balances(changes: DataFrame, initial: DataFrame, parts: int | None = None) -> DataFrame:
-    """Balance of every venue after each of its changes. ``initial``: ledger, at, btc, usd."""
+    """Balance of every venue after each event that changes it. ``initial``: ledger, at, btc, usd.
+
+    An event that touches a venue twice (a transfer into itself) is one change of that venue.
+    """
+    changes = changes.groupBy("ledger", "sequence", "id", "at").agg(F.sum("btc").alias("btc"), F.sum("usd").alias("usd"))
     start = initial.select("ledger", F.lit(0).cast("bigint").alias("sequence"), F.lit("").alias("id"), "at", "btc", "usd")
     rows = changes.unionByName(start)
     out = running_sum(rows, ["ledger", "at"], ["sequence"], {"btc_after": "btc", "usd_after": "usd"}, parts)

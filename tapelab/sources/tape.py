@@ -62,8 +62,8 @@ def _quote(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    """Quotes from JSON lines (.jsonl, .ndjson) and JSON documents (.json) below ``path``.
+def read_quotes(spark: SparkSession, path: str, lines=("*.jsonl", "*.ndjson"), documents: str = "*.json") -> DataFrame:
+    """Quotes from JSON lines (.jsonl, .ndjson) and JSON documents (.json) below ``path``; other names by argument.
 
     A document is an array of quotes or an object with them in ``cotizaciones`` or ``eventos``.
     Only documents must be read whole by one task; lines are split. Sort by (event_ms, seq) at the
@@ -71,15 +71,33 @@ def read_quotes(spark: SparkSession, path: str) -> DataFrame:
     """
     opt = {"recursiveFileLookup": "true"}
     parts = []
-    for glob in ("*.jsonl", "*.ndjson"):
+    for glob in lines:
         parts.append(_quote(spark.read.schema(QUOTE).options(**opt, pathGlobFilter=glob, mode="FAILFAST").json(path)))
-    parts.append(from_documents(spark.read.schema(QUOTE_DOC).options(**opt, pathGlobFilter="*.json", multiLine="true").json(path)))
+    parts.append(from_documents(read_documents(spark, path, documents)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def read_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """JSON documents (.json) below ``path``, one per file; anything after the document is an error.
+
+    A JSON reader in multi-line mode drops what follows the first value, so the text is read whole
+    and must parse as one value: an object, or an array of quotes.
+    """
+    files = spark.read.options(recursiveFileLookup="true", pathGlobFilter=glob).text(path, wholetext=True)
+    value = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    # [{..}] is put into the wrapper form; a second value behind the first breaks the wrapper
+    wrapped = F.when(F.startswith(value, F.lit("[")), F.concat(F.lit('{"cotizaciones":'), value, F.lit("}"))).otherwise(
+        F.when(F.startswith(value, F.lit("{")), F.concat(F.lit('{"cotizaciones":null,"all":['), value, F.lit("]}"))).otherwise(value))
+    inside = f"cotizaciones array<struct<{QUOTE}>>, all array<struct<{QUOTE_DOC}>>"
+    parsed = files.select(F.from_json(wrapped, inside, {"mode": "FAILFAST"}).alias("d"))
+    lone = parsed.where("d.all IS NOT NULL").select(F.inline("d.all"))
+    arrays = parsed.where("d.cotizaciones IS NOT NULL").select("d.cotizaciones")
+    return lone.unionByName(arrays, allowMissingColumns=True)
+
+
 def from_documents(doc: DataFrame) -> DataFrame:
     """Quotes of parsed documents: rows of an array, or rows inside a wrapper object."""
     inner = F.coalesce("cotizaciones", "eventos")

@@ -43,8 +43,14 @@ def retained_history(stream: DataFrame, path: str, checkpoint: str, unit: str =
     return q
 
 
-def recent(spark: SparkSession, path: str, minutes: int = 60) -> DataFrame:
-    return last_minutes(spark.read.parquet(path), "t", minutes)
+def recent(spark: SparkSession, path: str, minutes: int = 60, unit: str = "yyyy-MM-dd-HH") -> DataFrame:
+    """The last minutes of a history written with the same ``unit``; older folders are not opened."""
+    rows = spark.read.parquet(path)
+    newest = rows.where(F.col("folder") == rows.agg(F.max("folder")).first()[0]).agg(F.max("t")).first()[0]
+    if newest is None:
+        return rows.where("false")
+    first = F.date_format(F.timestamp_micros(F.lit(newest - minutes * 60_000_000)), unit)
+    return last_minutes(rows.where(F.col("folder").cast("string") >= first), "t", minutes)
 
 
 SEQ_STATE = "venue string, pair string, last bigint, broken boolean"

@@ -167,10 +167,7 @@ def _messages():
     return out
 
 
-def test_books_chunked_equal_strict_and_brute_force(spark):
-    rows = _messages()
-    lv = "array<struct<price:double,qty:double>>"
-    d = spark.createDataFrame(rows, f"venue string, pair string, t bigint, seq bigint, kind string, bids {lv}, asks {lv}")
+def _brute_books(rows, depth):
     book, want = [{}, {}], {}
     for r in rows:
         if r[4] == "snapshot":
@@ -179,10 +176,21 @@ def test_books_chunked_equal_strict_and_brute_force(spark):
             for x in r[5 + s]:
                 k = round(x["price"] * 1e8)
                 book[s].pop(k, None) if x["qty"] == 0 else book[s].__setitem__(k, x["qty"])
-        want[r[3]] = (max(book[0], default=None), min(book[1], default=None), len(book[0]), len(book[1]))
-    for kw in ({"parts": 1}, {"parts": 7}, {"strict": True, "parts": 3}):
-        got = {r.seq: (r.bid and round(r.bid * 1e8), r.ask and round(r.ask * 1e8), len(r.bids), len(r.asks)) for r in rebuild_books(d, **kw).collect()}
-        assert got == want
+            keep = sorted(book[s], reverse=s == 0)[:depth]
+            book[s] = {k: book[s][k] for k in keep}
+        want[r[3]] = [list(b.items()) for b in book]
+    return want
+
+
+@pytest.mark.parametrize("depth,starts", [(50, 70), (3, 70), (3, 10**9), (12, 40)])
+def test_books_do_not_depend_on_the_buckets(spark, depth, starts):
+    rows = [(*r[:4], "snapshot" if i % starts == 0 else "delta", *r[5:]) for i, r in enumerate(_messages())]
+    lv = "array<struct<price:double,qty:double>>"
+    d = spark.createDataFrame(rows, f"venue string, pair string, t bigint, seq bigint, kind string, bids {lv}, asks {lv}")
+    want = _brute_books(rows, depth)
+    for kw in ({"parts": 1}, {"parts": 2}, {"parts": 7}, {"parts": 64}, {"strict": True, "parts": 3}):
+        got = {r.seq: [[(round(x.price * 1e8), x.qty) for x in side] for side in (r.bids, r.asks)] for r in rebuild_books(d, depth=depth, **kw).collect()}
+        assert got == want, kw
 
 
 def test_trim_keeps_the_best(spark):
