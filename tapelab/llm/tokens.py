@@ -15,8 +15,11 @@ import json
 import numpy as np
 
 END_ID = 2
-LIMIT = 400_000  # entries of each cache of a worker
+LIMIT = 600_000  # entries of each cache of a worker
 _PUNCTUATION = ".,!?;:|\"()[]-"
+# bytes of a byte-level vocabulary: those without a sign of their own are written as signs from 256 on
+_ODD = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173)]
+_SPELLING = {b: chr(256 + i) for i, b in enumerate(_ODD)}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -49,7 +52,13 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         out = self.words.get(word)
         if out is None:
-            out = self.whole(word)
+            letters = word[1:] if self.blank and word[0] == " " else word
+            if letters.isalpha() and _latin(letters) and not (self.lower and letters != letters.lower()):
+                # one token group of letters that no normalizer changes: only merges are left to do
+                spelled = word.encode().decode("latin-1").translate(_SPELLING)
+                out = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+            else:
+                out = self.whole(word)
             if len(self.words) < LIMIT and len(word) <= 64:
                 self.words[word] = out
         return out
