@@ -15,7 +15,8 @@ that a large group of near copies never gives all its pairs:
    components are candidates. A pair inside one component could not change the result.
 
 Filters before the comparison, all without loss: sizes; the sum of both positions of a shared
-shingle, which shingles before the first shared one must not exceed the allowed difference.
+shingle, as shingles before the first shared one must not exceed the allowed difference; and
+histograms of BUCKETS hash ranges, as their difference is at most that of the sets.
 
 Defined results. Null text or a text without words: an empty set, linked with nothing, n_shingles
 0, component of its own. Fewer than k words: one shingle. Rows with equal doc_id are taken as
@@ -38,26 +39,27 @@ from tapelab.llm.components import components
 from tapelab.llm.shingles import mix, sets
 from tapelab.session import small, stage
 
-MAX_CELLS = 1 << 22  # of the count sketch: 4 MB once broadcast
-CHUNK = 1 << 14
+MAX_CELLS = 1 << 25  # of the count sketch: 32 MB once broadcast
+CHUNK = 1 << 17
 FAN_IN = 64
+BUCKETS = 128
 
 
 def _counter(k: int, cells: int):
     def run(batches):
         from pyspark import TaskContext
 
-        counts = np.zeros(cells, np.int64)
+        counts = np.zeros(cells, np.uint32)
         for b in batches:
             held, size = [], 0
             for s in sets(b.column("text").to_pylist(), k):
                 held.append(s)
                 size += len(s)
                 if size > 1 << 20:
-                    counts += np.bincount((np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+                    np.add.at(counts, (np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
                     held, size = [], 0
             if size:
-                counts += np.bincount((np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+                np.add.at(counts, (np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
         slot = TaskContext.get().partitionId()
         for c in range(0, cells, CHUNK):
             part = counts[c:c + CHUNK]
@@ -82,23 +84,23 @@ def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """Per sketch cell, how often its shingles occur: 0 up to twice the mean cell, then one more per doubling.
+    """Per sketch cell, how often its shingles occur, in eighths of a doubling up to 127.
 
-    Counts of all documents are added in a tree of FAN_IN tasks; one number per cell comes back.
+    Counts of all documents are added in a tree of FAN_IN tasks; one byte per cell comes back.
     """
     n = docs.count()
-    cells = max(CHUNK, min(MAX_CELLS, 1 << int(32 * n).bit_length()))
+    cells = max(CHUNK, min(MAX_CELLS, 1 << int(64 * n).bit_length()))
     schema = "chunk int, slot int, counts binary"
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_counter(k, cells), schema)
     slots = rows.rdd.getNumPartitions()
     while slots > 1:
         slots = -(-slots // FAN_IN)
         rows = rows.withColumn("slot", F.expr(f"slot div {FAN_IN}").cast("int")).groupBy("chunk", "slot").applyInPandas(_add, schema)
-    counts = np.zeros(cells, np.int64)
-    for r in rows.toLocalIterator():
-        part = _unpack(r["counts"])
-        counts[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(part)] = part
-    return np.log2(np.maximum(counts / max(1.0, counts.mean()), 1)).astype(np.uint8)
+    levels = np.zeros(cells, np.uint8)
+    for r in rows.select("chunk", F.col("counts")).toLocalIterator():
+        part = np.minimum(8 * np.log2(np.maximum(_unpack(r["counts"]), 1)), 127)
+        levels[r["chunk"] * CHUNK:r["chunk"] * CHUNK + len(part)] = part
+    return levels
 
 
 def _set_id(s: np.ndarray) -> bytes:
@@ -110,12 +112,12 @@ def _signer(shared, k: int, num: int, den: int):
         levels = shared.value
         low = np.uint64(len(levels) - 1)
         for b in batches:
-            n, ids, first, second, third = [], [], [], [], []
+            n, ids, first, second, third, hist = [], [], [], [], [], []
             for s in sets(b.column("text").to_pylist(), k):
                 n.append(len(s))
                 if not len(s):
                     ids.append(None)
-                    for x in (first, second, third):
+                    for x in (first, second, third, hist):
                         x.append(np.zeros(0, np.int64))
                     continue
                 ids.append(_set_id(s))
@@ -127,10 +129,11 @@ def _signer(shared, k: int, num: int, den: int):
                 first.append(a.view(np.int64))
                 second.append(s[other].astype(np.uint32).view(np.int32))
                 third.append(s[plain].astype(np.uint32).view(np.int32))
+                hist.append(np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 127).astype(np.int8))
             lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x or [np.zeros(0)]).astype(kind))
-                     for x, kind in ((first, np.int64), (second, np.int32), (third, np.int32))]
+                     for x, kind in ((first, np.int64), (second, np.int32), (third, np.int32), (hist, np.int8))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *lists],
-                                             names=["doc_id", "n", "set_id", "first", "second", "third"])
+                                             names=["doc_id", "n", "set_id", "first", "second", "third", "hist"])
 
     return run
 
@@ -138,11 +141,11 @@ def _signer(shared, k: int, num: int, den: int):
 def _set_maker(k: int):
     def run(batches):
         for b in batches:
-            out = [(i, s.tobytes()) for i, s in zip(b.column("set_id").to_pylist(), sets(b.column("text").to_pylist(), k))
+            out = [(c, s.tobytes()) for c, i, s in zip(b.column("cid").to_pylist(), b.column("set_id").to_pylist(), sets(b.column("text").to_pylist(), k))
                    if len(s) and _set_id(s) == i]
             if out:
-                i, s = zip(*out)
-                yield pa.RecordBatch.from_pydict({"set_id": pa.array(i, pa.binary()), "s": pa.array(s, pa.binary())})
+                c, s = zip(*out)
+                yield pa.RecordBatch.from_pydict({"cid": pa.array(c, pa.int64()), "s": pa.array(s, pa.binary())})
 
     return run
 
@@ -168,64 +171,68 @@ def _fits(nx: Column, ny: Column, px: Column, py: Column, num: int, den: int) ->
     return (need <= F.least(nx, ny)) & (px + py <= nx + ny - 2 * need)
 
 
+def _near(nx: Column, ny: Column, hx: Column, hy: Column, num: int, den: int) -> Column:
+    """Whether two histograms differ by no more than the sets may."""
+    need = F.ceil((nx + ny) * num / F.lit(num + den))
+    apart = F.aggregate(F.zip_with(hx, hy, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda s, d: s + d)
+    return apart <= nx + ny - 2 * need
+
+
 class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.docs, self.k, self.num, self.den = docs, k, num, den
         shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
         schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
                                T.StructField("first", T.ArrayType(T.LongType())), T.StructField("second", T.ArrayType(T.IntegerType())),
-                               T.StructField("third", T.ArrayType(T.IntegerType()))])
+                               T.StructField("third", T.ArrayType(T.IntegerType())), T.StructField("hist", T.ArrayType(T.ByteType()))])
         self.rows = stage(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(shared, k, num, den), schema))
-        self.classes = stage(self.rows.where("set_id is not null").groupBy("set_id").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+        # the arrays follow from the set, so they are the same in every row of a class
+        classes = self.rows.where("set_id is not null").groupBy("set_id").agg(
+            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "first", "second", "third", "hist")])
+        self.classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that also meet under the other orders and whose sets reach the threshold."""
         pairs = stage(pairs.distinct())
-        nodes = pairs.select(F.col("x").alias("set_id")).union(pairs.select("y")).distinct()
-        chosen = stage(nodes.join(self.classes, "set_id").select("set_id", F.col("doc_id").alias("_id")))
-        orders = (self.rows.join(small(chosen), ["set_id"]).where(F.col("doc_id").eqNullSafe(F.col("_id")))
-                  .select("set_id", "second", "third").dropDuplicates(["set_id"]))
-        orders = stage(orders)
-        x, y = (orders.select(F.col("set_id").alias(c), F.col("second").alias(f"{c}2"), F.col("third").alias(f"{c}3")) for c in "xy")
-        met = stage(pairs.join(x, "x").join(y, "y").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y"))
-        left = met.select(F.col("x").alias("set_id")).union(met.select("y")).distinct()
-        chosen = stage(left.join(self.classes, "set_id").select("set_id", F.col("doc_id").alias("_id")))
-        texts = self.docs.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("_id"))).select("set_id", F.col("text").cast("binary").alias("text"))
-        made = stage(texts.mapInArrow(_set_maker(self.k), "set_id binary, s binary").dropDuplicates(["set_id"]))
-        sx, sy = (made.select(F.col("set_id").alias(c), F.col("s").alias(f"s{c}")) for c in "xy")
-        kind = "x binary, y binary"
-        return stage(met.join(sx, "x").join(sy, "y").select("x", "y", "sx", "sy").mapInArrow(_comparer(self.num, self.den), kind))
+        x, y = (self.classes.select(F.col("cid").alias(c), *[F.col(v).alias(f"{c}_{v}") for v in ("n", "second", "third", "hist")]) for c in "xy")
+        both = F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third")
+        near = _near(F.col("x_n"), F.col("y_n"), F.col("x_hist"), F.col("y_hist"), self.num, self.den)
+        met = stage(pairs.join(x, "x").join(y, "y").where(near & both).select("x", "y"))
+        left = met.select(F.col("x").alias("cid")).union(met.select("y")).distinct()
+        chosen = stage(left.join(self.classes, "cid").select("cid", "set_id", F.col("doc_id").alias("_id")))
+        texts = self.docs.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "set_id", F.col("text").cast("binary").alias("text"))
+        made = stage(texts.mapInArrow(_set_maker(self.k), "cid long, s binary").dropDuplicates(["cid"]))
+        sx, sy = (made.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in "xy")
+        return stage(met.join(sx, "x").join(sy, "y").select("x", "y", "sx", "sy").mapInArrow(_comparer(self.num, self.den), "x long, y long"))
 
     def components(self) -> DataFrame:
-        """(set_id, comp) of the classes that have a link."""
-        firsts = self.rows.join(self.classes.select(F.col("set_id").alias("_s"), F.col("doc_id").alias("_id")),
-                                (F.col("set_id") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["set_id"])
-        postings = stage(firsts.select("set_id", "n", F.posexplode("first").alias("pos", "token")))
-        heads = (postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("pos", "n", "set_id")).alias("head"))
+        """(node, comp) of the classes that have a link, by cid."""
+        postings = self.classes.select("cid", "n", F.posexplode("first").alias("pos", "token"))
+        heads = (postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("pos", "n", "cid")).alias("head"))
                  .where("docs > 1").select("token", "head"))
         shared = stage(postings.join(heads, "token"))
-        star = shared.where(F.col("set_id") != F.col("head.set_id")).where(
+        star = shared.where(F.col("cid") != F.col("head.cid")).where(
             _fits(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), self.num, self.den))
-        links = self._links(star.select(F.least("set_id", "head.set_id").alias("x"), F.greatest("set_id", "head.set_id").alias("y")))
+        links = self._links(star.select(F.least("cid", "head.cid").alias("x"), F.greatest("cid", "head.cid").alias("y")))
         comps = components(links)
-        known = stage(shared.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left")
-                      .select("token", "pos", "n", "set_id", F.coalesce("comp", "set_id").alias("comp"), F.col("head.set_id").alias("head")))
+        known = stage(shared.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+                      .select("token", "pos", "n", "cid", F.coalesce("comp", "cid").alias("comp"), F.col("head.cid").alias("head")))
         open_ = known.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("token")
-        rest = stage(known.join(open_, "token", "left_semi"))
+        rest = stage(known.join(open_, "token", "left_semi").join(self.classes.select("cid", "hist"), "cid"))
         a, b = rest.alias("a"), rest.alias("b")
-        cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a.comp") != F.col("b.comp"))
-                       & (F.col("a.set_id") != F.col("a.head")) & (F.col("b.set_id") != F.col("b.head"))
-                       & _fits(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), self.num, self.den))
-        more = self._links(cross.select(F.col("a.set_id").alias("x"), F.col("b.set_id").alias("y")))
+        cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.comp") != F.col("b.comp"))
+                       & (F.col("a.cid") != F.col("a.head")) & (F.col("b.cid") != F.col("b.head"))
+                       & _fits(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), self.num, self.den)
+                       & _near(F.col("a.n"), F.col("b.n"), F.col("a.hist"), F.col("b.hist"), self.num, self.den))
+        more = self._links(cross.select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y")))
         return components(links.unionByName(more))
 
 
 def group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id of the component) of every row; links: Jaccard >= num / den."""
     job = _Join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, num, den)
-    comps = job.components().withColumnRenamed("node", "set_id")
-    named = stage(job.classes.join(comps, "set_id", "left").select("set_id", "doc_id", F.coalesce("comp", "set_id").alias("comp")))
+    comps = job.components().withColumnRenamed("node", "cid")
+    named = stage(job.classes.join(comps, "cid", "left").select("set_id", "doc_id", F.coalesce("comp", "cid").alias("comp")))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(least, "comp").select("set_id", "component_id")
     return job.rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(ids, "set_id", "left").select(
