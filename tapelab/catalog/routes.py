@@ -188,14 +188,23 @@ def surplus_match(spark, sf):
     return out.select("venue", "source", r6("amount", "amount"))
 
 
-@query()
+def _next(n: int, *chosen: str) -> str:
+    """The best route per tick that shares no venue with those chosen."""
+    free = "".join(f" AND NOT EXISTS (SELECT 1 FROM {c} c WHERE c.tick=b.tick AND (c.buy_venue=b.buy_venue OR c.sell_venue=b.sell_venue))" for c in chosen)
+    return f"g{n} AS (SELECT * FROM b WHERE true{free} QUALIFY row_number() OVER (PARTITION BY tick ORDER BY score DESC, route)=1)"
+
+
+@query(f"""WITH {B.TRADES_SQL}, b AS (SELECT t//86400000000 AS tick, route, buy_venue, sell_venue, max(pnl) AS score FROM trades WHERE pnl>0 GROUP BY ALL),
+{_next(1)}, {_next(2, 'g1')}, {_next(3, 'g1', 'g2')}, {_next(4, 'g1', 'g2', 'g3')}
+SELECT tick, route, buy_venue, sell_venue, score FROM (FROM g1 UNION ALL FROM g2 UNION ALL FROM g3 UNION ALL FROM g4)""")
 def disjoint_batch(spark, sf):
     day = F.floor(F.col("t") / 86_400_000_000)
     t = B.trades(spark, sf).where("pnl > 0").select(day.alias("tick"), "route", "buy_venue", "sell_venue", F.col("pnl").alias("score"), "seq", "l_linenumber")
-    return routes.disjoint_batch(t, ["tick"], "buy_venue", "sell_venue")
+    return routes.disjoint_batch(t, ["tick"], "buy_venue", "sell_venue").select("tick", "route", "buy_venue", "sell_venue", "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {B.TRADES_SQL}, tm AS MATERIALIZED (SELECT DISTINCT route, t FROM trades), taken(route, t) AS (SELECT route, min(t) FROM tm GROUP BY route
+ UNION ALL SELECT k.route, min(tm.t) FROM taken k JOIN tm ON tm.route=k.route AND tm.t >= k.t + {3 * 86_400_000_000} GROUP BY k.route) SELECT route, t FROM taken""")
 def cooldown(spark, sf):
     return routes.cooldown(B.trades(spark, sf), ["route"], "t", 3 * 86_400_000_000)
 

@@ -54,11 +54,9 @@ def events(spark, sf):
 
 @query(f"""WITH {B.QUOTES_SQL} SELECT venue, pair, max(t) AS t, arg_max(seq, (t,seq)) AS seq, {s6('arg_max(bid, (t,seq))','bid')}, {s6('arg_max(ask, (t,seq))','ask')}, count(*) AS ingested FROM quotes GROUP BY ALL""")
 def stream_latest_quotes(spark, sf):
-    name = f"latest_{uuid.uuid4().hex}"
-    out = quotes.latest_quotes(events(spark, sf))
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", work(spark, "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("venue", "pair", "t", "seq", r6("bid", "bid"), r6("ask", "ask"), "ingested")
+    path = work(spark, "latest")
+    sink.upsert_sink(quotes.latest_quotes(events(spark, sf)), path, work(spark, "cp"))
+    return sink.upserted(spark, path, ["venue", "pair"]).select("venue", "pair", "t", "seq", r6("bid", "bid"), r6("ask", "ask"), "ingested")
 
 
 @query(f"{cands_sql()} SELECT {_funnel_cols} FROM cands")
@@ -111,19 +109,17 @@ def stream_loss_breaker(spark, sf):
     t = table_stream(spark, sf, "lineitem").where("l_suppkey % 5 <> l_partkey % 5")
     t = t.select(F.col("l_shipdate").cast("timestamp").alias("ts"), (cents * edge).alias("pnl"))
     out = signals.loss_breaker(t, B.MODEL, limit=1_000_000_000, length="30 days", step="10 days")
-    name = f"breaker_{uuid.uuid4().hex}"
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", work(spark, "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.unix_micros("at").alias("at_us"), "recent", "breaker")
+    path = work(spark, "breaker")
+    sink.upsert_sink(out, path, work(spark, "cp"))
+    return sink.upserted(spark, path, ["at"]).select(F.unix_micros("at").alias("at_us"), "recent", "breaker")
 
 
 @query(f"""WITH {B.QUOTES_SQL}, w AS (SELECT pair, ((t // 3600000000) + k + 1) * 3600000000 AS at_us, (bid+ask)/2.0::DOUBLE AS mid FROM quotes, range(3) r(k)) SELECT pair, at_us, {s6('(max(mid)-min(mid))/min(mid)*10000.0::DOUBLE','range_bps')} FROM w GROUP BY ALL""")
 def stream_volatility(spark, sf):
     out = signals.volatility(events(spark, sf), B.MODEL, length="3 hours", step="1 hour")
-    name = f"volatility_{uuid.uuid4().hex}"
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", work(spark, "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("pair", F.unix_micros("at").alias("at_us"), r6("range_bps", "range_bps"))
+    path = work(spark, "volatility")
+    sink.upsert_sink(out, path, work(spark, "cp"))
+    return sink.upserted(spark, path, ["pair", "at"]).select("pair", F.unix_micros("at").alias("at_us"), r6("range_bps", "range_bps"))
 
 
 @query(f"WITH {B.QUOTES_SQL} SELECT strftime(make_timestamp(t//86400000000*86400000000), '%Y%m%d-%H%M') AS shard, count(*) AS events FROM quotes GROUP BY 1")

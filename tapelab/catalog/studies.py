@@ -262,16 +262,24 @@ def calibration_error(spark, sf):
     return K.calibration_error(K.reliability(labelled(spark, sf), "p", "quality")).select(r6("ece", "ece"))
 
 
-@query()
+_SIG = "(1.0::DOUBLE/(1.0::DOUBLE+exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, a*x+b)))))"
+
+
+@query(f"""{_LB.replace('WITH', 'WITH RECURSIVE', 1)}, c AS MATERIALIZED (SELECT ln(p/(1.0::DOUBLE-p)) AS x, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k, 0.08::DOUBLE/(SELECT count(*) FROM lb) AS scale FROM lb GROUP BY p),
+fit(step, a, b) AS (SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT step+1, a-sum((n*{_SIG}-k)*x*scale), b-sum((n*{_SIG}-k)*scale) FROM fit, c WHERE step<800 GROUP BY step, a, b)
+SELECT doc_id, {s6(_SIG.replace('*x', '*ln(p/(1.0::DOUBLE-p))'), 'calibrated')} FROM lb, (SELECT a, b FROM fit WHERE step=800)""")
 def platt_fit(spark, sf):
     df = labelled(spark, sf)
-    return df.select("doc_id", K.platt("p", K.fit_platt(df, "p", "quality")).alias("calibrated"))
+    return df.select("doc_id", r6(K.platt("p", K.fit_platt(df, "p", "quality", cell=1e-6)), "calibrated"))
 
 
-@query()
+@query(f"""{_LB}, g AS (SELECT p, sum(quality)::DOUBLE AS s, count(*)::DOUBLE AS w, row_number() OVER (ORDER BY p) AS i FROM lb GROUP BY p),
+c AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw FROM g), m AS (SELECT l.i AS l, h.i AS h, (h.cs-l.cs+l.s)/(h.cw-l.cw+l.w) AS mean FROM c l JOIN c h ON l.i<=h.i),
+low AS (SELECT l, h, min(mean) OVER (PARTITION BY l ORDER BY h DESC ROWS UNBOUNDED PRECEDING) AS v FROM m), fit AS (SELECT h AS i, max(v) AS v FROM low GROUP BY h)
+SELECT doc_id, {s6('lb.p', 'p')}, {s6('v', 'calibrated')} FROM lb JOIN g ON g.p=lb.p JOIN fit USING (i)""")
 def isotonic_fit(spark, sf):
     df = labelled(spark, sf)
-    return df.select("doc_id", "p", K.isotonic("p", K.fit_isotonic(df, "p", "quality")).alias("calibrated"))
+    return df.select("doc_id", r6("p", "p"), r6(K.isotonic("p", K.fit_isotonic(df, "p", "quality")), "calibrated"))
 
 
 # ---- mean reversion ----------------------------------------------------------------------------
@@ -471,9 +479,14 @@ def pareto_frontier(spark, sf):
     return G.frontier(objectives(spark, sf)).select("genome")
 
 
-@query()
+_DOM = "a.o_pnl>=b.o_pnl AND a.o_sharpe>=b.o_sharpe AND a.o_drawdown>=b.o_drawdown AND a.o_win_rate>=b.o_win_rate AND (a.o_pnl>b.o_pnl OR a.o_sharpe>b.o_sharpe OR a.o_drawdown>b.o_drawdown OR a.o_win_rate>b.o_win_rate)"
+
+
+# a row's front is the length of the longest chain of rows above it
+@query(f"""{_WIN.replace('WITH', 'WITH RECURSIVE', 1)}, {_OBJ}, dm AS MATERIALIZED (SELECT a.genome AS over, b.genome AS under FROM ob a JOIN ob b ON {_DOM}),
+ch(genome, front) AS (SELECT genome, 0 FROM ob UNION SELECT dm.under, front+1 FROM ch JOIN dm ON dm.over=ch.genome) SELECT genome, max(front)::INT AS front FROM ch GROUP BY genome""")
 def pareto_ranks(spark, sf):
-    return G.crowding(G.pareto_ranks(objectives(spark, sf), "genome"), "genome")
+    return G.pareto_ranks(objectives(spark, sf), "genome").select("genome", "front")
 
 
 # the crowding distance alone, over the customers as one population per segment
@@ -590,48 +603,50 @@ def paired_series(spark, sf):
     return daily(spark, sf).select("tick", "day", "base", "cand", "base_fills", "cand_fills", "routes")
 
 
-_R, _SEED = 400, 20260712
-_draw = lambda *p: f"('0x' || substr(md5(concat_ws('|', '{_SEED}', {', '.join(f'cast({x} AS VARCHAR)' for x in p)})), 1, 15))::BIGINT"
-_BOOT = f"""{_DAY}, nn AS (SELECT count(*) AS n FROM sr), dr AS (SELECT r, j, {_draw('r', 'j')} % (n-60+1) AS start, n FROM range({_R}) a(r), nn, range((n+59)//60) b(j)),
-rs AS (SELECT r, j*60+k AS pos, base, cand, base_fills, cand_fills, routes FROM dr, range(60) c(k) JOIN sr ON sr.tick = start+k WHERE j*60+k < n),
-cs AS (SELECT *, sum(base) OVER w AS pb, sum(cand) OVER w AS pc FROM rs WINDOW w AS (PARTITION BY r ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-ds AS (SELECT *, greatest(max(pb) OVER w,0)-pb AS db, greatest(max(pc) OVER w,0)-pc AS dc FROM cs WINDOW w AS (PARTITION BY r ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-mt AS (SELECT r, sum(base)::DOUBLE AS b_pnl, sum(cand)::DOUBLE AS c_pnl, max(db)::DOUBLE AS b_drawdown, max(dc)::DOUBLE AS c_drawdown, sum(base_fills)/sum(routes) AS b_fill, sum(cand_fills)/sum(routes) AS c_fill FROM ds GROUP BY r)"""
+_SEED = 20260712
+_draw = lambda *p, seed=f"'{_SEED}'": f"('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(f'cast({x} AS VARCHAR)' for x in p)})), 1, 15))::BIGINT"
+# every resample of every block length, as rows of ticks
+_BOOT = f"""{_DAY}, nn AS (SELECT count(*) AS n FROM sr), bl(block, seed) AS (VALUES {', '.join(f"({b}, '{_SEED + i}')" for i, b in enumerate(BS.BLOCKS))}),
+dr AS (SELECT block, r, j, {_draw('r', 'j', seed='seed')} % (n-least(block,n)+1) AS start, n FROM bl, nn, range({BS.RESAMPLES}) a(r), range(1000) b(j) WHERE j < (n+block-1)//block),
+rs AS (SELECT block, r, j*block+k AS pos, base, cand, base_fills, cand_fills, routes FROM dr, range({max(BS.BLOCKS)}) c(k) JOIN sr ON sr.tick = start+k WHERE k < block AND j*block+k < n),
+cs AS (SELECT *, sum(base) OVER w AS pb, sum(cand) OVER w AS pc FROM rs WINDOW w AS (PARTITION BY block, r ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ds AS (SELECT *, greatest(max(pb) OVER w,0)-pb AS db, greatest(max(pc) OVER w,0)-pc AS dc FROM cs WINDOW w AS (PARTITION BY block, r ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+mt AS (SELECT block, r, sum(base)::DOUBLE AS b_pnl, sum(cand)::DOUBLE AS c_pnl, max(db)::DOUBLE AS b_drawdown, max(dc)::DOUBLE AS c_drawdown, sum(base_fills)/sum(routes) AS b_fill, sum(cand_fills)/sum(routes) AS c_fill FROM ds GROUP BY block, r)"""
+_INTERVALS = f"""{_BOOT}, lg AS (SELECT block, unnest(['b_pnl','c_pnl','d_pnl','b_drawdown','c_drawdown','d_drawdown','b_fill','c_fill','d_fill']) AS metric, unnest([b_pnl, c_pnl, c_pnl-b_pnl, b_drawdown, c_drawdown, c_drawdown-b_drawdown, b_fill, c_fill, c_fill-b_fill]) AS v FROM mt),
+ls AS (SELECT block, metric, list_sort(list(v)) AS l FROM lg GROUP BY block, metric) SELECT block::INT AS block, metric, {', '.join(s6(f'l[round((len(l)-1)*{q}::DOUBLE)::INT+1]', n) for n, q in (('median', 0.5), ('lower', 0.025), ('upper', 0.975)))} FROM ls"""
 
 
 def boot(spark, sf):
-    s = daily(spark, sf)
-    return BS.resamples(s, s.count(), 60, _R, _SEED)
+    s = stage(daily(spark, sf))
+    return BS.all_lengths(s, s.count(), _SEED)
 
 
-@query(f"{_BOOT} SELECT r, b_pnl, c_pnl, b_drawdown, c_drawdown, {s6('b_fill','b_fill')}, {s6('c_fill','c_fill')} FROM mt")
+@query(f"{_BOOT} SELECT block::INT AS block, r, b_pnl, c_pnl, b_drawdown, c_drawdown, {s6('b_fill','b_fill')}, {s6('c_fill','c_fill')} FROM mt")
 def bootstrap_resamples(spark, sf):
-    return boot(spark, sf).select("r", "b_pnl", "c_pnl", "b_drawdown", "c_drawdown", r6("b_fill", "b_fill"), r6("c_fill", "c_fill"))
+    """10,000 resamples of every block length."""
+    return boot(spark, sf).select("block", "r", "b_pnl", "c_pnl", "b_drawdown", "c_drawdown", r6("b_fill", "b_fill"), r6("c_fill", "c_fill"))
+
 
+def intervals(spark, sf):
+    return BS.bootstrap(stage(boot(spark, sf)), ["block"]).select("block", "metric", *[r6(c, c) for c in ("median", "lower", "upper")])
 
-@query(f"""{_BOOT}, lg AS (SELECT unnest(['b_pnl','c_pnl','d_pnl','b_drawdown','c_drawdown','d_drawdown','b_fill','c_fill','d_fill']) AS metric, unnest([b_pnl, c_pnl, c_pnl-b_pnl, b_drawdown, c_drawdown, c_drawdown-b_drawdown, b_fill, c_fill, c_fill-b_fill]) AS v FROM mt),
-ls AS (SELECT metric, list_sort(list(v)) AS l FROM lg GROUP BY metric) SELECT metric, {', '.join(s6(f'l[round((len(l)-1)*{q}::DOUBLE)::INT+1]', n) for n, q in (('median', 0.5), ('lower', 0.025), ('upper', 0.975)))} FROM ls""")
+
+@query(_INTERVALS)
 def bootstrap_intervals(spark, sf):
-    return BS.bootstrap(boot(spark, sf)).select("metric", *[r6(c, c) for c in ("median", "lower", "upper")])
+    return intervals(spark, sf)
 
 
-@query(f"""{_BOOT}, ls AS (SELECT list_sort(list(c_pnl-b_pnl)) AS l, count(*) FILTER (WHERE c_pnl>b_pnl)/count(*) AS p FROM mt) SELECT {s6('p','p_better')},
+@query(f"""{_BOOT}, ls AS (SELECT block, list_sort(list(c_pnl-b_pnl)) AS l, count(*) FILTER (WHERE c_pnl>b_pnl)/count(*) AS p FROM mt GROUP BY block) SELECT block::INT AS block, {s6('p','p_better')},
  CASE WHEN l[round((len(l)-1)*0.025::DOUBLE)::INT+1]<=0 AND l[round((len(l)-1)*0.975::DOUBLE)::INT+1]>=0 THEN 'resultado inconcluso' WHEN l[round((len(l)-1)*0.025::DOUBLE)::INT+1]>0 THEN 'candidato superior' ELSE 'baseline superior' END AS result FROM ls""")
 def bootstrap_verdict(spark, sf):
-    rows = boot(spark, sf)
-    return BS.verdict(rows, BS.bootstrap(rows)).select(r6("p_better", "p_better"), "result")
+    rows = stage(boot(spark, sf))
+    return BS.verdict(rows, BS.bootstrap(rows, ["block"]), ["block"]).select("block", r6("p_better", "p_better"), "result")
 
 
-@query()
+@query(f"""SELECT block, count(*) AS metrics, {s6('max(upper-lower)', 'widest')} FROM ({_INTERVALS}) GROUP BY block""")
 def bootstrap_block_lengths(spark, sf):
-    """All three block lengths with the full number of resamples."""
-    s = daily(spark, sf)
-    n = s.count()
-    out = None
-    for i, b in enumerate(BS.BLOCKS):
-        d = BS.bootstrap(BS.resamples(s, n, b, BS.RESAMPLES, _SEED + i)).withColumn("block", F.lit(b))
-        out = d if out is None else out.unionByName(d)
-    return out
+    """How wide the intervals get with the block length."""
+    return intervals(spark, sf).groupBy("block").agg(F.count("*").alias("metrics"), r6(F.max(F.col("upper") - F.col("lower")), "widest"))
 
 
 _BSUM = f"{_DAY}, bs AS (SELECT tick//60 AS block, sum(cand-base)::BIGINT AS delta FROM sr GROUP BY 1)"

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapelab.functions.numeric import clamp
-from tapelab.operators.ordered import fold_drawdown, rank_percentiles, rolling_rows
+from tapelab.operators.ordered import rank_percentiles, rolling_rows
+from tapelab.session import small, stage
 
 # Block lengths and number of resamples.
 BLOCKS = (30, 60, 120)
@@ -65,33 +66,56 @@ def resamples(series: DataFrame, n: int, block: int, count: int = RESAMPLES, see
     d = series.sparkSession.range(count).withColumnRenamed("id", "r").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     d = d.withColumn("start", draw(seed, "r", "j") % (n - block + 1))
     d = d.withColumn("len", F.when((F.col("j") == full), F.lit(rest)).otherwise(F.lit(block)))
-    d = d.join(blocks, ["start", "len"])
-    sides = []
-    for side, fills in (("b", "base_fills"), ("c", "cand_fills")):
-        f = fold_drawdown(d.select("r", "j", f"{side}.*"), ["r"], "j")
-        sides.append(f.select("r", F.col("pnl").alias(f"{side}_pnl"), F.col("max_drawdown").alias(f"{side}_drawdown")))
-    rates = d.groupBy("r").agg(
+    d = d.join(small(stage(blocks)), ["start", "len"])
+    # each resample has its k summaries in one row: both paths are folded there, after one shuffle
+    drawn = d.groupBy("r").agg(
+        F.sort_array(F.collect_list(F.struct("j", "b", "c"))).alias("p"),
         *[F.when(F.sum("routes") == 0, 0.0).otherwise(F.sum(f) / F.sum("routes")).alias(f"{s}_fill") for s, f in (("b", "base_fills"), ("c", "cand_fills"))])
-    out = sides[0].join(sides[1], "r").join(rates, "r")
+    out = drawn.select("r", _joined("b").alias("_b"), _joined("c").alias("_c"), "b_fill", "c_fill").select(
+        "r", *[F.col(f"_{s}.{v}").alias(f"{s}_{n}") for s in "bc" for v, n in (("s", "pnl"), ("dd", "drawdown"))], "b_fill", "c_fill")
     return out.withColumns({f"d_{m}": F.col(f"c_{m}") - F.col(f"b_{m}") for m in ("pnl", "fill", "drawdown")})
 
 
+def _joined(side: str) -> Column:
+    """Final sum and largest drawdown (below the highest sum so far, or zero) of the paths of a resample in their order."""
+    zero = F.lit(0.0)
+
+    def step(a, x):
+        x = x[side]
+        return F.struct((a["s"] + x["s"]).alias("s"), F.greatest(a["hi"], a["s"] + x["hi"]).alias("hi"),
+                        F.greatest(a["dd"], x["dd"], a["hi"] - a["s"] - x["lo"]).alias("dd"))
+
+    return F.aggregate("p", F.struct(zero.alias("s"), zero.alias("hi"), zero.alias("dd")), step)
+
+
 METRICS = [f"{s}_{m}" for s in "bcd" for m in ("pnl", "fill", "drawdown")]
 
 
-def bootstrap(rows: DataFrame) -> DataFrame:
-    """Median and 95 % percentile interval of every metric (rows metric, median, lower, upper)."""
-    long = rows.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])))
-    return rank_percentiles(long, ["metric"], "v", {"median": 0.5, "lower": 0.025, "upper": 0.975})
+def all_lengths(series: DataFrame, n: int, seed: int = 1, count: int = RESAMPLES) -> DataFrame:
+    """Resamples of every block length, with their ``block``; each length has a seed of its own."""
+    out = None
+    for i, block in enumerate(BLOCKS):
+        rows = resamples(series, n, block, count, seed + i).withColumn("block", F.lit(block))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def bootstrap(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Median and 95 % percentile interval of every metric (rows by, metric, median, lower, upper)."""
+    by = by or []
+    long = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in METRICS])))
+    return rank_percentiles(long, [*by, "metric"], "v", {"median": 0.5, "lower": 0.025, "upper": 0.975})
 
 
-def verdict(rows: DataFrame, intervals: DataFrame) -> DataFrame:
-    p = rows.agg((F.count_if(F.col("d_pnl") > 0) / F.count("*")).alias("p_better"))
-    d = intervals.where("metric = 'd_pnl'").join(F.broadcast(p))
+def verdict(rows: DataFrame, intervals: DataFrame, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    p = rows.groupBy(*by).agg((F.count_if(F.col("d_pnl") > 0) / F.count("*")).alias("p_better"))
+    d = intervals.where("metric = 'd_pnl'")
+    d = d.join(p, by) if by else d.join(F.broadcast(p))
     text = (
         F.when((F.col("lower") <= 0) & (F.col("upper") >= 0), "resultado inconcluso")
         .when(F.col("lower") > 0, "candidato superior").otherwise("baseline superior"))
-    return d.select("p_better", text.alias("result"))
+    return d.select(*by, "p_better", text.alias("result"))
 
 
 def block_sums(series: DataFrame, block: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,12 +46,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def append(new: DataFrame, path: str) -> None:
     """Idempotent append: a repeated call with the same rows writes nothing.
 
-    Only the partitions of the new rows' kinds are read for keys. One writer per log is assumed,
-    as plain Parquet has no transactions; a stream sink has one writer by construction.
+    A key is remembered for KEY_DAYS: only the partitions of the new rows' kinds and within that
+    time of their dates are read. One writer per log is assumed, as plain Parquet has no
+    transactions; a stream sink has one writer by construction.
     """
     spark = new.sparkSession
-    kinds = [r[0] for r in new.select("kind").distinct().collect()]
-    keys = read_log(spark, path).where(F.col("kind").isin(kinds or [""]))
+    seen = new.agg(F.collect_set("kind").alias("kinds"), F.min(F.to_date("time")).alias("first"), F.max(F.to_date("time")).alias("last")).first()
+    if not seen["kinds"]:
+        return
+    keys = read_log(spark, path).where(F.col("kind").isin(seen["kinds"]))
+    if seen["first"] is not None:
+        keep = dt.timedelta(days=KEY_DAYS)
+        keys = keys.where(F.col("date").isNull() | F.col("date").between(F.lit(seen["first"] - keep), F.lit(seen["last"] + keep)))
     rows = unclaimed(new, keys).withColumn("date", F.to_date("time"))
     rows.write.mode("append").partitionBy("kind", "date").parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapelab.sources.audit_log import append
@@ -26,3 +26,19 @@ def shard_sink(stream: DataFrame, path: str, checkpoint: str, minutes: int = 30,
     q = q.trigger(availableNow=True).start(path)
     q.awaitTermination()
     return q
+
+
+def upsert_sink(out: DataFrame, path: str, checkpoint: str) -> None:
+    """What changed in every micro-batch as Parquet rows with their batch number; state may end behind a watermark."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(path)
+
+    out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last state of every key; a batch written twice after a failure does not show."""
+    rows = spark.read.parquet(path)
+    rest = F.struct(*[c for c in rows.columns if c not in (*keys, "_batch")])
+    return rows.groupBy(*keys).agg(F.max_by(rest, "_batch").alias("_last")).select(*keys, "_last.*")
