@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_staged: list[str] = []
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
@@ -60,9 +65,37 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = f"{staging_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was staged inside: write or collect a result before that."""
+    mark = len(_staged)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _staged[mark:]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _staged[mark:]
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster on which it is not installed."""
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tapelab-"), "tapelab.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+
+
 def default_parts(spark: SparkSession) -> int:
     """How many ordered buckets to cut: follows the session's shuffle width."""
     return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 65_536))

@@ -57,3 +57,14 @@ def test_isotonic_fit_is_not_rounded(spark):
     rows = [(0.1 + i * 1e-7, int(i >= 50)) for i in range(100)]
     steps = fit_isotonic(spark.createDataFrame(rows, "p double, y int"), "p", "y")
     assert [v for _, v in steps] == [0.0, 1.0]
+
+
+def test_staged_tables_are_deleted(spark):
+    from tapelab.session import stage, staging
+
+    with staging(spark):
+        df = stage(spark.range(3))
+        path = df.inputFiles()[0]
+        assert df.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
