@@ -331,6 +331,7 @@ def execution_matrix(spark, sf):
     return X.matrix(execution(spark, sf).withColumn("scenario", F.col("execution_id") % 12), "scenario")
 
 
+# Names of execution states.
 _STATES = ("Detected", "Reserved", "Leg1Submitted", "Leg1Filled", "Leg2Submitted", "Leg2Filled", "Reconciled")
 
 
@@ -481,6 +482,7 @@ def quote_scan(spark, sf):
     return quotes.groupBy("venue").agg(F.count("*").alias("quotes"), F.sum("latency_ms").alias("latency"), r6(F.min("bid"), "low_bid"))
 
 
+# Venue names and the layouts of their messages.
 _NAMES = ("Binance", "OKX", "Bybit", "Kraken", "Coinbase", "Bitfinex", "KuCoin", "Gate.io", "Bitstamp", "Gemini")
 # payload layouts with %1$s bid price, %2$s bid size, %3$s ask price, %4$s ask size, %5$d number
 _LAYOUTS = (

@@ -7,6 +7,7 @@ mapping; nothing else changes. Rows of other channels drop out. Works on batch a
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from tapelab.functions.numeric import is_finite
 from tapelab.functions.quality import normal_pair
 
-DEPTH = 10
+DEPTH = 10  # levels that the compared recorder keeps of a message
+_depth: ContextVar[int | None] = ContextVar("depth", default=None)  # while a mapping is built
 OUT = ["venue", "pair", "t", "exchange_ms", "kind", "sequence", "previous", "bids", "asks"]
 
 
@@ -27,10 +29,14 @@ def _double(text: Column) -> Column:
     return F.when(text.rlike(r"^[-+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?$"), text.cast("double"))
 
 
+def _first(levels: Column) -> Column:
+    return levels if _depth.get() is None else F.slice(levels, 1, _depth.get())
+
+
 def pairs(path: str) -> Column:
-    """Levels written as [price, size, ...] with numbers or texts; the first ten, price > 0."""
-    raw = F.from_json(_at(path), "array<array<string>>")
-    lv = F.transform(F.slice(raw, 1, DEPTH), lambda x: F.struct(_double(F.get(x, F.lit(0))).alias("price"), _double(F.get(x, F.lit(1))).alias("qty")))
+    """Levels written as [price, size, ...] with numbers or texts, price > 0."""
+    raw = _first(F.from_json(_at(path), "array<array<string>>"))
+    lv = F.transform(raw, lambda x: F.struct(_double(F.get(x, F.lit(0))).alias("price"), _double(F.get(x, F.lit(1))).alias("qty")))
     return _usable(F.coalesce(lv, F.array().cast("array<struct<price:double,qty:double>>")))
 
 
@@ -40,13 +46,13 @@ def _usable(levels: Column) -> Column:
 
 def named(path: str, price: str, qty: str) -> Column:
     """Levels written as objects."""
-    raw = F.from_json(_at(path), f"array<struct<{price}:string,{qty}:string>>")
-    lv = F.transform(F.slice(raw, 1, DEPTH), lambda x: F.struct(_double(x[price]).alias("price"), _double(x[qty]).alias("qty")))
+    raw = _first(F.from_json(_at(path), f"array<struct<{price}:string,{qty}:string>>"))
+    lv = F.transform(raw, lambda x: F.struct(_double(x[price]).alias("price"), _double(x[qty]).alias("qty")))
     return _usable(F.coalesce(lv, F.array().cast("array<struct<price:double,qty:double>>")))
 
 
 def _updates(rows: Column, keep: Callable, price: Callable, qty: Callable) -> Column:
-    return _usable(F.transform(F.filter(rows, keep), lambda x: F.struct(price(x).alias("price"), qty(x).alias("qty"))))
+    return _usable(F.transform(_first(F.filter(rows, keep)), lambda x: F.struct(price(x).alias("price"), qty(x).alias("qty"))))
 
 
 def _iso_ms(path: str) -> Column:
@@ -161,11 +167,21 @@ def register(venue: str, mapping: Mapping) -> None:
     VENUES[venue] = mapping
 
 
-def normalise(raw: DataFrame, venues: list[str] | None = None) -> DataFrame:
+def normalise(raw: DataFrame, venues: list[str] | None = None, depth: int | None = None) -> DataFrame:
     """Canonical messages of all mapped venues, from one pass over the raw rows.
 
-    Each row is parsed by the mapping of its own venue only.
+    Each row is parsed by the mapping of its own venue only. All levels of a message are kept, as
+    books rebuilt from a tape need every update; ``depth`` cuts each side to its first levels, in
+    the same way for every venue (DEPTH gives what the compared recorder keeps).
     """
+    token = _depth.set(depth)
+    try:
+        return _normalise(raw, venues)
+    finally:
+        _depth.reset(token)
+
+
+def _normalise(raw: DataFrame, venues: list[str] | None) -> DataFrame:
     names = venues or list(VENUES)
     message = F.lit(None)
     for name in reversed(names):

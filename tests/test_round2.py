@@ -68,3 +68,12 @@ def test_staged_tables_are_deleted(spark):
         assert df.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_normalised_messages_keep_all_levels(spark):
+    from tapelab.sources.normalise import DEPTH, normalise
+
+    levels = [[str(100 - i), "1"] for i in range(25)]
+    payload = json.dumps({"lastUpdateId": 7, "bids": levels, "asks": [["101", "2"]]})
+    raw = spark.createDataFrame([("Binance", 1, payload)], "venue string, local_t bigint, payload string")
+    assert len(normalise(raw).first().bids) == 25 and len(normalise(raw, depth=DEPTH).first().bids) == 10
