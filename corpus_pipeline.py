@@ -20,9 +20,8 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters or whose language stays unsure; ``lang`` of the others is left as it is."""
     model = language_id.fit(docs.where(~language_id.held_out()))
-    scored = language_id.predict(docs.withColumn("_text", F.col("text")), model)
-    return (scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("text", F.col("_text"))
-            .select(*docs.columns))
+    scored = language_id.predict(docs, model, keep_text=True)
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def _with_text(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:

@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECE = 1 << 20
+from tapelab.llm.batches import sliced
+
+PIECE = 1 << 20  # a longer text is cut
+SLICE = 1 << 18  # characters looked at together
 _SEP = 1  # no letter folds to it
 _fold = None
 
@@ -52,14 +55,14 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def _slices(texts: list) -> Iterator[tuple[list[int], list[str]]]:
-    """(row numbers, pieces) of about PIECE characters together."""
+    """(row numbers, pieces) of about SLICE characters together."""
     rows, out, size = [], [], 0
     for i, t in enumerate(texts):
         for p in _pieces(t or ""):
             rows.append(i)
             out.append(p)
             size += len(p)
-            if size >= PIECE:
+            if size >= SLICE:
                 yield rows, out
                 rows, out, size = [], [], 0
     if out:
@@ -98,7 +101,7 @@ def _counter(text: str, lang: str, bits: int, orders: tuple[int, ...]):
     def run(batches):
         total: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for b in batches:
+        for b in sliced(batches):
             texts, langs = b.column(text).to_pylist(), b.column(lang).to_pylist()
             for name in langs:
                 docs[name] = docs.get(name, 0) + 1
@@ -145,11 +148,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 16,
     return {"langs": langs, "logp": logp, "prior": np.log(prior / prior.sum()), "bits": bits, "orders": orders}
 
 
-def _scorer(model, text: str):
+def _scorer(model, text: str, names: list[str]):
     def run(batches):
         m = model.value
         langs, logp, prior, bits, orders = m["langs"], m["logp"], m["prior"], m["bits"], m["orders"]
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(text).to_pylist()
             sums, letters = np.tile(prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
             for rows, pieces in _slices(texts):
@@ -163,23 +166,22 @@ def _scorer(model, text: str):
             score = 1.0 / odds.sum(axis=1)
             known = letters > 0
             pred = [langs[i] if k else "und" for i, k in zip(best, known)]
-            cols = [c for i, c in enumerate(b.columns) if b.schema.names[i] != text]
-            names = [c for c in b.schema.names if c != text]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))],
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))],
                                              names=[*names, "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``lang_pred`` and ``score``. A column of those names is replaced."""
+def predict(docs: DataFrame, model: dict | None, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs``, its text only if ``keep_text``, with ``lang_pred`` and ``score``. A column of those names is replaced."""
     docs = docs.drop(*(c for c in ("lang_pred", "score") if c != text))
+    names = [c for c in docs.columns if keep_text or c != text]
     if model is None:
-        return docs.drop(text).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.select(*names).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([f for f in docs.schema.fields if f.name != text]
+    schema = T.StructType([docs.schema[c] for c in names]
                           + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_scorer(shared, text), schema)
+    return docs.mapInArrow(_scorer(shared, text, names), schema)
 
 
 def held_out(doc_id="doc_id"):

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapelab.llm.batches import sliced
 from tapelab.session import stage
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -70,7 +71,7 @@ def _builder(bits: int, min_chars: int):
         from pyspark import TaskContext
 
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for b in batches:
+        for b in sliced(batches):
             found = [d for t in b.column("text").to_pylist() for d in _digests(t, min_chars)]
             if not found:
                 continue
@@ -121,7 +122,7 @@ def _suspects(shared, min_chars: int):
     def run(batches):
         twice = shared.value
         bits = len(twice) * 8
-        for b in batches:
+        for b in sliced(batches):
             ids, found = [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 d = _digests(t, min_chars)
@@ -140,7 +141,7 @@ def _suspects(shared, min_chars: int):
 
 def _cutter(names: list[str]):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n_lines, n_dropped, kept = [], [], []
             for t, drops in zip(b.column("_text").to_pylist(), b.column("_drops").to_pylist()):
                 lines = (t or b"").split(b"\n")

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapelab.llm.batches import sliced
 from tapelab.llm.components import components
 from tapelab.llm.shingles import mix, sets
 from tapelab.session import small, stage
@@ -50,7 +51,7 @@ def _counter(k: int, cells: int):
         from pyspark import TaskContext
 
         counts = np.zeros(cells, np.uint32)
-        for b in batches:
+        for b in sliced(batches):
             held, size = [], 0
             for s in sets(b.column("text").to_pylist(), k):
                 held.append(s)
@@ -111,7 +112,7 @@ def _signer(shared, k: int, num: int, den: int):
     def run(batches):
         levels = shared.value
         low = np.uint64(len(levels) - 1)
-        for b in batches:
+        for b in sliced(batches):
             n, ids, first, second, third, hist = [], [], [], [], [], []
             for s in sets(b.column("text").to_pylist(), k):
                 n.append(len(s))
@@ -140,7 +141,7 @@ def _signer(shared, k: int, num: int, den: int):
 
 def _set_maker(k: int):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = [(c, s.tobytes()) for c, i, s in zip(b.column("cid").to_pylist(), b.column("set_id").to_pylist(), sets(b.column("text").to_pylist(), k))
                    if len(s) and _set_id(s) == i]
             if out:
@@ -152,7 +153,7 @@ def _set_maker(k: int):
 
 def _comparer(num: int, den: int):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             keep = []
             for x, y in zip(b.column("sx").to_pylist(), b.column("sy").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapelab.llm import tokens
+from tapelab.llm.batches import sliced
 from tapelab.session import stage
 
 BATCH_BYTES = 8 << 20
@@ -38,7 +39,7 @@ def _encode(path: str, end_id: int):
                 "doc_id": pa.array(ids, kind), "part": pa.array([part] * n, pa.int32()), "before": pa.array(places, pa.int64()),
                 "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(blobs, pa.binary())})
 
-        for b in batches:
+        for b in sliced(batches):
             kind = b.schema.field("doc_id").type
             out, size = ([], [], [], []), 0
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -60,7 +61,7 @@ def _encode(path: str, end_id: int):
 def _cut(path: str, window: int, with_ids: bool):
     def run(batches):
         dtype = tokens.encoder(path).dtype
-        for b in batches:
+        for b in sliced(batches):
             cols: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
             for i, base, n, blob in zip(*(b.column(c).to_pylist() for c in ("doc_id", "place", "n_tokens", "ids"))):
                 ids, at = tokens.as_words(blob, dtype), 0

@@ -15,7 +15,7 @@ import json
 import numpy as np
 
 END_ID = 2
-LIMIT = 600_000  # entries of each cache of a worker
+LIMIT = 700_000  # pieces that a worker remembers
 _PUNCTUATION = ".,!?;:|\"()[]-"
 # bytes of a byte-level vocabulary: those without a sign of their own are written as signs from 256 on
 _ODD = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173)]
@@ -44,41 +44,48 @@ class Encoder:
         self.blank = " " if (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" else ""
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        out = self.words.get(word)
-        if out is None:
-            letters = word[1:] if self.blank and word[0] == " " else word
-            if letters.isalpha() and _latin(letters) and not (self.lower and letters != letters.lower()):
-                # one token group of letters that no normalizer changes: only merges are left to do
-                spelled = word.encode().decode("latin-1").translate(_SPELLING)
-                out = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
-            else:
-                out = self.whole(word)
-            if len(self.words) < LIMIT and len(word) <= 64:
-                self.words[word] = out
-        return out
+    def _made(self, piece: str) -> bytes:
+        """Ids of letters or anything else after a blank; after a line feed, if that comes first."""
+        first = self.blank
+        if piece[0] == "\n":
+            first, piece = "", piece[1:]
+        word = first + piece
+        if piece.isalpha() and _latin(piece) and not (self.lower and piece != piece.lower()):
+            # one token group of letters that no normalizer changes: only merges are left to do
+            spelled = word.encode().decode("latin-1").translate(_SPELLING)
+            out = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+        else:
+            out = self.whole(word)
+        return out if first or not self.blank else self.line_feed + out
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece that follows a blank, or starts with the line feed before it."""
-        body = piece[1:] if piece[0] == "\n" else piece
-        head = "" if piece[0] == "\n" else self.blank
-        word = body.rstrip(_PUNCTUATION)
-        tail = body[len(word):]
-        if tail and word.isalpha():
-            out = self._word(head + word) + self._word(tail)  # a run of signs is a token group of its own
+        word = piece.rstrip(_PUNCTUATION)
+        tail = piece[len(word):]
+        if tail and word.lstrip("\n").isalpha():  # a run of signs is a token group of its own
+            known = self.pieces.get(word)
+            if known is None:
+                self._keep(word, known := self._made(word))
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            out = known + self.tails[tail]
+            if len(self.tails) > 10_000:
+                self.tails.clear()
         else:
-            out = self._word(head + body)
-        if piece[0] == "\n" and self.blank:
-            out = self._word("\n") + out
-        if len(self.pieces) < LIMIT and len(piece) <= 64:
-            self.pieces[piece] = out
+            out = self._made(piece)
+        self._keep(piece, out)
         return out
 
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(self.pieces) < LIMIT and len(piece) <= 64:
+            self.pieces[piece] = ids
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -90,7 +97,11 @@ class Encoder:
         if self.lower and _latin(text):  # there Python and the library agree on small letters
             pieces = plain.lower().split(" ")
         get, make = self.pieces.get, self._piece
-        first = self._word(pieces[0])
+        if self.blank:  # as after a line feed, without it
+            start = "\n" + pieces[0]
+            first = (get(start) or make(start))[len(self.line_feed):]
+        else:
+            first = get(pieces[0]) or make(pieces[0])
         return first + b"".join([get(p) or make(p) for p in pieces[1:]])
 
 

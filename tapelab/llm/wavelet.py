@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapelab.llm import tokens
+from tapelab.llm.batches import sliced
 from tapelab.session import staging_dir
 
 BLOCK = 512
@@ -162,7 +163,7 @@ def _writer(path: str, end_id: int, kind: pa.DataType, segment: int):
                 "shard": pa.array([shard], pa.int32()), "segment": pa.array([seg], pa.int32()), "n_tokens": pa.array([len(stream)], pa.int64()),
                 "doc_ids": pa.array([ids], pa.list_(kind)), "file": pa.array([build(stream, lengths, 8 * enc.dtype.itemsize)], pa.binary())})
 
-        for b in batches:
+        for b in sliced(batches):
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 blobs.append(enc.encode(t or "") + end)
                 ids.append(i)
