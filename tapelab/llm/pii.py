@@ -109,7 +109,7 @@ def _gazetteer(c: Column) -> Column:
 def candidates(t: Column) -> Column:
     """All candidates of a text, with votes (1 yes, 0 no, -1 none) and feature values."""
     has = lambda s: F.instr(t, s) > 0
-    number = F.rlike(t, F.lit("[0-9][0-9]"))
+    number = F.rlike(t, F.lit(r"[0-9][\x20-]?[0-9]"))  # as the card pattern, which lets a blank or hyphen stand between any two digits
     ip = F.rlike(t, F.lit(r"[0-9]\.[0-9]"))
     guards = (has("@"), ip, number, has("+"))
     found = [_spans(t, p, k, False, guards[k]) for k, p in enumerate(BASE)]

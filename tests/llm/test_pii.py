@@ -51,6 +51,13 @@ def test_odd_texts(spark):
     check(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS kind", "1 AS n"))
 
 
+def test_cards_without_two_adjacent_digits(spark):
+    number = "4111111111111111"
+    texts = ["card " + " ".join(number), "card " + "-".join(number), "4" + " 1-1" * 7 + " 1", "1 2", "1  2"]
+    got = check(spark, list(enumerate(texts)), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r["n_card"] for r in got] == [1, 1, 1, 0, 0]
+
+
 def test_given_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     check(spark, [tuple(r) for r in docs.collect()], docs)
