@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapelab.session import stage
+
 # The logs and how long a claimed key is kept.
 KINDS = ("operacion", "evento", "rebalanceo", "oportunidad", "auditoria", "ejecucion")
 KEY_DAYS = 180
+KEY_BUCKETS = 64
+KEY_SCHEMA = "kind string, bucket int, id string, claimed_at timestamp"
 COLUMNS = ["kind", "id", "time", "route", "type", "decision", "payload"]
 SCHEMA = "kind string, id string, time timestamp, route string, type string, decision string, payload string, date date"
 
@@ -43,23 +45,62 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("kind", "id"), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def read_keys(spark: SparkSession, path: str) -> DataFrame:
+    """Keys claimed in the log at ``path``. Filters on kind and bucket prune partitions."""
+    try:
+        return spark.read.schema(KEY_SCHEMA).parquet(f"{path}/_keys")
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], KEY_SCHEMA)
+
+
+def _write_keys(keys: DataFrame, path: str, mode: str = "append") -> None:
+    keys = keys.select("kind", "id", "claimed_at", _bucket().alias("bucket")).repartition("kind", "bucket")
+    keys.write.mode(mode).partitionBy("kind", "bucket").parquet(f"{path}/_keys")
+
+
+def _place(spark: SparkSession, name: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def append(new: DataFrame, path: str) -> None:
     """Idempotent append: a repeated call with the same rows writes nothing.
 
-    A key is remembered for KEY_DAYS: only the partitions of the new rows' kinds and within that
-    time of their dates are read. One writer per log is assumed, as plain Parquet has no
-    transactions; a stream sink has one writer by construction.
+    Keys are looked up in a table beside the log (``_keys``, which readers of the log skip), of
+    which only the kinds and hash buckets of the new rows are read; their dates do not matter, and
+    only ``purge`` lets a key go. A file ``_open`` stands while rows and keys are written: if it
+    is found, or a log has no keys yet, the keys missing are first taken from the whole log. One
+    writer per log is assumed, as plain Parquet has no transactions; a stream sink has one writer
+    by construction.
     """
     spark = new.sparkSession
-    seen = new.agg(F.collect_set("kind").alias("kinds"), F.min(F.to_date("time")).alias("first"), F.max(F.to_date("time")).alias("last")).first()
+    seen = new.agg(F.collect_set("kind").alias("kinds"), F.collect_set(_bucket()).alias("buckets")).first()
     if not seen["kinds"]:
         return
-    keys = read_log(spark, path).where(F.col("kind").isin(seen["kinds"]))
-    if seen["first"] is not None:
-        keep = dt.timedelta(days=KEY_DAYS)
-        keys = keys.where(F.col("date").isNull() | F.col("date").between(F.lit(seen["first"] - keep), F.lit(seen["last"] + keep)))
+    fs, mark = _place(spark, f"{path}/_open")
+    if fs.exists(mark) or fs.exists(mark.getParent()) and not fs.exists(_place(spark, f"{path}/_keys")[1]):
+        _write_keys(seed_keys(read_log(spark, path)).join(read_keys(spark, path).select("kind", "id"), ["kind", "id"], "left_anti"), path)
+    keys = read_keys(spark, path).where(F.col("kind").isin(seen["kinds"]) & F.col("bucket").isin(seen["buckets"]))
     rows = unclaimed(new, keys).withColumn("date", F.to_date("time"))
+    fs.create(mark, True).close()
     rows.write.mode("append").partitionBy("kind", "date").parquet(path)
+    _write_keys(seed_keys(new).join(keys.select("kind", "id"), ["kind", "id"], "left_anti"), path)
+    fs.delete(mark, False)
+
+
+def purge(spark: SparkSession, path: str, now, days: int = KEY_DAYS) -> None:
+    """``purge_keys`` on the keys of the log at ``path``; no append may run meanwhile."""
+    kept = stage(purge_keys(read_keys(spark, path).drop("bucket"), read_log(spark, path), now, days))
+    fs, mark = _place(spark, f"{path}/_open")
+    fs.create(mark, True).close()
+    _write_keys(kept, path, "overwrite")
+    fs.delete(mark, False)
 
 
 def repair_duplicates(log: DataFrame) -> DataFrame:
