@@ -15,13 +15,15 @@ from tapelab.session import stage
 
 ORACLE_SQL = None
 LEAST_SCORE = 0.5
+MOST_MISFIT = 1.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters or whose language stays unsure; ``lang`` of the others is left as it is."""
+    """Drops texts without letters, whose language stays unsure or that are unlike it; ``lang`` of the others is left as it is."""
     model = language_id.fit(docs.where(~language_id.held_out()))
-    scored = language_id.predict(docs, model, keep_text=True)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    scored = language_id.predict(docs, model, keep_text=True, misfit=True)
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & (F.col("misfit") <= MOST_MISFIT)
+    return scored.where(sure).select(*docs.columns)
 
 
 def _with_text(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:

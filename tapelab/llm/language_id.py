@@ -26,6 +26,7 @@ from tapelab.llm.batches import sliced
 
 PIECE = 1 << 20  # a longer text is cut
 SLICE = 1 << 18  # characters looked at together
+CHANCE = 3.0  # deviations of the mean of as many letters that count as chance
 _SEP = 1  # no letter folds to it
 _fold = None
 
@@ -144,44 +145,63 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 16,
     prior[col[~grams]] = n[~grams]
     used = int((table.sum(axis=1) > 0).sum()) + 1
     logp = np.log((table + alpha) / (table.sum(axis=0) + alpha * used))
+    # what an n-gram of the language's own texts gets from the others: mean and deviation, of a nat at least
+    whole = np.maximum(table.sum(axis=0), 1)
+    own = np.log((np.maximum(table - 1, 0) + alpha) / (whole - 1 + alpha * used))
+    mean = (table * own).sum(axis=0) / whole
+    spread = np.maximum(np.sqrt((table * (own - mean) ** 2).sum(axis=0) / whole), 1.0)
     logp = np.vstack([logp, np.zeros(len(langs))]).astype(np.float32)  # the last row is for n-grams left out
-    return {"langs": langs, "logp": logp, "prior": np.log(prior / prior.sum()), "bits": bits, "orders": orders}
+    return {"langs": langs, "logp": logp, "prior": np.log(prior / prior.sum()), "bits": bits, "orders": orders, "mean": mean, "spread": spread}
 
 
-def _scorer(model, text: str, names: list[str]):
+def _scorer(model, text: str, names: list[str], misfit: bool):
     def run(batches):
         m = model.value
         langs, logp, prior, bits, orders = m["langs"], m["logp"], m["prior"], m["bits"], m["orders"]
         for b in sliced(batches):
             texts = b.column(text).to_pylist()
             sums, letters = np.tile(prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
+            seen = np.zeros(len(texts), np.int64)
             for rows, pieces in _slices(texts):
                 slots, starts, k = _grams(pieces, bits, orders)
                 at = np.array(rows)
                 for s in slots:
                     np.add.at(sums, at, np.add.reduceat(logp[s], starts, axis=0, dtype=np.float64))
+                    if misfit:
+                        np.add.at(seen, at, np.add.reduceat((s < 1 << bits).astype(np.int64), starts))
                 np.add.at(letters, at, k)
             best = sums.argmax(axis=1)
             odds = np.exp(sums - sums.max(axis=1, keepdims=True))
             score = 1.0 / odds.sum(axis=1)
             known = letters > 0
             pred = [langs[i] if k else "und" for i, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))],
-                                             names=[*names, "lang_pred", "score"])
+            out = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(np.where(known, score, 0.0))}
+            if misfit:
+                n = np.maximum(seen, 1)
+                mean = (sums[np.arange(len(texts)), best] - prior[best]) / n
+                short = (m["mean"][best] - mean) / m["spread"][best] - CHANCE * np.sqrt(len(orders) / n)
+                out["misfit"] = pa.array(np.where(known, short, 0.0))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *out.values()], names=[*names, *out])
 
     return run
 
 
-def predict(docs: DataFrame, model: dict | None, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs``, its text only if ``keep_text``, with ``lang_pred`` and ``score``. A column of those names is replaced."""
-    docs = docs.drop(*(c for c in ("lang_pred", "score") if c != text))
+def predict(docs: DataFrame, model: dict | None, text: str = "text", keep_text: bool = False, misfit: bool = False) -> DataFrame:
+    """``docs``, its text only if ``keep_text``, with ``lang_pred`` and ``score``. A column of those names is replaced.
+
+    ``misfit`` adds a column of that name: by how many deviations of an n-gram of the predicted
+    language the text's mean log-likelihood per n-gram is below that language's own, less what
+    chance explains in a text of that length. Unlike ``score`` it does not run to 1 with length.
+    """
+    added = ["lang_pred", "score", *(["misfit"] if misfit else [])]
+    docs = docs.drop(*(c for c in added if c != text))
     names = [c for c in docs.columns if keep_text or c != text]
     if model is None:
-        return docs.select(*names).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.select(*names).withColumns({c: F.lit("und" if c == "lang_pred" else 0.0) for c in added})
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in names]
-                          + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_scorer(shared, text, names), schema)
+                          + [T.StructField(c, T.StringType() if c == "lang_pred" else T.DoubleType()) for c in added])
+    return docs.mapInArrow(_scorer(shared, text, names, misfit), schema)
 
 
 def held_out(doc_id="doc_id"):
