@@ -39,10 +39,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest doc_id stays."""
-    groups = ngram_join.group(docs.select("doc_id", "text"), k=5, num=80, den=100)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Of every group linked by a Jaccard similarity of 0.8 of five-word shingles one row stays, that of the smallest doc_id, nulls last."""
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()))  # ids may be null or repeated
+    groups = ngram_join.group(rows.select("_row", "text"), k=5, num=80, den=100, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("least"))
+    return rows.join(kept.select("least._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,3 +24,14 @@ def test_language_drops_gibberish_and_unlearned_languages(spark):
     kept = {r["doc_id"] for r in P.language(spark, given, SF).collect()}
     assert not kept & set(scores)
     assert len(kept) >= docs.count() - 3
+
+
+def test_one_row_of_a_group_stays_with_null_and_repeated_ids(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    near, other = text + " more", " ".join(f"else{i}" for i in range(60))
+    given = [(5, text), (5, text), (5, near), (None, near), (None, other), (None, other), (7, "alone " * 9), (3, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in given], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    out = P.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in out.collect()), key=str)
+    assert kept == [(3, ""), (3, ""), (5, "word0"), (7, "alone"), (None, "else0")]
