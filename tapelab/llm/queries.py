@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapelab.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, pii, quality, tokens, topk, wavelet
+from tapelab.llm import (bin_completion, exact_dedup, language_id, lexical_search, line_dedup, mixing, ngram_join, packing, periodic_runs, pii, quality,
+                         tokens, topk, wavelet)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,6 +130,36 @@ def op7(spark, sf_dir):
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    return periodic_runs.digest(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_lexical_search", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+      GROUP BY item_id, t),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY doc_id, n, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+g AS (SELECT p.doc_id, p.t, (floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+             * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_terms)))))::BIGINT AS gain
+      FROM p JOIN f ON p.t = f.t CROSS JOIN c),
+s AS (SELECT item_id, doc_id, sum(times * gain)::BIGINT AS score FROM i JOIN g ON i.t = g.t GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+""")
+def op12(spark, sf_dir):
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark, sf_dir):
+    return bin_completion.digest(_table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
