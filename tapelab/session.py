@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,18 +69,40 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _delete(spark: SparkSession, names: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 @contextmanager
-def staging(spark: SparkSession) -> Iterator[None]:
-    """Deletes on leaving what was staged inside: write or collect a result before that."""
-    mark = len(_staged)
+def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes on leaving what was staged inside, but for tables staged by the function it yields.
+
+    Write or collect a result before leaving, or stage it by that function.
+    """
+    mark, kept = len(_staged), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stage(df)
+        kept.append(_staged[-1])
+        return out
+
     try:
-        yield
+        yield keep
     finally:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for name in _staged[mark:]:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-        del _staged[mark:]
+        gone = [name for name in _staged[mark:] if name not in kept]
+        _staged[mark:] = kept
+        _delete(spark, gone)
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes the staged table that ``df`` reads, if it is one."""
+    folders = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
+    gone = [name for name in _staged if os.path.basename(name) in folders]
+    _staged[:] = [name for name in _staged if name not in gone]
+    _delete(df.sparkSession, gone)
 
 
 def ship(spark: SparkSession) -> None:
