@@ -6,7 +6,8 @@ Three orders are used: rare first (by a count sketch over all documents, ties by
 first with other ties, and by hash alone. Postings are made of the first; a pair found there must
 also meet in the prefixes of the second and third before its sets are compared.
 
-Equal sets are one class and are compared once. Among classes, links are sought in two steps, so
+Equal sets are one class and are compared once: a task gives prefixes for the first row of a set, and
+of several tasks' first rows one is the class. Among classes, links are sought in two steps, so
 that a large group of near copies never gives all its pairs:
 
 1. Star: per prefix shingle, every class is compared with the one that has the shingle earliest
@@ -19,8 +20,9 @@ shingle, as shingles before the first shared one must not exceed the allowed dif
 histograms of BUCKETS hash ranges, as their difference is at most that of the sets.
 
 Defined results. Null text or a text without words: an empty set, linked with nothing, n_shingles
-0, component of its own. Fewer than k words: one shingle. Rows with equal doc_id are taken as
-separate texts under one id. Sets are compared by 64-bit shingle hashes, classes by 128 bits.
+0, component of its own. Fewer than k words: one shingle. Rows with equal doc_id, null ones too, are
+taken as separate texts under one id. Sets are compared by 64-bit shingle hashes, classes by 128 bits.
+What is written on the way is deleted at the end; texts are not written a second time.
 """
 
 from __future__ import annotations
@@ -38,12 +40,14 @@ from pyspark.sql import types as T
 from tapelab.llm.batches import sliced
 from tapelab.llm.components import components
 from tapelab.llm.shingles import mix, sets
-from tapelab.session import small, stage
+from tapelab.session import small, stage, staging
 
 MAX_CELLS = 1 << 25  # of the count sketch: 32 MB once broadcast
 CHUNK = 1 << 17
 FAN_IN = 64
 BUCKETS = 128
+SEEN = 1 << 20  # sets that a task remembers
+_SIZE = 1 << 32
 
 
 def _counter(k: int, cells: int):
@@ -110,18 +114,26 @@ def _set_id(s: np.ndarray) -> bytes:
 
 def _signer(shared, k: int, num: int, den: int):
     def run(batches):
+        from pyspark import TaskContext
+
         levels = shared.value
         low = np.uint64(len(levels) - 1)
+        seen: set[bytes] = set()
+        row = TaskContext.get().partitionId() << 40
+        none = np.zeros(0, np.int64)
         for b in sliced(batches):
-            n, ids, first, second, third, hist = [], [], [], [], [], []
+            n, ids, lead, first, second, third, hist = [], [], [], [], [], [], []
             for s in sets(b.column("text").to_pylist(), k):
                 n.append(len(s))
-                if not len(s):
-                    ids.append(None)
+                ids.append(_set_id(s) if len(s) else None)
+                lead.append(len(s) > 0 and ids[-1] not in seen)
+                if not lead[-1]:
                     for x in (first, second, third, hist):
-                        x.append(np.zeros(0, np.int64))
+                        x.append(none)
                     continue
-                ids.append(_set_id(s))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(ids[-1])
                 p = len(s) - -(-num * len(s) // den) + 1
                 level = levels[(s & low).astype(np.int64)].astype(np.uint64) << np.uint64(57)
                 a = np.sort(mix(s, 1) >> np.uint64(7) | level)[:p]
@@ -131,10 +143,13 @@ def _signer(shared, k: int, num: int, den: int):
                 second.append(s[other].astype(np.uint32).view(np.int32))
                 third.append(s[plain].astype(np.uint32).view(np.int32))
                 hist.append(np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 127).astype(np.int8))
-            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x or [np.zeros(0)]).astype(kind))
+            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate(x or [none]).astype(kind))
                      for x, kind in ((first, np.int64), (second, np.int32), (third, np.int32), (hist, np.int8))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *lists],
-                                             names=["doc_id", "n", "set_id", "first", "second", "third", "hist"])
+            rows = pa.array(np.arange(row, row + len(n)))
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), rows, pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
+                                              pa.array(lead, pa.bool_()), *lists],
+                                             names=["doc_id", "mark", "row", "n", "set_id", "lead", "first", "second", "third", "hist"])
 
     return run
 
@@ -181,49 +196,61 @@ def _near(nx: Column, ny: Column, hx: Column, hy: Column, num: int, den: int) ->
 
 class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
-        self.docs, self.k, self.num, self.den = docs, k, num, den
+        self.k, self.num, self.den = k, num, den
         shared = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
-        schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
+        # ids may be null or repeated, so a text is found again by its id and a hash of it
+        self.docs = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+        schema = T.StructType([docs.schema["doc_id"], T.StructField("mark", T.LongType()), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()),
+                               T.StructField("set_id", T.BinaryType()), T.StructField("lead", T.BooleanType()),
                                T.StructField("first", T.ArrayType(T.LongType())), T.StructField("second", T.ArrayType(T.IntegerType())),
                                T.StructField("third", T.ArrayType(T.IntegerType())), T.StructField("hist", T.ArrayType(T.ByteType()))])
-        self.rows = stage(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_signer(shared, k, num, den), schema))
-        # the arrays follow from the set, so they are the same in every row of a class
-        classes = self.rows.where("set_id is not null").groupBy("set_id").agg(
-            F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "first", "second", "third", "hist")])
-        self.classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()))
+        self.rows = stage(self.docs.mapInArrow(_signer(shared, k, num, den), schema))
+        classes = self.rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min(F.when(F.col("lead"), F.col("row"))).alias("cid"))
+        self.classes = stage(classes)
+        leads = self.rows.where("lead")
+        copies = stage(leads.select("row", "set_id").join(self.classes.select("set_id", "cid"), "set_id").where("row != cid").select(F.col("row").alias("cid")))
+        self.nodes = leads.withColumnRenamed("row", "cid").join(small(copies), "cid", "left_anti")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that also meet under the other orders and whose sets reach the threshold."""
         pairs = stage(pairs.distinct())
-        x, y = (self.classes.select(F.col("cid").alias(c), *[F.col(v).alias(f"{c}_{v}") for v in ("n", "second", "third", "hist")]) for c in "xy")
+        leads = self.rows.where("lead")
+        x, y = (leads.select(F.col("row").alias(c), *[F.col(v).alias(f"{c}_{v}") for v in ("n", "second", "third", "hist")]) for c in "xy")
         both = F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third")
         near = _near(F.col("x_n"), F.col("y_n"), F.col("x_hist"), F.col("y_hist"), self.num, self.den)
         met = stage(pairs.join(x, "x").join(y, "y").where(near & both).select("x", "y"))
         left = met.select(F.col("x").alias("cid")).union(met.select("y")).distinct()
-        chosen = stage(left.join(self.classes, "cid").select("cid", "set_id", F.col("doc_id").alias("_id")))
-        texts = self.docs.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "set_id", F.col("text").cast("binary").alias("text"))
+        chosen = stage(left.join(leads.select(F.col("row").alias("cid"), "set_id", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "cid"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+        texts = self.docs.join(small(chosen), same).select("cid", "set_id", "text")
         made = stage(texts.mapInArrow(_set_maker(self.k), "cid long, s binary").dropDuplicates(["cid"]))
         sx, sy = (made.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in "xy")
         return stage(met.join(sx, "x").join(sy, "y").select("x", "y", "sx", "sy").mapInArrow(_comparer(self.num, self.den), "x long, y long"))
 
+    def _fits(self, x: str, y: str) -> Column:
+        """Whether the sizes and positions packed in two columns allow the threshold."""
+        n, pos = (lambda c: F.col(c).bitwiseAND(F.lit(_SIZE - 1))), (lambda c: F.shiftright(c, 32))
+        return _fits(n(x), n(y), pos(x), pos(y), self.num, self.den)
+
     def components(self) -> DataFrame:
         """(node, comp) of the classes that have a link, by cid."""
-        postings = self.classes.select("cid", "n", F.posexplode("first").alias("pos", "token"))
-        heads = (postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("pos", "n", "cid")).alias("head"))
-                 .where("docs > 1").select("token", "head"))
+        # position and size in one number: the least is earliest, then smallest
+        postings = self.nodes.select("cid", "n", F.posexplode("first").alias("pos", "token")).select(
+            "token", "cid", (F.col("pos") * F.lit(_SIZE) + F.col("n")).alias("at"))
+        heads = (postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("at").alias("head_at"), F.min_by("cid", "at").alias("head"))
+                 .where("docs > 1").select("token", "head_at", "head"))
         shared = stage(postings.join(heads, "token"))
-        star = shared.where(F.col("cid") != F.col("head.cid")).where(
-            _fits(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"), self.num, self.den))
-        links = self._links(star.select(F.least("cid", "head.cid").alias("x"), F.greatest("cid", "head.cid").alias("y")))
+        star = shared.where(F.col("cid") != F.col("head")).where(self._fits("at", "head_at"))
+        links = self._links(star.select(F.least("cid", "head").alias("x"), F.greatest("cid", "head").alias("y")))
         comps = components(links)
         known = stage(shared.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-                      .select("token", "pos", "n", "cid", F.coalesce("comp", "cid").alias("comp"), F.col("head.cid").alias("head")))
+                      .select("token", "at", "cid", F.coalesce("comp", "cid").alias("comp"), "head"))
         open_ = known.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("token")
-        rest = stage(known.join(open_, "token", "left_semi").join(self.classes.select("cid", "hist"), "cid"))
+        hist = self.rows.where("lead").select(F.col("row").alias("cid"), "n", "hist")
+        rest = stage(known.join(open_, "token", "left_semi").join(hist, "cid"))
         a, b = rest.alias("a"), rest.alias("b")
         cross = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.comp") != F.col("b.comp"))
-                       & (F.col("a.cid") != F.col("a.head")) & (F.col("b.cid") != F.col("b.head"))
-                       & _fits(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), self.num, self.den)
+                       & (F.col("a.cid") != F.col("a.head")) & (F.col("b.cid") != F.col("b.head")) & self._fits("a.at", "b.at")
                        & _near(F.col("a.n"), F.col("b.n"), F.col("a.hist"), F.col("b.hist"), self.num, self.den))
         more = self._links(cross.select(F.col("a.cid").alias("x"), F.col("b.cid").alias("y")))
         return components(links.unionByName(more))
@@ -231,10 +258,11 @@ class _Join:
 
 def group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id of the component) of every row; links: Jaccard >= num / den."""
-    job = _Join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, num, den)
-    comps = job.components().withColumnRenamed("node", "cid")
-    named = stage(job.classes.join(comps, "cid", "left").select("set_id", "doc_id", F.coalesce("comp", "cid").alias("comp")))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(least, "comp").select("set_id", "component_id")
-    return job.rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(ids, "set_id", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    with staging(docs.sparkSession) as keep:
+        job = _Join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, num, den)
+        comps = job.components().withColumnRenamed("node", "cid")
+        named = stage(job.classes.join(comps, "cid", "left").select("set_id", "doc_id", F.coalesce("comp", "cid").alias("comp")))
+        least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        ids = named.join(least, "comp").select("set_id", "component_id")
+        return keep(job.rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(ids, "set_id", "left").select(
+            "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))

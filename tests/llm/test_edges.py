@@ -210,3 +210,20 @@ def test_sparse_sites_stay_near_the_prior(spark):
     sites = spark.createDataFrame([("big", 900.0, 1000.0), ("bad", 100.0, 1000.0), ("one", 1.0, 1.0), ("mid", 500.0, 1000.0)], "host string, good double, all double")
     got = {r["host"]: r["rate"] for r in quality._shrink(sites, ["host"], F.lit(0.5), "rate").collect()}
     assert abs(got["big"] - 0.9) < 0.02 and abs(got["bad"] - 0.1) < 0.02 and 0.5 < got["one"] < 0.85
+
+
+def test_join_of_many_texts_without_ids(spark):
+    rows = [(None, f"{BASE} tail{i}") for i in range(40)] + [(None, BASE)] * 3 + [(None, f"a{i} b{i} c{i} d{i}") for i in range(40)] + [(4, BASE + " tail3 x")]
+    docs = documents(spark, rows)
+    got = ngram_join.group(docs, k=3, num=90).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows, 3, 90, 100)
+
+
+def test_join_leaves_nothing_behind(spark):
+    from tapelab import session
+
+    mark = len(session._staged)
+    rows = near_rows(groups=3)
+    got = ngram_join.group(documents(spark, rows), k=3, num=90)
+    assert len(session._staged) == mark + 1  # the result
+    assert got.count() == len(rows)

@@ -2,8 +2,11 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tapelab.llm import language_id
+from tapelab.session import stage
 
 SF = "/root/testdata/sf0.001"
 OTHER = ["Suomen kieli kuuluu uralilaisiin kieliin ja sitä puhutaan pääasiassa Suomessa sekä Ruotsissa ja Norjassa",
@@ -35,3 +38,20 @@ def test_one_row_of_a_group_stays_with_null_and_repeated_ids(spark):
     assert out.columns == docs.columns
     kept = sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in out.collect()), key=str)
     assert kept == [(3, ""), (3, ""), (5, "word0"), (7, "alone"), (None, "else0")]
+
+
+def test_further_columns_come_through(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).unionByName(spark.createDataFrame([(9000, "one two three " * 8, "en", None, 96)], schema))
+    names = ["score", "lang_pred", "misfit", "n_lines", "kept_text", "_text", "_drops", "_id", "row file", "row number", "place", "size", "quality", "taken",
+             "_copy", "_size", "_words", "bucket", "row", "component_id", "further column 7", "mark"]
+    docs = stage(docs.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in names)))
+    for name, step in P.STAGES[:-1]:
+        out = stage(step(spark, docs, SF))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c} {r['doc_id']}" for c in names), name
+        assert step(spark, docs.where("false"), SF).count() == 0
+        assert step(spark, stage(docs.where("false")), SF).columns == docs.columns
+        docs = out
+    assert P.STAGES[-1][1](spark, docs, SF).count() > 0 and P.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
