@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ LEVELS = "array<struct<price:double,qty:double>>"
 OUT = f"bid double, bid_qty double, ask double, ask_qty double, bids {LEVELS}, asks {LEVELS}"
 MARKET = ["venue", "pair"]
 EPOCH = "_epoch"
+BEHIND = 1 << 62  # no price
+KEYED = "array<bigint>"
+BOOK = f"bid_keys {KEYED}, bid_sizes array<double>, ask_keys {KEYED}, ask_sizes array<double>"
 TOP = ("bid", "bid_qty", "ask", "ask_qty")
 
 
@@ -43,13 +48,23 @@ def rebuild_books(
 ) -> DataFrame:
     """Book after every message: snapshot clears both sides, size 0 deletes, best ``depth`` kept.
 
-    ``order`` is [time, sequence]. An epoch is a snapshot and what follows up to the next one.
-    Where no side of an epoch ever has more than ``depth`` prices (by a count of its distinct
-    prices), nothing is ever cut off: its messages are folded in buckets, the book at the start of
-    a bucket being the last update of every price since the snapshot, so one long epoch is rebuilt
-    by many tasks. What is cut off in any other epoch depends on all before it: such an epoch is
-    folded in order by one task, batch by batch, holding one book only. ``strict`` sends every
-    epoch that way, ``trim=False`` none. The result is the same for any number of buckets.
+    ``order`` is [time, sequence]. What a message cuts off is gone for good, so a book depends on all
+    that came before. Messages are cut into chunks (market and bucket) all the same, and the book
+    at the start of every chunk is found first, by guess and proof:
+
+    1. Guess: the chunks' last updates per price, laid over each other in order and trimmed.
+    2. Every chunk is folded from its guess, all in parallel, to its last book and its floor: the best
+       price that the worst of ``depth`` kept levels had after any message (see :class:`_Books`).
+       Levels behind the floor were cut off there whatever book the chunk started with.
+    3. The chunks' results are read in order, one row per chunk. Where a chunk's start was guessed
+       wrong, its last book still holds if the best wrong price lies behind the floor; if not, the chunk is
+       folded again from the better start. This repeats until nothing is left to fold.
+    4. The starts are exact then, and all chunks are folded to their output in parallel.
+
+    Rounds of step 3 are few where books are full or snapshots come now and then; a chain of
+    chunks whose books are never full and all hang on one wrong level takes a round each.
+    ``strict`` folds every epoch (a snapshot and what follows up to the next one) in order in one task
+    instead, ``trim=False`` cuts off nothing but what is shown. The result does not depend on buckets.
     """
     order = order or ["t", "seq"]
     ev = events.withColumn("_snap", (F.col("kind") == "snapshot").cast("int"))
@@ -58,35 +73,30 @@ def rebuild_books(
     schema = f"{head}, {OUT}"
     if not trim:
         return _in_buckets(ev, order, parts, names, schema, depth)
-    ev = stage(running(ev, MARKET, order, {EPOCH: ("sum", "_snap")}, parts))
-    epoch = MARKET + [EPOCH]
     if strict:
-        return _in_order(ev, epoch, order, names, schema, depth)
-    deep = stage(_deep(ev, epoch, depth))
-    if deep.isEmpty():
-        return _in_buckets(ev, order, parts, names, schema, depth)
-    deep = small(deep)
-    long = _in_order(ev.join(deep, epoch, "left_semi"), epoch, order, names, schema, depth)
-    flat = ev.join(deep, epoch, "left_anti")
-    return long if flat.isEmpty() else long.unionByName(_in_buckets(flat, order, parts, names, schema, depth))
-
-
-def _deep(ev: DataFrame, epoch: list[str], depth: int) -> DataFrame:
-    """Epochs with more than ``depth`` distinct prices on a side."""
-    prices = [ev.select(*epoch, F.lit(side).alias("_side"), F.explode(F.transform(
-        F.filter(side, lambda x: x["qty"] != 0), lambda x: price_key(x["price"]))).alias("_p")) for side in ("bids", "asks")]
-    counts = prices[0].unionByName(prices[1]).distinct().groupBy(*epoch, "_side").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > depth).select(*epoch).distinct()
+        ev = stage(running(ev, MARKET, order, {EPOCH: ("sum", "_snap")}, parts))
+        return _in_order(ev, MARKET + [EPOCH], order, names, schema, depth)
+    ev = stage(bucketed(ev, order, parts))
+    rows = _entered(ev, _starts(ev, order, depth), names)
+    return rows.groupBy(*MARKET, BUCKET).applyInArrow(_shown(order, names, depth, depth), schema)
 
 
 class _Books:
-    """Both sides of one book: sizes by price and prices in book order (bids negated)."""
+    """Both sides of one book: sizes by price and prices in book order (bids negated).
+
+    ``floor`` is per side the best price that the worst of ``depth`` levels had after a message.
+    Levels better than a price evolve without regard to those behind it, as only the worst are cut
+    off. So two books that differ only behind the floor are the same from the message of the floor on.
+    A snapshot sets the floor before every price.
+    """
 
     def __init__(self):
         self.size: list[dict[int, float]] = [{}, {}]
         self.keys: list[list[int]] = [[], []]
+        self.floor = [BEHIND, BEHIND]
 
     def clear(self):
+        self.floor = [-BEHIND, -BEHIND]
         for side in (0, 1):
             self.size[side].clear()
             self.keys[side].clear()
@@ -108,10 +118,11 @@ class _Books:
                     if k not in size:
                         insort(keys, k)
                     size[k] = q
-        if depth is not None and len(keys) > depth:
+        if depth is not None and len(keys) >= depth:
             for k in keys[depth:]:
                 del size[k]
             del keys[depth:]
+            self.floor[side] = min(self.floor[side], keys[-1])
 
 
 class _Out:
@@ -168,28 +179,142 @@ def _in_order(ev: DataFrame, epoch: list[str], order: list[str], names: list[str
 
 def _in_buckets(ev: DataFrame, order: list[str], parts: int | None, names: list[str], schema: str, depth: int) -> DataFrame:
     """Books by chunk, from the carried book at its start; nothing is cut off but in what is shown."""
-    group = MARKET + [BUCKET]
     ev = bucketed(ev.drop(EPOCH), order, parts)
-    rows = ev.withColumn("_carry", F.lit(1)).unionByName(_carried(ev, order), allowMissingColumns=True)
-
+    rows = _entered(ev, _carried(ev, order), names)
+    return rows.groupBy(*MARKET, BUCKET).applyInArrow(_shown(order, names, depth, None), schema)
+
+
+def _entered(ev: DataFrame, starts: DataFrame, names: list[str]) -> DataFrame:
+    """Messages of chunks, each chunk preceded by a pseudo message with its book at the start."""
+    starts = starts.withColumns({"_snap": F.lit(0), "_carry": F.lit(0)})
+    rows = ev.withColumn("_carry", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    return rows.select(*MARKET, BUCKET, *[n for n in names if n not in MARKET], "bids", "asks", "_snap", "_carry")
+
+
+def _folded(table: pa.Table, order: list[str], kept: int | None, out: Callable | None = None) -> tuple[pa.Table, _Books]:
+    """Folds a chunk; ``out`` is told the book after every message."""
+    table = table.sort_by([(c, "ascending") for c in ("_carry", *order)]).combine_chunks()
+    sides = [_flat(table["bids"]), _flat(table["asks"])]
+    books = _Books()
+    for i, (snap, carry) in enumerate(zip(table["_snap"].to_pylist(), table["_carry"].to_pylist())):
+        if snap == 1:
+            books.clear()
+        for side, (offs, price, qty) in enumerate(sides):
+            a, b = offs[i], offs[i + 1]
+            if b > a:
+                books.apply(side, price[a:b], qty[a:b], kept if carry else None)
+        if carry and out is not None:
+            out(books)
+    return table, books
+
+
+def _shown(order: list[str], names: list[str], depth: int, kept: int | None):
     def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("_carry", *order)]).combine_chunks()
-        sides = [_flat(table["bids"]), _flat(table["asks"])]
-        books, out = _Books(), _Out()
-        for i, (snap, carry) in enumerate(zip(table["_snap"].to_pylist(), table["_carry"].to_pylist())):
-            if snap == 1:
-                books.clear()
-            for side, (offs, price, qty) in enumerate(sides):
-                a, b = offs[i], offs[i + 1]
-                if b > a:
-                    books.apply(side, price[a:b], qty[a:b], None)
-            if carry:
-                out.add(books, depth)
-        kept = table.filter(pc.equal(table["_carry"], 1)).select(names)
-        return pa.table({n: kept[n] for n in names} | out.columns())
+        out = _Out()
+        table, _ = _folded(table, order, kept, lambda books: out.add(books, depth))
+        rows = table.filter(pc.equal(table["_carry"], 1)).select(names)
+        return pa.table({n: rows[n] for n in names} | out.columns())
+
+    return fold
+
+
+def _starts(ev: DataFrame, order: list[str], depth: int) -> DataFrame:
+    """The exact book at the start of every chunk of ``ev`` (market, bucket, bids, asks), by guess and proof."""
+    keys = [*MARKET, BUCKET]
+
+    def ended(table: pa.Table) -> pa.Table:
+        _, books = _folded(table, order, depth)
+        row = {c: table[c][:1] for c in keys}
+        for side, name in enumerate(("bid", "ask")):
+            row[f"{name}_keys"] = pa.array([books.keys[side]], pa.list_(pa.int64()))
+            row[f"{name}_sizes"] = pa.array([[books.size[side][k] for k in books.keys[side]]], pa.list_(pa.float64()))
+            row[f"{name}_floor"] = pa.array([books.floor[side]], pa.int64())
+        return pa.table(row)
+
+    head = ", ".join(f"{c} {ev.schema[c].dataType.simpleString()}" for c in keys)
+    proved, todo = stage(_guesses(ev, order, depth, head)), None
+    folds = None
+    while True:
+        open_ = proved if todo is None else proved.where("_again").drop("_again")
+        rows = ev if todo is None else ev.join(small(todo.select(*keys)), keys, "left_semi")
+        new = rows_of_chunks(rows, open_, order).groupBy(*keys).applyInArrow(ended, f"{head}, {BOOK}, bid_floor bigint, ask_floor bigint")
+        used = open_.select(*keys, *[F.col(c).alias(f"_{c}") for c in BOOK_COLUMNS])
+        new = new.join(used, keys)
+        folds = stage(new if folds is None else new.unionByName(folds.join(small(todo.select(*keys)), keys, "left_anti")))
+        proved = stage(folds.groupBy(*MARKET).applyInPandas(_prove, f"{head}, {BOOK}, _again boolean"))
+        todo = proved.where("_again")
+        if todo.isEmpty():
+            return proved.select(*keys, *_levels())
+
+
+BOOK_COLUMNS = ("bid_keys", "bid_sizes", "ask_keys", "ask_sizes")
+
+
+def _levels() -> list[Column]:
+    """Keys and sizes as the price levels ``bids`` and ``asks``."""
+    pair = lambda k, q: F.struct((F.abs(k) / PRICE_SCALE).alias("price"), q.alias("qty"))
+    return [F.zip_with(f"{name}_keys", f"{name}_sizes", pair).alias(f"{name}s") for name in ("bid", "ask")]
+
+
+def rows_of_chunks(ev: DataFrame, starts: DataFrame, order: list[str]) -> DataFrame:
+    """Messages and starts with what a fold to the last book needs."""
+    return _entered(ev, starts.select(*MARKET, BUCKET, *_levels()), [*MARKET, *order])
+
+
+def _guesses(ev: DataFrame, order: list[str], depth: int, head: str) -> DataFrame:
+    """Per chunk a guess at the book at its start: last updates per price of the chunks before, trimmed chunk by chunk.
+
+    A task reads one row per price and chunk of its markets, in order, and holds one book.
+    """
+    group = [*MARKET, BUCKET]
+    at = F.struct(*[F.col(c) for c in order])
+    last = _last_updates(ev, group, at).select(*group, "_side", "_p", "_u.qty", F.col("_u._at").alias("_at"))
+    marks = ev.groupBy(*group).agg(F.max(F.when(F.col("_snap") == 1, at)).alias("_cleared"))
+    last = last.join(marks, group).where(F.col("_cleared").isNull() | (F.col("_at") >= F.col("_cleared")))
+    rows = last.select(*group, F.when(F.col("_side") == "bids", 0).otherwise(1).alias("_side"), F.col("_p"), "qty").unionByName(
+        marks.select(*group, F.when(F.col("_cleared").isNull(), -1).otherwise(-2).alias("_side"), F.lit(None).cast("bigint").alias("_p"), F.lit(None).cast("double").alias("qty")))
+    rows = rows.repartition(*MARKET).sortWithinPartitions(*group, "_side")
+
+    def lay(batches):
+        now, market, books = None, None, _Books()
+        for b in batches:
+            out = []
+            cols = [b.column(c).to_pylist() for c in (*group, "_side", "_p", "qty")]
+            for venue, pair, bucket, side, price, qty in zip(*cols):
+                if side < 0:  # the chunk's first row
+                    if (venue, pair) != market:
+                        market, books = (venue, pair), _Books()
+                    for s in (0, 1):
+                        books.apply(s, [], [], depth)
+                    out.append((venue, pair, bucket, *_columns(books)))
+                    if side == -2:
+                        books.clear()
+                else:
+                    books.apply(side, [price], [qty], None)
+            if out:
+                kinds = [b.schema.field(c).type for c in group] + [pa.list_(pa.int64()), pa.list_(pa.float64())] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names=[*group, *BOOK_COLUMNS])
+
+    return rows.mapInArrow(lay, f"{head}, {BOOK}")
+
 
-    rows = rows.select(*group, *[n for n in names if n not in MARKET], "bids", "asks", "_snap", "_carry")
-    return rows.groupBy(*group).applyInArrow(fold, schema)
+def _columns(books: _Books) -> list:
+    return [x for side in (0, 1) for x in (list(books.keys[side]), [books.size[side][k] for k in books.keys[side]])]
+
+
+def _prove(rows: pd.DataFrame) -> pd.DataFrame:
+    """Reads a market's chunks in order: their starts as far as known, and which have to be folded again."""
+    rows = rows.sort_values(BUCKET)
+    out, known = [], [[], [], [], []]
+    for r in rows.to_dict("records"):
+        again = False
+        for side, name in enumerate(("bid", "ask")):
+            mine, used = (dict(zip(k, q)) for k, q in ((known[2 * side], known[2 * side + 1]), (r[f"_{name}_keys"], r[f"_{name}_sizes"])))
+            wrong = min((k for k in mine.keys() | used.keys() if mine.get(k) != used.get(k)), default=None)
+            again |= wrong is not None and wrong <= r[f"{name}_floor"]
+        out.append((*(r[c] for c in (*MARKET, BUCKET)), *known, again))
+        known = [list(r[c]) for c in BOOK_COLUMNS]
+    return pd.DataFrame(out, columns=[*MARKET, BUCKET, *BOOK_COLUMNS, "_again"])
 
 
 def _flat(column) -> tuple[list[int], list[int], list[float]]:
@@ -201,6 +326,17 @@ def _flat(column) -> tuple[list[int], list[int], list[float]]:
     return [0, *np.cumsum(counts).tolist()], price.tolist(), flat.field("qty").to_numpy(zero_copy_only=False).tolist()
 
 
+def _last_updates(ev: DataFrame, group: list[str], at: Column) -> DataFrame:
+    """The last update of every price of a side in a group, as struct _u (_at, _i, qty)."""
+
+    def side(name):
+        lv = ev.select(*group, at.alias("_at"), F.posexplode(name).alias("_i", "_l"))
+        return lv.select(*group, F.lit(name).alias("_side"), price_key("_l.price").alias("_p"),
+                         F.struct(F.col("_at"), F.col("_i"), F.col("_l.qty").alias("qty")).alias("_u"))
+
+    return side("bids").unionByName(side("asks")).groupBy(*group, "_side", "_p").agg(F.max("_u").alias("_u"))
+
+
 def _carried(ev: DataFrame, order: list[str]) -> DataFrame:
     """One pseudo message per (market, bucket) with the book at the bucket's start."""
     group = MARKET + [BUCKET]
@@ -209,12 +345,7 @@ def _carried(ev: DataFrame, order: list[str]) -> DataFrame:
     w = W.partitionBy(*MARKET).orderBy(BUCKET).rowsBetween(FIRST, -1)
     marks = marks.withColumn("_since", F.last("_cleared", ignorenulls=True).over(w))
 
-    def side(name):
-        lv = ev.select(*group, at.alias("_at"), F.posexplode(name).alias("_i", "_l"))
-        return lv.select(*group, F.lit(name).alias("_side"), price_key("_l.price").alias("_p"),
-                         F.struct(F.col("_at"), F.col("_i"), F.col("_l.qty").alias("qty")).alias("_u"))
-
-    last = side("bids").unionByName(side("asks")).groupBy(*group, "_side", "_p").agg(F.max("_u").alias("_u"))
+    last = _last_updates(ev, group, at)
     # an update holds until the next bucket that touches the same price
     until = F.lead(BUCKET).over(W.partitionBy(*MARKET, "_side", "_p").orderBy(BUCKET))
     last = last.withColumn("_until", until).where(F.col("_u.qty") != 0)
@@ -231,7 +362,7 @@ def _carried(ev: DataFrame, order: list[str]) -> DataFrame:
     return spans.groupBy(*group).agg(
         F.collect_list(F.when(F.col("_side") == "bids", level)).alias("bids"),
         F.collect_list(F.when(F.col("_side") == "asks", level)).alias("asks"),
-    ).withColumn("_snap", F.lit(0)).withColumn("_carry", F.lit(0))
+    )
 
 
 def sequence_status(events: DataFrame, rule: str, order: list[str] | None = None, parts: int | None = None) -> DataFrame:

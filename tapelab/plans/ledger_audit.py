@@ -7,14 +7,17 @@ ledger with a third of all events is spread over buckets of its sequence.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapelab.operators.ordered import BUCKET, bucketed, ranked, running, running_sum
+from tapelab.session import small, stage
 
 GENESIS = "GENESIS"
+UNITS = 10**10  # of a quantity
 
 
 def with_previous(events: DataFrame, keys: list[str], order: list[str], column: str, parts: int | None = None) -> DataFrame:
@@ -137,9 +140,9 @@ def average_cost(fills: DataFrame, mark: float | Column = 0.0, parts: int | None
 
     Stock is a running sum. While it never goes short, the cost of the stock changes by
     x -> x + paid on a purchase and x -> x (1 - q / stock) on a sale. Such steps combine, so the
-    buckets of a ledger are folded apart and then in order. Ledgers that do go short have to skip
-    the bad sales, which no fold over buckets can know; they are read in order by one task each,
-    with constant memory. Input: ledger, sequence, side, qty, notional, fee.
+    buckets of a ledger are folded apart and then in order. Where a ledger does go short, which sales
+    count depends on the stock a bucket starts with; see :func:`_exact_stock`, which finds that
+    first. Quantities count to ten decimals there. Input: ledger, sequence, side, qty, notional, fee.
     """
     c = F.col
     signed = F.when(c("side") == "buy", c("qty")).otherwise(-c("qty"))
@@ -148,7 +151,7 @@ def average_cost(fills: DataFrame, mark: float | Column = 0.0, parts: int | None
     good = low.where("_low >= 0").select("ledger")
     short = low.where("_low < 0").select("ledger")
     clean = _fold_cost(rows.join(good, "ledger", "left_semi"), parts)
-    dirty = _walk_cost(fills.join(short, "ledger", "left_semi"))
+    dirty = _short_cost(fills.join(short, "ledger", "left_semi"), parts)
     out = clean.unionByName(dirty)
     open_ = F.when(c("stock") > 0, c("stock") * mark - c("cost")).otherwise(0.0)
     return out.withColumn("unrealized", open_)
@@ -167,45 +170,116 @@ def _fold_cost(rows: DataFrame, parts: int | None) -> DataFrame:
     paid = F.sum(F.when(buy, (c("notional") + c("fee")).cast("double")).otherwise(0.0))
     got = F.sum(F.when(buy, 0.0).otherwise((c("notional") - c("fee")).cast("double")))
     part = rows.groupBy("ledger", BUCKET).agg(step.alias("_s"), paid.alias("_paid"), got.alias("_got"), F.sum("_q").alias("_dq"))
-    part = part.withColumn("_f", F.aggregate("_s", unit, fold)).drop("_s")
+    part = part.withColumn("_f", F.aggregate("_s", unit, fold)).drop("_s").withColumn("_bad", F.lit(0).cast("bigint"))
+    return _chained(part.withColumn("_dq", c("_dq").cast("double")))
+
+
+def _chained(part: DataFrame) -> DataFrame:
+    """Combines buckets, cost -> a cost + b each, along a ledger. Input: _f (a, b), _paid, _got, _dq, _bad."""
+    c = F.col
     chain = F.array_sort(F.collect_list(F.struct(F.col(BUCKET).alias("k"), "_f")))
     cost = F.aggregate("_c", F.lit(0.0), lambda x, s: x * s["_f"]["a"] + s["_f"]["b"])
-    out = part.groupBy("ledger").agg(chain.alias("_c"), F.sum("_paid").alias("_paid"), F.sum("_got").alias("_got"), F.sum("_dq").cast("double").alias("stock"))
+    out = part.groupBy("ledger").agg(chain.alias("_c"), F.sum("_paid").alias("_paid"), F.sum("_got").alias("_got"), F.sum("_dq").alias("stock"),
+                                    F.sum("_bad").alias("bad_sales"))
     out = out.withColumn("cost", cost)
     # released cost = everything paid minus what is still in stock
-    return out.select("ledger", "stock", "cost", (c("_got") - (c("_paid") - c("cost"))).alias("realized"), F.lit(0).cast("bigint").alias("bad_sales"))
-
-
-def _walk_cost(fills: DataFrame) -> DataFrame:
-    schema = "ledger string, stock double, cost double, realized double, bad_sales bigint"
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, st = None, [0.0, 0.0, 0.0, 0]
-        for pdf in batches:
-            done = []
-            for ledger, side, q, n, f in zip(pdf["ledger"], pdf["side"], pdf["qty"], pdf["notional"], pdf["fee"]):
-                if ledger != name:
-                    if name is not None:
-                        done.append((name, *st))
-                    name, st = ledger, [0.0, 0.0, 0.0, 0]
-                q, n, f = float(q), float(n), float(f)
-                if side == "buy":
-                    st[0] += q
-                    st[1] += n + f
-                elif st[0] < q:
-                    st[3] += 1
-                else:
-                    out = st[1] * q / st[0]
-                    st[2] += n - f - out
-                    st[0] -= q
-                    st[1] -= out
-            if done:
-                yield pd.DataFrame(done, columns=["ledger", "stock", "cost", "realized", "bad_sales"])
-        if name is not None:
-            yield pd.DataFrame([(name, *st)], columns=["ledger", "stock", "cost", "realized", "bad_sales"])
-
-    rows = fills.select("ledger", "sequence", "side", "qty", "notional", "fee").repartition("ledger").sortWithinPartitions("ledger", "sequence")
-    return rows.mapInPandas(walk, schema)
+    return out.select("ledger", "stock", "cost", (c("_got") - (c("_paid") - c("cost"))).alias("realized"), "bad_sales")
+
+
+def _walked(pdf: pd.DataFrame) -> Iterator[tuple]:
+    """Fills of one bucket in order: (is a purchase, units, notional, fee)."""
+    pdf = pdf.sort_values("sequence", kind="stable")
+    return zip((pdf["side"] == "buy").tolist(), map(int, pdf["_units"]), pdf["notional"].astype(float).tolist(), pdf["fee"].astype(float).tolist())
+
+
+def _stock_piece(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What one bucket does to the stock, from the stock it is said to start with.
+
+    The same sales count for every start from ``_low`` to below ``_high``; there the stock changes by
+    ``_net``. From ``_safe`` on all sales count and it changes by ``_sum``.
+    """
+    start = stock = int(pdf["_start"].iloc[0])
+    low, high, total, safe = 0, None, 0, 0
+    for buy, q, _, _ in _walked(pdf):
+        if buy:
+            stock, total = stock + q, total + q
+            continue
+        safe = max(safe, q - total)
+        total -= q
+        if stock < q:
+            high = min(high, start + q - stock) if high is not None else start + q - stock
+        else:
+            low = max(low, start - (stock - q))
+            stock -= q
+    values = [pdf["ledger"].iloc[0], pdf[BUCKET].iloc[0], *(None if v is None else Decimal(v) for v in (start, low, high, stock - start, safe, total))]
+    return pd.DataFrame([values], columns=["ledger", BUCKET, "_start", "_low", "_high", "_net", "_safe", "_sum"])
+
+
+def _prove_stock(rows: pd.DataFrame) -> pd.DataFrame:
+    """Reads a ledger's buckets in order: the stock at their start as far as known, and which have to be folded again."""
+    stock, out = 0, []
+    for r in rows.sort_values(BUCKET).to_dict("records"):
+        low, high = int(r["_low"]), r["_high"]
+        known = low <= stock and (high is None or stock < int(high))
+        all_count = stock >= int(r["_safe"])
+        out.append((r["ledger"], r[BUCKET], Decimal(stock), not (known or all_count)))
+        # a wrong start leads to the same stock in the end more often than not
+        stock = stock + int(r["_net"]) if known else stock + int(r["_sum"]) if all_count else int(r["_start"]) + int(r["_net"])
+    return pd.DataFrame(out, columns=["ledger", BUCKET, "_start", "_again"])
+
+
+def _exact_stock(rows: DataFrame) -> DataFrame:
+    """(ledger, bucket, _start): the stock in units at the start of every bucket, skipping sales without stock.
+
+    Every bucket is folded from a guess, all in parallel, to its piece of the function from the stock
+    before to the stock after it. The pieces are read in order, one row per bucket. A bucket whose true
+    start is outside its piece is folded again from there. Two starts with different sales meet in
+    the same stock sooner or later, so a bucket's end is mostly right even from a wrong guess: if
+    buckets are long beside the time to meet (quantities in lots), two or three rounds do, else one
+    more per bucket. Every round proves one bucket more at least.
+    """
+    keys, units = ["ledger", BUCKET], "decimal(38,0)"
+    head = f"ledger {rows.schema['ledger'].dataType.simpleString()}, {BUCKET} int"
+    todo = rows.select(*keys).distinct().withColumn("_start", F.lit(0).cast(units))
+    pieces = None
+    while True:
+        new = rows.join(small(todo), keys).groupBy(*keys).applyInPandas(
+            _stock_piece, f"{head}, " + ", ".join(f"{c} {units}" for c in ("_start", "_low", "_high", "_net", "_safe", "_sum")))
+        pieces = stage(new if pieces is None else new.unionByName(pieces.join(small(todo.select(*keys)), keys, "left_anti")))
+        proved = stage(pieces.groupBy("ledger").applyInPandas(_prove_stock, f"{head}, _start {units}, _again boolean"))
+        todo = proved.where("_again").drop("_again")
+        if todo.isEmpty():
+            return proved.drop("_again")
+
+
+def _cost_piece(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What one bucket does to cost and result, from its exact stock."""
+    start = stock = int(pdf["_start"].iloc[0])
+    a, b, paid, got, bad = 1.0, 0.0, 0.0, 0.0, 0
+    for buy, q, n, f in _walked(pdf):
+        if buy:
+            stock, b, paid = stock + q, b + n + f, paid + n + f
+        elif stock < q:
+            bad += 1
+        else:
+            keep = (stock - q) / stock if stock else 1.0
+            stock, a, b, got = stock - q, a * keep, b * keep, got + n - f
+    return pd.DataFrame([[pdf["ledger"].iloc[0], pdf[BUCKET].iloc[0], a, b, paid, got, (stock - start) / UNITS, bad]],
+                        columns=["ledger", BUCKET, "a", "b", "_paid", "_got", "_dq", "_bad"])
+
+
+def _short_cost(fills: DataFrame, parts: int | None) -> DataFrame:
+    """Average cost of ledgers with sales that do not count, in parallel over their buckets."""
+    rows = fills.select("ledger", "sequence", "side", "notional", "fee",
+                        (F.col("qty").cast("decimal(28,10)") * F.lit(UNITS)).cast("decimal(38,0)").alias("_units"))
+    if rows.isEmpty():
+        return _chained(rows.limit(0).select("ledger", F.lit(0).alias(BUCKET), F.lit(0).cast("bigint").alias("_bad"), F.struct(
+            F.lit(1.0).alias("a"), F.lit(0.0).alias("b")).alias("_f"), *[F.lit(0.0).alias(x) for x in ("_paid", "_got", "_dq")]))
+    rows = stage(bucketed(rows, ["sequence"], parts))
+    starts = _exact_stock(rows)
+    part = rows.join(small(starts), ["ledger", BUCKET]).groupBy("ledger", BUCKET).applyInPandas(
+        _cost_piece, f"ledger {rows.schema['ledger'].dataType.simpleString()}, {BUCKET} int, a double, b double, _paid double, _got double, _dq double, _bad bigint")
+    return _chained(part.withColumn("_f", F.struct("a", "b")))
 
 
 def document_events(events: DataFrame) -> DataFrame:
