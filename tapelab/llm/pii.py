@@ -2,7 +2,8 @@
 
 Candidates come from one base pattern per kind and, for e-mail and phone, a looser one. Labelers
 vote on every candidate: the base rule (pattern and checks), a gazetteer (top-level domains,
-calling codes, issuer prefixes, address ranges), words in the context before it, and its edges.
+calling codes, issuer prefixes, address ranges), words in the context before it (WINDOW code points,
+back to the end of the match before the last), and its edges.
 Votes are yes, no or none. Expectation-maximisation over the counts of vote patterns (at most
 4 kinds x 3**4 rows, whatever the input) estimates how reliable each labeler is; a naive-Bayes
 span classifier is then trained on the resulting probabilities, over features of the span. A
@@ -20,6 +21,7 @@ their possessive forms and the ``\\G`` anchor change speed on long runs, not mat
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,17 +59,47 @@ THRESHOLD = 0.95
 
 
 def _spans(t: Column, pattern: str, kind: int, loose: bool, guard: Column) -> Column:
-    """Matches with their offsets: what stands between them comes from a split by the same pattern."""
-    pieces = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
-                        lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,start:int,end:int,hit:string,loose:boolean>>").alias("out"))
+    """Matches with their offsets and what stands around them: the pieces between come from a split by the same pattern.
 
-    def step(acc, x):
-        a, b = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.length(x["hit"])
-        new = F.array(F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["hit"].alias("hit"), F.lit(loose).alias("loose")))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc["out"], new).alias("out")))
+    Offsets are running sums over blocks of about the square root of the number of matches, so that appending copies
+    little, and what stands around a match is taken from the pieces next to it, never sought from the text's start.
+    """
+    found = F.array(F.struct(F.split(t, pattern, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hits")))
+    tail = lambda x, n: F.right(F.coalesce(x, F.lit("")), F.lit(n))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,hit:string,loose:boolean,before:string,left:string,right:string>>")
+
+    def pieces(s):
+        def piece(hit, i):
+            gap, last, earlier = F.get(s["gaps"], i), F.get(s["hits"], i - 1), F.get(s["gaps"], i - 1)
+            after = F.concat(F.left(F.get(s["gaps"], i + 1), F.lit(1)), F.left(F.coalesce(F.get(s["hits"], i + 1), F.lit("")), F.lit(1)))
+            before = tail(F.concat(tail(earlier, WINDOW), tail(last, WINDOW), tail(gap, WINDOW)), WINDOW)
+            return F.struct(F.length(gap).alias("skip"), F.length(hit).alias("size"), hit.alias("hit"), before.alias("before"), F.left(after, F.lit(1)).alias("right"))
+
+        return F.struct(F.transform(s["hits"], piece).alias("p"), F.ceil(F.sqrt(F.size(s["hits"]))).cast("int").alias("width"))
+
+    def blocks(s):
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(s["p"]) - 1) / s["width"]).cast("int")),
+                          lambda i: F.slice(s["p"], i * s["width"] + 1, s["width"]))
+        return F.transform(cut, lambda block: F.struct(block.alias("p"), F.aggregate(block, F.lit(0), lambda n, x: n + x["skip"] + x["size"]).alias("n")))
+
+    def placed(block, at):
+        def step(acc, x):
+            a = acc["at"] + x["skip"]
+            new = F.struct(F.lit(kind).alias("kind"), a.alias("start"), (a + x["size"]).alias("end"), x["hit"].alias("hit"), F.lit(loose).alias("loose"),
+                           x["before"].alias("before"), F.right(x["before"], F.lit(1)).alias("left"), x["right"].alias("right"))
+            return F.struct((a + x["size"]).alias("at"), F.concat(acc["out"], F.array(new)).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def one(s):
+        def step(acc, x):
+            return F.struct((acc["at"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        starts = F.aggregate(s["b"], F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(s["b"], starts, lambda x, at: placed(x["p"], at)))
 
-    return F.when(guard, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    some = F.transform(F.filter(F.transform(found, pieces), lambda s: s["width"] > 0), lambda s: F.struct(blocks(s).alias("b")))
+    return F.when(guard, F.flatten(F.transform(some, one))).otherwise(none)
 
 
 def _digits(hit: Column) -> Column:
@@ -116,10 +148,9 @@ def candidates(t: Column) -> Column:
     found += [_spans(t, LOOSE[0], 0, True, has("(at") | has("[at") | has("(AT") | has("[AT")), _spans(t, LOOSE[3], 3, True, F.rlike(t, F.lit("[0-9]{4}")))]
 
     def vote(c: Column) -> Column:
-        before = F.lower(F.substr(t, F.greatest(c["start"] - WINDOW, F.lit(0)) + 1, F.least(c["start"], F.lit(WINDOW))))
-        left, right = F.substr(t, c["start"], F.lit(1)), F.substr(t, c["end"] + 1, F.lit(1))
+        before, left, right = F.lower(c["before"]), c["left"], c["right"]
         near = F.element_at(F.array(*[F.rlike(before, F.lit(p)) for p in CONTEXT]), c["kind"] + 1)
-        edges = ~((c["start"] > 0) & F.rlike(left, F.lit(r"[\p{L}\p{N}_]"))) & ~F.rlike(right, F.lit(r"[\p{L}\p{N}_@]"))
+        edges = ~(F.rlike(left, F.lit(r"[\p{L}\p{N}_]"))) & ~F.rlike(right, F.lit(r"[\p{L}\p{N}_@]"))
         rule = F.when(c["loose"], F.lit(-1)).when(_rule(c), 1).otherwise(0)
         size = c["end"] - c["start"]
         share = F.length(_digits(c["hit"])) * 4 / size
@@ -137,21 +168,21 @@ def estimate(patterns: DataFrame) -> tuple[dict, dict]:
 
     ``patterns``: kind, the votes, n. Starts from the share of yes among a candidate's votes.
     """
-    cast = [F.when(F.col(v) >= 0, F.col(v)) for v in VOTES]
-    given = sum((F.coalesce(c * 0 + 1, F.lit(0)) for c in cast), F.lit(0))
-    yes = sum((F.coalesce(c, F.lit(0)) for c in cast), F.lit(0))
-    p = (yes + 0.5) / (given + 1.0)
+    rows = patterns.select("kind", *VOTES, "n").collect()  # at most 4 x 81
+    yes = [(sum(r[v] == 1 for v in VOTES) + 0.5) / (sum(r[v] >= 0 for v in VOTES) + 1.0) for r in rows]
     kinds, votes = {}, {}
     for _ in range(ROUNDS):
-        w = F.col("n") * p, F.col("n") * (1 - p)
-        sums = patterns.agg(*[F.sum(F.when(F.col("kind") == k, x)).alias(f"k{k}{i}") for k in range(len(KINDS)) for i, x in enumerate(w)],
-                            *[F.sum(F.when(F.col(v) == s, x)).alias(f"{v}{s + 1}{i}") for v in VOTES for s in (-1, 0, 1) for i, x in enumerate(w)]).first()
-        n = {c: (sums[c] or 0.0) + PRIOR for c in sums.__fields__}
-        kinds = {k: math.log(n[f"k{k}0"] / n[f"k{k}1"]) for k in range(len(KINDS))}
+        n = Counter()
+        for r, p in zip(rows, yes):
+            for side, w in enumerate((r["n"] * p, r["n"] * (1 - p))):
+                n[r["kind"], side] += w
+                for v in VOTES:
+                    n[v, r[v], side] += w
+        kinds = {k: math.log((n[k, 0] + PRIOR) / (n[k, 1] + PRIOR)) for k in range(len(KINDS))}
         for v in VOTES:
-            totals = [sum(n[f"{v}{s}{i}"] for s in range(3)) for i in (0, 1)]
-            votes |= {(v, s - 1): math.log(n[f"{v}{s}0"] / totals[0] / (n[f"{v}{s}1"] / totals[1])) for s in range(3)}
-        p = posterior(kinds, votes)
+            totals = [sum(n[v, s, side] + PRIOR for s in (-1, 0, 1)) for side in (0, 1)]
+            votes |= {(v, s): math.log((n[v, s, 0] + PRIOR) / totals[0] / ((n[v, s, 1] + PRIOR) / totals[1])) for s in (-1, 0, 1)}
+        yes = [1 / (1 + math.exp(-kinds[r["kind"]] - sum(votes[v, r[v]] for v in VOTES))) for r in rows]
     return kinds, votes
 
 
