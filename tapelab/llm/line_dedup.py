@@ -4,7 +4,8 @@ A first scan puts the hash of every line key into a *once* filter and, if it was
 into a *twice* filter. Filters of different tasks are merged in a tree: a bit set in the *once*
 filters of two tasks is set in *twice*. The merged *twice* filter (at most ``MAX_BITS`` bits) is
 broadcast. A second scan sends only hashes found in it through a shuffle, which counts documents
-exactly and finds the document that keeps the line. False positives cost shuffle, never results:
+exactly and finds the document that keeps the line. The few lines that hold more than a thousandth of
+these hashes each are then broadcast with their keepers, the others joined by shuffle. False positives cost shuffle, never results:
 when the filter is full, every long line's hash is shuffled, still without its text.
 
 Defined results. Null text counts as empty (one empty line). Lines shorter than ``min_chars``
@@ -33,6 +34,7 @@ MAX_BITS = 1 << 28  # 32 MB a filter
 CHUNK = 1 << 16  # bytes of filter in one row
 FAN_IN = 64
 HASHES = 3
+HEAVY = 1000  # lines
 
 
 def _key(line: bytes) -> bytes:
@@ -174,8 +176,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
         _suspects(shared, min_chars),
         T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("doc_id", id_type)]))
     suspects = stage(found.distinct())
-    repeated = suspects.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("_keeper")).where(F.col("n") >= min_docs)
-    drops = (suspects.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
+    repeated = stage(suspects.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("_keeper")).where(F.col("n") >= min_docs))
+    # a line in more than one of HEAVY suspects is heavy: at most HEAVY of them, so they can go to the rows
+    heavy = F.broadcast(repeated.where(F.col("n") * HEAVY > suspects.count()))
+    rest = suspects.join(F.broadcast(heavy.select("h1", "h2")), ["h1", "h2"], "left_anti").join(repeated, ["h1", "h2"])
+    drops = (suspects.join(heavy, ["h1", "h2"]).unionByName(rest).where(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
              .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_drops")))
     names = [c for c in docs.columns if c != text]
     joined = (docs.withColumn("_text", F.col(text).cast("binary")).join(drops, F.col(doc_id).eqNullSafe(F.col("_id")), "left")

@@ -7,9 +7,13 @@ sources sorted by capacity / weight, the first ones are full and the others get
 Sampling: a source is first taken whole as often as its target allows (complete epochs); the rest
 goes to documents in the order of their keys -ln(u) / quality, u a hash of (seed, doc_id), until
 the budget is used up. The document at the edge is taken in part. Order within a source comes
-from a prefix sum in two steps: keys are cut into buckets, so a source with a third of all rows is
-spread over many tasks; a bucket is summed, the sums of buckets are added up, and a running sum
-inside the bucket completes it.
+from a prefix sum in two steps: keys are cut into buckets at their own quantiles (and sizes, where one key has many
+rows), so a source with a third of all rows, good or bad, with or without ids, is spread over many tasks; a
+bucket is summed, the sums of buckets are added up, one row per source and bucket, and a running
+sum inside the bucket completes it.
+
+Quality is a column of 0 to 1 if one is named, such as a classifier's score; else the share of
+lower-case letters and characters beyond ASCII stands in for it.
 
 Defined results. Null text has size 0; sizes of 0 take nothing. A null source is a source, last
 in order. Rows with the same doc_id have the same key and are told apart by size only. No rows: none.
@@ -20,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelab.session import small, stage
+from tapelab.operators.ordered import BUCKET, bucketed
+from tapelab.session import default_parts, small, stage
 
 WEIGHTS = (5, 2, 1)
-ROWS_PER_BUCKET = 256
-MAX_BUCKETS = 1 << 16
+BUCKETS_PER_TASK = 4
 _U = 1 << 48
 
 
@@ -64,18 +68,18 @@ def targets(sources: DataFrame, share: float, max_repeats: int, weights: tuple[i
 
 
 def sample(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: int = 11,
-           rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+           buckets: int | None = None, quality_column: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source)."""
-    sized = stage(docs.select("doc_id", "source", words("text").alias("size"), quality("text").alias("quality"))
+    good = F.lit(0.1) + F.greatest(F.coalesce(F.col(quality_column).cast("double"), F.lit(0.0)), F.lit(0.0)) if quality_column else quality("text")
+    sized = stage(docs.select("doc_id", "source", words("text").alias("size"), good.alias("quality"))
                   .withColumn("key", -F.log(uniform("doc_id", seed)) / F.col("quality")))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")),
                       share, max_repeats, weights)
     goal = stage(sources.select(F.col("source").alias("_source"), "source_size", "target",
                                 F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("epochs"))
                  .withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")))
-    # 1 - exp(-key) spreads keys almost evenly; any monotone map gives the same result
-    buckets = max(1, min(MAX_BUCKETS, -(-sized.count() // rows_per_bucket)))
-    keyed = sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("long"))
+    # any cuts along the keys give the same result
+    keyed = bucketed(sized, ["key", "size"], buckets or BUCKETS_PER_TASK * default_parts(docs.sparkSession)).withColumnRenamed(BUCKET, "bucket")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = (keyed.groupBy(F.col("source").alias("_s"), F.col("bucket").alias("_b")).agg(F.sum("size").alias("total"))

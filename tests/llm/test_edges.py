@@ -227,3 +227,31 @@ def test_join_leaves_nothing_behind(spark):
     got = ngram_join.group(documents(spark, rows), k=3, num=90)
     assert len(session._staged) == mark + 1  # the result
     assert got.count() == len(rows)
+
+
+def test_mixing_spreads_a_hot_source_of_low_quality(spark):
+    from tapelab.llm.mixing import sample
+    from tapelab.operators import ordered
+
+    rows = [(i if i % 3 else None, "1 2 3 " * (i % 5), "hot" if i % 4 else "src") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    keep = ordered.bucketed
+    try:
+        mixing.bucketed = lambda df, order, parts: seen.append(keep(df, order, parts)) or seen[-1]
+        got = sample(docs, buckets=20).collect()
+    finally:
+        mixing.bucketed = keep
+    sizes = [r["count"] for r in seen[0].groupBy("source", ordered.BUCKET).count().collect()]
+    # ids that are null have one key; only rows alike in size too, which are interchangeable, share a bucket
+    alike = seen[0].groupBy("source", "key", "size").count().agg(F.max("count")).first()[0]
+    assert max(sizes) <= max(2 * 3000 / 20, alike + 3000 / 20)
+    one = sample(docs, buckets=1).collect()
+    assert sorted(map(str, one)) == sorted(map(str, got))
+
+
+def test_mixing_by_a_quality_column(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "s0" if i % 2 else "s1", float(i % 4 < 2)) for i in range(800)], "doc_id long, text string, source string, q double")
+    got = mixing.sample(docs, share=0.2, quality_column="q").join(docs.select("doc_id", "q"), "doc_id").groupBy("q").agg(F.sum("taken").alias("n")).collect()
+    n = {r["q"]: r["n"] for r in got}
+    assert n[1.0] > 3 * n[0.0]
