@@ -446,13 +446,13 @@ ft AS (SELECT *, least(sqrt(greatest(mean,0))*6,35) + sharpe*8 + win_rate*22 + l
 
 @query(f"{_WIN} SELECT genome, trades, {s2('pnl','pnl')}, {s2('mean','mean')}, {s6('sharpe','sharpe')}, {s6('win_rate','win_rate')}, {s2('max_drawdown','max_drawdown')}, {s6('mean_latency','mean_latency')}, {s6('partial_rate','partial_rate')} FROM win JOIN dd USING (genome)")
 def genome_windows(spark, sf):
-    w = G.window_fitness(G.selected(ops(spark, sf), GENOMES), O)
+    w = G.Population(ops(spark, sf), GENOMES, O).windows()
     return w.select("genome", "trades", r2("pnl", "pnl"), r2("mean", "mean"), r6("sharpe", "sharpe"), r6("win_rate", "win_rate"), r2("max_drawdown", "max_drawdown"), r6("mean_latency", "mean_latency"), r6("partial_rate", "partial_rate"))
 
 
 @query(f"{_WIN} SELECT genome, {s6('calibration','calibration')}, {s6('edge','edge')} FROM wc")
 def weight_calibration(spark, sf):
-    w = G.weight_calibration(G.selected(ops(spark, sf), GENOMES))
+    w = G.Population(ops(spark, sf), GENOMES, O).calibration()
     return w.select("genome", r6("calibration", "calibration"), r6("edge", "edge"))
 
 
@@ -483,10 +483,15 @@ _DOM = "a.o_pnl>=b.o_pnl AND a.o_sharpe>=b.o_sharpe AND a.o_drawdown>=b.o_drawdo
 
 
 # a row's front is the length of the longest chain of rows above it
+_CROWD = " + ".join(f"(lead({o}) OVER (PARTITION BY front ORDER BY {o}, genome) - lag({o}) OVER (PARTITION BY front ORDER BY {o}, genome))/greatest(max({o}) OVER (PARTITION BY front)-min({o}) OVER (PARTITION BY front), 1e-9::DOUBLE)" for o in G.OBJECTIVES)
+
+
 @query(f"""{_WIN.replace('WITH', 'WITH RECURSIVE', 1)}, {_OBJ}, dm AS MATERIALIZED (SELECT a.genome AS over, b.genome AS under FROM ob a JOIN ob b ON {_DOM}),
-ch(genome, front) AS (SELECT genome, 0 FROM ob UNION SELECT dm.under, front+1 FROM ch JOIN dm ON dm.over=ch.genome) SELECT genome, max(front)::INT AS front FROM ch GROUP BY genome""")
+ch(genome, front) AS (SELECT genome, 0 FROM ob UNION SELECT dm.under, front+1 FROM ch JOIN dm ON dm.over=ch.genome), fr AS (SELECT genome, max(front)::INT AS front FROM ch GROUP BY genome)
+SELECT genome, front, round({_CROWD},6)+0.0 AS crowding FROM fr JOIN ob USING (genome)""")
 def pareto_ranks(spark, sf):
-    return G.pareto_ranks(objectives(spark, sf), "genome").select("genome", "front")
+    out = G.crowding(G.pareto_ranks(objectives(spark, sf), "genome"), "genome")
+    return out.select("genome", "front", F.when(F.col("crowding") < float("inf"), F.round("crowding", 6) + F.lit(0.0)).alias("crowding"))
 
 
 # the crowding distance alone, over the customers as one population per segment

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from tapelab.config import WEIGHTS
 from tapelab.functions.numeric import clamp, ratio
-from tapelab.functions.scoring import canonical_score
-from tapelab.operators.ordered import _same, drawdown, rank_percentiles
+from tapelab.operators.ordered import _same, drawdown, fold_drawdown, rank_percentiles
 from tapelab.session import default_parts, stage
 
 OBJECTIVES = ("o_pnl", "o_sharpe", "o_drawdown", "o_win_rate")
@@ -31,7 +30,7 @@ class Genome:
 
 
 def selected(ops: DataFrame, genomes: list[Genome]) -> DataFrame:
-    """Trades each genome would have taken, scaled to its size cap.
+    """Trades each of a few genomes would have taken, scaled to its size cap; for many see :class:`Population`.
 
     Input: buy_price, qty, utility, expected, latency_ms, partial, route. A genome that does not
     take a trade makes no row, and the trades are read once for all genomes.
@@ -51,39 +50,200 @@ def selected(ops: DataFrame, genomes: list[Genome]) -> DataFrame:
     return df.withColumns({"u": c("utility") * scale, "e": c("expected") * scale, "capital": c("buy_price") * c("size")})
 
 
-def window_fitness(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
-    """Per genome: P&L, mean, clamped Sharpe, win rate, drawdown, latency, partial rate."""
-    r = F.when(F.col("capital") > 0, F.col("u") / F.col("capital"))
-    sd = F.stddev_samp(r)
-    base = rows.groupBy("genome").agg(
-        F.count("*").alias("trades"), F.avg("u").alias("mean"),
-        F.when((F.count(r) < 2) | (sd == 0), 0.0).otherwise(clamp(F.avg(r) / sd, -5, 5)).alias("sharpe"),
-        ratio(F.count_if(F.col("u") > 0), F.count("*")).alias("win_rate"), F.avg("latency_ms").alias("mean_latency"),
-        ratio(F.count_if("partial"), F.count("*")).alias("partial_rate"), F.max("tolerance").alias("tolerance"))
-    return base.join(drawdown(rows, ["genome"], order, "u", parts), "genome")
+_TRADE = ["route", "partial", "latency_ms", "qty", "buy_price", "utility", "expected"]
+_WINDOW = ("trades", "won", "partials", "latency", "mean", "r_count", "r_mean", "r_m2", "n_mean", "n_m2", "largest", "s", "hi", "lo", "dd")
+ROUTE_CELLS = 1 << 21  # (genome, route) pairs that a task holds
+_NONE = np.zeros(0)
 
 
-def weight_calibration(rows: DataFrame) -> DataFrame:
-    """How well the score predicts winners: 1 - squared error, and an edge weighted by outcome.
+def _spread(n: float, mean: float, m2: float, x: np.ndarray) -> tuple[float, float, float]:
+    """Count, mean and squared deviations with the values ``x`` added."""
+    if not len(x):
+        return n, mean, m2
+    k, m = len(x), float(x.mean())
+    d = m - mean
+    return n + k, mean + d * k / (n + k), m2 + float(((x - m) ** 2).sum()) + d * d * n * k / (n + k)
 
-    A route's reliability leaves the scored trade out, so it is (wins - own) / (count - 1); the
-    sums per (genome, route) are joined back instead of comparing trades with each other.
+
+class _Taken:
+    """A batch of trades with what depends on no genome, and the part of it that a genome takes."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.latency, self.qty, self.price, self.utility, self.expected = (
+            pdf[c].to_numpy(float) for c in ("latency_ms", "qty", "buy_price", "utility", "expected"))
+        self.partial = pdf["partial"].fillna(False).to_numpy(bool)
+        self.net = self.expected / (self.price * self.qty) * 10000.0
+
+    def of(self, g: Genome) -> tuple[np.ndarray, ...]:
+        """Index, size, utility, expected value and capital of the trades that ``g`` takes, in order."""
+        if g.max_btc <= 0:
+            return np.zeros(0, int), _NONE, _NONE, _NONE, _NONE
+        at = np.flatnonzero((self.net >= g.min_bps) & (self.latency <= g.max_latency_ms))
+        size = np.minimum(self.qty[at], g.max_btc)
+        scale = size / self.qty[at]
+        return at, size, self.utility[at] * scale, self.expected[at] * scale, self.price[at] * size
+
+
+def _window_fold(genomes: list[Genome]):
+    """Task function: folds ordered trades into one row per genome, and one per genome and route."""
+
+    def work(batches):
+        from pyspark import TaskContext
+
+        z = [dict.fromkeys(_WINDOW, 0.0) | {"hi": -np.inf, "lo": np.inf} for _ in genomes]
+        routes: dict[str | None, np.ndarray] = {}
+        for pdf in batches:
+            t = _Taken(pdf)
+            number, names = pd.factorize(pdf["route"], use_na_sentinel=False)
+            wins, counts = np.zeros((len(names), len(genomes))), np.zeros((len(names), len(genomes)))
+            for i, g in enumerate(genomes):
+                at, size, u, e, capital = t.of(g)
+                if not len(at):
+                    continue
+                f, win = z[i], u > 0
+                f["won"] += float(win.sum())
+                f["partials"] += float(t.partial[at].sum())
+                f["latency"] += float(t.latency[at].sum())
+                f["r_count"], f["r_mean"], f["r_m2"] = _spread(f["r_count"], f["r_mean"], f["r_m2"], (u / capital)[capital > 0])
+                f["trades"], f["n_mean"], f["n_m2"] = _spread(f["trades"], f["n_mean"], f["n_m2"], e / np.maximum(capital, 1e-8) * 10000.0)
+                f["largest"] = max(f["largest"], float(size.max()))
+                path = f["s"] + np.cumsum(u)
+                f["dd"] = max(f["dd"], float((np.maximum(np.maximum.accumulate(path), f["hi"]) - path).max()))
+                f["hi"], f["lo"], f["s"] = max(f["hi"], float(path.max())), min(f["lo"], float(path.min())), float(path[-1])
+                wins[:, i], counts[:, i] = np.bincount(number[at], win, len(names)), np.bincount(number[at], minlength=len(names))
+            for k, name in enumerate(names):
+                name = None if pd.isna(name) else name
+                old = routes.get(name)
+                routes[name] = np.stack([wins[k], counts[k]]) + (0 if old is None else old)
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame([{"genome": i, "part": part, "kind": 0} | f for i, f in enumerate(z) if f["trades"]] + [
+            {"genome": i, "part": part, "kind": 1, "route": name, "won": w, "trades": n}
+            for name, (ws, ns) in routes.items() for i, (w, n) in enumerate(zip(ws, ns)) if n],
+            columns=["genome", "part", "kind", "route", *_WINDOW])
+
+    return work
+
+
+def _in_order(ops: DataFrame, order: list[str], parts: int | None) -> DataFrame:
+    """The trades a genome could take, written once, in tasks that follow each other along the order."""
+    usable = ops.where((F.col("buy_price") * F.col("qty") > 0) & (F.col("qty") > 0) & F.col("utility").isNotNull() & F.col("expected").isNotNull())
+    kinds = {c: "double" for c in ("latency_ms", "qty", "buy_price", "utility", "expected")}
+    return stage(usable.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in _TRADE), *[c for c in order if c not in _TRADE])
+                 .repartitionByRange(parts or default_parts(ops.sparkSession), *order).sortWithinPartitions(*order))
+
+
+def _blocks(rows: DataFrame, genomes: list[Genome]) -> list[list[Genome]]:
+    """Genomes in blocks for which all routes fit into a task."""
+    routes = max(1, rows.select("route").distinct().count())
+    width = max(1, ROUTE_CELLS // routes)
+    return [genomes[i:i + width] for i in range(0, len(genomes), width)]
+
+
+def _named(genomes: list[Genome]) -> Column:
+    return F.element_at(F.array(*[F.lit(g.name) for g in genomes]), F.col("genome") + 1)
+
+
+class Population:
+    """Genomes scored on the same trades. No row is made per trade and genome.
+
+    The trades are cut along the order and written once. A task streams its part and keeps, per genome, sums, spreads and the
+    drawdown of its part, and per (genome, route) wins and trades; only those rows are combined. What
+    the score weights are worth needs means and route counts of all trades, so a second pass reads the
+    trades again with them and gives one row per task and genome. Input: buy_price, qty, utility,
+    expected, latency_ms, partial, route and the order; trades without utility or expected value are left out.
     """
-    won = (F.col("u") > 0).cast("int")
-    rows = rows.withColumn("_won", won).withColumn("_net", F.col("e") / F.greatest(F.col("capital"), F.lit(1e-8)) * 10000.0)
-    per = rows.groupBy("genome").agg(
-        F.avg("_net").alias("_mu"), F.stddev_samp("_net").alias("_sd"), F.greatest(F.max("size"), F.lit(1e-8)).alias("_max"), F.count("*").alias("_n"))
-    routes = rows.groupBy("genome", "route").agg(F.sum("_won").alias("_w"), F.count("*").alias("_t"))
-    rows = _same(_same(rows, per, ["genome"]), routes, ["genome", "route"])
-    rel = F.when(F.col("_t") > 1, (F.col("_w") - F.col("_won")) / (F.col("_t") - 1)).otherwise(0.5)
-    sd = F.when(F.col("_n") > 1, F.greatest("_sd", F.lit(1e-8))).otherwise(1.0)
-    z = (F.col("_net") - F.col("_mu")) / sd
-    p = clamp(canonical_score("weights", "e", "latency_ms", "tolerance", "size", "_max", rel, z), 0, 1)
-    rows = rows.withColumn("_p", p)
-    hit = F.col("_won").cast("double")
-    return rows.groupBy("genome").agg(
-        clamp(F.avg(1.0 - (F.col("_p") - hit) * (F.col("_p") - hit)), 0, 1).alias("calibration"),
-        clamp(0.5 + F.avg((F.col("_p") - 0.5) * F.tanh(F.col("u") / 25.0)), 0, 1).alias("edge"))
+
+    def __init__(self, ops: DataFrame, genomes: list[Genome], order: list[str], parts: int | None = None):
+        self.trades = _in_order(ops, order, parts)
+        self.blocks = []
+        schema = "genome int, part int, kind int, route string, " + ", ".join(f"{c} double" for c in _WINDOW)
+        for block in _blocks(self.trades, genomes):
+            self.blocks.append((block, stage(self.trades.select(*_TRADE).mapInPandas(_window_fold(block), schema))))
+
+    def windows(self) -> DataFrame:
+        """Per genome: trades, P&L, mean, clamped Sharpe, win rate, drawdown, latency, partial rate, tolerance."""
+        return self._union(self._windows)
+
+    def calibration(self) -> DataFrame:
+        """Per genome, how well the score predicts winners: 1 - squared error, and an edge weighted by outcome.
+
+        A route's reliability leaves the scored trade out, so it is (wins - own) / (count - 1).
+        """
+        return self._union(self._calibration)
+
+    def _union(self, make) -> DataFrame:
+        out = None
+        for block, folded in self.blocks:
+            part = make(block, folded)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _totals(self, folded: DataFrame) -> DataFrame:
+        c = F.col
+        f = folded.where("kind = 0")
+        mean = lambda m, n: F.sum(c(m) * c(n)) / F.sum(n)
+        whole = f.groupBy("genome").agg(mean("r_mean", "r_count").alias("_r"), mean("n_mean", "trades").alias("_n"))
+        f = f.join(whole, "genome")
+        m2 = lambda m, n, to: F.sum(c(f"{m}_m2") + c(n) * (c(f"{m}_mean") - c(to)) * (c(f"{m}_mean") - c(to)))
+        return f.groupBy("genome").agg(
+            *[F.sum(x).alias(x) for x in ("trades", "won", "partials", "latency", "r_count")], F.sum("s").alias("total"), F.first("_r").alias("r_mean"),
+            m2("r", "r_count", "_r").alias("r_m2"), F.first("_n").alias("n_mean"), m2("n", "trades", "_n").alias("n_m2"), F.max("largest").alias("largest"))
+
+    def _windows(self, block: list[Genome], folded: DataFrame) -> DataFrame:
+        c = F.col
+        sd = F.sqrt(c("r_m2") / (c("r_count") - 1))
+        down = fold_drawdown(folded.where("kind = 0"), ["genome"], "part")
+        out = self._totals(folded).join(down, "genome")
+        return out.select(
+            _named(block).alias("genome"), c("trades").cast("bigint").alias("trades"), (c("total") / c("trades")).alias("mean"),
+            F.when((c("r_count") < 2) | (c("r_m2") == 0), 0.0).otherwise(clamp(c("r_mean") / sd, -5, 5)).alias("sharpe"), ratio("won", "trades").alias("win_rate"),
+            (c("latency") / c("trades")).alias("mean_latency"), ratio("partials", "trades").alias("partial_rate"),
+            F.element_at(F.array(*[F.lit(g.max_latency_ms) for g in block]), c("genome") + 1).alias("tolerance"), "pnl", "max_drawdown")
+
+    def _calibration(self, block: list[Genome], folded: DataFrame) -> DataFrame:
+        spreads = {r["genome"]: r for r in self._totals(folded).collect()}  # one row per genome
+        counts: dict[str | None, np.ndarray] = {}
+        for r in folded.where("kind = 1").groupBy("genome", "route").agg(F.sum("won").alias("won"), F.sum("trades").alias("n")).toLocalIterator():
+            counts.setdefault(r["route"], np.zeros((2, len(block))))[:, r["genome"]] = r["won"], r["n"]  # ROUTE_CELLS at most
+        known = []
+        for i, g in enumerate(block):
+            r = spreads.get(i)
+            n = r["trades"] if r else 0
+            sd = max((r["n_m2"] / (n - 1)) ** 0.5, 1e-8) if n > 1 else 1.0
+            known.append((g, r["n_mean"] if r else 0.0, sd, max(r["largest"] if r else 0.0, 1e-8)))
+        shared = self.trades.sparkSession.sparkContext.broadcast((known, counts))
+        sums = self.trades.select(*_TRADE).mapInPandas(_calibration_fold(shared), "genome int, n double, fit double, edge double")
+        c = F.col
+        return sums.groupBy("genome").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"), F.sum("edge").alias("edge")).select(
+            _named(block).alias("genome"), clamp(c("fit") / c("n"), 0, 1).alias("calibration"), clamp(0.5 + c("edge") / c("n"), 0, 1).alias("edge"))
+
+
+def _calibration_fold(shared):
+    """Task function: squared errors and weighted outcomes of the scores, one row per genome."""
+
+    def work(batches):
+        known, counts = shared.value
+        z = np.zeros((len(known), 3))
+        for pdf in batches:
+            t = _Taken(pdf)
+            number, names = pd.factorize(pdf["route"], use_na_sentinel=False)
+            table = np.stack([counts[None if pd.isna(x) else x] if (None if pd.isna(x) else x) in counts else np.zeros((2, len(known))) for x in names]) if len(names) else None
+            for i, (g, mean, sd, largest) in enumerate(known):
+                at, size, u, e, capital = t.of(g)
+                if not len(at):
+                    continue
+                hit = (u > 0).astype(float)
+                won, n = table[number[at], 0, i], table[number[at], 1, i]
+                reliable = np.where(n > 1, (won - hit) / np.maximum(n - 1, 1), 0.5)
+                net = e / np.maximum(capital, 1e-8) * 10000.0
+                raw = np.array(g.weights, float)
+                w = np.maximum(raw, 0.0) / raw.sum() if raw.sum() > 0 else np.array(WEIGHTS)
+                features = (e / 100.0, 1.0 - t.latency[at] / max(g.max_latency_ms, 1), size / largest, reliable, (net - mean) / sd / 3.0)
+                p = np.clip(sum(x * np.clip(f, 0.0, 1.0) for x, f in zip(w, features)), 0.0, 1.0)
+                z[i] += len(at), (1.0 - (p - hit) ** 2).sum(), ((p - 0.5) * np.tanh(u / 25.0)).sum()
+        yield pd.DataFrame([(i, *row) for i, row in enumerate(z.tolist()) if row[0]], columns=["genome", "n", "fit", "edge"])
+
+    return work
 
 
 def fitness(w, failures: int = 0) -> Column:
@@ -100,10 +260,8 @@ def fitness(w, failures: int = 0) -> Column:
 
 def evaluate(ops: DataFrame, genomes: list[Genome], order: list[str], failures: int = 0, parts: int | None = None) -> DataFrame:
     """Window, weight calibration, fitness and the four maximised objectives per genome."""
-    # five grouped passes read these rows, so they are written once, without unused columns
-    need = ["genome", "route", "partial", "latency_ms", "size", "tolerance", "weights", "u", "e", "capital", *order]
-    rows = stage(selected(ops, genomes).select(*need))
-    out = window_fitness(rows, order, parts).join(weight_calibration(rows), "genome")
+    all_ = Population(ops, genomes, order, parts)
+    out = all_.windows().join(all_.calibration(), "genome")
     out = out.withColumn("fitness", fitness(out, failures))
     c = F.col
     return out.withColumns({"o_pnl": c("pnl"), "o_sharpe": c("sharpe"), "o_drawdown": -c("max_drawdown"), "o_win_rate": c("win_rate")})
