@@ -7,14 +7,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapelab.config import WEIGHTS
 from tapelab.functions.numeric import clamp, ratio
-from tapelab.operators.ordered import _same, drawdown, fold_drawdown, rank_percentiles
+from tapelab.operators.ordered import _same, drawdown, fold_drawdown, rank_percentiles, running
 from tapelab.session import default_parts, stage
 
+RIVALS = 512  # compared at a time
+FRONTIER_BLOCK = 1 << 16
 OBJECTIVES = ("o_pnl", "o_sharpe", "o_drawdown", "o_win_rate")
 
 
@@ -124,12 +125,11 @@ def _window_fold(genomes: list[Genome]):
     return work
 
 
-def _in_order(ops: DataFrame, order: list[str], parts: int | None) -> DataFrame:
-    """The trades a genome could take, written once, in tasks that follow each other along the order."""
+def _usable(ops: DataFrame, order: list[str]) -> DataFrame:
+    """The trades a genome could take, written once."""
     usable = ops.where((F.col("buy_price") * F.col("qty") > 0) & (F.col("qty") > 0) & F.col("utility").isNotNull() & F.col("expected").isNotNull())
     kinds = {c: "double" for c in ("latency_ms", "qty", "buy_price", "utility", "expected")}
-    return stage(usable.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in _TRADE), *[c for c in order if c not in _TRADE])
-                 .repartitionByRange(parts or default_parts(ops.sparkSession), *order).sortWithinPartitions(*order))
+    return stage(usable.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in _TRADE), *[c for c in order if c not in _TRADE]))
 
 
 def _blocks(rows: DataFrame, genomes: list[Genome]) -> list[list[Genome]]:
@@ -146,7 +146,7 @@ def _named(genomes: list[Genome]) -> Column:
 class Population:
     """Genomes scored on the same trades. No row is made per trade and genome.
 
-    The trades are cut along the order and written once. A task streams its part and keeps, per genome, sums, spreads and the
+    The trades are written once and cut along the order. A task streams its part and keeps, per genome, sums, spreads and the
     drawdown of its part, and per (genome, route) wins and trades; only those rows are combined. What
     the score weights are worth needs means and route counts of all trades, so a second pass reads the
     trades again with them and gives one row per task and genome. Input: buy_price, qty, utility,
@@ -154,11 +154,13 @@ class Population:
     """
 
     def __init__(self, ops: DataFrame, genomes: list[Genome], order: list[str], parts: int | None = None):
-        self.trades = _in_order(ops, order, parts)
+        self.trades = _usable(ops, order)
+        # tasks follow each other along the order, which a table read again would not keep
+        ordered = self.trades.repartitionByRange(parts or default_parts(ops.sparkSession), *order).sortWithinPartitions(*order)
         self.blocks = []
         schema = "genome int, part int, kind int, route string, " + ", ".join(f"{c} double" for c in _WINDOW)
         for block in _blocks(self.trades, genomes):
-            self.blocks.append((block, stage(self.trades.select(*_TRADE).mapInPandas(_window_fold(block), schema))))
+            self.blocks.append((block, stage(ordered.select(*_TRADE).mapInPandas(_window_fold(block), schema))))
 
     def windows(self) -> DataFrame:
         """Per genome: trades, P&L, mean, clamped Sharpe, win rate, drawdown, latency, partial rate, tolerance."""
@@ -295,11 +297,27 @@ def _skyline(x: np.ndarray) -> np.ndarray:
     return mask
 
 
-def frontier(df: DataFrame, objectives=OBJECTIVES) -> DataFrame:
+def _beaten(x: np.ndarray, rivals: np.ndarray) -> np.ndarray:
+    """Mask of rows of ``x`` that a rival dominates. ``rivals`` by falling sum: only those with a larger sum can."""
+    out, sums = np.zeros(len(x), bool), x.sum(axis=1)
+    falling = -rivals.sum(axis=1)
+    for at in range(0, len(rivals), RIVALS):
+        some = np.flatnonzero(~out & (sums <= -falling[at] + 1e-6 * max(1.0, abs(falling[at]))))
+        if not len(some):
+            break
+        r = rivals[at:at + RIVALS]
+        for part in np.array_split(some, -(-len(some) // RIVALS)):
+            v = x[part][:, None, :]
+            out[part] |= ((r >= v).all(axis=2) & (r > v).any(axis=2)).any(axis=1)
+    return out
+
+
+def frontier(df: DataFrame, objectives=OBJECTIVES, block: int = FRONTIER_BLOCK) -> DataFrame:
     """Rows not dominated in any of the maximised objectives.
 
-    Every task keeps its own frontier, then fewer tasks merge the survivors, so rows are never
-    compared as a full cross product and only survivors move.
+    Every task keeps its own frontier. The distinct points that survive are then the rivals of all
+    survivors: they go to the tasks in blocks of at most ``block`` points and every task drops its beaten
+    rows, so rows are never compared as a full cross product and no task holds the whole frontier.
     """
     cols = list(objectives)
 
@@ -311,11 +329,25 @@ def frontier(df: DataFrame, objectives=OBJECTIVES) -> DataFrame:
         if kept is not None and len(kept):
             yield pd.DataFrame({c: kept[c].tolist() for c in kept.columns})
 
-    n = default_parts(df.sparkSession)
-    out = df.mapInPandas(local, df.schema)
-    while n > 1:  # a shuffle per level: coalesce() would pull the level below into as few tasks
-        n = max(1, n // 8)
-        out = out.repartition(n).mapInPandas(local, df.schema)
+    def against(shared):
+        def work(batches):
+            for pdf in batches:
+                good = pdf[~_beaten(pdf[cols].to_numpy(float), shared.value)] if len(pdf) else pdf
+                yield pd.DataFrame({c: good[c].tolist() for c in good.columns})
+
+        return work
+
+    kept = stage(df.mapInPandas(local, df.schema))
+    points = kept.select(*[F.col(c).cast("double").alias(c) for c in cols]).distinct()
+    blocks = -(-points.count() // block)
+    if blocks > 1:
+        points = stage(points.withColumn("_block", F.pmod(F.xxhash64(*cols), F.lit(2 * blocks))))
+    out = kept
+    for i in range(2 * blocks if blocks > 1 else blocks):  # the hash fills blocks unevenly, so they are made half as large
+        some = points.where(F.col("_block") == i).drop("_block") if blocks > 1 else points
+        rivals = np.array([tuple(r) for r in some.toLocalIterator()], float).reshape(-1, len(cols))
+        shared = df.sparkSession.sparkContext.broadcast(rivals[np.argsort(-rivals.sum(axis=1), kind="stable")])
+        out = out.mapInPandas(against(shared), df.schema)
     return out
 
 
@@ -332,17 +364,25 @@ def pareto_ranks(df: DataFrame, key: str, objectives=OBJECTIVES, max_fronts: int
     return out if out is not None else df.withColumn("front", F.lit(0)).limit(0)
 
 
-def crowding(df: DataFrame, key: str, objectives=OBJECTIVES) -> DataFrame:
-    """Crowding distance per front; the extreme rows of every objective get infinity."""
-    inf = F.lit(float("inf"))
-    total = F.lit(0.0)
+def crowding(df: DataFrame, key: str, objectives=OBJECTIVES, parts: int | None = None) -> DataFrame:
+    """Crowding distance per front; the extreme rows of every objective get infinity.
+
+    Neighbours are sought among the distinct values of a front, cut into buckets along the objective: the value
+    before is the largest so far. Rows of one value lie side by side in the order of ``key``, so only the
+    first and last of them look beyond it. So a front with all rows, or a value with many, is many tasks' work.
+    """
+    out = stage(df).withColumn("crowding", F.lit(0.0))
     for o in objectives:
-        w = W.partitionBy("front").orderBy(o, key)
-        whole = W.partitionBy("front")
-        lo, hi = F.lag(o).over(w), F.lead(o).over(w)
-        span = F.greatest(F.max(o).over(whole) - F.min(o).over(whole), F.lit(1e-9))
-        total = total + F.when(lo.isNull() | hi.isNull(), inf).otherwise((hi - lo) / span)
-    return df.withColumn("crowding", total)
+        values = stage(out.groupBy("front", o).agg(F.min(key).alias("_first"), F.max(key).alias("_last")).withColumns({"_up": F.col(o), "_down": -F.col(o)}))
+        below = running(values, ["front"], ["_up"], {"_below": ("max", "_up")}, parts, exclusive=True)
+        both = running(below, ["front"], ["_down"], {"_above": ("max", "_down")}, parts, exclusive=True)
+        span = values.groupBy("front").agg((F.max(o) - F.min(o)).alias("_span"))
+        rows = _same(_same(out, both.drop("_up", "_down"), ["front", o]), span, ["front"])
+        low = F.when(F.col(key) == F.col("_first"), F.col("_below")).otherwise(F.col(o))
+        high = F.when(F.col(key) == F.col("_last"), -F.col("_above")).otherwise(F.col(o))
+        gap = F.coalesce((high - low) / F.greatest("_span", F.lit(1e-9)), F.lit(float("inf")))
+        out = rows.withColumn("crowding", F.col("crowding") + gap).select(*df.columns, "crowding")
+    return out
 
 
 def diversity(df: DataFrame, weights: str = "weights") -> DataFrame:
