@@ -158,17 +158,17 @@ def index_replace(spark, sf):
 def log(spark, sf):
     o = B.read(spark, sf, "orders")
     kind = "operacion"
-    return AL.log_rows(o, kind, F.col("o_orderkey") % 5000, F.col("o_orderdate").cast("timestamp"), F.col("o_orderpriority"), F.col("o_orderstatus"))
+    return AL.log_rows(o, kind, F.expr("o_orderkey div 4"), F.col("o_orderdate").cast("timestamp"), F.col("o_orderpriority"), F.col("o_orderstatus"))
 
 
-@query("""WITH n AS (SELECT o_orderkey % 5000 AS id, min(o_orderdate) AS time FROM orders GROUP BY 1) SELECT cast(id AS varchar) AS id, epoch_us(time) AS t FROM n WHERE id % 3 <> 0""")
+@query("""WITH n AS (SELECT o_orderkey // 4 AS id, min(o_orderdate) AS time FROM orders GROUP BY 1) SELECT cast(id AS varchar) AS id, epoch_us(time) AS t FROM n WHERE id % 3 <> 0""")
 def claimed_insert(spark, sf):
     new = log(spark, sf)
     keys = new.where(F.col("id").cast("bigint") % 3 == 0).select("kind", "id")
     return AL.unclaimed(new, keys).select("id", F.unix_micros("time").alias("t"))
 
 
-@query("SELECT year(d)::INT AS year, count(*) AS rows FROM (SELECT min(o_orderdate) AS d FROM orders GROUP BY o_orderkey % 5000) GROUP BY 1")
+@query("SELECT year(d)::INT AS year, count(*) AS rows FROM (SELECT min(o_orderdate) AS d FROM orders GROUP BY o_orderkey // 4) GROUP BY 1")
 def audit_append(spark, sf):
     """Two appends of the same rows to a log on disk."""
     path = folder(spark, "log")
@@ -184,13 +184,13 @@ def duplicate_repair(spark, sf):
     return AL.repair_duplicates(rows).select("id", F.unix_micros("time").alias("t"))
 
 
-@query("""WITH k AS (SELECT cast(o_orderkey % 5000 AS varchar) AS id, min(o_orderdate) AS a FROM orders GROUP BY 1), l AS (SELECT DISTINCT cast(o_orderkey % 5000 AS varchar) AS id FROM orders WHERE o_orderkey % 7 = 0)
+@query("""WITH k AS (SELECT cast(o_orderkey // 4 AS varchar) AS id, min(o_orderdate) AS a FROM orders GROUP BY 1), l AS (SELECT DISTINCT cast(o_orderkey // 4 AS varchar) AS id FROM orders WHERE o_orderkey % 7 = 0)
 SELECT id, epoch_us(a) AS claimed_us FROM k WHERE a >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 180 DAY OR id IN (SELECT id FROM l)""")
 def key_purge(spark, sf):
     o = log(spark, sf)
     now = F.lit(o.agg(F.max("time")).first()[0])
     left = B.read(spark, sf, "orders").where("o_orderkey % 7 = 0")
-    kept = AL.log_rows(left, "operacion", F.col("o_orderkey") % 5000, F.col("o_orderdate").cast("timestamp"))
+    kept = AL.log_rows(left, "operacion", F.expr("o_orderkey div 4"), F.col("o_orderdate").cast("timestamp"))
     return AL.purge_keys(AL.seed_keys(o), kept, now).select("id", F.unix_micros("claimed_at").alias("claimed_us"))
 
 

@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapelab.session import stage
-
 # The logs and how long a claimed key is kept.
 KINDS = ("operacion", "evento", "rebalanceo", "oportunidad", "auditoria", "ejecucion")
 KEY_DAYS = 180
 KEY_BUCKETS = 64
+FEW = 1000  # ids that a filter names one by one
 KEY_SCHEMA = "kind string, bucket int, id string, claimed_at timestamp"
 COLUMNS = ["kind", "id", "time", "route", "type", "decision", "payload"]
 SCHEMA = "kind string, id string, time timestamp, route string, type string, decision string, payload string, date date"
@@ -59,9 +58,11 @@ def read_keys(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], KEY_SCHEMA)
 
 
-def _write_keys(keys: DataFrame, path: str, mode: str = "append") -> None:
-    keys = keys.select("kind", "id", "claimed_at", _bucket().alias("bucket")).repartition("kind", "bucket")
-    keys.write.mode(mode).partitionBy("kind", "bucket").parquet(f"{path}/_keys")
+def _write_keys(keys: DataFrame, path: str, name: str = "_keys") -> None:
+    """Sorted by id, with Bloom filters per row group, so that few ids read few row groups."""
+    keys = keys.select("kind", "id", "claimed_at", _bucket().alias("bucket")).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "id")
+    out = keys.write.mode("append").option("parquet.bloom.filter.enabled#id", "true").option("parquet.block.size", 8 << 20)
+    out.partitionBy("kind", "bucket").parquet(f"{path}/{name}")
 
 
 def _place(spark: SparkSession, name: str):
@@ -69,11 +70,23 @@ def _place(spark: SparkSession, name: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _settle(spark: SparkSession, path: str) -> None:
+    """Ends a purge that was cut off: the old keys stand until the kept ones are all written, then those replace them."""
+    fs, old = _place(spark, f"{path}/_keys")
+    _, kept = _place(spark, f"{path}/_keys-kept")
+    if fs.exists(kept):
+        if fs.exists(old):
+            fs.delete(kept, True)
+        else:
+            fs.rename(kept, old)
+
+
 def append(new: DataFrame, path: str) -> None:
     """Idempotent append: a repeated call with the same rows writes nothing.
 
     Keys are looked up in a table beside the log (``_keys``, which readers of the log skip), of
-    which only the kinds and hash buckets of the new rows are read; their dates do not matter, and
+    which only the kinds and hash buckets of the new rows are read, and of a batch with up to FEW ids
+    only the row groups that may hold them; dates do not matter, and
     only ``purge`` lets a key go. A file ``_open`` stands while rows and keys are written: if it
     is found, or a log has no keys yet, the keys missing are first taken from the whole log. One
     writer per log is assumed, as plain Parquet has no transactions; a stream sink has one writer
@@ -83,10 +96,14 @@ def append(new: DataFrame, path: str) -> None:
     seen = new.agg(F.collect_set("kind").alias("kinds"), F.collect_set(_bucket()).alias("buckets")).first()
     if not seen["kinds"]:
         return
+    _settle(spark, path)
     fs, mark = _place(spark, f"{path}/_open")
     if fs.exists(mark) or fs.exists(mark.getParent()) and not fs.exists(_place(spark, f"{path}/_keys")[1]):
         _write_keys(seed_keys(read_log(spark, path)).join(read_keys(spark, path).select("kind", "id"), ["kind", "id"], "left_anti"), path)
     keys = read_keys(spark, path).where(F.col("kind").isin(seen["kinds"]) & F.col("bucket").isin(seen["buckets"]))
+    few = [r["id"] for r in new.select("id").distinct().limit(FEW + 1).collect()]
+    if len(few) <= FEW and None not in few:
+        keys = keys.where(F.col("id").isin(few))
     rows = unclaimed(new, keys).withColumn("date", F.to_date("time"))
     fs.create(mark, True).close()
     rows.write.mode("append").partitionBy("kind", "date").parquet(path)
@@ -96,11 +113,13 @@ def append(new: DataFrame, path: str) -> None:
 
 def purge(spark: SparkSession, path: str, now, days: int = KEY_DAYS) -> None:
     """``purge_keys`` on the keys of the log at ``path``; no append may run meanwhile."""
-    kept = stage(purge_keys(read_keys(spark, path).drop("bucket"), read_log(spark, path), now, days))
-    fs, mark = _place(spark, f"{path}/_open")
-    fs.create(mark, True).close()
-    _write_keys(kept, path, "overwrite")
-    fs.delete(mark, False)
+    _settle(spark, path)
+    _write_keys(purge_keys(read_keys(spark, path).drop("bucket"), read_log(spark, path), now, days), path, "_keys-kept")
+    fs, kept = _place(spark, f"{path}/_keys-kept")
+    if not fs.exists(kept):  # no key is kept
+        fs.mkdirs(kept)
+    fs.delete(_place(spark, f"{path}/_keys")[1], True)
+    _settle(spark, path)
 
 
 def repair_duplicates(log: DataFrame) -> DataFrame:

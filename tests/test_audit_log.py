@@ -46,3 +46,27 @@ def test_purge_keeps_what_the_log_still_has(spark, tmp_path):
     assert sorted(r["id"] for r in AL.read_keys(spark, path).collect()) == ["5", "7", "8"]
     AL.purge(spark, path, F.lit(DAY + dt.timedelta(days=300)))
     assert sorted(r["id"] for r in AL.read_keys(spark, path).collect()) == ["7", "8"]
+
+
+def test_a_cut_off_purge_loses_no_key(spark, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "cut")
+    AL.append(rows(spark, *range(50)), path)
+    shutil.copytree(f"{path}/_keys", f"{path}/_keys-kept")  # written, but the old keys still stand
+    AL.append(rows(spark, 3, 90, days=30), path)
+    assert AL.read_log(spark, path).count() == 51 and not (tmp_path / "cut" / "_keys-kept").exists()
+    shutil.move(f"{path}/_keys", f"{path}/_keys-kept")  # the old keys are gone already
+    AL.append(rows(spark, 4, 91, days=30), path)
+    assert AL.read_log(spark, path).count() == 52 and AL.read_keys(spark, path).count() == 52
+    AL.purge(spark, path, F.lit("2027-01-01").cast("timestamp"))
+    assert AL.read_keys(spark, path).count() == 52  # all rows are still in the log
+
+
+def test_few_ids_read_few_row_groups(spark, tmp_path):
+    path = str(tmp_path / "few")
+    AL.append(rows(spark, *range(3000)), path)
+    AL.append(rows(spark, 7, 5000, days=240), path)
+    assert AL.read_log(spark, path).count() == 3001
+    plan = AL.read_keys(spark, path).where(F.col("id").isin(["7"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(id, [7])]" in plan or "EqualTo(id,7)" in plan or "id" in plan.split("PushedFilters")[1]
