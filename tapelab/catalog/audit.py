@@ -17,6 +17,7 @@ from tapelab.session import stage, staging_dir
 from tapelab.sources import audit_log as AL
 from tapelab.sources import exports as EX
 from tapelab.sources import index as IX
+from tapelab.sources import ledger as LG
 from tapelab.sources import normalise as NZ
 from tapelab.sources import tape as TP
 
@@ -258,6 +259,27 @@ def hash_chain_audit(spark, sf):
     return L.chain_errors(tampered(spark, sf), F.col("text"), ["sequence"])
 
 
+@query("""SELECT concat('L', cast(o_custkey%50 AS varchar)) AS ledger, count(*) AS lines, min(o_orderkey) AS first_sequence, max(o_orderkey) AS last_sequence, sum(cast(round(o_totalprice*100) AS bigint))::BIGINT AS cents,
+ count(*) FILTER (o_orderkey%89=0) AS bad_hashes FROM orders GROUP BY 1""")
+def ledger_lines(spark, sf):
+    """Hash-chained ledgers written as JSON lines and read again; one stored hash in 89 does not cover its line."""
+    c = F.col
+    quoted = lambda name, v: F.concat(F.lit(f'"{name}":"'), v, F.lit('"'))
+    o = B.read(spark, sf, "orders").select(
+        F.concat(F.lit("L"), (c("o_custkey") % 50).cast("string")).alias("ledger"), c("o_orderkey").alias("sequence"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"),
+        F.lit("fill").alias("event"), F.concat(F.lit('{"cents":'), F.round(c("o_totalprice") * 100).cast("bigint").cast("string"), F.lit(',"note":"a \\"b\\" ü"}')).alias("payload"),
+        F.sha2((c("o_orderkey") - 1).cast("string"), 256).alias("previous"))
+    o = o.withColumn("hash", F.when(c("sequence") % 89 == 0, F.sha2(F.lit("other"), 256)).otherwise(LG.line_hash()))
+    line = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"sequence":'), c("sequence").cast("string")), quoted("timestamp", c("timestamp")), quoted("event", c("event")),
+                                           F.concat(F.lit('"payload":'), c("payload")), quoted("previousHash", c("previous")), quoted("hash", c("hash"))), F.lit("}"))
+    path = folder(spark, "lines")
+    o.select("ledger", line.alias("value")).write.partitionBy("ledger").text(path)
+    read = LG.read_jsonl_ledger(spark, f"{path}/*/*").withColumn("ledger", F.regexp_extract("ledger", "ledger=([^/]+)/", 1))
+    return read.groupBy("ledger").agg(
+        F.count("*").alias("lines"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"),
+        F.sum(F.get_json_object("payload", "$.cents").cast("bigint")).alias("cents"), F.count_if(c("hash") != LG.line_hash()).alias("bad_hashes"))
+
+
 @query("SELECT concat('L', cast(o_custkey%50 AS varchar)) AS ledger, concat('f', cast(o_orderkey//2 AS varchar)) AS id, 'duplicate_fill' AS error FROM orders GROUP BY o_custkey%50, o_orderkey//2 HAVING count(*)>1")
 def duplicate_fills(spark, sf):
     led = B.read(spark, sf, "orders").select(F.concat(F.lit("L"), (F.col("o_custkey") % 50).cast("string")).alias("ledger"), F.concat(F.lit("f"), F.expr("o_orderkey div 2").cast("string")).alias("fill_id"))
