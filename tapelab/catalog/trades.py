@@ -346,6 +346,19 @@ def global_rank(spark, sf):
     return ranked(B.trades(spark, sf), [], O).select(*O, "rank")
 
 
+_REPLAY = f"""{T.replace('WITH', 'WITH RECURSIVE', 1)}, r AS (SELECT t//1000 AS ms, row_number() OVER (ORDER BY {OSQL})-1 AS i FROM trades),
+k AS MATERIALIZED (SELECT (max(ms-i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)+i)::BIGINT AS clock FROM r),
+a(clock) AS (SELECT min(clock) FROM k UNION ALL SELECT (SELECT min(k.clock) FROM k WHERE k.clock >= a.clock + 250) FROM a WHERE a.clock IS NOT NULL)"""
+
+
+@query(f"{_REPLAY} SELECT clock FROM a WHERE clock IS NOT NULL UNION SELECT max(clock) FROM k")
+def replay_analyses(spark, sf):
+    from tapelab.operators import replay as R
+
+    ticks = R.replay_clock(B.trades(spark, sf).withColumn("ms", F.floor(F.col("t") / 1000)), "ms", O)
+    return R.analyses(ticks)
+
+
 @query(f"""{T}, r AS (SELECT t//1000 AS ms, row_number() OVER (ORDER BY {OSQL})-1 AS i FROM trades), c AS (SELECT max(ms-i) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)+i AS clock FROM r)
 SELECT count(*) AS ticks, count(DISTINCT clock) AS distinct_clocks, count(DISTINCT clock//250) AS cycles, max(clock) AS last_clock, sum(clock)::BIGINT AS clock_sum FROM c""")
 def replay_clock(spark, sf):

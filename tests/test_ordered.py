@@ -199,3 +199,24 @@ def test_trim_keeps_the_best(spark):
     d = spark.createDataFrame([("v", "p", 1, 1, "snapshot", bids, [{"price": 70.0, "qty": 1.0}])], f"venue string, pair string, t bigint, seq bigint, kind string, bids {lv}, asks {lv}")
     r = rebuild_books(d).first()
     assert len(r.bids) == 50 and r.bid == 60.0 and r.bids[-1].price == 11.0
+
+
+@pytest.mark.parametrize("parts", PARTS)
+def test_analyses_of_a_replay(spark, parts):
+    from tapelab.operators.replay import analyses, replay_clock
+
+    rng = random.Random(9)
+    times, now = [], 1000
+    for i in range(300):
+        now += rng.choice([0, 0, 1, 40, 90, 249, 250, 251, -30, 700])
+        times.append((i, now))
+    want, clock, last = [], None, None
+    for i, t in times:
+        clock = t if clock is None or t > clock else clock + 1
+        if last is None or clock - last >= 250 or i == len(times) - 1:
+            want.append(clock)
+            last = clock
+    d = spark.createDataFrame(times, "seq bigint, ms bigint")
+    got = analyses(replay_clock(d, "ms", ["seq"], parts=parts), parts=parts)
+    assert sorted(r["clock"] for r in got.collect()) == want
+    assert analyses(replay_clock(d.where("false"), "ms", ["seq"], parts=parts)).count() == 0
