@@ -303,13 +303,25 @@ def checksum_digits(spark, sf):
     return q.select("seq", F.concat(*parts).alias("digits"))
 
 
-@query()
-def book_checksums(spark, sf):
+def text_books(spark, sf):
     def text(levels):
         return F.transform(levels, lambda x: F.struct(F.format_string("%.2f", x["price"]).alias("price_text"), F.format_string("%.1f", x["qty"]).alias("qty_text")))
 
-    q = B.quotes(spark, sf, levels=True).withColumns({"bids": text("bids"), "asks": text("asks")})
-    return q.select("seq", Q.book_checksum().alias("crc32"))
+    return B.quotes(spark, sf, levels=True).withColumns({"bids": text("bids"), "asks": text("asks")})
+
+
+@query()
+def book_checksums(spark, sf):
+    return text_books(spark, sf).select("seq", Q.book_checksum().alias("crc32"))
+
+
+@query(f"""WITH {B.QUOTES_SQL} SELECT seq, CASE WHEN seq%5=0 THEN NULL WHEN seq%97=0 OR seq%89=0 THEN 'checksum_crc32_fallido_requiere_snapshot' ELSE 'checksum_crc32_ok' END AS status FROM quotes""")
+def checksum_mismatches(spark, sf):
+    """Books against the checksum stated when they were sent; in some a size changed or the best bid was lost on the way."""
+    sent = text_books(spark, sf).withColumn("stated", F.when(F.col("seq") % 5 != 0, Q.book_checksum()))
+    resized = F.transform("asks", lambda x, i: F.struct(x["price_text"].alias("price_text"), F.when(i == 0, F.concat(F.lit("1"), x["qty_text"])).otherwise(x["qty_text"]).alias("qty_text")))
+    got = sent.withColumns({"asks": F.when(F.col("seq") % 97 == 0, resized).otherwise(F.col("asks")), "bids": F.when(F.col("seq") % 89 == 0, F.slice("bids", 2, 50)).otherwise(F.col("bids"))})
+    return got.select("seq", Q.checksum_status("stated").alias("status"))
 
 
 @query(f"""WITH {B.QUOTES_SQL}, {B.asof_sql(True, None)}, m AS (SELECT seq, max((q.bid+q.ask)/2.0::DOUBLE) AS hi, min((q.bid+q.ask)/2.0::DOUBLE) AS lo, count(*) AS k, min(q.t) AS oldest FROM fresh GROUP BY seq)

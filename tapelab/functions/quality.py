@@ -132,6 +132,15 @@ def book_checksum(bids="bids", asks="asks") -> Column:
     return F.crc32(F.concat(text(asks), text(bids)).cast("binary"))
 
 
+def checksum_status(stated, bids="bids", asks="asks") -> Column:
+    """Status of a book against the CRC-32 that its message states; NULL where none is stated.
+
+    A book that fails counts as lost until the next snapshot.
+    """
+    same = book_checksum(bids, asks) == col(stated)
+    return F.when(col(stated).isNotNull(), F.when(same, "checksum_crc32_ok").otherwise("checksum_crc32_fallido_requiere_snapshot"))
+
+
 def latency_state(latency, stale_ms: int) -> Column:
     return (
         F.when(col(latency) == 0, "esperando mercado")
