@@ -280,6 +280,59 @@ def ledger_lines(spark, sf):
         F.sum(F.get_json_object("payload", "$.cents").cast("bigint")).alias("cents"), F.count_if(c("hash") != LG.line_hash()).alias("bad_hashes"))
 
 
+def ledger_documents(spark, sf):
+    """A ledger document per 50 customers, one file each, with chained hashes; fees of some orders are changed after hashing."""
+    c = F.col
+    cents = F.round(c("o_totalprice") * 100).cast("bigint")
+    money = lambda x: F.format_string("%d.%02d", F.expr(f"{x} div 100"), F.expr(f"{x} % 100"))
+    o = B.read(spark, sf, "orders").withColumns({"cents": cents, "fee": F.expr("cast(round(o_totalprice * 100) as bigint) div 1000")})
+    event = F.struct("o_orderdate", "o_orderkey", "o_orderpriority", money("cents").alias("price"), money("fee").alias("fee"))
+    docs = o.groupBy(F.expr("o_custkey div 50").alias("ledger")).agg(F.array_sort(F.collect_list(event)).alias("rows"))  # more orders, more documents
+
+    def step(acc, x):
+        text = lambda fee: F.to_json(F.struct(
+            x["id"].alias("id"), (F.size(acc["events"]) + 1).cast("bigint").alias("sequence"), acc["head"].alias("previous_hash"), F.struct(
+                F.lit("fill").alias("type"), x["fill_id"].alias("fill_id"), x["exchange"].alias("exchange"), x["side"].alias("side"), x["quantity_btc"].alias("quantity_btc"),
+                x["execution_price_usd"].alias("execution_price_usd"), x["execution_price_usd"].alias("reference_price_usd"), fee.alias("fee_usd")).alias("data")))
+        now = F.sha2(text(x["fee_usd"]), 256)
+        kept = F.struct(x["id"].alias("id"), (F.size(acc["events"]) + 1).cast("bigint").alias("sequence"), acc["head"].alias("previousHash"), now.alias("hash"),
+                        F.lit("fill").alias("type"), x["fill_id"].alias("fill_id"), x["exchange"].alias("exchange"), x["side"].alias("side"), x["quantity_btc"].alias("quantity_btc"),
+                        x["execution_price_usd"].alias("execution_price_usd"), x["execution_price_usd"].alias("reference_price_usd"),
+                        F.when(x["key"] % 89 == 0, F.concat(x["fee_usd"], F.lit("0"))).otherwise(x["fee_usd"]).alias("fee_usd"))
+        return F.struct(now.alias("head"), F.concat(acc["events"], F.array(kept)).alias("events"))
+
+    fields = F.transform("rows", lambda r: F.struct(
+        r["o_orderkey"].alias("key"), F.concat(F.lit('e"'), r["o_orderkey"].cast("string")).alias("id"), F.concat(F.lit("f"), r["o_orderkey"].cast("string")).alias("fill_id"),
+        r["o_orderpriority"].alias("exchange"), F.lit("buy").alias("side"), F.lit("0.010").alias("quantity_btc"), r["price"].alias("execution_price_usd"), r["fee"].alias("fee_usd")))
+    text = "string"
+    kept_type = "array<struct<id:string,sequence:bigint,previousHash:string,hash:string,type:string,fill_id:string,exchange:string,side:string," + ",".join(
+        f"{a}:{text}" for a in ("quantity_btc", "execution_price_usd", "reference_price_usd", "fee_usd")) + ">>"
+    start = F.struct(F.lit(L.GENESIS).alias("head"), F.array().cast(kept_type).alias("events"))
+    chained = docs.withColumn("chain", F.aggregate(fields, start, step))
+    doc = F.to_json(F.struct(F.lit("1").alias("version"), F.concat(F.lit("c"), c("ledger").cast("string")).alias("runId"), c("chain.events").alias("events"),
+                             F.size("chain.events").alias("eventCount"), c("chain.head").alias("headHash")))
+    path = folder(spark, "documents")
+    chained.select("ledger", doc.alias("value")).repartition("ledger").write.partitionBy("ledger").text(path)
+    return f"{path}/*/*"
+
+
+@query("""WITH e AS (SELECT o_custkey//50 AS ledger, concat('e"', cast(o_orderkey AS varchar)) AS id, o_orderkey%89=0 AS bad, lag(o_orderkey%89=0) OVER w AS after_bad, lead(o_orderkey) OVER w IS NULL AS last
+ FROM orders WINDOW w AS (PARTITION BY o_custkey//50 ORDER BY o_orderdate, o_orderkey))
+SELECT ledger, id, 'hash' AS error FROM e WHERE bad UNION ALL SELECT ledger, id, 'chain' FROM e WHERE after_bad UNION ALL SELECT ledger, '', 'head' FROM e WHERE bad AND last""")
+def document_hashes(spark, sf):
+    """Ledger documents on disk whose amounts were changed under intact links; a zero behind a fee is a change too."""
+    errors = L.document_hash_errors(LG.read_ledger_texts(spark, ledger_documents(spark, sf)))
+    return errors.withColumn("ledger", F.regexp_extract("ledger", "ledger=([0-9]+)/", 1).cast("bigint"))
+
+
+@query("""SELECT o_custkey//50 AS ledger, count(*) AS events, sum(cast(round(o_totalprice*100) AS bigint))::BIGINT AS price_cents, sum(cast(round(o_totalprice*100) AS bigint)//1000)::BIGINT AS fee_cents FROM orders GROUP BY 1""")
+def ledger_documents_read(spark, sf):
+    """Ledger documents on disk read as events with decimal amounts."""
+    ev = L.document_events(LG.ledger_events(LG.read_ledgers(spark, ledger_documents(spark, sf))))
+    return ev.groupBy(F.regexp_extract("ledger", "ledger=([0-9]+)/", 1).cast("bigint").alias("ledger")).agg(
+        F.count("*").alias("events"), F.sum(F.col("price") * 100).cast("bigint").alias("price_cents"), F.sum(F.col("fee") * 100).cast("bigint").alias("fee_cents"))
+
+
 @query("SELECT concat('L', cast(o_custkey%50 AS varchar)) AS ledger, concat('f', cast(o_orderkey//2 AS varchar)) AS id, 'duplicate_fill' AS error FROM orders GROUP BY o_custkey%50, o_orderkey//2 HAVING count(*)>1")
 def duplicate_fills(spark, sf):
     led = B.read(spark, sf, "orders").select(F.concat(F.lit("L"), (F.col("o_custkey") % 50).cast("string")).alias("ledger"), F.concat(F.lit("f"), F.expr("o_orderkey div 2").cast("string")).alias("fill_id"))

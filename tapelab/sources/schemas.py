@@ -38,3 +38,13 @@ LEDGER = (
     "side:string,from_exchange:string,to_exchange:string," + ",".join(f"{a}:decimal(38,18)" for a in _AMT) + ">>, "
     "markPriceUsd decimal(38,18), reportedNetPnlUsd decimal(38,18), eventCount bigint, headHash string"
 )
+# the same documents with the amounts of events as the text they have in the file
+LEDGER_TEXT = LEDGER
+for _a in _AMT:
+    LEDGER_TEXT = LEDGER_TEXT.replace(f",{_a}:decimal(38,18)", f",{_a}:string")
+# The fields that the hash of a document's event covers, in their order.
+EVENT_FIELDS = {
+    "fill": ("fill_id", "exchange", "side", "quantity_btc", "execution_price_usd", "reference_price_usd", "fee_usd"),
+    "rebalance": ("from_exchange", "to_exchange", "btc", "usd", "cost_usd"),
+    "withdrawal_amortization": ("exchange", "cost_usd"),
+}

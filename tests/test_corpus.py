@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from conftest import SF
 from tapelab.config import CostModel, venue_table
 from tapelab.plans import corpus as CP
-from tapelab.plans.ledger_audit import audit_documents
-from tapelab.sources.ledger import line_hash, read_jsonl_ledger, read_ledgers
+from tapelab.plans.ledger_audit import audit_documents, audit_ledger_files, document_hash_errors
+from tapelab.sources.ledger import line_hash, read_jsonl_ledger, read_ledger_texts, read_ledgers
 from tapelab.sources.tape import bad_lines, read_quotes, read_tape
 from tapelab.streaming import quotes as SQ
 
@@ -158,6 +158,49 @@ def test_ledger_documents(spark, tmp_path):
     assert errors(spark, tmp_path, d, "pnl") == {"reported_result"}
 
 
+def sealed_doc():
+    """ledger_doc() with real hashes over the compact JSON of every event, amounts as written."""
+    d, prev = ledger_doc(), "GENESIS"
+    d["events"][0]["id"] = 'e"0\\\n\x1f/é\\u001F'
+    for e in d["events"]:
+        data = {k: v for k, v in e.items() if k not in ("id", "sequence", "previousHash", "hash")}
+        e["previousHash"] = prev
+        text = json.dumps({"id": e["id"], "sequence": e["sequence"], "previous_hash": prev, "data": data}, separators=(",", ":"), ensure_ascii=False)
+        e["hash"] = prev = hashlib.sha256(text.encode()).hexdigest()
+    d["headHash"] = prev
+    return d
+
+
+def test_ledger_own_hashes(spark, tmp_path):
+    def found(doc, name):
+        p = tmp_path / f"{name}.json"
+        p.write_text(json.dumps(doc, indent=1))
+        return {(r.id, r.error) for r in document_hash_errors(read_ledger_texts(spark, str(p))).collect()}
+
+    assert found(sealed_doc(), "sealed") == set()
+    assert audit_ledger_files(spark, str(tmp_path / "sealed.json"))["errors"].count() == 0
+    d = sealed_doc()
+    d["events"][1]["fee_usd"] = "0.20"  # the same amount in another text, links intact
+    assert found(d, "zero") == {("e1", "hash"), ("e2", "chain")}
+    d = sealed_doc()
+    d["events"][3]["cost_usd"] = "0.050"
+    assert found(d, "tail") == {("e3", "hash"), ("", "head")}
+    d = sealed_doc()
+    for e in d["events"][:2]:
+        e["hash"] = "0" * 64
+    assert {("e1", "hash"), ("e1", "chain"), ("e2", "chain")} <= found(d, "two")
+    assert {r.error for r in audit_ledger_files(spark, str(tmp_path / "two.json"))["errors"].collect()} == {"hash", "chain"}
+    d = sealed_doc()
+    d["events"][2]["type"] = "other"
+    assert ("e2", "hash") in found(d, "kind")
+    d = sealed_doc()
+    del d["events"][3]["cost_usd"]
+    assert ("e3", "hash") in found(d, "missing")
+    d = sealed_doc()
+    d.update(events=[], eventCount=0, headHash="GENESIS")
+    assert found(d, "empty") == set()
+
+
 def test_jsonl_ledger_hash(spark, tmp_path):
     prev, lines = "GENESIS", []
     for i in range(1, 4):
