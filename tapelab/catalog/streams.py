@@ -12,10 +12,11 @@ from tapelab.catalog.base import query, r6, s6
 from tapelab.catalog.routes import _seq_sql, numbered
 from tapelab.catalog.scan import _funnel_cols, cands_sql
 from tapelab.operators.funnel import scan_funnel
+from tapelab.plans.corpus import recorded_order
 from tapelab.sources import audit_log as AL
-from tapelab.sources.tape import write_tape
+from tapelab.sources.tape import file_hashes, read_capture_configs, read_corpus, write_tape
 from tapelab.session import staging_dir
-from tapelab.streaming import detect, quotes, signals, sink
+from tapelab.streaming import capture, detect, quotes, signals, sink
 
 S = replace(B.MODEL, slippage_fallback="zero")
 SLICES = 3
@@ -129,6 +130,44 @@ def stream_shards(spark, sf):
     return spark.read.json(path, schema="venue string, shard string").groupBy("shard").agg(F.count("*").alias("events"))
 
 
+def captured(spark, sf):
+    """The quotes recorded as shards of a day at most."""
+    path = work(spark, "corpus")
+    capture.capture(quotes.replay(spark, tape(spark, sf)), path, work(spark, "cp"), minutes=1440)
+    return path
+
+
+@query(f"""WITH {B.QUOTES_SQL} SELECT t//86400000000*86400000000 AS day, count(*) AS events, count(*) AS snapshots, true AS hashes_match, true AS bytes_match, true AS numbered, true AS configured FROM quotes GROUP BY 1""")
+def stream_capture(spark, sf):
+    """Manifests of the recorded shards against their files, by day; shards are numbered without a gap."""
+    root = captured(spark, sf)
+    manifests, _ = read_corpus(spark, root)
+    c = F.col
+    files = file_hashes(spark, f"{root}/*/events.jsonl").select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("shard"), c("bytes").alias("size"), c("sha256").alias("now"))
+    configs = read_capture_configs(spark, root).select("shard", c("exchanges").alias("asked"), "depth")
+    rows = manifests.join(files, "shard").join(configs, "shard", "left").withColumn("number", F.regexp_extract("shard", "^shard-([0-9]+)-", 1).cast("bigint"))
+    whole = rows.agg((F.count_distinct("number") == F.max("number") + 1).alias("numbered"))  # one row
+    day = F.unix_micros("startedAt") - F.pmod(F.unix_micros("startedAt"), F.lit(86_400_000_000))
+    return rows.groupBy(day.alias("day")).agg(
+        F.sum("events").alias("events"), F.sum("snapshots").alias("snapshots"), F.bool_and(c("sha256") == c("now")).alias("hashes_match"),
+        F.bool_and(c("uncompressedBytes") == c("size")).alias("bytes_match"),
+        F.bool_and(F.coalesce((c("asked") == c("exchanges")) & (c("depth") == 10), F.lit(False))).alias("configured")).join(F.broadcast(whole))
+
+
+@query(f"""WITH {B.QUOTES_SQL} SELECT venue, pair, count(*) AS events, min(t) AS first_t, max(t) AS last_t, {s6('sum(bid)', 'bids')}, true AS in_order FROM quotes GROUP BY ALL""")
+def corpus_events(spark, sf):
+    """Events of all shards of a corpus on disk in one recorded order, which follows time."""
+    _, rows = read_corpus(spark, captured(spark, sf))
+    rows = quotes.top_of_book(rows).drop("seq")
+    rows = recorded_order(rows.withColumn("at", F.struct("t", "sequence")))
+    order = rows.groupBy("shard").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.min("at").alias("x"), F.max("at").alias("y"))
+    # shards follow each other in number and time
+    ends = order.join(order.select(*[F.col(k).alias(f"_{k}") for k in order.columns]), F.col("_shard") > F.col("shard")).agg(
+        F.coalesce(F.bool_and((F.col("b") < F.col("_a")) & (F.col("y") <= F.col("_x"))), F.lit(True)).alias("in_order"))
+    return rows.groupBy("venue", "pair").agg(
+        F.count("*").alias("events"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), r6(F.sum("bid"), "bids")).join(F.broadcast(ends))
+
+
 @query(f"WITH {B.QUOTES_SQL} SELECT venue, count(*) AS events FROM quotes, (SELECT max(t) AS m FROM quotes) WHERE t >= m - 3600000000 GROUP BY venue")
 def stream_recent_history(spark, sf):
     path = work(spark, "history")

@@ -156,3 +156,15 @@ def tape_rows(quotes: DataFrame) -> DataFrame:
 def write_tape(quotes: DataFrame, path: str) -> None:
     """Append quotes or book messages as JSON lines with microsecond times."""
     tape_rows(quotes).write.mode("append").option("timestampFormat", TIME_FORMAT).json(path)
+
+
+def event_rows(events: DataFrame, *more: str) -> DataFrame:
+    """Canonical messages in the recorded tape layout, the inverse of :func:`canonical_events`; ``more`` columns stay."""
+    def lv(name):
+        return F.transform(name, lambda x: F.struct(x["price"].alias("precio"), x["qty"].alias("cantidad")))
+
+    return events.select(
+        *more, F.col("schema_version").alias("schemaVersion"), F.timestamp_micros("exchange_t").alias("exchangeTimestamp"), F.timestamp_micros("t").alias("localTimestamp"),
+        F.col("venue").alias("exchange"), "pair", F.struct(F.col("source").alias("type"), F.lit("").alias("url")).alias("source"), "kind",
+        F.col("sequence").alias("sequenceId"), F.col("previous").alias("previousSequence"), lv("bids").alias("bids"), lv("asks").alias("asks"),
+        F.struct("status", "gap", "resync", F.col("epoch").alias("connectionEpoch"), "reconnected").alias("integrity"), F.col("latency_ms").alias("observedLatencyMs"))
