@@ -9,7 +9,7 @@ from tapelab.catalog.base import query, r6, s6
 from tapelab.functions import edge as E
 from tapelab.functions import quality as Q
 from tapelab.functions import scoring
-from tapelab.operators import risk
+from tapelab.operators import risk, routes
 from tapelab.operators.ordered import drawdown, ewma, newest, rank_percentiles, ranked, rolling_rows, rolling_time
 from tapelab.operators.retention import keep_days, last_minutes, latest_batch
 
@@ -303,6 +303,18 @@ def canonical_score(spark, sf):
     return df.select(*O, r6(s, "score"))
 
 
+@query(f"""{_Z}, h AS (SELECT *, {_ZV} AS z FROM w), s AS (SELECT *, t//86400000000 AS tick,
+ round(0.4::DOUBLE*greatest(0.0::DOUBLE, least(1.0::DOUBLE, pnl/10000.0::DOUBLE/100.0::DOUBLE)) + 0.2::DOUBLE*greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE-latency_ms/5000.0::DOUBLE))
+ + 0.2::DOUBLE*greatest(0.0::DOUBLE, least(1.0::DOUBLE, qty/50.0::DOUBLE)) + 0.1::DOUBLE*0.9::DOUBLE + 0.1::DOUBLE*greatest(0.0::DOUBLE, least(1.0::DOUBLE, z/3.0::DOUBLE)), 6) AS score FROM h WHERE pnl > 0)
+SELECT tick, row_number() OVER (PARTITION BY tick ORDER BY score DESC, {OSQL}) AS position, {OSQL}, score + 0.0 AS score FROM s""")
+def ranked_candidates(spark, sf):
+    """Winning trades of every day by canonical score."""
+    df = with_zscore(B.trades(spark, sf).withColumn("edge", F.expr("pnl div capital")))
+    s = scoring.canonical_score((0.4, 0.2, 0.2, 0.1, 0.1), F.col("pnl") / 10000.0, "latency_ms", F.lit(5000), "qty", F.lit(50.0), F.lit(0.9), "z")
+    df = df.withColumns({"score": r6(s, "score"), "tick": F.floor(F.col("t") / 86_400_000_000), "executable": F.col("pnl") > 0})
+    return routes.rank_candidates(df, ["tick"], "score", O).select("tick", "position", *O, "score")
+
+
 _H = "CASE WHEN l_linenumber%7=0 THEN NULL ELSE l_linenumber::DOUBLE/7.0::DOUBLE END"
 _EX = f"""{_Z}, h AS (SELECT *, {_ZV} AS z, pnl/10000.0::DOUBLE AS u, capital/10000.0::DOUBLE AS cost, {_H} AS hist FROM w),
 f AS (SELECT *, greatest((exp(2*u/25.0::DOUBLE)-1)/(exp(2*u/25.0::DOUBLE)+1), 0.0::DOUBLE) AS f1x, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE-latency_ms/5000.0::DOUBLE)) AS f2,

@@ -14,7 +14,7 @@ from tapelab.config import CostModel
 from tapelab.functions.costs import opportunity
 from tapelab.operators.asof import fresh
 from tapelab.operators.funnel import with_venue_config
-from tapelab.operators.ordered import BUCKET, bucketed
+from tapelab.operators.ordered import BUCKET, bucketed, ranked
 
 # Pairs of the triangular cycles.
 CYCLES = (("BTC/USD", "ETH/BTC", "ETH/USD"), ("BTC/USDT", "ETH/BTC", "ETH/USDT"))
@@ -153,6 +153,17 @@ def top_per_tick(df: DataFrame, tick: list[str], order: list, n: int) -> DataFra
     return df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
+def rank_candidates(df: DataFrame, tick: list[str], score: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """Position (from 1) of the executable rows of every tick, highest ``score`` first, equal scores along ``order``.
+
+    A null score comes last. All rows of a tick get a position, so a tick with a third of them is spread
+    over buckets of the score.
+    """
+    worst = F.when(F.col(score).isNull(), F.lit(float("inf"))).otherwise(-F.col(score).cast("double"))
+    rows = ranked(df.where("executable").withColumn("_worst", worst), tick, ["_worst", *order], parts)
+    return rows.withColumn("position", F.col("rank") + 1).drop("_worst", "rank", "n")
+
+
 def disjoint_batch(df: DataFrame, tick: list[str], buy_key: str, sell_key: str, limit: int = 4) -> DataFrame:
     """Greedy choice per tick by score: skip a route whose buy or sell key is taken, at most 4.
 

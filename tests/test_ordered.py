@@ -220,3 +220,17 @@ def test_analyses_of_a_replay(spark, parts):
     got = analyses(replay_clock(d, "ms", ["seq"], parts=parts), parts=parts)
     assert sorted(r["clock"] for r in got.collect()) == want
     assert analyses(replay_clock(d.where("false"), "ms", ["seq"], parts=parts)).count() == 0
+
+
+def test_candidates_rank_by_score_per_tick(spark):
+    from tapelab.operators.routes import rank_candidates
+
+    rows = [(i % 3 if i % 2 else 0, i, None if i % 11 == 0 else float(i * 7 % 5), i % 4 != 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "tick long, seq long, score double, executable boolean").withColumn("rank", F.lit(9)).repartition(3)
+    want = {}
+    for tick in (0, 1, 2):
+        mine = sorted((r for r in rows if r[0] == tick and r[3]), key=lambda r: (r[2] is None, -(r[2] or 0.0), r[1]))
+        want |= {r[1]: k + 1 for k, r in enumerate(mine)}
+    for parts in (1, 7):
+        got = {r.seq: r.position for r in rank_candidates(df, ["tick"], "score", ["seq"], parts).collect()}
+        assert got == want
