@@ -19,6 +19,7 @@ from tapelab.operators.ordered import ranked
 from tapelab.plans import bootstrap as BS
 from tapelab.plans import evaluate as EV
 from tapelab.plans import impact_compare as IC
+from tapelab.plans import lab as LAB
 from tapelab.plans import meanrev as MR
 from tapelab.plans import microstructure as MS
 from tapelab.session import stage
@@ -579,6 +580,73 @@ def threshold_elasticity(spark, sf):
     return elasticity(sensitivity(run_rows(spark, sf), "pnl", "capital", 2.0)).select(r6("elasticity", "elasticity"))
 
 
+# rule sets over the recorded routes; a lot of the table stands for 0.01 BTC
+_RULES = [LAB.Rule("conservative", 4.0, 8.0), LAB.Rule("balanced", 1.0, 18.0), LAB.Rule("aggressive", -1.0, 35.0), LAB.Rule("champion", 2.0, 24.0)]
+_HELD = [LAB.Rule("champion", 2.0, 24.0), LAB.Rule("fixed_conservative", 4.0, 8.0), LAB.Rule("fixed_balanced", 1.0, 18.0), LAB.Rule("net_spread", 0.0, 50.0)]
+
+
+def _block_sql(rows, *keys, name="blk"):
+    """Result block ``name`` per keys of ``rows`` (acc, pnl, net_bps and the order columns)."""
+    k, by = ", ".join(keys), f"PARTITION BY {', '.join(keys)} ORDER BY {OSQL}"
+    return f"""{name}_a AS (SELECT *, sum(pnl) OVER ({by} ROWS UNBOUNDED PRECEDING) AS c FROM {rows} WHERE acc),
+{name}_b AS (SELECT *, greatest(max(c) OVER ({by} ROWS UNBOUNDED PRECEDING),0)-c AS d FROM {name}_a), {name}_d AS (SELECT {k}, max(d)::BIGINT AS max_drawdown FROM {name}_b GROUP BY {k}),
+{name}_0 AS (SELECT {k}, count(*) AS routes, count(*) FILTER (WHERE acc) AS trades, coalesce(sum(pnl) FILTER (WHERE acc),0)::BIGINT AS pnl, coalesce(count(*) FILTER (WHERE acc AND pnl>0)/nullif(count(*) FILTER (WHERE acc),0),0) AS win_rate,
+ coalesce(avg(net_bps) FILTER (WHERE acc),0) AS mean_net_bps, coalesce(avg(pnl) FILTER (WHERE acc),0) AS mean_pnl, coalesce(stddev_samp(pnl) FILTER (WHERE acc),0) AS sd_pnl, list_sort(list(pnl) FILTER (WHERE acc)) AS l,
+ coalesce(sum(pnl) FILTER (WHERE acc AND pnl>0),0)::DOUBLE AS gain, coalesce(-sum(pnl) FILTER (WHERE acc AND pnl<0),0)::DOUBLE AS loss FROM {rows} GROUP BY {k}),
+{name} AS (SELECT {name}_0.*, coalesce(max_drawdown,0) AS max_drawdown, CASE WHEN loss>0 THEN gain/loss ELSE gain END AS profit_factor, CASE WHEN trades>1 THEN 1.96::DOUBLE*sd_pnl/sqrt(trades) ELSE 0 END AS ci95,
+ coalesce(l[round((len(l)-1)*0.5::DOUBLE)::INT+1],0)::BIGINT AS p50, coalesce(l[round((len(l)-1)*0.95::DOUBLE)::INT+1],0)::BIGINT AS p95 FROM {name}_0 LEFT JOIN {name}_d USING ({k}))"""
+
+
+def _ruled_sql(rules, where="true"):
+    values = ", ".join(f"('{r.name}', {r.min_bps}::DOUBLE, {r.max_size}::DOUBLE)" for r in rules)
+    return f"""{_RR}, rl(rule, lo, mx) AS (VALUES {values}), ru AS (SELECT rule, run, rr.* EXCLUDE (pnl, acc, run), net_bps >= lo AS acc,
+ CASE WHEN qty > mx THEN cast(round(pnl*mx/qty) AS bigint) ELSE pnl END AS pnl FROM rr, rl WHERE {where})"""
+
+
+_SPREAD = """ds AS (SELECT rule, count(*) AS runs, avg(pnl) AS mean_pnl, coalesce(1.96::DOUBLE*stddev_samp(pnl)/sqrt(count(*)),0) AS ci95_mean, count(*) FILTER (WHERE pnl>0) AS positive_runs,
+ list_sort(list(pnl)) AS p, list_sort(list(max_drawdown)) AS d, list_sort(list(trades)) AS t FROM blk GROUP BY rule),
+sp AS (SELECT rule, runs, mean_pnl, ci95_mean, positive_runs, p[round((runs-1)*0.5::DOUBLE)::INT+1] AS median_pnl, p[round((runs-1)*0.05::DOUBLE)::INT+1] AS p05_pnl, p[round((runs-1)*0.95::DOUBLE)::INT+1] AS p95_pnl,
+ d[round((runs-1)*0.5::DOUBLE)::INT+1] AS median_drawdown, t[round((runs-1)*0.5::DOUBLE)::INT+1] AS median_trades FROM ds)"""
+_RUNS = ["runs", "positive_runs", "median_pnl", "p05_pnl", "p95_pnl", "median_drawdown", "median_trades"]
+# the first five years calibrate, the later ones are held out
+_HELD_FROM = 1997
+
+
+def _ruled(routes, rules):
+    return LAB.ruled(routes, rules, ["run", *O], "pnl", "net_bps", "qty")
+
+
+@query(f"""{_ruled_sql(_RULES)}, {_block_sql('ru', 'rule', 'run')}, {_SPREAD},
+{_block_sql('ru', 'rule', name='wh')},
+sc AS (SELECT *, pnl - max_drawdown*0.55::DOUBLE + win_rate*120 + least(profit_factor, 25)*4 - ci95 AS s FROM wh)
+SELECT rule, trades, pnl, max_drawdown, {s2('s','lab_score')}, {', '.join(_RUNS)}, rule = (SELECT arg_max(rule, (s, rule)) FROM sc) AS best FROM sc JOIN sp USING (rule)""")
+def lab_presets(spark, sf):
+    """Four rule sets on all routes with their lab score, their spread over the runs, and the best one."""
+    out = LAB.presets(_ruled(run_rows(spark, sf), _RULES), "run", O)
+    return out.select("rule", "trades", "pnl", "max_drawdown", r2("lab_score", "lab_score"), *_RUNS, "best")
+
+
+@query(f"""{_ruled_sql(_HELD, f'run >= {_HELD_FROM}')}, {_block_sql('ru', 'rule', 'run')}, {_SPREAD},
+tp AS (SELECT arg_max(rule, (median_pnl, rule)) AS winner, max(median_pnl) FILTER (WHERE rule='champion') - max(median_pnl) FILTER (WHERE rule<>'champion') AS champion_gap FROM sp)
+SELECT rule, {', '.join(_RUNS)}, winner, champion_gap, winner = 'champion' AS champion_wins FROM sp, tp""")
+def lab_holdout(spark, sf):
+    """The frozen champion against three fixed rules on the held-out years."""
+    out = LAB.holdout(_ruled(run_rows(spark, sf).where(F.col("run") >= _HELD_FROM), _HELD), "run", O, "champion")
+    return out.select("rule", *_RUNS, "winner", "champion_gap", "champion_wins")
+
+
+@query(f"""{_RR}, pt(parameter, multiplier) AS (VALUES ('threshold',0.25::DOUBLE),('threshold',0.5),('threshold',1.0),('threshold',1.5),('threshold',2.0),('slippage',0.0),('slippage',0.5),('slippage',1.0),('slippage',2.0),('slippage',4.0)),
+pr AS (SELECT parameter, multiplier, rr.* EXCLUDE (pnl, net_bps, acc), CASE WHEN parameter='threshold' THEN pnl ELSE pnl - cast(round(capital*multiplier) AS bigint) END AS pnl,
+ CASE WHEN parameter='threshold' THEN net_bps::DOUBLE ELSE net_bps-multiplier END AS net_bps, CASE WHEN parameter='threshold' THEN net_bps >= 2*multiplier ELSE net_bps-multiplier >= 2 END AS acc FROM rr, pt), {_block_sql('pr', 'parameter', 'multiplier')},
+fs AS (SELECT parameter, arg_min(pnl, multiplier)::DOUBLE AS f FROM blk GROUP BY parameter)
+SELECT parameter, multiplier, routes, trades, pnl, max_drawdown, {s6('win_rate','win_rate')}, {s6('mean_net_bps','mean_net_bps')}, {s2('mean_pnl','mean_pnl')}, {s2('sd_pnl','sd_pnl')}, {s2('ci95','ci95')}, p50, p95, {s6('profit_factor','profit_factor')}, {s6('CASE WHEN abs(f) > 1e-9 THEN (pnl-f)/f ELSE 0 END','change')} FROM blk JOIN fs USING (parameter)""")
+def sensitivity_blocks(spark, sf):
+    """The result block at every point of both sweeps."""
+    b = LAB.sensitivity_blocks(run_rows(spark, sf), O, "pnl", "capital", "net_bps", 2.0)
+    return b.select("parameter", "multiplier", "routes", "trades", "pnl", "max_drawdown", r6("win_rate", "win_rate"), r6("mean_net_bps", "mean_net_bps"), r2("mean_pnl", "mean_pnl"),
+                    r2("sd_pnl", "sd_pnl"), r2("ci95", "ci95"), "p50", "p95", r6("profit_factor", "profit_factor"), r6("change", "change"))
+
+
 @query(f"""{_RR}, r AS (SELECT route, run, sum(pnl)/10000.0::DOUBLE AS pnl FROM rr GROUP BY ALL), a AS (SELECT route, list_sort(list(pnl)) AS l, count(*) AS runs, coalesce(sum(pnl) FILTER (WHERE pnl>0),0)/greatest(coalesce(-sum(pnl) FILTER (WHERE pnl<=0),0),1) AS pf, count(*) FILTER (WHERE pnl>0)/count(*) AS wr, abs(least(min(pnl),0)) AS wl FROM r GROUP BY route)
 SELECT route, runs, {s6('pf','profit_factor')}, {s6('wr','win_rate')}, {s2('wl','worst_loss')}, {s2('l[least(floor(runs*0.5::DOUBLE)::INT, runs-1)+1]','median')}, {s2('l[least(floor(runs*0.05::DOUBLE)::INT, runs-1)+1]','p05')}, {s2('l[least(floor(runs*0.95::DOUBLE)::INT, runs-1)+1]','p95')} FROM a""")
 def run_comparison(spark, sf):
