@@ -16,7 +16,7 @@ from tapelab.plans.corpus import recorded_order
 from tapelab.sources import audit_log as AL
 from tapelab.sources.tape import file_hashes, read_capture_configs, read_corpus, write_tape
 from tapelab.session import staging_dir
-from tapelab.streaming import capture, detect, quotes, signals, sink
+from tapelab.streaming import capture, detect, history, quotes, signals, sink
 
 S = replace(B.MODEL, slippage_fallback="zero")
 SLICES = 3
@@ -175,3 +175,32 @@ def stream_recent_history(spark, sf):
     return quotes.recent(spark, path, unit="yyyy-MM-dd").groupBy("venue").agg(F.count("*").alias("events"))
 
 
+
+
+_KEEP = 24 * 60  # minutes; the table has a few messages an hour
+_CELL = 6 * 3600
+
+
+@query(f"""WITH {B.QUOTES_SQL}, c AS (SELECT venue, pair, t//1000//{_CELL * 1000} AS cell FROM quotes), w AS (SELECT max(t)//1000 - 60000 AS mark FROM quotes)
+SELECT venue, pair, (cell+1)*{_CELL * 1000} + {_KEEP * 60_000} < mark AS forgotten, count(*) AS rows, min(cell) AS first_cell, max(cell) AS last_cell FROM c, w GROUP BY ALL""")
+def stream_expiry(spark, sf):
+    """Messages forgotten by the state of the last day, and those still in it."""
+    out, cp = work(spark, "forgotten"), work(spark, "cp")
+    rows = events(spark, sf).withWatermark("ts", "1 minute")
+    with history.with_state_store(spark):
+        history.to_table(history.rolling_state(rows, _KEEP, _CELL), out, cp)
+    gone = spark.read.parquet(out).select("venue", "pair", "cell", "rows", F.lit(True).alias("forgotten"))
+    kept = history.retained(spark, cp).groupBy("venue", "pair", "cell").agg(F.count("*").alias("rows")).withColumn("forgotten", F.lit(False))
+    return gone.unionByName(kept).groupBy("venue", "pair", "forgotten").agg(
+        F.sum("rows").alias("rows"), F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"))
+
+
+@query(f"""WITH {B.QUOTES_SQL}, w AS (SELECT max(t)//1000 - 60000 AS mark FROM quotes), g AS (SELECT venue, pair, t, lead(t) OVER (PARTITION BY venue, pair ORDER BY t, seq) AS nxt FROM quotes)
+SELECT venue, pair, t AS last_seen, nxt - t AS silent_us FROM g, w WHERE nxt - t > {B.STALE_US} OR (nxt IS NULL AND (t + {B.STALE_US})//1000 + 1 < mark)""")
+def stream_silence(spark, sf):
+    """Silences of every market, the open ones with a null length."""
+    out = work(spark, "silent")
+    rows = events(spark, sf).withWatermark("ts", "1 minute")
+    with history.with_state_store(spark):
+        history.to_table(history.silences(rows, B.STALE_US), out, work(spark, "cp"))
+    return history.last_word(spark.read.parquet(out))

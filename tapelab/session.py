@@ -69,7 +69,8 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _delete(spark: SparkSession, names: list[str]) -> None:
+def delete(spark: SparkSession, names: list[str]) -> None:
+    """Delete files or folders, wherever they are."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in names:
         path = jvm.org.apache.hadoop.fs.Path(name)
@@ -94,7 +95,7 @@ def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         gone = [name for name in _staged[mark:] if name not in kept]
         _staged[mark:] = kept
-        _delete(spark, gone)
+        delete(spark, gone)
 
 
 def unstage(df: DataFrame) -> None:
@@ -102,7 +103,7 @@ def unstage(df: DataFrame) -> None:
     folders = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
     gone = [name for name in _staged if os.path.basename(name) in folders]
     _staged[:] = [name for name in _staged if name not in gone]
-    _delete(df.sparkSession, gone)
+    delete(df.sparkSession, gone)
 
 
 def ship(spark: SparkSession) -> None:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tapelab.operators.book import sequence_status
-from tapelab.operators.ordered import BUCKET, bucketed
+from tapelab.operators.ordered import BUCKET, bucketed, newest
 from tapelab.operators.retention import last_minutes
+from tapelab.session import delete
 from tapelab.sources.schemas import TAPE
 from tapelab.sources.tape import canonical_events
 from tapelab.streaming.state import CarriedState, run
@@ -35,22 +36,49 @@ def latest_quotes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("venue", "pair").agg(F.max(q).alias("q"), F.count("*").alias("ingested")).select("venue", "pair", "q.*", "ingested")
 
 
-def retained_history(stream: DataFrame, path: str, checkpoint: str, unit: str = "yyyy-MM-dd-HH"):
-    """Keep messages in folders per hour (or another ``unit``); :func:`recent` reads the last minutes and prunes the rest."""
-    rows = stream.withColumn("folder", F.date_format("ts", unit))
-    q = rows.writeStream.format("parquet").partitionBy("folder").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-    q.awaitTermination()
-    return q
+def retained_history(stream: DataFrame, path: str, checkpoint: str, unit: str = "yyyy-MM-dd-HH", minutes: int = 60):
+    """Keep messages in folders per hour (or another ``unit``) and delete folders older than the last ``minutes``.
+
+    A repeated batch writes its own files again; :func:`recent` reads the last minutes.
+    """
+
+    def handle(batch: DataFrame, n: int) -> None:
+        if batch.isEmpty():
+            return
+        rows = batch.withColumns({"folder": F.date_format("ts", unit), "batch": F.lit(n)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder", "batch").parquet(path)
+        expire(batch.sparkSession, path, minutes, unit)
+
+    return run(stream, handle, checkpoint)
 
 
-def recent(spark: SparkSession, path: str, minutes: int = 60, unit: str = "yyyy-MM-dd-HH") -> DataFrame:
-    """The last minutes of a history written with the same ``unit``; older folders are not opened."""
-    rows = spark.read.parquet(path)
+def _first_folder(rows: DataFrame, minutes: int, unit: str) -> str | None:
+    """The folder in which the last ``minutes`` begin; reads the newest folder only."""
     newest = rows.where(F.col("folder") == rows.agg(F.max("folder")).first()[0]).agg(F.max("t")).first()[0]
     if newest is None:
+        return None
+    at = F.timestamp_micros(F.lit(newest - minutes * 60_000_000))
+    return rows.sparkSession.range(1).select(F.date_format(at, unit)).first()[0]
+
+
+def expire(spark: SparkSession, path: str, minutes: int, unit: str) -> list[str]:
+    """Delete the folders of a history that end before its last ``minutes``; returns their names."""
+    first = _first_folder(spark.read.parquet(path), minutes, unit)
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)]
+    gone = [n for n in names if n.startswith("folder=") and n < f"folder={first}"]
+    delete(spark, [f"{path}/{n}" for n in gone])
+    return gone
+
+
+def recent(spark: SparkSession, path: str, minutes: int = 60, unit: str = "yyyy-MM-dd-HH", most: int | None = None) -> DataFrame:
+    """The last minutes of a history written with the same ``unit``, at most the newest ``most`` rows of them."""
+    rows = spark.read.parquet(path).drop("batch")
+    first = _first_folder(rows, minutes, unit)
+    if first is None:
         return rows.where("false")
-    first = F.date_format(F.timestamp_micros(F.lit(newest - minutes * 60_000_000)), unit)
-    return last_minutes(rows.where(F.col("folder").cast("string") >= first), "t", minutes)
+    rows = last_minutes(rows.where(F.col("folder").cast("string") >= first), "t", minutes)
+    return rows if most is None else newest(rows, [], ["t", "seq"], most).drop("newest")
 
 
 SEQ_STATE = "venue string, pair string, last bigint, broken boolean"
