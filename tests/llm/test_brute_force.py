@@ -3,6 +3,7 @@
 import functools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,6 +93,31 @@ def test_wavelet_round_trip(spark, tmp_path):
     assert wavelet.read(spark, empty).count() == 0
 
 
+def test_wavelet_lookups_over_all_shards(spark, tmp_path):
+    """Counts, places and ids of a folder of several shards and segments, documents with equal ids among them."""
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    rows = [(k, "the cat and the dog " * (k % 7) + f"number {k}") for k in range(60)] + [(7, "the the"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("mine"))
+    out = wavelet.write(docs, path, str(tmp_path / "files"), shards=3, segment=150)
+    assert spark.read.parquet(out).count() > 6
+    want = [(k, whole(path, t or "") + [2]) for k, t in rows]
+    common = [t for t, _ in Counter(t for _, ids in want for t in ids).most_common(5)]
+    asked = [*common, 2, 49_000, 1 << 20, common[0]]
+    flat = Counter(t for _, ids in want for t in ids)
+    assert {r.token: r.n for r in wavelet.count(spark, out, asked).collect()} == {t: flat[t] for t in asked}
+    got = sorted((r.token, r.doc_id, r.at) for r in wavelet.positions(spark, out, asked).collect())
+    assert got == sorted((t, k, i) for k, ids in want for i, t in enumerate(ids) if t in set(asked))
+    places = [(k, i) for k in (0, 7, 33, 59, 99) for i in (0, 1, 5, 40, -1)] * 2
+    there = wavelet.access(spark.createDataFrame(places, "doc_id long, at long"), out).collect()
+    assert sorted((r.doc_id, r.at, -1 if r.token is None else r.token) for r in there) == sorted(
+        (k, i, ids[i] if 0 <= i < len(ids) else -1) for k, i in set(places) for d, ids in want if d == k)
+    # all starts follow each other also among documents of one id
+    starts = sorted((r.start, r.n_tokens) for r in wavelet.read(spark, out).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0
+    none = wavelet.write(docs.where("false"), path, str(tmp_path / "none"))
+    assert wavelet.positions(spark, none, [2]).count() == 0 and wavelet.count(spark, none, [2]).first().n == 0
+
+
 def test_wavelet_queries():
     rng = random.Random(1)
     for n in (1, 511, 512, 513, 5000):
@@ -105,8 +131,9 @@ def test_wavelet_queries():
             places = np.flatnonzero(ids == token)
             assert seg.rank(token) == len(places) and seg.rank(token, at) == (places < at).sum()
             k = rng.randrange(len(places))
+            assert (seg.places(token) == places).all()
             assert seg.select(token, k) == places[k] and seg.select(token, len(places)) == -1
-        assert seg.rank(1 << 16) == 0 and seg.rank(777) == (ids == 777).sum()
+        assert len(seg.places(1 << 16)) == 0 and seg.rank(1 << 16) == 0 and seg.rank(777) == (ids == 777).sum()
 
 
 def test_language_accuracy_on_held_out_rows(spark):
