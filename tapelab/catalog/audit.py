@@ -515,6 +515,26 @@ def json_export(spark, sf):
     return out
 
 
+_JSON = {"orders": ("o_orderkey", "o_totalprice"), "customer": ("c_custkey", "c_acctbal")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS rows, sum({k})::BIGINT AS keys, sum(cast(round({v}*100) AS bigint))::BIGINT AS cents, true AS same FROM {n}" for n, (k, v) in _JSON.items()))
+def json_contents(spark, sf):
+    """What the exported JSON holds once read back: sums, and whether its fingerprint is that of the table."""
+    path = folder(spark, "json")
+    t = {n: B.read(spark, sf, n) for n in _JSON}
+    marks = EX.export_json(t, path)
+    out = None
+    for n, (k, v) in _JSON.items():
+        back = spark.read.schema(t[n].schema).json(f"{path}/{n}")
+        sums = back.agg(F.sum(k).alias("keys"), F.sum(F.round(F.col(v) * 100).cast("bigint")).alias("cents"))
+        now = EX.table_fingerprint(back).select("rows", F.struct("rows", "low", "high").alias("now"), F.lit(n).alias("table"))
+        r = now.join(F.broadcast(sums))
+        out = r if out is None else out.unionByName(r)
+    marks = marks.select("table", F.struct("rows", "low", "high").alias("then"))  # a row per table
+    return out.join(F.broadcast(marks), "table").select("table", "rows", "keys", "cents", (F.col("now") == F.col("then")).alias("same"))
+
+
 @query("""SELECT c_custkey, sha256(concat('{"c_custkey":', cast(c_custkey AS varchar), ',"c_mktsegment":"', c_mktsegment, '","c_name":"', c_name, '"}')) AS sha256 FROM customer""")
 def canonical_json_hash(spark, sf):
     c = B.read(spark, sf, "customer")
@@ -528,6 +548,21 @@ def evaluation_report_rows(spark, sf):
     return EX.report_rows(default_runs(spark, sf))
 
 
+@query("SELECT event_id AS seq, true AS in_file FROM events WHERE event_id % 97 = 0")
+def tape_bad_lines(spark, sf):
+    """A tape in which every 97th event is damaged: the damaged lines, each found at a line of its own within its file."""
+    whole, path = folder(spark, "tape"), folder(spark, "damaged")
+    TP.write_tape(B.quotes(spark, sf, levels=True), whole)
+    lines = spark.read.text(whole)
+    seq = F.get_json_object("value", "$.sequenceId").cast("bigint")
+    lines.select(F.when(seq % 97 == 0, F.concat(F.lit("x"), "value")).otherwise(F.col("value")).alias("value")).write.text(path)
+    bad = TP.numbered_bad_lines(spark, path)
+    sizes = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    same = bad.groupBy("file", "number").agg(F.count("*").alias("k"), F.max("line").alias("line"))  # a line has one number
+    seq = F.get_json_object(F.substring("line", 2, 1_000_000), "$.sequenceId").cast("bigint")
+    return same.join(sizes, "file").select(seq.alias("seq"), ((F.col("k") == 1) & F.col("number").between(1, F.col("n"))).alias("in_file"))
+
+
 # ---- tapes and payloads ------------------------------------------------------------------------
 @query(f"""WITH {B.QUOTES_SQL}, {B.LEVELS_SQL} SELECT venue, pair, count(*) AS events, min(t) AS first_t, max(t) AS last_t, sum(latency_ms)::BIGINT AS latency, {s6('max(ask)', 'top_ask')}, count(*)*6 AS bid_levels FROM quotes GROUP BY ALL""")
 def tape_scan(spark, sf):

@@ -132,7 +132,7 @@ def triangular_routes(spark, sf):
     price = (F.when(F.col("p") == 0, 60000.0 + F.col("x") % 50).when(F.col("p") == 1, 0.05 + F.col("x") % 7 / 1000.0).otherwise(3000.0 + F.col("x") % 400))
     pair = F.when(F.col("p") == 0, "BTC/USD").when(F.col("p") == 1, "ETH/BTC").otherwise("ETH/USD")
     q = q.select("venue", "snap", pair.alias("pair"), price.alias("ask"), price.alias("bid"), "latency_ms")
-    out = routes.triangular(q, B.venues(spark), replace(M, min_utility_usd=-1.0), F.lit(1000.0), ["snap"])
+    out = routes.detect("triangular", q, B.venues(spark), replace(M, min_utility_usd=-1.0), F.lit(1000.0), ["snap"])
     return out.select("venue", "snap", *[r6(c, c) for c in ("gross", "qty", "cost_usd", "utility_usd")], "latency_ms")
 
 

@@ -94,8 +94,8 @@ def triangular(quotes: DataFrame, venues: DataFrame, model: CostModel, balance_u
     return df.withColumn("net_bps", c("utility_usd") / (c("qty") * mid) * 10000.0).withColumn("legs", legs).drop("_n")
 
 
-# pluggable detection rules: name -> function of (rows with ``latest``, venues, model, stale)
-DETECTORS: dict[str, Callable[..., DataFrame]] = {"linear": opportunities}
+# pluggable detection rules by name; each takes its market rows, the venues and the model first
+DETECTORS: dict[str, Callable[..., DataFrame]] = {"linear": opportunities, "triangular": triangular}
 
 
 def register_detector(name: str, fn: Callable[..., DataFrame]) -> None:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tapelab.sources.schemas import CAPTURE, MANIFEST, MANIFEST_DEFAULTS, QUOTE, QUOTE_DOC, TAPE
 
@@ -50,6 +51,24 @@ def bad_lines(spark: SparkSession, path) -> DataFrame:
     return raw.where("_corrupt_record IS NOT NULL OR localTimestamp IS NULL OR exchange IS NULL").select("file", F.col("_corrupt_record").alias("line"))
 
 
+def numbered_bad_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines that are not tape events with their file, number in it (from 1, blank lines counted) and in how many pieces the file is read.
+
+    A file may be read in several pieces. Of every piece only its first running id and its number of
+    lines are gathered; a line's number follows from its own id, so no line is sorted or shuffled.
+    """
+    kind = StructType.fromDDL(TAPE + ", _corrupt_record string")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*place, "value", F.monotonically_increasing_id().alias("id"))
+    pieces = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    w = Window.partitionBy("file").orderBy("block")  # a row per piece
+    pieces = pieces.select("file", "block", "first", (F.sum("n").over(w) - F.col("n")).alias("before"), F.count("*").over(Window.partitionBy("file")).alias("pieces"))
+    event = F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    bad = event.isNull() | event["_corrupt_record"].isNotNull() | event["localTimestamp"].isNull() | event["exchange"].isNull()
+    found = lines.where((F.trim("value") != "") & bad).join(pieces, ["file", "block"])
+    return found.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("number"), F.col("value").alias("line"), "pieces")
+
+
 def _quote(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("exchange").alias("venue"), F.col("par").alias("pair"), F.col("eventoUnixMs").alias("event_ms"), F.col("secuencia").alias("seq"),

@@ -11,7 +11,7 @@ from tapelab.config import CostModel, venue_table
 from tapelab.plans import corpus as CP
 from tapelab.plans.ledger_audit import audit_documents, audit_ledger_files, document_hash_errors
 from tapelab.sources.ledger import line_hash, read_jsonl_ledger, read_ledger_texts, read_ledgers
-from tapelab.sources.tape import bad_lines, read_quotes, read_tape
+from tapelab.sources.tape import bad_lines, numbered_bad_lines, read_quotes, read_tape
 from tapelab.streaming import quotes as SQ
 
 BASE = 1_750_000_000
@@ -97,6 +97,24 @@ def test_empty_corpus_and_bad_line(spark, tmp_path):
     assert bad_lines(spark, str(f)).count() == 1
 
 
+def test_numbers_of_bad_lines(spark, tmp_path):
+    """Line numbers hold in files that are read in several pieces, blank lines included."""
+    good = json.dumps({"schemaVersion": 1, "localTimestamp": "2025-01-01T00:00:00Z", "exchange": "A", "filler": "x" * 40})
+    want = set()
+    for name, every in (("a.jsonl", 37), ("b.jsonl", 101), ("c.jsonl", 10_000)):
+        rows = [good if i % every else "" if i % 2 else "{broken" if i % 4 else '{"schemaVersion": 1}' for i in range(1, 900)]
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+        want |= {(name, i + 1, r) for i, r in enumerate(rows) if r and r != good}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 10_000)
+    try:
+        got = numbered_bad_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.file.rsplit("/", 1)[-1], r.number, r.line) for r in got} == want and len(got) == len(want)
+    assert max(r.pieces for r in got) > 5
+
+
 def test_file_order_survives_splits(spark, tmp_path):
     shard(tmp_path, "s1", 0, events=500)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
