@@ -151,8 +151,11 @@ def read_shard_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, paths) -> DataFrame:
-    """SHA-256 and size of whole files (each file is one row, so shards stay below 2 GB)."""
-    f = spark.read.format("binaryFile").load(paths)
+    """SHA-256 and size of whole files (each file is one row, so shards stay below 2 GB).
+
+    Of a folder all files below it; its folders are listed by tasks, those of a pattern by the driver.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     return f.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
