@@ -12,6 +12,7 @@ from tapelab.functions import scoring
 from tapelab.operators import risk, routes
 from tapelab.operators.ordered import drawdown, ewma, newest, rank_percentiles, ranked, rolling_rows, rolling_time
 from tapelab.operators.retention import keep_days, last_minutes, latest_batch
+from tapelab.session import stage
 
 T, O, OSQL = f"WITH {B.TRADES_SQL}", B.TRADE_ORDER, B.TRADE_ORDER_SQL
 DAY = 86_400_000_000
@@ -377,5 +378,7 @@ def replay_clock(spark, sf):
     from tapelab.operators.replay import replay_clock as f
 
     out = f(B.trades(spark, sf).withColumn("ms", F.floor(F.col("t") / 1000)), "ms", O)
-    return out.agg(F.count("*").alias("ticks"), F.count_distinct("clock").alias("distinct_clocks"), F.count_distinct("cycle").alias("cycles"),
-                   F.max("clock").alias("last_clock"), F.sum("clock").alias("clock_sum"))
+    out = stage(out.agg(F.count("*").alias("ticks"), F.count_distinct("clock").alias("distinct_clocks"), F.count_distinct("cycle").alias("cycles"),
+                        F.max("clock").alias("last_clock"), F.sum(F.col("clock").cast("decimal(20,0)")).alias("clock_sum")))  # one row
+    # a sum of times leaves the longs from some ten million ticks on; it then stays a decimal
+    return out.withColumn("clock_sum", F.col("clock_sum").cast("bigint")) if out.where(F.abs("clock_sum") > 2**63 - 1).isEmpty() else out

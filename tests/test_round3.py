@@ -22,3 +22,16 @@ def test_hashes_of_the_files_below_a_folder(spark, tmp_path):
     (tmp_path / "a" / "b" / "x.txt").write_text("one")
     (tmp_path / "y.txt").write_text("two")
     assert {r.sha256 for r in TP.file_hashes(spark, str(tmp_path)).collect()} == {hashlib.sha256(t).hexdigest() for t in (b"one", b"two")}
+
+
+def test_sum_of_clocks_beyond_a_long(spark, tmp_path):
+    n, day = 40_000, datetime.date(9999, 12, 31)
+    c = F.col("id")
+    money = lambda x: F.lit(x).cast("double")
+    spark.range(n).select(
+        c.alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(1).cast("bigint").alias("l_partkey"), F.lit(2).cast("bigint").alias("l_suppkey"), money(10).alias("l_extendedprice"),
+        money(1).alias("l_quantity"), money(0.05).alias("l_discount"), money(0.01).alias("l_tax"), F.lit("R").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+        F.lit(day).alias("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    row = trades.replay_clock(spark, str(tmp_path)).first()
+    ms = (day - datetime.date(1970, 1, 1)).days * 86_400_000
+    assert int(row.clock_sum) == n * ms + n * (n - 1) // 2 > 2**63
