@@ -116,8 +116,8 @@ w AS (SELECT *, min(ref) OVER f AS lo, max(ref) OVER f AS hi, count(*) OVER f AS
 SELECT pair, t, c > 1 AND (hi-lo)/lo*10000.0::DOUBLE >= 12.0::DOUBLE AS conservative, {s6('(hi-lo)/lo*10000.0::DOUBLE', 'range_bps')} FROM w""")
 def volatility_flag(spark, sf):
     q = B.quotes(spark, sf).withColumn("s", F.col("bid_tick") + F.col("ask_tick"))
-    pre = {"ref": F.sum("s").cast("double") / F.count("*")}
-    over = {"lo": F.min("ref"), "hi": F.max("ref"), "c": F.count("*")}
+    pre = {"ref": F.sum("s").cast("double") / F.count("*"), "one": F.lit(1).cast("bigint")}
+    over = {"lo": ("min", "ref"), "hi": ("max", "ref"), "c": ("sum", "one")}
     out = rolling_time(q, ["pair"], "t", B.STALE_US, pre, over)
     rng = (F.col("hi") - F.col("lo")) / F.col("lo") * 10000.0
     return out.select("pair", "t", ((F.col("c") > 1) & (rng >= 12.0)).alias("conservative"), r6(rng, "range_bps"))
@@ -127,7 +127,7 @@ def volatility_flag(spark, sf):
 w AS (SELECT t, sum(p) OVER (ORDER BY t RANGE BETWEEN {30 * DAY} PRECEDING AND CURRENT ROW) AS recent FROM d)
 SELECT t, recent::BIGINT AS recent, recent < -1000000000 AS breaker FROM w""")
 def loss_breaker(spark, sf):
-    out = rolling_time(B.trades(spark, sf), [], "t", 30 * DAY, {"p": F.sum("pnl")}, {"recent": F.sum("p")})
+    out = rolling_time(B.trades(spark, sf), [], "t", 30 * DAY, {"p": F.sum("pnl")}, {"recent": ("sum", "p")})
     return out.select("t", "recent", (F.col("recent") < -1_000_000_000).alias("breaker"))
 
 

@@ -177,13 +177,16 @@ def rolling_rows(
 
 
 def rolling_time(
-    df: DataFrame, keys: list[str], t: str, width: int, pre: dict, over: dict
+    df: DataFrame, keys: list[str], t: str, width: int, pre: dict, over: dict[str, tuple[str, str]]
 ) -> DataFrame:
     """Windows over the last ``width`` time units, one output row per (key, instant).
 
     ``pre`` folds the rows of one instant ({column: aggregate}); this bounds a cell to ``width``
-    instants whatever the load. ``over`` maps a new column to an aggregate of pre-folded columns.
-    Cells are ``width`` wide and see the previous cell too, so no frame is cut.
+    instants whatever the load. ``over`` folds pre-folded columns: {new column: (kind, column)}, kinds
+    sum, max, min. Cells are ``width`` wide and see the previous cell too, so no frame is cut.
+
+    A frame is an end of the previous cell and a beginning of its own. Both are running folds, one
+    from late to early, one from early to late, so the work does not grow with the rows in a frame.
     """
     inst = df.groupBy(*keys, t).agg(*[a.alias(n) for n, a in pre.items()])
     own = F.floor(F.col(t) / width)
@@ -192,10 +195,23 @@ def rolling_time(
         F.explode(F.array(F.struct(own.alias("c"), F.lit(False).alias("h")), F.struct((own + 1).alias("c"), F.lit(True).alias("h")))),
     )
     inst = inst.withColumn("_cell", F.col("_home.c")).withColumn("_halo", F.col("_home.h")).drop("_home")
-    w = W.partitionBy(*keys, "_cell").orderBy(t).rangeBetween(-width, 0)
-    for name, agg in over.items():
-        inst = inst.withColumn(name, agg.over(w))
-    return inst.where(~F.col("_halo")).drop("_cell", "_halo")
+    # an instant of the previous cell is seen up to t + width, that time included
+    inst = inst.withColumn("_seen", F.when(F.col("_halo"), F.col(t) + width).otherwise(F.col(t)))
+    cell = W.partitionBy(*keys, "_cell")
+    up = cell.orderBy("_seen", F.col("_halo").desc()).rowsBetween(FIRST, 0)
+    down = cell.orderBy(F.col("_seen").desc(), F.col("_halo").desc()).rowsBetween(FIRST, 0)
+    for name, (kind, column) in over.items():
+        fold = _FOLDS[kind]
+        inst = inst.withColumns({
+            f"_a_{name}": fold(F.when(~F.col("_halo"), F.col(column))).over(up),
+            f"_b_{name}": fold(F.when(F.col("_halo"), F.col(column))).over(down)})
+    whole = {}
+    for name, (kind, _) in over.items():
+        a, b = F.col(f"_a_{name}"), F.col(f"_b_{name}")
+        pair = F.least(a, b) if kind == "min" else F.greatest(a, b) if kind == "max" else F.coalesce(a + b, a, b)
+        whole[name] = pair  # least and greatest pass over nulls
+    extra = [f"_{x}_{name}" for name in over for x in "ab"]
+    return inst.where(~F.col("_halo")).withColumns(whole).drop("_cell", "_halo", "_seen", *extra)
 
 
 def drawdown(
