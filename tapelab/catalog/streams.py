@@ -12,9 +12,10 @@ from tapelab.catalog.base import query, r6, s6
 from tapelab.catalog.routes import _seq_sql, numbered
 from tapelab.catalog.scan import _funnel_cols, cands_sql
 from tapelab.operators.funnel import scan_funnel
+from tapelab.operators.ordered import BUCKET, Cuts, bucketed
 from tapelab.plans.corpus import recorded_order
 from tapelab.sources import audit_log as AL
-from tapelab.sources.tape import file_hashes, read_capture_configs, read_corpus, write_tape
+from tapelab.sources.tape import file_hashes, publish_in_order, read_capture_configs, read_corpus, write_tape
 from tapelab.session import staging_dir
 from tapelab.streaming import capture, detect, history, quotes, signals, sink
 
@@ -28,19 +29,25 @@ def work(spark, name):
 
 
 def slices(rows):
-    """``rows`` in ``seq`` order, cut into files of a bounded number of rows by rank, not by what the numbers are."""
+    """``rows`` with ``file``: files of a bounded number of rows in ``seq`` order, cut by rank, not by what the numbers are; and their number."""
     k = max(SLICES, rows.count() // SLICE_ROWS)
     cuts = rows.agg(F.percentile_approx("seq", [i / k for i in range(1, k)], 10_000)).first()[0] or []
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = rows if lo is None else rows.where(F.col("seq") >= lo)
-        yield part if hi is None else part.where(F.col("seq") < hi)
+    placed = bucketed(rows.where(F.col("seq").isNotNull()) if cuts else rows, ["seq"], cuts=Cuts(tuple(cuts), (None,) * len(cuts)))
+    return placed.withColumnRenamed(BUCKET, "file"), k
+
+
+def write_slices(rows, path, write):
+    """The slices of ``rows`` as files under ``path``, all by one job: a task writes a slice, a slice is one file."""
+    spark = rows.sparkSession
+    rows, k = slices(rows)
+    write(rows.repartitionById(k, "file"), f"{path}/_work")
+    publish_in_order(spark, f"{path}/_work", path)
 
 
 def tape(spark, sf):
     """The quotes as JSONL files in time order, so that every file is one micro-batch."""
     path = work(spark, "stream-in")
-    for part in slices(B.quotes(spark, sf, levels=True)):
-        write_tape(part.coalesce(1), path)  # at most about SLICE_ROWS rows
+    write_slices(B.quotes(spark, sf, levels=True), path, lambda rows, to: write_tape(rows, to, by="file"))
     return path
 
 
@@ -71,8 +78,7 @@ def stream_detection_funnel(spark, sf):
 def stream_sequence_policy(spark, sf):
     path = work(spark, "numbered")
     rows = numbered(spark, sf)
-    for part in slices(rows):
-        part.coalesce(1).write.mode("append").parquet(path)
+    write_slices(rows, path, lambda placed, to: placed.write.partitionBy("file").parquet(to))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     good, late = work(spark, "good"), work(spark, "late")
     quotes.checked_sequences(stream, "exact", good, late, work(spark, "cp"), work(spark, "state"))

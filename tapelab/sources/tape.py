@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -159,15 +161,15 @@ def file_hashes(spark: SparkSession, paths) -> DataFrame:
     return f.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def tape_rows(quotes: DataFrame) -> DataFrame:
-    """Quotes with levels in the recorded tape layout (used by writers and replays)."""
+def tape_rows(quotes: DataFrame, *more: str) -> DataFrame:
+    """Quotes with levels in the recorded tape layout (used by writers and replays); ``more`` columns stay."""
     def lv(name):
         return F.transform(name, lambda x: F.struct(x["price"].alias("precio"), x["qty"].alias("cantidad")))
 
     has = set(quotes.columns)
     kind = F.col("kind") if "kind" in has else F.lit("snapshot")
     return quotes.select(
-        F.lit(1).alias("schemaVersion"), F.timestamp_micros("t").alias("localTimestamp"), F.col("venue").alias("exchange"), "pair",
+        *more, F.lit(1).alias("schemaVersion"), F.timestamp_micros("t").alias("localTimestamp"), F.col("venue").alias("exchange"), "pair",
         F.struct(F.lit("web_socket").alias("type"), F.lit("").alias("url")).alias("source"), kind.alias("kind"), F.col("seq").alias("sequenceId"),
         lv("bids").alias("bids"), lv("asks").alias("asks"),
         F.struct(F.lit("ok").alias("status"), F.lit(False).alias("gap"), F.lit(False).alias("resync")).alias("integrity"),
@@ -175,9 +177,29 @@ def tape_rows(quotes: DataFrame) -> DataFrame:
     )
 
 
-def write_tape(quotes: DataFrame, path: str) -> None:
-    """Append quotes or book messages as JSON lines with microsecond times."""
-    tape_rows(quotes).write.mode("append").option("timestampFormat", TIME_FORMAT).json(path)
+def write_tape(quotes: DataFrame, path: str, by: str | None = None) -> None:
+    """Append quotes or book messages as JSON lines with microsecond times, in a folder per value of ``by`` if given."""
+    out = tape_rows(quotes, *([by] if by else [])).write.mode("append").option("timestampFormat", TIME_FORMAT)
+    (out.partitionBy(by) if by else out).json(path)
+
+
+def publish_in_order(spark: SparkSession, work: str, path: str) -> None:
+    """Moves the files of the folders ``<name>=<number>`` in ``work`` to ``path``; their times rise with the number.
+
+    A folder source takes files by time. The driver sees one name per file.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f.getPath() for f in fs.listStatus(at(work)) if "=" in f.getPath().getName()]
+    folders.sort(key=lambda f: int(f.getName().split("=")[1]))
+    files = [f.getPath() for folder in folders for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    first = int(time.time()) - len(files)
+    for i, file in enumerate(files):
+        name = at(f"{path}/{i:06d}-{file.getName()}")
+        fs.setTimes(file, (first + i) * 1000, -1)
+        if not fs.rename(file, name):
+            raise OSError(f"{file} could not be renamed to {name}")
+    fs.delete(at(work), True)
 
 
 def event_rows(events: DataFrame, *more: str) -> DataFrame:

@@ -53,3 +53,13 @@ def test_rolling_time_against_plain_python(spark):
         inside = [p for (j, u), p in at.items() if j == k and t - 20 <= u <= t]
         want[k, t] = (min(inside), max(inside), sum(inside))
     assert got == want
+
+
+def test_slices_are_files_whose_times_rise(spark, tmp_path):
+    rows = spark.range(1000).select((F.lit(999) - F.col("id")).alias("seq"))
+    path = str(tmp_path / "in")
+    streams.write_slices(rows, path, lambda placed, to: placed.write.partitionBy("file").parquet(to))
+    files = sorted(glob.glob(f"{path}/*.parquet"), key=os.path.getmtime)
+    ends = [spark.read.parquet(f).agg(F.min("seq"), F.max("seq"), F.count("*")).first() for f in files]
+    assert len(files) == streams.SLICES and len({os.path.getmtime(f) for f in files}) == len(files)
+    assert sum(e[2] for e in ends) == 1000 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
