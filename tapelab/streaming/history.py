@@ -32,24 +32,27 @@ def with_state_store(spark: SparkSession) -> Iterator[None]:
 
 
 class _Cell(StatefulProcessor):
-    """Rows of one cell of time, forgotten by a timer; what was forgotten is reported once."""
+    """Rows of one cell of time, forgotten by a timer; what was forgotten is reported once.
+
+    The state holds the rows of a piece of input as one element with an array per column.
+    """
 
     def __init__(self, cell_ms: int, keep_ms: int) -> None:
         self.cell_ms, self.keep_ms = cell_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "t bigint, seq bigint, bid double, ask double")
+        self.rows = handle.getListState("rows", "t array<bigint>, seq array<bigint>, bid array<double>, ask array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if not self.rows.exists():
             self.handle.registerTimer((int(key[2]) + 1) * self.cell_ms + self.keep_ms)
         for pdf in rows:
-            self.rows.appendList(list(pdf[["t", "seq", "bid", "ask"]].itertuples(index=False, name=None)))
+            self.rows.appendValue(tuple(pdf[c].tolist() for c in ("t", "seq", "bid", "ask")))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        t = np.array([r[0] for r in self.rows.get()], np.int64)
+        t = np.concatenate([np.array(r[0], np.int64) for r in self.rows.get()])
         self.rows.clear()
         yield pd.DataFrame({"venue": [key[0]], "pair": [key[1]], "cell": [key[2]], "rows": [len(t)], "first_t": [t.min()], "last_t": [t.max()]})
 
@@ -74,7 +77,7 @@ def rolling_state(stream: DataFrame, minutes: int = 60, cell_seconds: int = 60)
 def retained(spark: SparkSession, checkpoint: str) -> DataFrame:
     """What the state of :func:`rolling_state` holds, read from the checkpoint of its stream."""
     rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "rows").load()
-    return rows.select("key.*", "list_element.*")
+    return rows.select("key.*", F.expr("inline(arrays_zip(list_element.t, list_element.seq, list_element.bid, list_element.ask)) AS (t, seq, bid, ask)"))
 
 
 class _Feed(StatefulProcessor):

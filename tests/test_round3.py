@@ -63,3 +63,17 @@ def test_slices_are_files_whose_times_rise(spark, tmp_path):
     ends = [spark.read.parquet(f).agg(F.min("seq"), F.max("seq"), F.count("*")).first() for f in files]
     assert len(files) == streams.SLICES and len({os.path.getmtime(f) for f in files}) == len(files)
     assert sum(e[2] for e in ends) == 1000 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_state_holds_an_element_per_piece_of_input(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    minute = 60_000_000
+    rows = [("A", "P", 1440 * minute + i, i, 1.0, 2.0) for i in range(500)]
+    spark.createDataFrame(rows, "venue string, pair string, t bigint, seq bigint, bid double, ask double").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("venue string, pair string, t bigint, seq bigint, bid double, ask double").parquet(src)
+    stream = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", "0 seconds")
+    with H.with_state_store(spark):
+        H.to_table(H.rolling_state(stream, minutes=10), out, cp)
+    held = spark.read.format("statestore").option("path", cp).option("stateVarName", "rows").load()
+    assert held.count() == 1
+    assert sorted((r.t, r.seq, r.bid, r.ask) for r in H.retained(spark, cp).collect()) == [r[2:] for r in rows]
