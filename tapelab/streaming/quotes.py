@@ -36,6 +36,9 @@ def latest_quotes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("venue", "pair").agg(F.max(q).alias("q"), F.count("*").alias("ingested")).select("venue", "pair", "q.*", "ingested")
 
 
+_UNDATED = "__HIVE_DEFAULT_PARTITION__"
+
+
 def retained_history(stream: DataFrame, path: str, checkpoint: str, unit: str = "yyyy-MM-dd-HH", minutes: int = 60):
     """Keep messages in folders per hour (or another ``unit``) and delete folders older than the last ``minutes``.
 
@@ -52,21 +55,27 @@ def retained_history(stream: DataFrame, path: str, checkpoint: str, unit: str =
     return run(stream, handle, checkpoint)
 
 
-def _first_folder(rows: DataFrame, minutes: int, unit: str) -> str | None:
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of a history's folders, oldest first; lists one level, not the files."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)
+    return sorted(n.removeprefix("folder=") for n in (f.getPath().getName() for f in found) if n.startswith("folder="))
+
+
+def _first_folder(spark: SparkSession, path: str, minutes: int, unit: str) -> str | None:
     """The folder in which the last ``minutes`` begin; reads the newest folder only."""
-    newest = rows.where(F.col("folder") == rows.agg(F.max("folder")).first()[0]).agg(F.max("t")).first()[0]
+    dated = [n for n in _folders(spark, path) if n != _UNDATED]
+    newest = spark.read.parquet(f"{path}/folder={dated[-1]}").agg(F.max("t")).first()[0] if dated else None
     if newest is None:
         return None
     at = F.timestamp_micros(F.lit(newest - minutes * 60_000_000))
-    return rows.sparkSession.range(1).select(F.date_format(at, unit)).first()[0]
+    return spark.range(1).select(F.date_format(at, unit)).first()[0]
 
 
 def expire(spark: SparkSession, path: str, minutes: int, unit: str) -> list[str]:
     """Delete the folders of a history that end before its last ``minutes``; returns their names."""
-    first = _first_folder(spark.read.parquet(path), minutes, unit)
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    names = [f.getPath().getName() for f in top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)]
-    gone = [n for n in names if n.startswith("folder=") and n < f"folder={first}"]
+    first = _first_folder(spark, path, minutes, unit)
+    gone = [f"folder={n}" for n in _folders(spark, path) if first is not None and n != _UNDATED and n < first]
     delete(spark, [f"{path}/{n}" for n in gone])
     return gone
 
@@ -74,7 +83,7 @@ def expire(spark: SparkSession, path: str, minutes: int, unit: str) -> list[str]
 def recent(spark: SparkSession, path: str, minutes: int = 60, unit: str = "yyyy-MM-dd-HH", most: int | None = None) -> DataFrame:
     """The last minutes of a history written with the same ``unit``, at most the newest ``most`` rows of them."""
     rows = spark.read.parquet(path).drop("batch")
-    first = _first_folder(rows, minutes, unit)
+    first = _first_folder(spark, path, minutes, unit)
     if first is None:
         return rows.where("false")
     rows = last_minutes(rows.where(F.col("folder").cast("string") >= first), "t", minutes)

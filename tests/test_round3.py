@@ -77,3 +77,13 @@ def test_state_holds_an_element_per_piece_of_input(spark, tmp_path):
     held = spark.read.format("statestore").option("path", cp).option("stateVarName", "rows").load()
     assert held.count() == 1
     assert sorted((r.t, r.seq, r.bid, r.ask) for r in H.retained(spark, cp).collect()) == [r[2:] for r in rows]
+
+
+def test_newest_folder_is_found_by_name(spark, tmp_path):
+    path = str(tmp_path / "history")
+    day = 86_400_000_000
+    rows = spark.createDataFrame([(1, 0), (5 * day, 0), (6 * day, 1)], "t bigint, batch int")
+    rows.withColumn("folder", F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd")).write.partitionBy("folder", "batch").parquet(path)
+    os.mkdir(f"{path}/folder=1970-01-03")  # a folder without files has no part in the listing of rows
+    assert Q._folders(spark, path) == ["1970-01-01", "1970-01-03", "1970-01-06", "1970-01-07"]
+    assert Q.expire(spark, path, 60, "yyyy-MM-dd") == ["folder=1970-01-01", "folder=1970-01-03"]
