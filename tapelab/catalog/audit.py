@@ -285,34 +285,29 @@ def ledger_documents(spark, sf):
     c = F.col
     cents = F.round(c("o_totalprice") * 100).cast("bigint")
     money = lambda x: F.format_string("%d.%02d", F.expr(f"{x} div 100"), F.expr(f"{x} % 100"))
-    o = B.read(spark, sf, "orders").withColumns({"cents": cents, "fee": F.expr("cast(round(o_totalprice * 100) as bigint) div 1000")})
+    o = B.read(spark, sf, "orders").withColumns({
+        "cents": cents, "fee": F.expr("cast(round(o_totalprice * 100) as bigint) div 1000"), "ledger": F.expr("o_custkey div 50")})
     event = F.struct("o_orderdate", "o_orderkey", "o_orderpriority", money("cents").alias("price"), money("fee").alias("fee"))
-    docs = o.groupBy(F.expr("o_custkey div 50").alias("ledger")).agg(F.array_sort(F.collect_list(event)).alias("rows"))  # more orders, more documents
-
-    def step(acc, x):
-        text = lambda fee: F.to_json(F.struct(
-            x["id"].alias("id"), (F.size(acc["events"]) + 1).cast("bigint").alias("sequence"), acc["head"].alias("previous_hash"), F.struct(
-                F.lit("fill").alias("type"), x["fill_id"].alias("fill_id"), x["exchange"].alias("exchange"), x["side"].alias("side"), x["quantity_btc"].alias("quantity_btc"),
-                x["execution_price_usd"].alias("execution_price_usd"), x["execution_price_usd"].alias("reference_price_usd"), fee.alias("fee_usd")).alias("data")))
-        now = F.sha2(text(x["fee_usd"]), 256)
-        kept = F.struct(x["id"].alias("id"), (F.size(acc["events"]) + 1).cast("bigint").alias("sequence"), acc["head"].alias("previousHash"), now.alias("hash"),
-                        F.lit("fill").alias("type"), x["fill_id"].alias("fill_id"), x["exchange"].alias("exchange"), x["side"].alias("side"), x["quantity_btc"].alias("quantity_btc"),
-                        x["execution_price_usd"].alias("execution_price_usd"), x["execution_price_usd"].alias("reference_price_usd"),
-                        F.when(x["key"] % 89 == 0, F.concat(x["fee_usd"], F.lit("0"))).otherwise(x["fee_usd"]).alias("fee_usd"))
-        return F.struct(now.alias("head"), F.concat(acc["events"], F.array(kept)).alias("events"))
-
+    # more orders, more documents; a document is chained and written by the task that gathers it, and small text is much work, so tasks are not merged
+    docs = o.repartition(default_parts(spark), "ledger").groupBy("ledger").agg(F.array_sort(F.collect_list(event)).alias("rows"))
     fields = F.transform("rows", lambda r: F.struct(
         r["o_orderkey"].alias("key"), F.concat(F.lit('e"'), r["o_orderkey"].cast("string")).alias("id"), F.concat(F.lit("f"), r["o_orderkey"].cast("string")).alias("fill_id"),
         r["o_orderpriority"].alias("exchange"), F.lit("buy").alias("side"), F.lit("0.010").alias("quantity_btc"), r["price"].alias("execution_price_usd"), r["fee"].alias("fee_usd")))
-    text = "string"
-    kept_type = "array<struct<id:string,sequence:bigint,previousHash:string,hash:string,type:string,fill_id:string,exchange:string,side:string," + ",".join(
-        f"{a}:{text}" for a in ("quantity_btc", "execution_price_usd", "reference_price_usd", "fee_usd")) + ">>"
-    start = F.struct(F.lit(L.GENESIS).alias("head"), F.array().cast(kept_type).alias("events"))
-    chained = docs.withColumn("chain", F.aggregate(fields, start, step))
-    doc = F.to_json(F.struct(F.lit("1").alias("version"), F.concat(F.lit("c"), c("ledger").cast("string")).alias("runId"), c("chain.events").alias("events"),
-                             F.size("chain.events").alias("eventCount"), c("chain.head").alias("headHash")))
+    number = lambda i: (i + 1).cast("bigint")
+    hashed = lambda x, i: F.to_json(F.struct(
+        x["id"].alias("id"), number(i).alias("sequence"), F.lit("").alias("previous_hash"), F.struct(
+            F.lit("fill").alias("type"), x["fill_id"].alias("fill_id"), x["exchange"].alias("exchange"), x["side"].alias("side"), x["quantity_btc"].alias("quantity_btc"),
+            x["execution_price_usd"].alias("execution_price_usd"), x["execution_price_usd"].alias("reference_price_usd"), x["fee_usd"].alias("fee_usd")).alias("data")))
+    kept = lambda x, i: F.struct(
+        x["id"].alias("id"), number(i).alias("sequence"), F.when(i == 0, F.lit(L.GENESIS)).otherwise(F.get("hashes", i - 1)).alias("previousHash"), F.get("hashes", i).alias("hash"),
+        F.lit("fill").alias("type"), x["fill_id"].alias("fill_id"), x["exchange"].alias("exchange"), x["side"].alias("side"), x["quantity_btc"].alias("quantity_btc"),
+        x["execution_price_usd"].alias("execution_price_usd"), x["execution_price_usd"].alias("reference_price_usd"),
+        F.when(x["key"] % 89 == 0, F.concat(x["fee_usd"], F.lit("0"))).otherwise(x["fee_usd"]).alias("fee_usd"))
+    chained = docs.withColumn("fields", fields).withColumn("hashes", LG.chained_hashes(L.GENESIS)(F.transform("fields", hashed))).withColumn("events", F.transform("fields", kept))
+    doc = F.to_json(F.struct(F.lit("1").alias("version"), F.concat(F.lit("c"), c("ledger").cast("string")).alias("runId"), c("events"),
+                             F.size("events").alias("eventCount"), F.element_at("hashes", -1).alias("headHash")))
     path = folder(spark, "documents")
-    chained.select("ledger", doc.alias("value")).repartition("ledger").write.partitionBy("ledger").text(path)
+    chained.select("ledger", doc.alias("value")).write.partitionBy("ledger").text(path)
     return f"{path}/*/*"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,24 @@ def line_hash() -> Column:
     return F.sha2(text, 256)
 
 
+def chained_hashes(genesis: str):
+    """A function of an array of event texts with an empty ``previous_hash``: their hashes, each over the text with the hash before it."""
+
+    @F.pandas_udf("array<string>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        def chain(rows):
+            out, head = [], genesis
+            for text in rows:
+                before, after = text.split('"previous_hash":"', 1)
+                head = hashlib.sha256(f'{before}"previous_hash":"{head}{after}'.encode()).hexdigest()
+                out.append(head)
+            return out
+
+        return texts.map(chain)
+
+    return hashes
+
+
 def _lower_escapes(text: Column) -> Column:
     """Escapes of control characters with small hex digits, which Spark writes in capitals."""
     out = text

@@ -87,3 +87,13 @@ def test_newest_folder_is_found_by_name(spark, tmp_path):
     os.mkdir(f"{path}/folder=1970-01-03")  # a folder without files has no part in the listing of rows
     assert Q._folders(spark, path) == ["1970-01-01", "1970-01-03", "1970-01-06", "1970-01-07"]
     assert Q.expire(spark, path, 60, "yyyy-MM-dd") == ["folder=1970-01-01", "folder=1970-01-03"]
+
+
+def test_hashes_of_a_chain_of_texts(spark):
+    texts = [f'{{"id":"e\\"{i}","previous_hash":"","n":{i}}}' for i in range(3)]
+    got = spark.createDataFrame([(texts,)], "x array<string>").select(LG.chained_hashes("g")("x")).first()[0]
+    head, want = "g", []
+    for t in texts:
+        head = hashlib.sha256(t.replace('"previous_hash":""', f'"previous_hash":"{head}"').encode()).hexdigest()
+        want.append(head)
+    assert got == want
