@@ -579,11 +579,11 @@ def quote_scan(spark, sf):
         c("venue").alias("exchange"), c("pair").alias("par"), "bid", c("bid_qty").alias("bidCantidad"), "ask", c("ask_qty").alias("askCantidad"),
         (F.expr("t div 1000")).alias("eventoUnixMs"), F.timestamp_micros("t").alias("recibidaEn"), c("latency_ms").alias("latenciaMs"), c("seq").alias("secuencia"))
     q.where("secuencia % 3 = 0").write.json(f"{path}/lines")
-    rows = q.where("secuencia % 3 > 0").withColumn("g", F.expr("secuencia div 300"))
-    doc = rows.groupBy("g", (F.col("secuencia") % 3).alias("m")).agg(F.collect_list(F.struct(*q.columns)).alias("cotizaciones"))
-    # one document of 200 quotes at most per file: its folder is its own
+    rows = q.where("secuencia % 3 > 0").withColumns({"g": F.expr("secuencia div 300"), "m": F.col("secuencia") % 3})
+    doc = rows.repartition(default_parts(spark), "g", "m").groupBy("g", "m").agg(F.collect_list(F.struct(*q.columns)).alias("cotizaciones"))
+    # one document of 200 quotes at most per file
     text = F.when(c("m") == 1, F.to_json("cotizaciones")).otherwise(F.to_json(F.struct("cotizaciones")))
-    doc.select("g", "m", text.alias("value")).write.partitionBy("g", "m").text(f"{path}/docs")
+    doc.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/docs")
     quotes = TP.read_quotes(spark, path, lines=("*.json",), documents="*.txt")
     return quotes.groupBy("venue").agg(F.count("*").alias("quotes"), F.sum("latency_ms").alias("latency"), r6(F.min("bid"), "low_bid"))
 

@@ -97,3 +97,9 @@ def test_hashes_of_a_chain_of_texts(spark):
         head = hashlib.sha256(t.replace('"previous_hash":""', f'"previous_hash":"{head}"').encode()).hexdigest()
         want.append(head)
     assert got == want
+
+
+def test_documents_of_quotes_share_a_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(audit, "folder", lambda spark, name: str(tmp_path / name))
+    assert sum(r["quotes"] for r in audit.quote_scan(spark, "/root/testdata/sf0.001").collect()) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert not [n for n in os.listdir(tmp_path / "quotes/docs") if os.path.isdir(tmp_path / "quotes/docs" / n)]
