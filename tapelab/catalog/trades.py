@@ -283,7 +283,7 @@ v AS (SELECT *, gross*factor - greatest(lin,0.0::DOUBLE)*factor - nl*factor*fact
 b AS (SELECT {OSQL}, arg_max(factor, (pnl, factor)) AS factor, max(pnl) AS pnl FROM v GROUP BY {OSQL})
 SELECT factor, count(*) AS trades, round(max(pnl),4)+0.0 AS best_pnl FROM b GROUP BY factor""")
 def capacity_curve(spark, sf):
-    best = E.best_capacity(E.capacity(economics_rows(spark, sf), O), O)
+    best = E.best_capacity(E.capacity(economics_rows(spark, sf), O, nested=True), O)
     return best.groupBy("factor").agg(F.count("*").alias("trades"), _r4(F.max("pnl_usd"), "best_pnl"))
 
 

@@ -62,17 +62,29 @@ def break_even(df: DataFrame, ids: list[str], slippage_bps: float) -> DataFrame:
     )
 
 
-def capacity(df: DataFrame, ids: list[str]) -> DataFrame:
-    """Expected result at eight sizes: slippage and impact grow with the square of the size."""
+def capacity(df: DataFrame, ids: list[str], nested: bool = False) -> DataFrame:
+    """Expected result at eight sizes: slippage and impact grow with the square of the size.
+
+    One row per trade and size, or with ``nested`` one per trade with the array ``points``.
+    """
     c = F.col
     df = economics(df).withColumn("linear", F.greatest(c("costs.total") - c("slip") - c("impact"), F.lit(0.0)))
-    df = df.withColumn("factor", F.explode(F.array(*[F.lit(f) for f in FACTORS])))
-    f = c("factor")
-    pnl = c("gross") * f - c("linear") * f - (c("slip") + c("impact")) * f * f
-    return df.select(*ids, f, (c("qty0") * f).alias("size"), pnl.alias("pnl_usd"), (f <= 1.0).alias("observed"))
+
+    def point(f):
+        pnl = c("gross") * f - c("linear") * f - (c("slip") + c("impact")) * f * f
+        return F.struct(f.alias("factor"), (c("qty0") * f).alias("size"), pnl.alias("pnl_usd"), (f <= 1.0).alias("observed"))
+
+    points = F.transform(F.array(*[F.lit(f) for f in FACTORS]), point)
+    return df.select(*ids, points.alias("points")) if nested else df.select(*ids, F.inline(points))
 
 
 def best_capacity(curve: DataFrame, ids: list[str]) -> DataFrame:
-    """Best point per trade; the larger size wins a tie."""
-    top = F.max(F.struct("pnl_usd", "factor", "size")).alias("_b")
-    return curve.groupBy(*ids).agg(top).select(*ids, "_b.factor", "_b.size", "_b.pnl_usd")
+    """Best point per trade; the larger size wins a tie.
+
+    ``curve`` as :func:`capacity` gives it. Nested points are compared inside their row, so one row per trade is sorted and shuffled.
+    """
+    if "points" in curve.columns:
+        curve = curve.select(*ids, F.array_max(F.transform("points", lambda p: F.struct(p["pnl_usd"], p["factor"], p["size"]))).alias("_p"))
+    else:
+        curve = curve.select(*ids, F.struct("pnl_usd", "factor", "size").alias("_p"))
+    return curve.groupBy(*ids).agg(F.max("_p").alias("_b")).select(*ids, "_b.factor", "_b.size", "_b.pnl_usd")

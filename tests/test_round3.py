@@ -103,3 +103,10 @@ def test_documents_of_quotes_share_a_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(audit, "folder", lambda spark, name: str(tmp_path / name))
     assert sum(r["quotes"] for r in audit.quote_scan(spark, "/root/testdata/sf0.001").collect()) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     assert not [n for n in os.listdir(tmp_path / "quotes/docs") if os.path.isdir(tmp_path / "quotes/docs" / n)]
+
+
+def test_best_of_nested_points(spark):
+    rows = spark.createDataFrame([(1, 2.0, 10.0, 11.0), (1, 2.0, 10.0, 11.0), (2, 3.0, 10.0, 9.0), (3, None, 10.0, 12.0)], "id int, qty double, buy_price double, sell_price double")
+    rows = rows.withColumn("costs", F.expr("named_struct('fee_buy', 0.1D, 'fee_sell', 0.1D, 'slippage', 0.2D, 'withdrawal', 0.1D, 'latency', 0.0D, 'adverse', 0.1D, 'total', 0.8D)"))
+    nested, plain = (E.best_capacity(E.capacity(rows, ["id"], nested=x), ["id"]).orderBy("id").collect() for x in (True, False))
+    assert nested == plain and len(nested) == 3
