@@ -612,8 +612,11 @@ _RUNS = ["runs", "positive_runs", "median_pnl", "p05_pnl", "p95_pnl", "median_dr
 _HELD_FROM = 1997
 
 
-def _ruled(routes, rules):
-    return LAB.ruled(routes, rules, ["run", *O], "pnl", "net_bps", "qty")
+_OF = ["pnl", "net_bps", "qty"]
+
+
+def _points(rules):
+    return LAB.points(rules, *_OF)
 
 
 @query(f"""{_ruled_sql(_RULES)}, {_block_sql('ru', 'rule', 'run')}, {_SPREAD},
@@ -622,7 +625,7 @@ sc AS (SELECT *, pnl - max_drawdown*0.55::DOUBLE + win_rate*120 + least(profit_f
 SELECT rule, trades, pnl, max_drawdown, {s2('s','lab_score')}, {', '.join(_RUNS)}, rule = (SELECT arg_max(rule, (s, rule)) FROM sc) AS best FROM sc JOIN sp USING (rule)""")
 def lab_presets(spark, sf):
     """Four rule sets on all routes with their lab score, their spread over the runs, and the best one."""
-    out = LAB.presets(_ruled(run_rows(spark, sf), _RULES), "run", O)
+    out = LAB.presets(run_rows(spark, sf), _points(_RULES), _OF, "run", O)
     return out.select("rule", "trades", "pnl", "max_drawdown", r2("lab_score", "lab_score"), *_RUNS, "best")
 
 
@@ -631,7 +634,7 @@ tp AS (SELECT arg_max(rule, (median_pnl, rule)) AS winner, max(median_pnl) FILTE
 SELECT rule, {', '.join(_RUNS)}, winner, champion_gap, winner = 'champion' AS champion_wins FROM sp, tp""")
 def lab_holdout(spark, sf):
     """The frozen champion against three fixed rules on the held-out years."""
-    out = LAB.holdout(_ruled(run_rows(spark, sf).where(F.col("run") >= _HELD_FROM), _HELD), "run", O, "champion")
+    out = LAB.holdout(run_rows(spark, sf).where(F.col("run") >= _HELD_FROM), _points(_HELD), _OF, "run", O, "champion")
     return out.select("rule", *_RUNS, "winner", "champion_gap", "champion_wins")
 
 

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapelab.session import default_parts
+from tapelab.session import default_parts, small, stage
 
 BUCKET = "_bucket"
 FIRST = W.unboundedPreceding
+WHOLE = 100_000  # rows of a key that one task may rank
 
 
 @dataclass(frozen=True)
@@ -140,9 +141,17 @@ def running_sum(
 
 
 def ranked(
-    df: DataFrame, keys: list[str], order: list[str], parts: int | None = None, cuts: Cuts | None = None
+    df: DataFrame, keys: list[str], order: list[str], parts: int | None = None, cuts: Cuts | None = None, largest: int | None = None
 ) -> DataFrame:
-    """Exact 0-based rank ``rank`` and group size ``n`` along ``order`` inside every key."""
+    """Exact 0-based rank ``rank`` and group size ``n`` along ``order`` inside every key.
+
+    ``largest`` is the number of rows of the largest key, if it is known: where that fits one task,
+    a key needs no buckets.
+    """
+    if largest is not None and largest <= WHOLE:
+        own = W.partitionBy(*keys)
+        return df.drop("rank", "n").select(
+            "*", (F.row_number().over(own.orderBy(*order)) - 1).cast("bigint").alias("rank"), F.count(F.lit(1)).over(own).alias("n"))
     one = df.drop("rank", "n").withColumn("_one", F.lit(1).cast("bigint"))
     out = running(one, keys, order, {"rank": ("sum", "_one")}, parts, cuts=cuts, totals={"n": "_one"})
     return out.withColumn("rank", F.col("rank") - 1).drop("_one")
@@ -159,8 +168,15 @@ def rolling_rows(
     neighbour, so every frame that reaches at most that far sees the same rows as one big window.
     ``ready`` says that ``rank`` and ``n`` are already there.
     """
-    rows = df if ready else ranked(df, keys, order, parts)
-    chunk = max(chunk, back, ahead, 1)
+    rows = _chunks(df if ready else ranked(df, keys, order, parts), back, ahead, max(chunk, back, ahead, 1))
+    w = W.partitionBy(*keys, "_chunk").orderBy("rank")
+    for name, build in aggs.items():
+        rows = rows.withColumn(name, build(w))
+    return rows.where(~F.col("_halo")).drop("_chunk", "_halo")
+
+
+def _chunks(rows: DataFrame, back: int, ahead: int, chunk: int) -> DataFrame:
+    """Ranked rows with their ``_chunk``, and copies (``_halo``) of those that a neighbour's frames reach."""
     own = F.floor(F.col("rank") / chunk)
     off = F.col("rank") - own * chunk
     homes = [F.struct(own.alias("c"), F.lit(False).alias("h"))]
@@ -169,11 +185,29 @@ def rolling_rows(
     if ahead:
         homes.append(F.when((off < ahead) & (own > 0), F.struct((own - 1).alias("c"), F.lit(True).alias("h"))))
     rows = rows.withColumn("_home", F.explode(F.array_compact(F.array(*homes))))
-    rows = rows.withColumn("_chunk", F.col("_home.c")).withColumn("_halo", F.col("_home.h")).drop("_home")
-    w = W.partitionBy(*keys, "_chunk").orderBy("rank")
-    for name, build in aggs.items():
-        rows = rows.withColumn(name, build(w))
-    return rows.where(~F.col("_halo")).drop("_chunk", "_halo")
+    return rows.withColumn("_chunk", F.col("_home.c")).withColumn("_halo", F.col("_home.h")).drop("_home")
+
+
+def rolling_sums(
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], back: int, chunk: int = 100_000, parts: int | None = None
+) -> DataFrame:
+    """Sums of whole numbers over the ``back`` rows before every row: {new column: summed column}; nulls count as 0.
+
+    Rows are cut into cells of ``back`` rows. A frame is the end of the previous cell and the beginning
+    of its own, both from one running sum a cell, so the work does not grow with ``back``.
+    """
+    rows = _chunks(ranked(df, keys, order, parts), back, 0, max(chunk // back, 1) * back)
+    rows = rows.withColumns({"_cell": F.floor(F.col("rank") / back), **{f"_v_{n}": F.coalesce(c, F.lit(0)).cast("bigint") for n, c in sums.items()}})
+    cell = W.partitionBy(*keys, "_chunk", "_cell").orderBy("rank")
+    line = W.partitionBy(*keys, "_chunk").orderBy("_cell", "rank")
+    here = [F.sum(f"_v_{n}").over(cell.rowsBetween(FIRST, 0)).alias(f"_p_{n}") for n in sums]
+    whole = [F.sum(f"_v_{n}").over(cell.rowsBetween(FIRST, W.unboundedFollowing)).alias(f"_w_{n}") for n in sums]
+    rows = rows.select("*", *here, *whole)
+    c = F.col
+    # the end of the previous cell starts ``back`` rows ago
+    rows = rows.select("*", *[F.lag(c(f"_w_{n}") - c(f"_p_{n}") + c(f"_v_{n}"), back, 0).over(line).alias(f"_l_{n}") for n in sums])
+    return rows.where(~c("_halo")).select(
+        *df.drop("rank", "n", *sums).columns, "rank", "n", *[(c(f"_l_{n}") + c(f"_p_{n}") - c(f"_v_{n}")).alias(n) for n in sums])
 
 
 def rolling_time(
@@ -222,17 +256,34 @@ def drawdown(
 
     A bucket is folded to (sum, highest and lowest prefix, inner drawdown); these combine in order.
     """
-    rows = bucketed(df, order, parts, cuts)
+    rows = df.select(*keys, *order, F.col(value).alias("_value"))
+    return fold_drawdown(_folded(rows, keys, order, [F.col("_value")], parts, cuts), keys, BUCKET)
+
+
+def drawdowns(
+    df: DataFrame, keys: list[str], order: list[str], values: list[Column], parts: int | None = None, cuts: Cuts | None = None
+) -> DataFrame:
+    """:func:`drawdown` of every column of ``values`` (its place is ``point``), the rows being shuffled and sorted once for all.
+
+    Nulls leave a running sum as it is.
+    """
+    return fold_drawdown(_folded(df, keys, order, values, parts, cuts), [*keys, "point"], BUCKET)
+
+
+def _folded(df: DataFrame, keys: list[str], order: list[str], values: list[Column], parts: int | None, cuts: Cuts | None) -> DataFrame:
+    """Summary of every bucket and ``point``."""
     group = keys + [BUCKET]
+    # the columns are computed behind the shuffle, which so carries each row once
+    rows = bucketed(df, order, parts, cuts).repartition(*group)
+    n = range(len(values))
     w = W.partitionBy(*group).orderBy(*order).rowsBetween(FIRST, 0)
-    rows = rows.select(*group, *order, F.sum(value).over(w).alias("_p"))
-    rows = rows.withColumn("_top", F.max("_p").over(w))
-    # the last prefix is the bucket's sum
-    folded = rows.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).groupBy(*group).agg(
-        F.max_by("_p", "_n").alias("s"), F.max("_p").alias("hi"), F.min("_p").alias("lo"),
-        F.max(F.col("_top") - F.col("_p")).alias("dd"),
-    )
-    return fold_drawdown(folded, keys, BUCKET)
+    rows = rows.select(*group, *order, *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+    rows = rows.select(*group, *order, *[f"_v{i}" for i in n], *[F.sum(f"_v{i}").over(w).alias(f"_p{i}") for i in n])
+    rows = rows.select(*group, *[f"_v{i}" for i in n], *[f"_p{i}" for i in n], *[F.max(f"_p{i}").over(w).alias(f"_t{i}") for i in n])
+    folded = rows.groupBy(*group).agg(*[
+        F.struct(F.lit(i).alias("point"), F.sum(f"_v{i}").alias("s"), F.max(f"_p{i}").alias("hi"), F.min(f"_p{i}").alias("lo"),
+                 F.max(F.col(f"_t{i}") - F.col(f"_p{i}")).alias("dd")).alias(f"_s{i}") for i in n])
+    return folded.select(*group, F.inline(F.array(*[f"_s{i}" for i in n])))
 
 
 def fold_drawdown(folded: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -296,6 +347,43 @@ def rank_percentiles(
     return cum.groupBy(*keys).agg(*picks)
 
 
+ACCURACY = 10_000  # of the approximate quantiles that bracket an exact one
+
+
+def brackets(value: Column, qs: dict[str, float]) -> dict[str, Column]:
+    """Aggregates for :func:`bracketed_percentiles`: ``_n`` counts the values, ``_at`` holds a lower and an upper bound of every quantile."""
+    off = 3.0 / ACCURACY
+    near = [min(max(q + d, 0.0), 1.0) for q in qs.values() for d in (-off, off)]
+    return {"_n": F.count(value), "_at": F.percentile_approx(value, near, ACCURACY)}
+
+
+def bracketed_percentiles(df: DataFrame, keys: list[str], value: str, known: DataFrame, qs: dict[str, float], parts: int | None = None) -> DataFrame:
+    """Exact order statistics ("nearest") per key, as :func:`rank_percentiles` gives them, without a shuffle of the values.
+
+    ``known`` holds :func:`brackets` per key. Values below a bracket are only counted; those inside, a
+    small share of the rows and the equal ones, tell the quantile. If a bracket misses it, all values
+    are counted. Keys are joined as SQL does, so a null key has no row.
+    """
+    names = list(qs)
+    rows = df.select(*keys, F.col(value).alias("_v")).join(small(known.where("_n > 0").select(*keys, "_n", "_at")), keys)
+    lo, hi = ([F.get("_at", F.lit(2 * j + k)) for j in range(len(names))] for k in (0, 1))
+    below = rows.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.count_if(F.col("_v") < x).alias(f"_below_{q}") for q, x in zip(names, lo)])
+    inside = rows.select(*keys, "_v", F.explode(F.array_compact(F.array(*[
+        F.when(F.col("_v").between(x, y), F.lit(q)) for q, x, y in zip(names, lo, hi)]))).alias("_q"))
+    inside = inside.groupBy(*keys, "_q", "_v").agg(F.count("*").alias("_c"))
+    upto = W.partitionBy(*keys, "_q").orderBy("_v").rowsBetween(FIRST, 0)
+    inside = inside.withColumn("_cum", F.sum("_c").over(upto))
+    c = F.col
+    picks = []
+    for q, share in qs.items():
+        at = F.round((c("_n") - 1) * share) - c(f"_below_{q}")
+        picks.append(F.max(F.when((c("_q") == q) & (c("_cum") - c("_c") <= at) & (c("_cum") > at), c("_v"))).alias(q))
+    out = stage(inside.join(below, keys).groupBy(*keys).agg(*picks))
+    if out.where(" OR ".join(f"{q} IS NULL" for q in names)).isEmpty():
+        return out
+    return rank_percentiles(df, keys, value, qs, parts=parts)
+
+
 def newest(df: DataFrame, keys: list[str], order: list[str], n: int, parts: int | None = None) -> DataFrame:
     """The newest ``n`` rows per key, along ``order`` rising, without sorting a whole key in one task.
 

@@ -5,11 +5,14 @@ Money may be integer (scaled) or double; ratios do not depend on the scale.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapelab.functions.numeric import clamp, ratio
-from tapelab.operators.ordered import drawdown, ranked, rank_percentiles, running_sum, _same
+from tapelab.operators.ordered import Cuts, bracketed_percentiles, brackets, drawdowns, ranked, rank_percentiles, running_sum, _same
+from tapelab.session import stage
 
 
 def trade_ratios(pnl: str = "pnl", capital: str = "capital", min_utility: float = 0.0) -> dict[str, Column]:
@@ -43,6 +46,16 @@ def risk_summary(df: DataFrame, keys: list[str], **kw) -> DataFrame:
     return df.groupBy(*keys).agg(*[v.alias(k) for k, v in trade_ratios(**kw).items()])
 
 
+@dataclass(frozen=True)
+class Point:
+    """One way of reading a route: fixed ``labels``, its result, whether it is taken, and its net edge."""
+
+    labels: dict
+    pnl: Column
+    accepted: Column
+    net_bps: Column
+
+
 def backtest_block(
     runs: DataFrame, keys: list[str], order: list[str], pnl: str, accepted: str, net_bps: str, parts: int | None = None
 ) -> DataFrame:
@@ -50,24 +63,47 @@ def backtest_block(
 
     ``runs`` holds every evaluated route with a boolean ``accepted``.
     """
-    routes = runs.groupBy(*keys).agg(F.count("*").alias("routes"))
-    won = runs.where(accepted)
-    p = F.col(pnl)
+    runs = narrowed(runs, *keys, *order, pnl, accepted, net_bps)
+    return backtest_blocks(runs, [Point({}, F.col(pnl), F.col(accepted), F.col(net_bps))], keys, order, parts)
+
+
+def narrowed(rows: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, worked out once: the passes and points of :func:`backtest_blocks` would each do it again."""
+    return stage(rows.select(*dict.fromkeys(columns)))
+
+
+def backtest_blocks(
+    routes: DataFrame, points: list[Point], keys: list[str], order: list[str], parts: int | None = None, cuts: Cuts | None = None
+) -> DataFrame:
+    """:func:`backtest_block` per run and point of ``routes`` that are :func:`narrowed`. A route is sorted once for all points.
+
+    Only the narrow passes that count see a row per route and point that takes it.
+    """
+    qs = {"p50": 0.5, "p95": 0.95}
+    taken = F.array_compact(F.array(*[
+        F.when(x.accepted, F.struct(F.lit(i).alias("point"), x.pnl.alias("_p"), x.net_bps.alias("_b"))) for i, x in enumerate(points)]))
+    won = routes.select(*keys, F.inline(taken))
+    p = F.col("_p")
     n = F.count("*")
     gain, loss = F.sum(F.when(p > 0, p).otherwise(0)), F.sum(F.when(p < 0, -p).otherwise(0))
     sd = F.when(n < 2, 0.0).otherwise(F.stddev_samp(p))
-    base = won.groupBy(*keys).agg(
-        n.alias("trades"), ratio(F.count_if(p > 0), n).alias("win_rate"), F.avg(net_bps).alias("mean_net_bps"),
+    base = stage(won.groupBy(*keys, "point").agg(
+        n.alias("trades"), ratio(F.count_if(p > 0), n).alias("win_rate"), F.avg("_b").alias("mean_net_bps"),
         F.avg(p).alias("mean_pnl"), sd.alias("sd_pnl"),
         F.when(n > 1, 1.96 * sd / F.sqrt(n.cast("double"))).otherwise(0.0).alias("ci95"),
         F.when(loss > 0, gain.cast("double") / loss.cast("double")).when(gain > 0, gain.cast("double")).otherwise(0.0).alias("profit_factor"),
-    )
-    dd = drawdown(won, keys, order, pnl, parts)
-    pct = rank_percentiles(won, keys, pnl, {"p50": 0.5, "p95": 0.95}, parts=parts)
-    out = routes
-    for part in (base, dd, pct):
-        out = out.join(part, keys, "left")
-    return out.na.fill(0)
+        *[x.alias(k) for k, x in brackets(p, qs).items()]))
+    some = F.lit(False)
+    for x in points:
+        some = some | F.coalesce(x.accepted, F.lit(False))
+    dd = drawdowns(routes.where(some), keys, order, [F.when(x.accepted, x.pnl) for x in points], parts, cuts)
+    pct = bracketed_percentiles(won, [*keys, "point"], "_p", base, qs, parts)
+    labels = list(points[0].labels)
+    every = F.inline(F.array(*[F.struct(F.lit(i).alias("point"), *[F.lit(y).alias(k) for k, y in x.labels.items()]) for i, x in enumerate(points)]))
+    out = routes.groupBy(*keys).agg(F.count("*").alias("routes")).where("routes > 0").select(*keys, "routes", every)
+    for part in (base.drop("_n", "_at"), dd, pct):
+        out = out.join(part, [*keys, "point"], "left")
+    return out.select(*labels, *[c for c in out.columns if c not in (*labels, "point")]).na.fill(0)
 
 
 def run_distribution(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Lab over recorded routes: rule sets compared on all runs, on held-out runs and under changed parameters.
 
 A rule takes a route when its net edge reaches the rule's threshold, with at most the rule's size;
-the route's result then shrinks with the size. Every route becomes one row per rule or swept point,
-of which there is a fixed number, so all rules are measured by one grouped pass over the routes.
+the route's result then shrinks with the size. All rules or swept points, of which there is a fixed
+number, are columns over the same pass of the routes, which are not copied for them.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelab.operators.risk import backtest_block, lab_score, run_distribution
+from tapelab.operators.ordered import range_cuts
+from tapelab.operators.risk import Point, backtest_blocks, lab_score, narrowed, run_distribution
 from tapelab.plans.sweep import SLIPPAGES, THRESHOLDS
 from tapelab.session import stage
 
@@ -30,36 +31,34 @@ def _sized(pnl: str, size: str, limit: float) -> Column:
     return F.when(F.col(size) > limit, F.round(cut).cast("bigint")).otherwise(F.col(pnl))
 
 
-def ruled(routes: DataFrame, rules: list[Rule], keep: list[str], pnl: str, net_bps: str, size: str) -> DataFrame:
-    """Every route under every rule: ``rule``, ``accepted`` and the result at the rule's size."""
-    rows = F.array(*[
-        F.struct(F.lit(r.name).alias("rule"), (F.col(net_bps) >= r.min_bps).alias("accepted"), _sized(pnl, size, r.max_size).alias("result")) for r in rules])
-    return routes.select(*keep, F.col(net_bps).alias("net_bps"), F.inline(rows)).withColumnRenamed("result", "pnl")
+def points(rules: list[Rule], pnl: str, net_bps: str, size: str) -> list[Point]:
+    """A route under every rule: whether it is taken, and the result at the rule's size."""
+    return [Point({"rule": r.name}, _sized(pnl, size, r.max_size), F.col(net_bps) >= r.min_bps, F.col(net_bps)) for r in rules]
 
 
-def _block(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return backtest_block(rows, keys, order, "pnl", "accepted", "net_bps")
-
-
-def presets(rows: DataFrame, run: str, order: list[str]) -> DataFrame:
+def presets(routes: DataFrame, rules: list[Point], of: list[str], run: str, order: list[str]) -> DataFrame:
     """Result block and lab score of every rule, its distribution over the runs, and which rule is best.
 
-    ``rows`` come from :func:`ruled`. Equal scores go to the larger name.
+    ``rules`` come from :func:`points` and read the columns ``of``. Equal scores go to the larger name.
     """
-    whole = _block(rows, ["rule"], order).withColumn("lab_score", lab_score("pnl", "max_drawdown", "win_rate", "profit_factor", "ci95"))
-    spread = run_distribution(_block(rows, ["rule", run], order), ["rule"]).withColumnRenamed("mean_pnl", "run_mean_pnl")
+    routes = narrowed(routes, run, *order, *of)
+    cuts = range_cuts(routes, order)
+    whole = backtest_blocks(routes, rules, [], order, cuts=cuts).withColumn("lab_score", lab_score("pnl", "max_drawdown", "win_rate", "profit_factor", "ci95"))
+    runs = stage(backtest_blocks(routes, rules, [run], order, cuts=cuts))  # a row per rule and run, read four times
+    spread = run_distribution(runs, ["rule"]).withColumnRenamed("mean_pnl", "run_mean_pnl")
     out = stage(whole.join(spread, "rule"))  # a row per rule
     best = out.agg(F.max_by("rule", F.struct("lab_score", "rule")).alias("_best"))
     return out.join(F.broadcast(best)).withColumn("best", F.col("rule") == F.col("_best")).drop("_best")
 
 
-def holdout(rows: DataFrame, run: str, order: list[str], champion: str) -> DataFrame:
+def holdout(routes: DataFrame, rules: list[Point], of: list[str], run: str, order: list[str], champion: str) -> DataFrame:
     """Distribution of every rule over held-out runs, and how the frozen ``champion`` stands against the others.
 
-    ``rows`` hold the held-out runs only. ``winner`` has the largest median, of equal ones the larger
+    ``routes`` hold the held-out runs only. ``winner`` has the largest median, of equal ones the larger
     name; ``champion_gap`` is the champion's median minus the best of the others.
     """
-    out = stage(run_distribution(_block(rows, ["rule", run], order), ["rule"]))
+    runs = stage(backtest_blocks(narrowed(routes, run, *order, *of), rules, [run], order))
+    out = stage(run_distribution(runs, ["rule"]))
     mine = F.col("rule") == champion
     top = out.agg(
         F.max_by("rule", F.struct("median_pnl", "rule")).alias("winner"),
@@ -75,12 +74,9 @@ def sensitivity_blocks(routes: DataFrame, order: list[str], pnl: str, capital: s
     the first point of the same sweep (0 where that is nothing).
     """
     p, cap, bps = F.col(pnl), F.col(capital), F.col(net_bps)
-    points = [F.struct(F.lit("threshold").alias("parameter"), F.lit(m).alias("multiplier"), p.alias("p"), bps.alias("b"), (bps >= threshold * m).alias("accepted"))
-              for m in THRESHOLDS]
-    points += [F.struct(F.lit("slippage").alias("parameter"), F.lit(m).alias("multiplier"), (p - F.round(cap * m).cast("bigint")).alias("p"),
-                        (bps - m).alias("b"), (bps - m >= threshold).alias("accepted")) for m in SLIPPAGES]
-    rows = routes.select(*order, F.inline(F.array(*points))).withColumnsRenamed({"p": "pnl", "b": "net_bps"})
-    out = stage(_block(rows, ["parameter", "multiplier"], order))
+    swept = [Point({"parameter": "threshold", "multiplier": m}, p, bps >= threshold * m, bps) for m in THRESHOLDS]
+    swept += [Point({"parameter": "slippage", "multiplier": m}, p - F.round(cap * m).cast("bigint"), bps - m >= threshold, bps - m) for m in SLIPPAGES]
+    out = stage(backtest_blocks(narrowed(routes, *order, pnl, capital, net_bps), swept, [], order))
     first = out.groupBy("parameter").agg(F.min_by("pnl", "multiplier").cast("double").alias("_first"))
     change = F.when(F.abs("_first") > 1e-9, (F.col("pnl") - F.col("_first")) / F.col("_first")).otherwise(0.0)
     return out.join(F.broadcast(first), "parameter").withColumn("change", change).drop("_first")  # two rows
