@@ -366,18 +366,21 @@ def execution(spark, sf):
     t = B.trades(spark, sf).select(F.col("seq").alias("execution_id"), "l_linenumber", "l_partkey", "l_suppkey", "buy_venue", "sell_venue", "capital", "pnl", F.col("qty").cast("bigint").alias("qty"))
     k = F.col("execution_id")
     zero = F.lit(0).cast("bigint")
-    buy = t.select("execution_id", F.col("buy_venue").alias("venue"), (-F.col("capital")).alias("usd"), F.col("qty").alias("btc"))
-    sell = t.select("execution_id", F.col("sell_venue").alias("venue"), (F.col("capital") + F.expr("pnl div 100")).alias("usd"), (-F.col("qty")).alias("btc"))
-    entries = buy.unionByName(sell).withColumns({"reserved_usd": zero, "reserved_btc": zero})
-    before = entries.groupBy("execution_id", "venue").agg(F.lit(100_000_000).cast("bigint").alias("usd"), F.lit(200).cast("bigint").alias("btc"), zero.alias("reserved_usd"), zero.alias("reserved_btc"))
+    buy = F.struct(F.col("buy_venue").alias("venue"), (-F.col("capital")).alias("usd"), F.col("qty").alias("btc"))
+    sell = F.struct(F.col("sell_venue").alias("venue"), (F.col("capital") + F.expr("pnl div 100")).alias("usd"), (-F.col("qty")).alias("btc"))
+    entries = t.select("execution_id", F.inline(F.array(buy, sell))).withColumns({"reserved_usd": zero, "reserved_btc": zero})
     moved = entries.groupBy("execution_id", "venue").agg(F.sum("usd").alias("_u"), F.sum("btc").alias("_b"))
-    after = before.join(moved, ["execution_id", "venue"]).select(
-        "execution_id", "venue", (F.col("usd") + F.col("_u") + F.when(k % 50 == 0, 1).otherwise(0)).alias("usd"), (F.col("btc") + F.col("_b")).alias("btc"),
-        F.when(k % 60 == 0, 1).otherwise(0).cast("bigint").alias("reserved_usd"), "reserved_btc")
-    fills = ranked(t, ["execution_id"], ["l_linenumber", "l_partkey", "l_suppkey", "capital", "pnl", "qty"]).select(
+    usd, btc = F.lit(100_000_000).cast("bigint"), F.lit(200).cast("bigint")
+    before = moved.select("execution_id", "venue", usd.alias("usd"), btc.alias("btc"), zero.alias("reserved_usd"), zero.alias("reserved_btc"))
+    after = moved.where("execution_id IS NOT NULL").select(
+        "execution_id", "venue", (usd + F.col("_u") + F.when(k % 50 == 0, 1).otherwise(0)).alias("usd"), (btc + F.col("_b")).alias("btc"),
+        F.when(k % 60 == 0, 1).otherwise(0).cast("bigint").alias("reserved_usd"), zero.alias("reserved_btc"))
+    sizes = stage(t.groupBy("execution_id").agg(F.count("*").alias("_n")))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    fills = ranked(t, ["execution_id"], ["l_linenumber", "l_partkey", "l_suppkey", "capital", "pnl", "qty"], largest=largest).select(
         "execution_id", F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("fill_id"), (F.col("rank") + 1).alias("position"),
         (F.col("rank") + 1 + F.when(k % 70 == 0, 1).otherwise(0)).alias("sequence"))
-    reports = t.select("execution_id").distinct().withColumns({
+    reports = sizes.select("execution_id").withColumns({
         "state": F.when(k % 80 == 0, "Leg2TimedOut").otherwise("Reconciled"), "residual": F.when(k % 90 == 0, 1).otherwise(0).cast("bigint"),
         "releases": F.when(k % 110 == 0, 2).otherwise(1)})
     return X.invariants(reports, before, after, entries, fills)

@@ -40,12 +40,18 @@ def invariants(reports: DataFrame, before: DataFrame, after: DataFrame, entries:
     k = "execution_id"
     cols = ("usd", "btc", "reserved_usd", "reserved_btc")
 
-    def sums(df, p):
-        return df.groupBy(k, "venue").agg(*[F.sum(c).alias(f"{p}_{c}") for c in cols])
+    c = F.col
+
+    def side(df, p):
+        # an unknown execution or venue is not the same one on two sides
+        apart = F.when(c(k).isNull() | c("venue").isNull(), F.lit(p))
+        return df.select(k, "venue", apart.alias("_side"), *[c(x).alias(f"{p}_{x}") for x in cols])
 
-    w = sums(before, "b").join(sums(after, "a"), [k, "venue"], "full").join(sums(entries, "d"), [k, "venue"], "full")
+    sides = {"b": before, "a": after, "d": entries}
+    rows = [side(df, p) for p, df in sides.items()]
+    w = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True)
+    w = w.groupBy(k, "venue", "_side").agg(*[F.sum(f"{p}_{x}").alias(f"{p}_{x}") for p in sides for x in cols])
     w = w.na.fill(0)
-    c = F.col
     replay = F.lit(True)
     for x in cols:
         replay = replay & (c(f"b_{x}") + c(f"d_{x}") == c(f"a_{x}"))
