@@ -10,7 +10,7 @@ from tapelab.functions import edge as E
 from tapelab.functions import quality as Q
 from tapelab.functions import scoring
 from tapelab.operators import risk, routes
-from tapelab.operators.ordered import drawdown, ewma, newest, rank_percentiles, ranked, rolling_rows, rolling_time
+from tapelab.operators.ordered import drawdown, ewma, newest, rank_percentiles, ranked, rolling_rows, rolling_sums, rolling_time
 from tapelab.operators.retention import keep_days, last_minutes, latest_batch
 from tapelab.session import stage
 
@@ -80,14 +80,12 @@ _ZV = "CASE WHEN k<15 OR k*q-s*s=0 THEN 0 ELSE (edge - s::DOUBLE/k::DOUBLE)/(sqr
 
 
 def with_zscore(df, keys=("route",), value="edge"):
-    aggs = {
-        "_k": lambda w: F.count(value).over(w.rowsBetween(-100, -1)),
-        "_m": lambda w: F.avg(value).over(w.rowsBetween(-100, -1)),
-        "_s": lambda w: F.stddev_pop(value).over(w.rowsBetween(-100, -1)),
-    }
-    out = rolling_rows(df, list(keys), O, aggs, back=100)
-    z = F.when((F.col("_k") < 15) | (F.col("_s") == 0), 0.0).otherwise((F.col(value) - F.col("_m")) / F.col("_s"))
-    return out.withColumn("z", z).drop("_k", "_m", "_s", "rank", "n")
+    v = F.col(value)
+    out = rolling_sums(df, list(keys), O, {"_k": v.isNotNull().cast("bigint"), "_s": v, "_q": v * v}, 100)
+    k, s = F.col("_k"), F.col("_s")
+    spread = k * F.col("_q") - s * s  # k² times the variance, a whole number
+    z = F.when((k < 15) | (spread == 0), 0.0).otherwise((v - s / k) / (F.sqrt(spread.cast("double")) / k))
+    return out.withColumn("z", z).drop("_k", "_s", "_q", "rank", "n")
 
 
 @query(f"{_Z} SELECT {OSQL}, route, {s6(_ZV, 'z')} FROM w")
