@@ -46,4 +46,4 @@ def test_rolling_sums_against_plain_python(spark, routes):
         before = seen.setdefault(r.run, [])
         assert (r["rank"], r.s, r.k) == (len(before), sum(v or 0 for v in before[-7:]), sum(v is not None for v in before[-7:]))
         before.append(r.pnl)
-    assert "rowframe,-100" not in plan_of(trades.rolling_zscore(spark, "/root/testdata/sf0.001")).lower().replace(" ", "")  # folded anew for every row
+    assert "rowframe,-100,-1)" not in plan_of(trades.rolling_zscore(spark, "/root/testdata/sf0.001")).lower().replace(" ", "")  # folded anew for every row
