@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 1 << 20  # bytes hashed at a time
+SLICE = 1 << 18  # bytes hashed at a time
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

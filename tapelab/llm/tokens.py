@@ -15,7 +15,8 @@ import json
 import numpy as np
 
 END_ID = 2
-LIMIT = 700_000  # pieces that a worker remembers
+LIMIT = 240_000  # pieces that a worker remembers, even while it waits for its next task: those that came again
+FRESH = 100_000  # pieces that came once; all are forgotten when there are more
 _PUNCTUATION = ".,!?;:|\"()[]-"
 # bytes of a byte-level vocabulary: those without a sign of their own are written as signs from 256 on
 _ODD = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173)]
@@ -36,6 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         with open(path) as f:
             spec = json.load(f)
@@ -44,6 +46,7 @@ class Encoder:
         self.blank = " " if (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" else ""
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.pieces: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.line_feed = self.whole("\n")
 
@@ -58,33 +61,43 @@ class Encoder:
         word = first + piece
         if piece.isalpha() and _latin(piece) and not (self.lower and piece != piece.lower()):
             # one token group of letters that no normalizer changes: only merges are left to do
-            spelled = word.encode().decode("latin-1").translate(_SPELLING)
-            out = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+            spelled = (first and _SPELLING[32]) + piece if piece.isascii() else word.encode().decode("latin-1").translate(_SPELLING)
+            out = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in self.model.tokenize(spelled)])
         else:
             out = self.whole(word)
         return out if first or not self.blank else self.line_feed + out
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece that follows a blank, or starts with the line feed before it."""
+        known = self.fresh.pop(piece, None)
+        if known is not None:
+            if len(self.pieces) < LIMIT:
+                self.pieces[piece] = known
+            else:
+                self._keep(piece, known)
+            return known
         word = piece.rstrip(_PUNCTUATION)
         tail = piece[len(word):]
         if tail and word.lstrip("\n").isalpha():  # a run of signs is a token group of its own
-            known = self.pieces.get(word)
-            if known is None:
-                self._keep(word, known := self._made(word))
+            known = self.pieces.get(word) or self.fresh.get(word)
             if tail not in self.tails:
                 self.tails[tail] = self.whole(tail)
-            out = known + self.tails[tail]
+            if known is None:  # what stays with signs is kept once its word comes again
+                self._keep(word, known := self._made(word))
+                out = known + self.tails[tail]
+            else:
+                self._keep(piece, out := known + self.tails[tail])
             if len(self.tails) > 10_000:
                 self.tails.clear()
         else:
-            out = self._made(piece)
-        self._keep(piece, out)
+            self._keep(piece, out := self._made(piece))
         return out
 
     def _keep(self, piece: str, ids: bytes) -> None:
-        if len(self.pieces) < LIMIT and len(piece) <= 64:
-            self.pieces[piece] = ids
+        if len(piece) <= 64:
+            if len(self.fresh) >= FRESH:
+                self.fresh.clear()
+            self.fresh[piece] = ids
 
     def encode(self, text: str) -> bytes:
         if not text:
