@@ -16,6 +16,7 @@ from tapelab.plans import ledger_audit as L
 from tapelab.session import default_parts, stage, staging_dir
 from tapelab.sources import audit_log as AL
 from tapelab.sources import exports as EX
+from tapelab.sources import files as FI
 from tapelab.sources import index as IX
 from tapelab.sources import ledger as LG
 from tapelab.sources import normalise as NZ
@@ -460,11 +461,9 @@ def seal_verification(spark, sf):
     folder_of = folder(spark, "sealed")
     written = docs.where(~((c("file") == "corpus-scan.json") & (c("report_id") % 8 == 0))).withColumn("text", F.concat(body, F.when(
         ((c("file") == "corpus.json") & (c("report_id") % 5 == 0)) | ((c("file") == "corpus-scan.json") & (c("report_id") % 4 == 0)), "!").otherwise("")))
-    # a task writes the files of its folders: one line per file, the folder names corpus and file
-    files = written.select("corpus_sha256", "file", F.col("text").alias("value")).repartition(default_parts(spark), "corpus_sha256")
-    files.write.partitionBy("corpus_sha256", "file").text(folder_of)
-    found = CP.file_hashes(spark, folder_of).select(F.regexp_extract("path", "corpus_sha256=([0-9a-f]+)/", 1).alias("corpus_sha256"),
-                                                              F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), "sha256")
+    FI.write_texts(written.select(c("corpus_sha256").alias("folder"), "file", "text"), folder_of)
+    found = CP.file_hashes(spark, folder_of).select(F.regexp_extract("path", "([0-9a-f]{64})/", 1).alias("corpus_sha256"),
+                                                    F.regexp_extract("path", r"/(?:file=)?(corpus(?:-scan)?\.json)(?:/|$)", 1).alias("file"), "sha256")
     sealed = seals.withColumns({"report_sha256": F.sha2(F.concat(c("report_id").cast("string"), F.lit("|corpus.json\n")), 256),
                                 "scan_sha256": F.sha2(F.concat(c("report_id").cast("string"), F.lit("|corpus-scan.json\n")), 256)})
     return CP.verify_seal(sealed, found).groupBy("corpus_sha256", "file").agg(F.count("*").alias("n"), F.bool_and("ok").alias("ok"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tapelab.sources.files import hashes_below
 from tapelab.sources.schemas import CAPTURE, MANIFEST, MANIFEST_DEFAULTS, QUOTE, QUOTE_DOC, TAPE
 
 QUARANTINE = "failed-"
@@ -156,7 +157,11 @@ def file_hashes(spark: SparkSession, paths) -> DataFrame:
     """SHA-256 and size of whole files (each file is one row, so shards stay below 2 GB).
 
     Of a folder all files below it; its folders are listed by tasks, those of a pattern by the driver.
+    On a mounted store tasks list and read a folder's files themselves.
     """
+    found = hashes_below(spark, paths) if isinstance(paths, str) else None
+    if found is not None:
+        return found
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     return f.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
