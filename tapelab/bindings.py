@@ -6,7 +6,7 @@ doubles, so every engine computes the same value. ``*_SQL`` hold the same bindin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapelab.config import CostModel, venue_table
@@ -111,19 +111,21 @@ sells AS (SELECT f.seq, first(q ORDER BY q.bid DESC, q.venue) AS sell
 best AS (SELECT qu.*, b.buy, s.sell FROM quotes qu JOIN buys b ON qu.seq=b.seq LEFT JOIN sells s ON qu.seq=s.seq)"""
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Executed trades: money in 1e-4 USD (``pnl``) and cents (``capital``), both integers."""
-    li = read(spark, sf_dir, "lineitem")
+def trade_values() -> dict[str, Column]:
+    """What follows from the columns of ``TRADE_ORDER``: money in 1e-4 USD (``pnl``) and cents (``capital``), size and latency."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     edge = F.round(F.col("l_discount") * 100).cast("bigint") - F.round(F.col("l_tax") * 100).cast("bigint") - 2
-    return li.select(
+    return {"capital": cents, "pnl": cents * edge, "qty": F.col("l_quantity"), "latency_ms": (F.col("seq") * 7 + F.col("l_linenumber") * 131) % 6000}
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executed trades: money in 1e-4 USD (``pnl``) and cents (``capital``), both integers."""
+    rows = read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")).alias("buy_venue"),
         F.concat(F.lit("S"), (F.col("l_partkey") % 5).cast("string")).alias("sell_venue"),
-        micros("l_shipdate").alias("t"), F.col("l_orderkey").alias("seq"), *TRADE_TIES,
-        cents.alias("capital"), (cents * edge).alias("pnl"), F.col("l_quantity").alias("qty"),
-        ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 131) % 6000).alias("latency_ms"),
-        (F.col("l_returnflag") == "R").alias("partial"),
-    ).where("buy_venue <> sell_venue").withColumn("route", F.concat_ws("->", "buy_venue", "sell_venue"))
+        micros("l_shipdate").alias("t"), F.col("l_orderkey").alias("seq"), *TRADE_TIES)
+    return rows.where("buy_venue <> sell_venue").withColumns({
+        **trade_values(), "partial": F.col("l_returnflag") == "R", "route": F.concat_ws("->", "buy_venue", "sell_venue")})
 
 
 TRADES_SQL = """

@@ -80,7 +80,7 @@ _ZV = "CASE WHEN k<15 OR k*q-s*s=0 THEN 0 ELSE (edge - s::DOUBLE/k::DOUBLE)/(sqr
 
 
 def with_zscore(df, keys=("route",), value="edge"):
-    v = F.col(value)
+    v = F.col(value) if isinstance(value, str) else value
     out = rolling_sums(df, list(keys), O, {"_k": v.isNotNull().cast("bigint"), "_s": v, "_q": v * v}, 100)
     k, s = F.col("_k"), F.col("_s")
     spread = k * F.col("_q") - s * s  # k² times the variance, a whole number
@@ -308,10 +308,11 @@ def canonical_score(spark, sf):
 SELECT tick, row_number() OVER (PARTITION BY tick ORDER BY score DESC, {OSQL}) AS position, {OSQL}, score + 0.0 AS score FROM s""")
 def ranked_candidates(spark, sf):
     """Winning trades of every day by canonical score."""
-    df = with_zscore(B.trades(spark, sf).withColumn("edge", F.expr("pnl div capital")))
+    value = B.trade_values()  # computed behind the shuffles, which carry no more than the order
+    df = with_zscore(B.trades(spark, sf).select(*O, "route"), value=F.call_function("div", value["pnl"], value["capital"])).withColumns(value)
     s = scoring.canonical_score((0.4, 0.2, 0.2, 0.1, 0.1), F.col("pnl") / 10000.0, "latency_ms", F.lit(5000), "qty", F.lit(50.0), F.lit(0.9), "z")
     df = df.withColumns({"score": r6(s, "score"), "tick": F.floor(F.col("t") / 86_400_000_000), "executable": F.col("pnl") > 0})
-    return routes.rank_candidates(df, ["tick"], "score", O).select("tick", "position", *O, "score")
+    return routes.rank_candidates(df.select("tick", "executable", *O, "score"), ["tick"], "score", O).select("tick", "position", *O, "score")
 
 
 _H = "CASE WHEN l_linenumber%7=0 THEN NULL ELSE l_linenumber::DOUBLE/7.0::DOUBLE END"

@@ -87,13 +87,13 @@ def bucketed(df: DataFrame, order: list[str], parts: int | None = None, cuts: Cu
     return df.withColumn(BUCKET, bucket_of(cuts, order))
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys that may hold NULL; both sides are hashed on the keys."""
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may hold NULL; both sides are hashed on the keys."""
     b = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return a.join(b, cond).drop(*[f"_r_{k}" for k in keys])
+    return a.join(b, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -195,19 +195,56 @@ def rolling_sums(
 
     Rows are cut into cells of ``back`` rows. A frame is the end of the previous cell and the beginning
     of its own, both from one running sum a cell, so the work does not grow with ``back``.
+
+    The rows are shuffled once, and ``sums`` are computed behind that: a key of more than ``chunk`` rows is
+    cut along the order, by counts of rows between cut points, and what the first frames of a piece
+    reach is copied into it.
     """
-    rows = _chunks(ranked(df, keys, order, parts), back, 0, max(chunk // back, 1) * back)
-    rows = rows.withColumns({"_cell": F.floor(F.col("rank") / back), **{f"_v_{n}": F.coalesce(c, F.lit(0)).cast("bigint") for n, c in sums.items()}})
-    cell = W.partitionBy(*keys, "_chunk", "_cell").orderBy("rank")
-    line = W.partitionBy(*keys, "_chunk").orderBy("_cell", "rank")
+    c, size = F.col, max(chunk, back)
+    rows = df.drop("rank", "n", *sums)
+    columns = rows.columns
+    large = stage(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size))
+    group, own = keys, F.lit(1)
+    if not large.isEmpty():
+        rows, heads = _pieces(rows, keys, order, large, back, size, parts)
+        group, own = [*keys, "_chunk"], F.when(~c("_halo"), 1)
+    line = W.partitionBy(*group).orderBy(*order).rowsBetween(FIRST, 0)
+    rows = rows.select("*", F.row_number().over(W.partitionBy(*group).orderBy(*order)).alias("_i"), F.sum(own).over(line).alias("rank"), F.count(F.lit(1)).over(W.partitionBy(*group)).alias("n"))
+    if group != keys:
+        rows = _same(rows, small(heads), group, "left")
+        rows = rows.withColumns({"rank": c("rank") + F.coalesce("_o", F.lit(0)), "n": F.coalesce("_n", "n")}).drop("_o", "_n")
+    rows = rows.withColumns({"_cell": F.floor((c("_i") - 1) / back), **{f"_v_{n}": F.coalesce(v, F.lit(0)).cast("bigint") for n, v in sums.items()}})
+    cell = W.partitionBy(*group, "_cell").orderBy("_i")
+    place = W.partitionBy(*group).orderBy("_cell", "_i")
     here = [F.sum(f"_v_{n}").over(cell.rowsBetween(FIRST, 0)).alias(f"_p_{n}") for n in sums]
     whole = [F.sum(f"_v_{n}").over(cell.rowsBetween(FIRST, W.unboundedFollowing)).alias(f"_w_{n}") for n in sums]
     rows = rows.select("*", *here, *whole)
-    c = F.col
     # the end of the previous cell starts ``back`` rows ago
-    rows = rows.select("*", *[F.lag(c(f"_w_{n}") - c(f"_p_{n}") + c(f"_v_{n}"), back, 0).over(line).alias(f"_l_{n}") for n in sums])
-    return rows.where(~c("_halo")).select(
-        *df.drop("rank", "n", *sums).columns, "rank", "n", *[(c(f"_l_{n}") + c(f"_p_{n}") - c(f"_v_{n}")).alias(n) for n in sums])
+    rows = rows.select("*", *[F.lag(c(f"_w_{n}") - c(f"_p_{n}") + c(f"_v_{n}"), back, 0).over(place).alias(f"_l_{n}") for n in sums])
+    rows = rows if group == keys else rows.where(~c("_halo"))
+    return rows.select(*columns, (c("rank") - 1).cast("bigint").alias("rank"), c("n").cast("bigint").alias("n"), *[(c(f"_l_{n}") + c(f"_p_{n}") - c(f"_v_{n}")).alias(n) for n in sums])
+
+
+def _pieces(rows: DataFrame, keys: list[str], order: list[str], large: DataFrame, back: int, size: int, parts: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows with their ``_chunk``, and copies (``_halo``) of those that frames of ``back`` rows may reach; and of every piece of a key in ``large`` the rows before it and in the key.
+
+    Only the keys' rows between two cut points are counted, so no row needs its rank beforehand. A copy
+    may hold more rows than the frames reach, never fewer.
+    """
+    c = F.col
+    rows = bucketed(rows, order, 8 * (parts or default_parts(rows.sparkSession)))
+    spans = _same(rows.select(*keys, BUCKET), small(large), keys).groupBy(*keys, BUCKET).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+    spans = spans.withColumn("_b", F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(FIRST, -1)), F.lit(0)))
+    spans = spans.withColumn("_own", F.floor(c("_b") / size))
+    # a piece that starts fewer than ``back`` rows behind a span has one of two numbers
+    reached = [F.floor((c("_b") + c("_c") + far) / size) for far in (0, back - 1)]
+    homes = F.array_distinct(F.array_compact(F.array("_own", *[F.when(x > c("_own"), x) for x in reached])))
+    first = F.min("_b").over(W.partitionBy(*keys, "_own"))
+    spans = stage(spans.select(*keys, BUCKET, "_own", first.alias("_o"), "_n", homes.alias("_homes")))
+    rows = _same(rows, small(spans.drop("_o", "_n")), [*keys, BUCKET], "left")
+    rows = rows.withColumn("_chunk", F.explode(F.coalesce("_homes", F.array(F.lit(0).cast("bigint")))))
+    rows = rows.withColumn("_halo", c("_chunk") != F.coalesce("_own", F.lit(0))).drop("_homes", "_own", BUCKET)
+    return rows, spans.select(*keys, c("_own").alias("_chunk"), "_o", "_n").distinct()
 
 
 def rolling_time(

@@ -15,6 +15,7 @@ from tapelab.functions.costs import opportunity
 from tapelab.operators.asof import fresh
 from tapelab.operators.funnel import with_venue_config
 from tapelab.operators.ordered import BUCKET, bucketed, ranked
+from tapelab.session import stage
 
 # Pairs of the triangular cycles.
 CYCLES = (("BTC/USD", "ETH/BTC", "ETH/USD"), ("BTC/USDT", "ETH/BTC", "ETH/USDT"))
@@ -156,11 +157,13 @@ def top_per_tick(df: DataFrame, tick: list[str], order: list, n: int) -> DataFra
 def rank_candidates(df: DataFrame, tick: list[str], score: str, order: list[str], parts: int | None = None) -> DataFrame:
     """Position (from 1) of the executable rows of every tick, highest ``score`` first, equal scores along ``order``.
 
-    A null score comes last. All rows of a tick get a position, so a tick with a third of them is spread
-    over buckets of the score.
+    A null score comes last. All rows of a tick get a position, so where one has more rows than a task may
+    rank, ticks are spread over buckets of the score. The executable rows are staged: they are read more than once.
     """
+    rows = stage(df.where("executable"))
+    largest = rows.groupBy(*tick).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
     worst = F.when(F.col(score).isNull(), F.lit(float("inf"))).otherwise(-F.col(score).cast("double"))
-    rows = ranked(df.where("executable").withColumn("_worst", worst), tick, ["_worst", *order], parts)
+    rows = ranked(rows.withColumn("_worst", worst), tick, ["_worst", *order], parts, largest=largest)
     return rows.withColumn("position", F.col("rank") + 1).drop("_worst", "rank", "n")
 
 

@@ -2,13 +2,26 @@
 
 import hashlib
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from tapelab.catalog import audit
+from tapelab.operators.ordered import rolling_sums
+from tapelab.operators.routes import rank_candidates
 from tapelab.sources import files as FI
 
 
+def shuffles(df, column):
+    """How many exchanges of the plan carry ``column``."""
+    found, nodes = 0, [df._jdf.queryExecution().executedPlan().initialPlan()]
+    while nodes:
+        node = nodes.pop()
+        found += node.nodeName() == "Exchange" and f"{column}#" in node.output().mkString(",")
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
 def test_sealed_files_are_written_and_hashed_by_tasks(spark, tmp_path, monkeypatch):
     rows = [(k,) for k in (1, 2, 4, 4, 5, 8, 19)]  # a corpus that comes twice has two lines in a file, as before
     spark.createDataFrame(rows, "c_custkey bigint").write.parquet(str(tmp_path / "customer.parquet"))
@@ -37,3 +50,27 @@ def test_hashes_below_a_folder(spark, tmp_path):
     assert FI.hashes_below(spark, str(tmp_path / "none")).collect() == [] and FI.hashes_below(spark, f"{tmp_path}/*") is None
     by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", F.sha2("content", 256)).collect()
     assert {tuple(r) for r in by_spark} == {(r["path"], r["sha256"]) for r in FI.hashes_below(spark, str(tmp_path)).collect()}
+
+
+def test_rolling_sums_shuffle_rows_once(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice([1, 1, 1, 1, 2, 3, None]), rnd.choice([None, i // 40]), i, rnd.choice([None, *range(-40, 60)])) for i in range(900)]
+    rows += [(4, 5, i, i) for i in range(900, 950)] + [(5, 1, 2000, 3)]
+    df = spark.createDataFrame(rows, "run int, t bigint, seq bigint, pnl bigint")
+    for back, chunk, parts in ((50, 60, 7), (7, 7, 5), (3, 40, 1), (20, 10_000, 4)):
+        out = rolling_sums(df, ["run"], ["t", "seq"], {"s": F.col("pnl") * 2}, back, chunk=chunk, parts=parts)
+        assert shuffles(out, "pnl") == 1
+        seen, want = {}, {}
+        for run, t, seq, pnl in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            before = seen.setdefault(run, [])
+            want[seq] = (len(before), sum(2 * (v or 0) for v in before[-back:]))
+            before.append(pnl)
+        got = out.collect()
+        assert {r.seq: (r["rank"], r.s) for r in got} == want and len(got) == len(rows)
+        assert all(r.n == len(seen[r.run]) for r in got)
+
+
+def test_candidates_are_computed_once_and_shuffled_once(spark):
+    df = spark.range(300).select((F.col("id") % 4).alias("tick"), F.col("id").alias("seq"), (F.col("id") * 7 % 11).cast("double").alias("score"), (F.col("id") % 3 > 0).alias("executable"))
+    out = rank_candidates(df.repartition(5, "score"), ["tick"], "score", ["seq"])
+    assert shuffles(out, "seq") == 1 and out.count() == 200
