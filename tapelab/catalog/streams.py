@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapelab import bindings as B
@@ -16,7 +17,7 @@ from tapelab.operators.ordered import BUCKET, Cuts, bucketed
 from tapelab.plans.corpus import recorded_order
 from tapelab.sources import audit_log as AL
 from tapelab.sources.tape import file_hashes, publish_in_order, read_capture_configs, read_corpus, write_tape
-from tapelab.session import staging_dir
+from tapelab.session import stage, staging_dir
 from tapelab.streaming import capture, detect, history, quotes, signals, sink
 
 S = replace(B.MODEL, slippage_fallback="zero")
@@ -164,12 +165,13 @@ def stream_capture(spark, sf):
 def corpus_events(spark, sf):
     """Events of all shards of a corpus on disk in one recorded order, which follows time."""
     _, rows = read_corpus(spark, captured(spark, sf))
-    rows = quotes.top_of_book(rows).drop("seq")
+    rows = stage(quotes.top_of_book(rows).select("shard", "block_start", "row_id", "venue", "pair", "t", "sequence", "bid"))  # lines are parsed once
     rows = recorded_order(rows.withColumn("at", F.struct("t", "sequence")))
     order = rows.groupBy("shard").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.min("at").alias("x"), F.max("at").alias("y"))
-    # shards follow each other in number and time
-    ends = order.join(order.select(*[F.col(k).alias(f"_{k}") for k in order.columns]), F.col("_shard") > F.col("shard")).agg(
-        F.coalesce(F.bool_and((F.col("b") < F.col("_a")) & (F.col("y") <= F.col("_x"))), F.lit(True)).alias("in_order"))
+    # shards follow each other in number and time; a row per shard is ordered
+    earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    order = order.select(((F.max("b").over(earlier) < F.col("a")) & (F.max("y").over(earlier) <= F.col("x"))).alias("follows"))
+    ends = order.agg(F.coalesce(F.bool_and("follows"), F.lit(True)).alias("in_order"))
     return rows.groupBy("venue", "pair").agg(
         F.count("*").alias("events"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), r6(F.sum("bid"), "bids")).join(F.broadcast(ends))
 

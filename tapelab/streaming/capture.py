@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from tapelab.operators.ordered import ranked
 from tapelab.plans.corpus import COUNTS, LOSS_POLICY, derive_manifests, event_flags, reconcile, verify_tape
 from tapelab.session import stage, staging
+from tapelab.sources.files import mounted
 from tapelab.sources.tape import QUARANTINE, TIME_FORMAT, event_rows, file_hashes, read_tape
 from tapelab.streaming.state import run
 
@@ -31,11 +33,12 @@ MOST_FAILURES = 3  # in a row, then the capture stops
 
 
 class Folder:
-    """Files of a corpus in whatever store its path names."""
+    """Files of a corpus in whatever store its path names; a mounted one is reached by plain calls."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.at = spark._jvm.org.apache.hadoop.fs.Path
         self.root = root
+        self.top = mounted(spark, root)
         self.fs = self.at(root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(self.at(root))
 
@@ -43,19 +46,36 @@ class Folder:
         return self.at(f"{self.root}/{name}")
 
     def names(self, folder: str = ".") -> list[str]:
+        if self.top:
+            return os.listdir(f"{self.top}/{folder}")
         return [s.getPath().getName() for s in self.fs.listStatus(self.path(folder))]
 
     def has(self, name: str) -> bool:
-        return self.fs.exists(self.path(name))
+        return os.path.exists(f"{self.top}/{name}") if self.top else self.fs.exists(self.path(name))
+
+    def make(self, name: str) -> None:
+        if self.top:
+            os.makedirs(f"{self.top}/{name}", exist_ok=True)
+        else:
+            self.fs.mkdirs(self.path(name))
 
     def move(self, old: str, new: str) -> None:
-        if not self.fs.rename(self.path(old), self.path(new)):
+        if self.top:
+            os.rename(f"{self.top}/{old}", f"{self.top}/{new}")
+        elif not self.fs.rename(self.path(old), self.path(new)):
             raise OSError(f"{old} could not be renamed to {new}")
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
     def write(self, name: str, text: str) -> None:
+        if self.top:
+            place, last = os.path.split(f"{self.top}/{name}")
+            os.makedirs(place, exist_ok=True)
+            with open(f"{place}/.{last}.new", "wb") as out:
+                out.write(text.encode())
+            os.replace(f"{place}/.{last}.new", f"{place}/{last}")
+            return
         out = self.fs.create(self.path(name), True)
         try:
             out.write(bytearray(text.encode()))
@@ -63,6 +83,9 @@ class Folder:
             out.close()
 
     def read(self, name: str) -> str:
+        if self.top:
+            with open(f"{self.top}/{name}", encoding="utf-8") as source:
+                return source.read()
         source = self.fs.open(self.path(name))
         try:
             return bytes(source.readAllBytes()).decode()
@@ -87,21 +110,25 @@ def next_number(names: list[str]) -> int:
 
 
 def cut(events: DataFrame, minutes: int, rows: int, order: list[str]) -> DataFrame:
-    """Events with ``cut``: the start of their window in microseconds and the file in it."""
+    """Events with ``cut``: the start of their window in microseconds and the file in it; they are ranked only where a window needs several files."""
     width = minutes * 60_000_000
-    window = F.col("t") - F.pmod(F.col("t"), F.lit(width))
-    out = ranked(events.withColumn("_window", window), ["_window"], order)
-    return out.withColumn("cut", F.concat_ws("-", "_window", F.floor(F.col("rank") / rows).cast("string"))).drop("_window", "rank", "n")
+    out = events.withColumn("_window", F.col("t") - F.pmod(F.col("t"), F.lit(width)))
+    largest = out.groupBy("_window").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    if largest <= rows:
+        return out.withColumn("cut", F.concat_ws("-", "_window", F.lit("0"))).drop("_window", "rank", "n")
+    out = ranked(out, ["_window"], order, largest=largest)
+    return stage(out.withColumn("cut", F.concat_ws("-", "_window", F.floor(F.col("rank") / rows).cast("string"))).drop("_window", "rank", "n"))
 
 
 def write_batch(batch: DataFrame, number: int, root: str, minutes: int, rows: int, order: list[str], facts: dict, state: dict) -> None:
     """One micro-batch as shards under ``root``; ``state`` counts failed shards in a row."""
     spark = batch.sparkSession
     folder = Folder(spark, root)
-    if batch.isEmpty():
-        return
     with staging(spark):
-        events = stage(cut(batch, minutes, rows, order))
+        received = stage(batch)  # its lines are parsed once
+        if received.isEmpty():
+            return
+        events = cut(received, minutes, rows, order)
         expected = derive_manifests(event_flags(events).withColumnRenamed("cut", "shard"))
         work = f"_work/batch={number}"
         sized = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cut").sortWithinPartitions("cut", *order)
@@ -110,7 +137,7 @@ def write_batch(batch: DataFrame, number: int, root: str, minutes: int, rows: in
         # read back: what the files hold is compared with what was received
         named = F.regexp_extract("shard", r"^cut=(.*)$", 1)
         back = stage(read_tape(spark, f"{root}/{work}/*/*.json").withColumn("shard", named))
-        files = file_hashes(spark, f"{root}/{work}/*/*.json").select(F.regexp_extract("path", r"cut=([^/]+)/", 1).alias("shard"), "path", F.col("bytes").alias("size"), "sha256")
+        files = file_hashes(spark, f"{root}/{work}").select(F.regexp_extract("path", r"cut=([^/]+)/", 1).alias("shard"), "path", F.col("bytes").alias("size"), "sha256")
         found = stage(derive_manifests(event_flags(back)))
         wrong = reconcile(found.drop("bytes").withColumn("bytes", F.lit(0).cast("bigint")), expected)
         wrong = wrong.unionByName(verify_tape(back).select("shard", F.col("failure").alias("reason"))).groupBy("shard").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
@@ -142,7 +169,7 @@ def publish(folder: Folder, name: str, s, facts: dict, work: str) -> None:
     """Moves a written file to its shard and commits it by its manifest, or sets it aside with the reasons."""
     stamp = lambda us: datetime.fromtimestamp(us / 1_000_000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     config = json.dumps({"schemaVersion": 1, "pair": s["pairs"][0], "exchanges": s["venues"], "depth": facts["depth"]})
-    folder.fs.mkdirs(folder.path(name))
+    folder.make(name)
     folder.move(f"{work}/cut={s['shard']}/{s['path'].rsplit('/', 1)[1]}", f"{name}/events.jsonl")
     folder.write(f"{name}/capture-config.json", config)
     if s["reasons"]:

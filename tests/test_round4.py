@@ -1,20 +1,27 @@
 """Files written by tasks, rows shuffled once, tapes parsed once."""
 
 import hashlib
+import json
 import os
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from tapelab.catalog import audit
+from tapelab.catalog import audit, streams
 from tapelab.operators.ordered import rolling_sums
 from tapelab.operators.routes import rank_candidates
 from tapelab.sources import files as FI
+from tapelab.sources import tape as TP
+from tapelab.streaming import capture as C
+from test_capture import record, tape
 
 
 def shuffles(df, column):
     """How many exchanges of the plan carry ``column``."""
-    found, nodes = 0, [df._jdf.queryExecution().executedPlan().initialPlan()]
+    plan = df._jdf.queryExecution().executedPlan()
+    found, nodes = 0, [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
     while nodes:
         node = nodes.pop()
         found += node.nodeName() == "Exchange" and f"{column}#" in node.output().mkString(",")
@@ -74,3 +81,40 @@ def test_candidates_are_computed_once_and_shuffled_once(spark):
     df = spark.range(300).select((F.col("id") % 4).alias("tick"), F.col("id").alias("seq"), (F.col("id") * 7 % 11).cast("double").alias("score"), (F.col("id") % 3 > 0).alias("executable"))
     out = rank_candidates(df.repartition(5, "score"), ["tick"], "score", ["seq"])
     assert shuffles(out, "seq") == 1 and out.count() == 200
+
+
+@pytest.mark.parametrize(("starts", "in_order"), [((0, 60, 120, 180), True), ((60, 120, 0, 180), False), ((0, 60, 98, 180), False)])
+def test_order_of_a_corpus_from_lines_parsed_once(spark, tmp_path, monkeypatch, starts, in_order):
+    for i, start in enumerate(starts):
+        shard = tmp_path / f"shard-{i:06d}-x"
+        shard.mkdir()
+        (shard / "manifest.json").write_text(json.dumps({"schemaVersion": 1}))
+        tape(shard, "events.jsonl", start)
+    monkeypatch.setattr(streams, "captured", lambda spark, sf: str(tmp_path))
+    out = streams.corpus_events(spark, "")
+    assert "scan json" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    rows = out.collect()
+    assert {r.in_order for r in rows} == {in_order} and sum(r.events for r in rows) == 40 * len(starts)
+
+
+def test_files_of_windows_need_no_ranks(spark):
+    events = spark.range(100).select((F.col("id") * 7_000_000 % 300_000_000).alias("t"), F.col("id").alias("sequence"))
+    whole, several = (C.cut(events, 1, n, ["t", "sequence"]) for n in (30, 6))
+    assert shuffles(whole, "t") == 0 and whole.columns == several.columns == ["t", "sequence", "cut"]
+    seen, want = {}, {}
+    for r in sorted(events.collect()):
+        window = r.t - r.t % 60_000_000
+        want[r.sequence] = (f"{window}-0", f"{window}-{seen.setdefault(window, 0) // 6}")
+        seen[window] += 1
+    assert 6 < max(seen.values()) <= 30
+    a, b = ({r.sequence: r.cut for r in x.collect()} for x in (whole, several))
+    assert {k: (a[k], b[k]) for k in a} == want
+
+
+def test_shards_hold_their_documents_only(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    tape(tmp_path / "in", "a.jsonl", 0, 130)
+    record(spark, tmp_path)
+    shards = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("shard-")]
+    assert shards and all(sorted(os.listdir(p)) == ["capture-config.json", "events.jsonl", "manifest.json"] for p in shards)
+    assert {r.shard for r in TP.read_tape(spark, f"{tmp_path}/out/*/events.jsonl").collect()} == {p.name for p in shards}
